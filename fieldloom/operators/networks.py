@@ -1,0 +1,131 @@
+"""Small classifiers: a two-layer tanh network, a kernel machine, and their portable scoring."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+HIDDEN, PENALTY = (32, 16), 1e-3
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 500, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
+    """Limited-memory BFGS with backtracking."""
+    value, slope = f(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(slope).max() < tolerance:
+            break
+        way, alphas = slope.copy(), []
+        for s, y, r in reversed(past):
+            alphas.append(r * (s @ way))
+            way -= alphas[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y, r), a in zip(past, reversed(alphas), strict=True):
+            way += s * (a - r * (y @ way))
+        down, size = slope @ way, 1.0 if past else min(1.0, 1 / np.abs(slope).sum())
+        for _ in range(40):
+            new, new_slope = f(x - size * way)
+            if new <= value - 1e-4 * size * down:
+                break
+            size /= 2
+        else:
+            break
+        s, y = -size * way, new_slope - slope
+        if s @ y > 1e-12:
+            past = [*past[-memory + 1 :], (s, y, 1 / (s @ y))]
+        x, value, slope = x + s, new, new_slope
+    return x
+
+
+@dataclass(frozen=True)
+class Network:
+    classes: tuple[str, ...]
+    mean: np.ndarray
+    sd: np.ndarray
+    layers: tuple[tuple[np.ndarray, np.ndarray], ...]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        h = (np.asarray(x, float) - self.mean) / self.sd
+        for w, b in self.layers[:-1]:
+            h = np.tanh(h @ w + b)
+        z = h @ self.layers[-1][0] + self.layers[-1][1]
+        if len(self.classes) == 2:
+            p = 1 / (1 + np.exp(-np.clip(z[:, 0], -709, 709)))
+            return np.stack([1 - p, p], axis=1)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def column(self) -> Callable[[Column], Column]:
+        """Scores of a column of feature arrays."""
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def score(x: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for column in x:
+                yield pd.Series(list(self.scores(np.stack(column.to_numpy()))))
+
+        return score
+
+
+def fit_network(x: np.ndarray, labels: list[str], seed: int = 0, hidden: tuple[int, ...] = HIDDEN, penalty: float = PENALTY, steps: int = 500) -> Network:
+    """Fitted on a bounded training set that the driver holds."""
+    classes = tuple(sorted(set(labels)))
+    y = np.array([classes.index(c) for c in labels])
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.where(sd > 1e-12, sd, 1)
+    z, n = (x - mean) / sd, len(x)
+    outputs = 1 if len(classes) == 2 else len(classes)
+    shapes = list(zip((x.shape[1], *hidden), (*hidden, outputs), strict=True))
+    rng = np.random.default_rng(seed)
+    start = np.concatenate([rng.uniform(-1, 1, (a + 1) * b) * np.sqrt(6 / (a + b)) for a, b in shapes])
+
+    def layers(v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        out, at = [], 0
+        for a, b in shapes:
+            out.append((v[at : at + a * b].reshape(a, b), v[at + a * b : at + (a + 1) * b]))
+            at += (a + 1) * b
+        return out
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        own, h = layers(v), [z]
+        for w, b in own[:-1]:
+            h.append(np.tanh(h[-1] @ w + b))
+        p = Network(classes, 0, 1, (own[-1],)).scores(h[-1])
+        value = -np.log(np.clip(p[np.arange(n), y], 1e-300, 1)).mean() + penalty / 2 * sum((w * w).sum() for w, _ in own) / n
+        e = (p[:, 1:2] - y[:, None] if outputs == 1 else p - np.eye(outputs)[y]) / n
+        parts = []
+        for k in range(len(own) - 1, -1, -1):
+            w = own[k][0]
+            parts.append(np.concatenate([(h[k].T @ e + penalty * w / n).ravel(), e.sum(axis=0)]))
+            if k:
+                e = (e @ w.T) * (1 - h[k] ** 2)
+        return value, np.concatenate(parts[::-1])
+
+    return Network(classes, mean, sd, tuple(layers(minimise(loss, start, steps))))
+
+
+def fit_kernel_machine(k: np.ndarray, y: np.ndarray, c: float = 1.0, sweeps: int = 200, tolerance: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Dual coefficients times labels and the bias of a soft-margin machine on a precomputed kernel, by coordinate ascent."""
+    n, k1 = len(y), k + 1.0  # the bias is part of the kernel
+    a, f = np.zeros(n), np.zeros(n)
+    for _ in range(sweeps):
+        moved = 0.0
+        for i in range(n):
+            new = min(c, max(0.0, a[i] + (1 - y[i] * f[i]) / k1[i, i]))
+            if d := new - a[i]:
+                a[i], moved = new, max(moved, abs(d))
+                f += d * y[i] * k1[i]
+        if moved < tolerance:
+            break
+    return a * y, float((a * y).sum())
+
+
+def rbf(x: np.ndarray, z: np.ndarray, gamma: float) -> np.ndarray:
+    return np.exp(-gamma * np.clip((x * x).sum(axis=1)[:, None] + (z * z).sum(axis=1) - 2 * x @ z.T, 0, None))

@@ -1,0 +1,147 @@
+"""Seeded simulators of magnetometers and of sensor networks, as DataFrames of samples or frames.
+
+A node's recursions (drifting bias, correlated noise, warming, low-pass, fault
+latches) run along time, so each (session, sensor) is one group of bounded
+length; nodes are independent streams, keyed by name, and run in parallel.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from datetime import datetime, timezone
+from math import exp
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..sources.tables import READING
+
+SCALAR = dict(background=50_000.0, amplitude=50.0, hz=5.0, phase=0.0, drift=0.0, noise=1.0, duration=2.0, rate=200.0, anomaly_at=None, anomaly=0.0, seed=0)
+#: A node without errors; every value may be overridden per node.
+NODE = dict(gain=1.0, soft_iron=None, cross_axis=None, bias=(0.0, 0.0, 0.0), drift=(0.0, 0.0, 0.0), white=(0.0, 0.0, 0.0), walk=(0.0, 0.0, 0.0), ou_sigma=(0.0, 0.0, 0.0), ou_tau=1.0, warm_bias=(0.0, 0.0, 0.0), ambient=293.15, warming=0.0, warm_tau=10.0, bandwidth=None, limit=100e-6, clock_offset=0.0, clock_ppm=0.0, dropout_rate=0.0, dropout_s=0.5, stuck_rate=0.0, stuck_s=0.5)
+EPOCH = datetime(2026, 1, 1, tzinfo=timezone.utc)
+
+
+def stream(seed: int, *name: str) -> np.random.Generator:
+    """A generator of its own for each name: adding a node leaves the others unchanged."""
+    key = hashlib.blake2s(":".join(name).encode(), digest_size=4).digest()
+    return np.random.default_rng(np.random.SeedSequence([seed, int.from_bytes(key, "little")]))
+
+
+def scalar_series(spark: SparkSession, sensors: dict[str, dict]) -> DataFrame:
+    """(sensor_id, i, t, x): background, sinusoid, drift, noise and an optional Gaussian transient."""
+    plan = spark.createDataFrame(list(sensors.items() and [(k,) for k in sensors]), "sensor_id string")
+
+    def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
+        c = SCALAR | sensors[key[0]]
+        n = round(c["duration"] * c["rate"])
+        t = np.arange(n) / c["rate"]
+        x = c["background"] + c["amplitude"] * np.sin(2 * np.pi * c["hz"] * t + c["phase"]) + c["drift"] * t
+        x = x + np.random.default_rng(c["seed"]).normal(0, c["noise"], n)
+        if c["anomaly_at"] is not None:
+            x = x + c["anomaly"] * np.exp(-0.5 * ((t - c["anomaly_at"]) / max(3 / c["rate"], 0.02 * c["duration"])) ** 2)
+        return pd.DataFrame({"sensor_id": key[0], "i": np.arange(n), "t": t, "x": x})
+
+    return plan.groupBy("sensor_id").applyInPandas(run, "sensor_id string, i long, t double, x double")
+
+
+def field_at(samples: DataFrame, uniform: tuple[float, float, float], dipoles: list[dict] = (), waves: list[dict] = (), anomalies: list[dict] = ()) -> DataFrame:
+    """samples (t, position array) with `field`: world field there and then, null inside a dipole's nearest distance."""
+    vec = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    parts = [vec(uniform)]
+    for d in dipoles:
+        active = (F.col("t") >= d.get("start", 0.0)) & (F.col("t") < d.get("end", float("inf")))
+        parts.append(F.when(active, G.dipole(vec(d["position"]), vec(d["moment"]), F.col("position"), d["nearest"])).otherwise(vec((0, 0, 0))))
+    parts += [G.periodic(vec(w["amplitude"]), F.lit(w["hz"]), F.lit(w.get("phase", 0.0)), F.col("t")) for w in waves]
+    parts += [G.gaussian_anomaly(vec(a["center"]), vec(a["amplitude"]), F.lit(a["width"]), F.col("position")) for a in anomalies]
+    return samples.withColumn("field", G.total(*parts))
+
+
+def _node(rows: pd.DataFrame, name: tuple[str, str], seed: int, c: dict, events: list[dict]) -> pd.DataFrame:
+    """Readings of one node along its true sensor-frame fields."""
+    rows = rows.sort_values("i")
+    n, t = len(rows), rows["t"].to_numpy()
+    dt = float(np.diff(t).mean()) if n > 1 else 0.0
+    draw = {k: stream(seed, *name, k) for k in ("white", "walk", "ou", "dropout", "stuck")}
+    ideal = np.array([[np.nan] * 3 if f is None else f for f in rows["sensor_field"]], float)
+    mine = [e for e in events if name[1] in e["targets"]]
+    active = {k: np.zeros(n, bool) for k in ("dropout", "stuck")}
+    offset, noise_times = np.zeros((n, 3)), np.ones(n)
+    for e in mine:
+        on = (t >= e["start"]) & (t < e["start"] + e["duration"])
+        if e["kind"] in active:
+            active[e["kind"]] |= on
+        offset[on] += np.asarray(e.get("offset", (0, 0, 0)), float) + np.outer(t[on] - e["start"], np.asarray(e.get("drift", (0, 0, 0)), float))
+        noise_times[on] *= e.get("noise_times", 1.0)
+    # Latched random faults: a draw a step while nothing is latched.
+    for kind in active:
+        p, until = 1 - exp(-c[f"{kind}_rate"] * dt), -1.0
+        for k in range(1, n):
+            if t[k] >= until and draw[kind].random() < p:
+                until = t[k] + c[f"{kind}_s"]
+            active[kind][k] |= t[k] < until
+    walk = np.cumsum(np.vstack([np.zeros(3), draw["walk"].normal(size=(n - 1, 3)) * np.sqrt(np.asarray(c["walk"]) * dt)]), axis=0)
+    keep, ou, warm = exp(-dt / c["ou_tau"]), np.zeros((n, 3)), np.full(n, c["ambient"])
+    kicks = draw["ou"].normal(size=(n, 3)) * np.asarray(c["ou_sigma"]) * np.sqrt(1 - keep * keep)
+    alpha = 1 - exp(-dt / c["warm_tau"])
+    for k in range(1, n):
+        ou[k] = keep * ou[k - 1] + kicks[k]
+        warm[k] = warm[k - 1] + alpha * (c["ambient"] + c["warming"] * t[k] - warm[k - 1])
+    m = np.eye(3) * c["gain"]
+    for extra in ("soft_iron", "cross_axis"):
+        m = (np.asarray(c[extra]) if c[extra] is not None else np.eye(3)) @ m
+    x = ideal @ m.T + np.asarray(c["bias"]) + np.outer(t, c["drift"]) + walk + ou + np.outer(warm - c["ambient"], c["warm_bias"]) + offset
+    x += draw["white"].normal(size=(n, 3)) * np.asarray(c["white"]) * noise_times[:, None]
+    if c["bandwidth"]:
+        a = 1 - exp(-2 * np.pi * c["bandwidth"] * dt)
+        for k in range(1, n):
+            if not np.isnan(x[k - 1]).any():
+                x[k] = x[k - 1] + a * (x[k] - x[k - 1])
+    mask = np.abs(x) > c["limit"]
+    x = np.clip(x, -c["limit"], c["limit"])
+    out, last = [], None
+    clock = ["clock_error"] if c["clock_offset"] or c["clock_ppm"] else []
+    start = int(EPOCH.timestamp() * 1_000_000)
+    for k in range(n):
+        flags, value, clipped = list(clock), x[k].tolist(), mask[k].tolist()
+        if np.isnan(x[k]).any():
+            flags, value, clipped = [*flags, "signal_absent"], None, None
+        elif any(clipped):
+            flags.append("clipped")
+        if active["stuck"][k]:
+            value, clipped, old = last or (None, None, ["signal_absent"])
+            flags = sorted({*old, *clock, "stuck"})
+        if active["dropout"][k]:
+            flags, value, clipped = [*clock, "signal_absent"], None, None
+        if value is not None and not active["stuck"][k]:
+            last = value, clipped, flags
+        valid = value is not None and not {"clipped", "signal_absent", "stuck"} & set(flags)
+        own = start + round((c["clock_offset"] + t[k] * (1 + c["clock_ppm"] * 1e-6)) * 1e6)
+        out.append({"sensor_id": name[1], "sequence_id": k + 1, "acquisition_time": pd.Timestamp(own, unit="us", tz="UTC"), "arrival_time": pd.Timestamp(start + round(t[k] * 1e6), unit="us", tz="UTC"), "measurement_mode": "vector", "value_T": None, "components_T": value, "saturation_mask": clipped, "quality_flags": sorted(flags), "valid": valid, "observed_temperature_K": float(warm[k]), "position_m": list(rows["position"].iloc[k]), "orientation_world_to_sensor_wxyz": list(rows["orientation"].iloc[k]), "calibration_version": "v1"})
+    return pd.DataFrame({"session_id": name[0], "i": rows["i"].to_numpy(), "t": t, "reading": out})
+
+
+def network_frames(spark: SparkSession, sessions: dict[str, dict]) -> DataFrame:
+    """Frames of simulated sessions.
+
+    A session: seed, seconds, hz, uniform, and nodes {name: {position, orientation, ...}}, events, dipoles, waves.
+    """
+    rows = [(s, n, round(c["seconds"] * c.get("hz", 100)), float(c.get("hz", 100)), [float(x) for x in v.get("position", (0, 0, 0))], [float(x) for x in v.get("orientation", (1, 0, 0, 0))]) for s, c in sessions.items() for n, v in c["nodes"].items()]
+    nodes = spark.createDataFrame(rows, "session_id string, sensor_id string, n int, hz double, position array<double>, orientation array<double>")
+    samples = nodes.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("t", F.col("i") / F.col("hz"))
+    parts = [field_at(samples.filter(F.col("session_id") == s), c.get("uniform", (20e-6, 0, 40e-6)), c.get("dipoles", ()), c.get("waves", ()), c.get("anomalies", ())) for s, c in sessions.items()]
+    fields = parts[0]
+    for p in parts[1:]:
+        fields = fields.unionByName(p)
+    sensed = fields.select("session_id", "sensor_id", "i", "t", "position", "orientation", G.to_sensor(F.col("orientation"), F.col("field")).alias("sensor_field"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        c = sessions[key[0]]
+        return _node(rows, key, c.get("seed", 0), NODE | {k: v for k, v in c["nodes"][key[1]].items() if k in NODE}, c.get("events", []))
+
+    read = sensed.groupBy("session_id", "sensor_id").applyInPandas(run, f"session_id string, i long, t double, reading {READING}")
+    framed = read.groupBy("session_id", "i", "t").agg(F.array_sort(F.collect_list("reading"), lambda a, b: F.when(a["sensor_id"] < b["sensor_id"], -1).when(a["sensor_id"] > b["sensor_id"], 1).otherwise(0)).alias("readings"))
+    return framed.select("session_id", F.lit(1).alias("configuration_version"), (F.col("i") + 1).alias("frame_id"), F.col("t").alias("sim_time_s"), "readings")
