@@ -10,6 +10,8 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalar import held
+
 NANO = 1e9
 #: Magnetic constant over 4 pi, T m / A.
 MU0_4PI = 1e-7
@@ -119,4 +121,4 @@ def total(*fields: Column) -> Column:
 def clip(v: Column, limit: Column | float) -> Column:
     """struct<v, mask>: components held to +-limit, and which were."""
     parts = [at(v, i) for i in range(3)]
-    return F.struct(vector(*[F.greatest(F.least(p, F.lit(limit)), -F.lit(limit)) for p in parts]).alias("v"), F.array(*[F.abs(p) > limit for p in parts]).alias("mask"))
+    return F.struct(vector(*[held(p, -F.lit(limit), F.lit(limit)) for p in parts]).alias("v"), F.array(*[F.abs(p) > limit for p in parts]).alias("mask"))

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 EPS = 2.220446049250313e-16
 
 
+def held(x: Column, low: Column | float, high: Column | float) -> Column:
+    """x within bounds; null stays null, which greatest() and least() alone would not keep."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
+
+
 def angle(x: Column, mean: Column, sd: Column) -> Column:
     """Bounded angle of a standardised value; a spread of 1e-12 or less counts as 1."""
     return pi / 2 * F.tanh((x - mean) / F.when(sd > 1e-12, sd).otherwise(1.0) / 2)
@@ -25,7 +30,7 @@ def circle(p: Column) -> Column:
 
 
 def sigmoid(z: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(709.0)), F.lit(-709.0))))
+    return 1 / (1 + F.exp(-held(z, -709.0, 709.0)))
 
 
 def softmax(z: Column) -> Column:
@@ -34,14 +39,14 @@ def softmax(z: Column) -> Column:
 
 
 def ratio_db(a: Column, b: Column, floor: float = 1e-12) -> Column:
-    return 10 * F.log10(F.greatest(a, F.lit(floor)) / F.greatest(b, F.lit(floor)))
+    return F.when(a.isNotNull() & b.isNotNull(), 10 * F.log10(F.greatest(a, F.lit(floor)) / F.greatest(b, F.lit(floor))))
 
 
 def snr_db(periodic: Column, residual: Column, most: float = 300.0) -> Column:
     """Decibels of two powers: 0 if both vanish, held to +-most."""
     floor = EPS * F.greatest(periodic, residual, F.lit(1.0))
     db = 10 * F.log10(F.greatest(periodic, floor) / F.greatest(residual, floor))
-    return F.when((periodic <= floor) & (residual <= floor), 0.0).otherwise(F.greatest(F.least(db, F.lit(most)), F.lit(-most)))
+    return F.when((periodic <= floor) & (residual <= floor), 0.0).when(periodic.isNotNull() & residual.isNotNull(), held(db, -most, most))
 
 
 def acquisition_micros(epoch_micros: Column, t: Column, offset_s: Column, ppm: Column) -> Column:

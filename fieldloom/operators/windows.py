@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS
+from ..functions.scalar import held as bounded
 
 
 def indexed(rows: DataFrame, key: str, *order: str, name: str = "i") -> DataFrame:
@@ -64,7 +65,7 @@ def pearson(a: Column, b: Column) -> Column:
     da, db = F.transform(a, lambda x: x - ma), F.transform(b, lambda x: x - mb)
     bottom = F.sqrt(total(F.transform(da, lambda x: x * x)) * total(F.transform(db, lambda x: x * x)))
     r = total(F.zip_with(da, db, lambda x, y: x * y)) / F.when(bottom > EPS, bottom)
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    return bounded(r, -1.0, 1.0)
 
 
 def _steps(a: Column) -> tuple[Column, Column]:
