@@ -27,7 +27,7 @@ _ENDS, _BEGINS = np.zeros(256, bool), np.zeros(256, bool)
 _ENDS[[*range(9, 14), *range(28, 33), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 _BEGINS[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Pieces that the table holds at most, and bytes of text encoded at once.
-MOST, GROUP = 3_000_000, 8 << 20
+MOST, GROUP = 1_500_000, 4 << 20
 _FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -43,7 +43,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.begin = self.count = np.zeros(0, np.int64)
+        self.begin = self.count = np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -56,11 +56,11 @@ class Encoder:
         if total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, 2 * len(self.pool)) - self.used, np.uint32)])
         self.pool[self.used : total] = np.fromiter((i for ids in found for i in ids), np.uint32, total - self.used)
-        begin = self.used + np.cumsum(count) - count
+        begin = (self.used + np.cumsum(count) - count).astype(np.int32)
         self.used = total
         both = np.concatenate([self.keys, keys])
         order = np.argsort(both, kind="stable")
-        self.keys, self.begin, self.count = both[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+        self.keys, self.begin, self.count = both[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count.astype(np.int32)])[order]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column's rows (null: none) in order, and the offset of each row in them."""
@@ -123,7 +123,7 @@ class Encoder:
             self._learn(unique[lacks], [x + raw[s:e].decode() for x, s, e in zip(lead, starts[new].tolist(), ends[new].tolist(), strict=True)])
             at = np.searchsorted(self.keys, unique)
         begin, count = self.begin[at][inverse], self.count[at][inverse]
-        stop = np.cumsum(count)
+        stop = np.cumsum(count, dtype=np.int64)
         ids = self.pool[np.repeat(begin - stop + count, count) + np.arange(stop[-1] if len(stop) else 0)]
         counts = np.bincount(owner, weights=count, minlength=n).astype(np.int64)
         if len(direct):
