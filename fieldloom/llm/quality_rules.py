@@ -27,7 +27,7 @@ from ._common import WORD, fresh, stored
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 COUNTS = T.StructType([T.StructField(n, T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")])
 #: Rates in thousandths that have an upper fence, each with the least distance of that fence from the median.
-RATES = {"symbols": 150, "dup_lines": 200, "repeats": 200, "upper": 200, "word_length": 3000}
+RATES = {"symbols": 150, "dup_lines": 500, "repeats": 400, "upper": 200, "word_length": 3000}
 FENCE = 4.0
 LEAST = 200
 #: Buckets to each power of two: a quantile is off by 1/32 at most.
