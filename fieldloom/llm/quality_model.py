@@ -1,11 +1,12 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristics vote good (1), bad (-1) or abstain (0) on every text.
+Overlapping heuristics vote bad, good or abstain on every text, once for quality
+and once for toxicity.
 Expectation-maximisation estimates each one's accuracy from how votes agree, on
 counts of vote patterns over all documents (at most 3 to the number of
 heuristics, whatever the corpus).  The posteriors label a bounded sample of rows
-(TRAIN), on which a linear scorer over hashed word features is fitted; it then
-scores every whole text.
+(TRAIN), on which a linear scorer over hashed word features is fitted for each;
+they then score every whole text.
 
 Defined cases: null text is empty; a text without words scores 0; no bad votes
 anywhere give posteriors near the prior; with nothing to train on every text
@@ -14,6 +15,7 @@ with words is scored by the prior; repeated rows are rows of their own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,52 +29,55 @@ from . import words
 from ._common import stored
 from .quality_rules import COUNTS, count
 
-#: Rows that the scorer is fitted on at most (expected number; picked by hash), hashed features.
+#: Rows that the scorers are fitted on at most (expected number; picked by hash), hashed features.
 TRAIN, FEATURES = 4000, 1 << 15
-#: Abuse that no clean text uses; a heuristic of its own.
-INSULTS = frozenset("idiot moron stupid pathetic worthless clown loser trash scum disgusting".split())
-#: name: (rate in thousandths, good up to, bad from)
-HEURISTICS = {"symbols": (20, 200), "dup_lines": (100, 300), "repeats": (200, 500), "upper": (100, 400), "long_words": (9000, 14000), "marks": (30, 300), "insults": (0, 4), "few_words": (20, 1000)}
-CLASSES = (-1, 0, 1)
-
-
-def rates(text: str | None) -> tuple[int, ...]:
-    """The heuristics' rates of one whole text, in thousandths."""
+#: Abuse, a heuristic matter of the second model.
+INSULTS = re.compile(r"\b(?:idiot|moron|stupid|pathetic|worthless|clown|loser|trash|scum|disgusting)s?\b", re.IGNORECASE)
+#: For each model, name: (good up to, bad from), in thousandths of words or lines unless said.
+HEURISTICS = {
+    "quality": {"symbols": (20, 200), "dup_lines": (100, 500), "repeats": (200, 600), "upper": (100, 400), "long_words": (9000, 14000), "marks": (30, 300)},
+    "toxic": {"insults": (0, 3), "distinct_insults": (0, 2), "insulting_lines": (0, 100)},
+}
+#: P(vote | class) for votes bad, abstain, good where EM starts: a good text, a text with this heuristic's fault, with another.
+GOOD, FAULT, OTHER = np.array([0.005, 0.05, 0.945]), np.array([0.8, 0.1, 0.1]), np.array([0.2, 0.1, 0.7])
+
+
+def rates(text: str | None) -> dict[str, tuple[int, ...]]:
+    """The heuristics' rates of one whole text."""
     n, chars, symbols, dups, repeats, lines, upper = count(text)
     if not n:
-        return (0, 0, 0, 0, 0, 0, 0, 1000)
+        return {"quality": (1000,) * 6, "toxic": (0, 0, 0)}
     text = text or ""
     marks = text.count("!") + text.count("|") + text.count("?")
-    low = text.lower()
-    insults = sum(low.count(x) for x in INSULTS)
-    return symbols * 1000 // n, dups * 1000 // max(1, lines), repeats * 1000 // n, upper * 1000 // n, chars * 1000 // n, marks * 1000 // n, insults * 1000 // n, min(1000, 1000 // n)
-
-
-def votes(text: str | None) -> int:
-    """The votes as one number in base 3."""
-    out = 0
-    for r, (good, bad) in zip(rates(text), HEURISTICS.values(), strict=True):
-        out = out * 3 + (2 if r <= good else 0 if r >= bad else 1)
-    return out
-
-
-def unpack(pattern: np.ndarray) -> np.ndarray:
-    """Votes -1, 0, 1 of pattern numbers, a column for each heuristic."""
-    k = len(HEURISTICS)
-    return (np.asarray(pattern)[:, None] // 3 ** np.arange(k - 1, -1, -1)) % 3 - 1
-
-
-def fit_labels(patterns: np.ndarray, n: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of good for each vote pattern, and P(vote | class) as (heuristic, vote, class).
-
-    Starts from heuristics that are right 7 times in 10 when they vote, which also fixes which class is which.
+    found = INSULTS.findall(text)
+    lewd = sum(bool(INSULTS.search(x)) for x in text.split("\n")) if found else 0
+    return {
+        "quality": (symbols * 1000 // n, dups * 1000 // max(1, lines), repeats * 1000 // n, upper * 1000 // n, chars * 1000 // n, marks * 1000 // n),
+        "toxic": (len(found) * 1000 // n, len({x.lower() for x in found}), lewd * 1000 // max(1, lines)),
+    }
+
+
+def votes(text: str | None) -> tuple[int, ...]:
+    """For each model its votes (0 bad, 1 abstain, 2 good) as one number in base 3."""
+    out = []
+    for own, limits in zip(rates(text).values(), HEURISTICS.values(), strict=True):
+        number = 0
+        for r, (good, bad) in zip(own, limits.values(), strict=True):
+            number = number * 3 + (2 if r <= good else 0 if r >= bad else 1)
+        out.append(number)
+    return tuple(out)
+
+
+def fit_labels(patterns: np.ndarray, n: np.ndarray, k: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of good for each vote pattern of k heuristics, and P(vote | class) as (heuristic, vote, class).
+
+    Bad texts are of k kinds (one shouts, another repeats itself), within which votes are independent; class 0 is good.
+    Heuristic j's accuracy is given[j, 2, 0] on good texts and given[j, 0, 1 + j] on those with its fault.
     """
-    v = unpack(patterns) + 1
-    k = v.shape[1]
-    given = np.empty((k, 3, 2))
-    given[:] = np.array([[0.5, 0.15], [0.3, 0.3], [0.2, 0.55]])
-    prior = np.array([0.3, 0.7])
-    post = np.full((len(v), 2), 0.5)
+    v = (np.asarray(patterns)[:, None] // 3 ** np.arange(k - 1, -1, -1)) % 3
+    start = np.stack([np.stack([GOOD, *[FAULT if c == j else OTHER for c in range(k)]], axis=1) for j in range(k)])
+    given, prior = start.copy(), np.append(0.7, np.full(k, 0.3 / k))
+    post = np.full((len(v), k + 1), 0.5)
     for _ in range(steps):
         logs = np.log(prior) + sum(np.log(given[j, v[:, j]]) for j in range(k))
         logs -= logs.max(axis=1, keepdims=True)
@@ -80,20 +85,21 @@ def fit_labels(patterns: np.ndarray, n: np.ndarray, steps: int = 100) -> tuple[n
         new /= new.sum(axis=1, keepdims=True)
         moved, post = np.abs(new - post).max(initial=0.0), new
         mass = post * n[:, None]
-        prior = (mass.sum(axis=0) + 1) / (n.sum() + 2)
+        prior = (mass.sum(axis=0) + 1) / (n.sum() + k + 1)
         for j in range(k):
             for c in range(3):
-                given[j, c] = mass[v[:, j] == c].sum(axis=0) + 0.5
+                # A few counts of the start, so that no heuristic is ever certain.
+                given[j, c] = mass[v[:, j] == c].sum(axis=0) + 5 * start[j, c]
             given[j] /= given[j].sum(axis=0)
         if moved < 1e-9:
             break
-    return post[:, 1], given
+    return post[:, 0], given
 
 
 def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each part of rows: hashed features of all words, and the index of each row's first word.
 
-    Two features a word, in columns: the word, and its shape (first and last byte, length).
+    Three features a word, in columns: the word, its first six bytes, its shape (first and last byte, length).
     """
     data, offsets = words.buffers(column)
     for a, b in words.parts(offsets):
@@ -101,30 +107,34 @@ def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         starts, ends, first = words.spans(own, offsets[a : b + 1] - offsets[a])
         word = words.hashes(own, starts, ends)
         shape = words.mix64(own[starts].astype(np.uint64) * np.uint64(65536) + own[np.maximum(ends - 1, 0)].astype(np.uint64) * np.uint64(256) + np.minimum(ends - starts, 24).astype(np.uint64))
-        both = np.stack([word % np.uint64(FEATURES // 2), shape % np.uint64(FEATURES // 2) + np.uint64(FEATURES // 2)], axis=1).astype(np.int64) if len(starts) else np.zeros((0, 2), np.int64)
+        head = words.hashes(own, starts, np.minimum(ends, starts + 6))
+        each = FEATURES // 4
+        both = np.stack([word % np.uint64(2 * each), head % np.uint64(each) + np.uint64(2 * each), shape % np.uint64(each) + np.uint64(3 * each)], axis=1).astype(np.int64) if len(starts) else np.zeros((0, 3), np.int64)
         yield both, first
 
 
-@F.pandas_udf(T.IntegerType())
-def _votes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+VOTES = T.StructType([T.StructField(m, T.IntegerType()) for m in HEURISTICS])
+
+
+@F.pandas_udf(VOTES)
+def _votes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for x in texts:
-        yield pd.Series([votes(t) for t in x], dtype="int32")
+        yield pd.DataFrame([votes(t) for t in x], columns=VOTES.names, dtype="int32")
 
 
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for both, first in _features(batch.column(1)):
+        for both, first in _features(batch.column(2)):
             for i in range(len(first) - 1):
                 index, n = np.unique(both[first[i] : first[i + 1]], return_counts=True)
-                rows.append((index.astype("<i4").tobytes(), (n / max(1, n.sum())).astype("<f4").tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["pattern", "i", "x"])
+                rows.append((index.astype("<i4").tobytes(), (n / np.sqrt(max(1, n.sum()))).astype("<f4").tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], [*HEURISTICS, "i", "x"])
 
 
-def fit_scorer(rows: list, label: dict[int, float], steps: int = 300, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
+def fit_scorer(rows: list, y: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
     """Weights and, last, the bias of a logistic scorer, by full-batch Adam."""
     index = [np.frombuffer(r.i, "<i4") for r in rows]
-    y = np.array([label[r.pattern] for r in rows])
     w = np.zeros(FEATURES + 1)
     if not rows:
         return w
@@ -142,36 +152,67 @@ def fit_scorer(rows: list, label: dict[int, float], steps: int = 300, rate: floa
     return w
 
 
+SCORES = T.StructType([T.StructField(m, T.DoubleType()) for m in HEURISTICS])
+
+
 def _scorer(weights: np.ndarray):
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A column function: a text's score by each model's weights."""
+
+    @F.pandas_udf(SCORES)
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in texts:
-            out = []
+            out = [np.zeros((0, len(weights)))]
             for both, first in _features(pa.array(x, pa.string())):
-                total = np.concatenate([[0.0], np.cumsum(weights[both].sum(axis=1))])
                 n = np.diff(first)
-                z = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, 2 * n) + weights[-1]
-                out.append(np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+                part = np.zeros((len(n), len(weights)))
+                for k, w in enumerate(weights):
+                    total = np.concatenate([[0.0], np.cumsum(w[both].sum(axis=1))])
+                    z = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(1, 3 * n)) + w[-1]
+                    part[:, k] = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+                out.append(part)
+            yield pd.DataFrame(np.concatenate(out), columns=SCORES.names)
 
     return score
 
 
-def classify(docs: DataFrame, train: int = TRAIN) -> DataFrame:
-    """doc_id, votes (pattern), posterior, score, kept for every row of docs (doc_id, text)."""
+def _told(docs: DataFrame, labelled: DataFrame, train: int) -> list:
+    """Features and labels of at most about `train` labelled rows, picked by hash."""
+    known = labelled.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null")
+    share = min(1.0, train / max(1, known.count()))
+    few = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * train)
+    texts = docs.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select(F.lit(0).alias("quality"), "toxic", "text")
+    return [r for r in texts.mapInArrow(_sampler, "quality int, toxic int, i binary, x binary").limit(4 * train).collect() if len(r.i)]
+
+
+def classify(docs: DataFrame, labelled: DataFrame | None = None, train: int = TRAIN) -> DataFrame:
+    """A row for each of docs (doc_id, text): doc_id, posterior, score, kept (quality), toxic_score, toxic.
+
+    labelled (doc_id, toxic), if given, adds a bounded sample of rows with known toxicity, which heuristics of one
+    language miss; quality is learnt from weak labels alone.  posterior is the quality model's belief in the text's own votes, score the hashed scorer's.
+    """
     spark = docs.sparkSession
-    voted = stored(docs.select(_votes(F.col("text")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")))
-    table = voted.collect()  # 3 ** len(HEURISTICS) rows at most
+    voted = stored(docs.select(_votes(F.col("text")).alias("v")).groupBy(*[F.col(f"v.{m}").alias(m) for m in HEURISTICS]).agg(F.count("*").alias("n")))
+    table = voted.collect()  # 3 to the number of heuristics rows at most
     if not table:
-        return docs.select("doc_id", F.lit(0).alias("votes"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-    patterns, n = np.array([r.pattern for r in table]), np.array([r.n for r in table], np.float64)
-    posterior, _ = fit_labels(patterns, n)
-    label = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
-    share = min(1.0, train / n.sum())
+        return docs.select("doc_id", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"), F.lit(0.0).alias("toxic_score"), F.lit(False).alias("toxic"))
+    total = sum(r.n for r in table)
+    share = min(1.0, train / total)
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    rows = some.select(_votes(F.col("text")).alias("pattern"), "text").mapInArrow(_sampler, "pattern int, i binary, x binary").limit(2 * train).collect()
-    weights = fit_scorer([r for r in rows if len(r.i)], label)
-    known = spark.createDataFrame([(int(p), float(q)) for p, q in label.items()], "votes int, posterior double")
-    scored = docs.select("doc_id", _votes(F.col("text")).alias("votes"), _scorer(weights)(F.col("text")).alias("score"))
-    judged = scored.join(F.broadcast(known), "votes", "left")
-    return judged.select("doc_id", "votes", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))
+    picked = some.select(_votes(F.col("text")).alias("v"), "text").select(*[F.col(f"v.{m}").alias(m) for m in HEURISTICS], "text")
+    rows = [r for r in picked.mapInArrow(_sampler, "quality int, toxic int, i binary, x binary").limit(2 * train).collect() if len(r.i)]
+    labels, weights = {}, []
+    for m, own in HEURISTICS.items():
+        counts: dict[int, int] = {}
+        for r in table:
+            counts[r[m]] = counts.get(r[m], 0) + r.n
+        post, _ = fit_labels(np.array(list(counts)), np.array(list(counts.values()), np.float64), len(own))
+        labels[m] = dict(zip(counts, post.tolist(), strict=True))
+        y = [labels[m][r[m]] for r in rows]
+        if m == "toxic" and labelled is not None:
+            told = _told(docs, labelled, train)
+            rows, y = rows + told, y + [1.0 - r.toxic for r in told]
+        weights.append(fit_scorer(rows, np.array(y)))
+    known = spark.createDataFrame([(int(p), float(q)) for p, q in labels["quality"].items()], "votes int, posterior double")
+    scored = docs.select("doc_id", _votes(F.col("text"))["quality"].alias("votes"), _scorer(np.array(weights))(F.col("text")).alias("s"))
+    judged = scored.join(F.broadcast(known), "votes", "left")  # as many rows as vote patterns
+    return judged.select("doc_id", "posterior", F.col("s.quality").alias("score"), (F.col("s.quality") >= 0.5).alias("kept"), (1 - F.col("s.toxic")).alias("toxic_score"), (F.col("s.toxic") < 0.5).alias("toxic"))

@@ -29,7 +29,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_model.classify(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality_model.classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
 
 
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,8 @@ def test_signature_estimates_probability_jaccard():
 def test_quality_model_on_held_out_labels(spark):
     out = {r.doc_id: r for r in queries.op4_quality_model(spark, DATA).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    toxic = {r.doc_id: r.toxic == 1 for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    assert sum(out[i].toxic == t for i, t in toxic.items()) >= 0.95 * len(toxic)
     right = [(out[i].kept, q == 1) for i, q in labels.items()]
     assert sum(a == b for a, b in right) >= 0.9 * len(right)
     clean = [a for a, b in right if b]
@@ -190,12 +192,13 @@ def test_quality_model_on_held_out_labels(spark):
 
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(2)
-    k = len(quality_model.HEURISTICS)
-    truth, right = rng.random(20_000) < 0.7, np.linspace(0.6, 0.95, k)
-    v = np.where(rng.random((20_000, k)) < right, truth[:, None], ~truth[:, None]) * 2
+    k, truth = 7, rng.random(40_000) < 0.8
+    fires = np.where(truth[:, None], 0.01, np.linspace(0.2, 0.5, k))
+    v = np.where(rng.random((40_000, k)) < fires, 0, 2)
     p, n = np.unique((v * 3 ** np.arange(k - 1, -1, -1)).sum(axis=1), return_counts=True)
-    post, given = quality_model.fit_labels(p, n.astype(float))
-    assert np.abs(given[:, 2, 1] - right).max() < 0.03
+    post, given = quality_model.fit_labels(p, n.astype(float), k)
+    fired = (v == 0).any(axis=1)[np.unique((v * 3 ** np.arange(k - 1, -1, -1)).sum(axis=1), return_index=True)[1]]
+    assert np.abs(given[:, 2, 0] - 0.99).max() < 0.02 and (post[~fired] > 0.5).all() and (post < 0.5).any()
 
 
 # 5
