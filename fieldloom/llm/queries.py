@@ -66,4 +66,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_near_dedup, op4_quality_model, op5_token_codes, op6_token_rollup, op7_interleave, op8_mixing, op9_packing, op10_secrets, pipeline)
 }
 
-SQL: dict[str, str] = {}
+_TURNS = """c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+b AS (SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS opens FROM c)"""
+_LONG = "(2 * length({0}) - length(translate({0}, '\\<[' || chr(10), '')))"
+
+_COUNTS = r"""w AS (SELECT doc_id, i, l[i] AS x, len(l) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents))),
+g AS (SELECT *, lead(x, 1) OVER q AS y, lead(x, 2) OVER q AS z FROM w WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, z IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, x, y, z) > 1 AS rep FROM g),
+h AS (SELECT *, rep OR coalesce(lag(rep, 1) OVER q, false) OR coalesce(lag(rep, 2) OVER q, false) AS hit FROM r WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+a AS (SELECT doc_id, count(*) AS n_words, sum(length(x)) AS word_chars, sum(hit::INT) AS n_repeat_words, sum((x = upper(x) AND x <> lower(x))::INT) AS n_upper FROM h GROUP BY doc_id),
+ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+nl AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+k AS (SELECT d.doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_upper, 0)::BIGINT AS n_upper
+ FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN nl USING (doc_id)),
+v AS (SELECT doc_id, lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'upper', 'word_length']) AS rate, coalesce(unnest([n_symbols * 1000 // nullif(n_words, 0), n_dup_lines * 1000 // nullif(n_lines, 0), n_repeat_words * 1000 // nullif(n_words, 0), n_upper * 1000 // nullif(n_words, 0), word_chars * 1000 // nullif(n_words, 0)]), 0) AS x, unnest([150, 500, 400, 200, 3000]) AS least FROM k),
+u AS (SELECT *, CASE WHEN x < 64 THEN x ELSE (x >> (floor(log2(x + 0.5))::INT - 5)) << (floor(log2(x + 0.5))::INT - 5) END AS cell FROM v),
+fine AS (SELECT lang, source, rate, count(*) AS n, max(least) AS least, quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.5) AS q2, quantile_disc(cell, 0.75) AS q3 FROM u GROUP BY ALL),
+broad AS (SELECT lang, rate, quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.5) AS q2, quantile_disc(cell, 0.75) AS q3 FROM u GROUP BY ALL),
+f AS (SELECT fine.lang, source, fine.rate, CASE WHEN n >= 200 THEN fine.q2 + greatest(4 * (fine.q3 - fine.q1), least) ELSE broad.q2 + greatest(4 * (broad.q3 - broad.q1), least) END AS high FROM fine JOIN broad ON fine.lang IS NOT DISTINCT FROM broad.lang AND fine.rate = broad.rate),
+ok AS (SELECT doc_id, bool_and(x <= high) AS inside FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.rate = f.rate GROUP BY doc_id)"""
+
+SQL: dict[str, str] = {
+    "op1_quality_rules": f"""WITH {_COUNTS} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND inside AS kept FROM k JOIN ok USING (doc_id)""",
+    "op2_chat_format": f"""WITH {_TURNS} SELECT conv_id, count(*) AS n_turns, sum(opens::INT)::BIGINT AS n_blocks, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ length(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), ''))::BIGINT AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+ sum({_LONG.format("text")} + CASE WHEN opens THEN 15 + {_LONG.format("role")} ELSE 3 END)::BIGINT AS formatted_chars FROM b GROUP BY conv_id""",
+    "op3_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(l[i:i + 4], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i FROM w WHERE len(l) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c)),
+both_ways AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
+SELECT x AS doc_id, min(y) AS class_id, x = min(y) AS is_kept FROM reach GROUP BY x""",
+}
