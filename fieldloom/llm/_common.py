@@ -39,6 +39,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def in_short_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose texts go to Python a few MB at a time: they are long, and Arrow's default is 10,000 rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return docs
+
+
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """df, marked for broadcast if it has `most` rows or fewer; beyond, joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (case aside)."""
     have = {c.lower() for c in df.columns}

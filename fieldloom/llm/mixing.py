@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, fresh, stored, whole
+from ._common import WORD, fresh, small, stored, whole
 
 FAN = 64
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -86,7 +86,7 @@ def copies(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     aims = stored(aims)
     own = aims.select(F.col("source").alias("_s"), "source_size", "target")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    worth = sizes.join(F.broadcast(own) if own.count() <= 10_000 else own, sizes["source"].eqNullSafe(own["_s"])).withColumn("worth", F.when(F.col("size") > 0, each).otherwise(0.0))
+    worth = sizes.join(small(own), sizes["source"].eqNullSafe(own["_s"])).withColumn("worth", F.when(F.col("size") > 0, each).otherwise(0.0))
     parted = worth.withColumn("base", F.floor("worth")).withColumn("f", F.col("worth") - F.floor("worth"))
 
     sure = parted.filter("f = 0").select("rid", "doc_id", "source", "size", F.col("base").alias("copies"))
@@ -120,7 +120,7 @@ def copies(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     last = rows.select("source", "e.rid", "e.doc_id", "e.size", (F.col("e.base") + F.when(u < F.col("e.f"), 1).otherwise(0)).alias("copies"))
     names = ["rid", "doc_id", "source", "size", "copies"]
     every = reduce(DataFrame.unionAll, [x.select(*names) for x in [sure, last, *done]])
-    return every.join(F.broadcast(own) if own.count() <= 10_000 else own, every["source"].eqNullSafe(own["_s"])).drop("_s")
+    return every.join(small(own), every["source"].eqNullSafe(own["_s"])).drop("_s")
 
 
 def _sized(docs: DataFrame, rid: F.Column, text: str, id: str, source: str) -> DataFrame:  # noqa: A002

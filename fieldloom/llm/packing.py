@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from ._common import in_short_batches
 
 LENGTH, OPEN = 2048, 512
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -92,5 +93,5 @@ def _packer(path: str, end: int, length: int, most: int):
 
 def pack(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH, most: int = OPEN, text: str = "text", id: str = "doc_id") -> DataFrame:  # noqa: A002
     """One row for each piece of docs' token ids (with `end` behind each text) and its place in a sequence."""
-    read = docs.select(F.spark_partition_id().alias("part"), F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    read = in_short_batches(docs).select(F.spark_partition_id().alias("part"), F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return read.mapInArrow(_packer(tokenizer, end, length, most), PACKED)

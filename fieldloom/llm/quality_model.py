@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from ._common import stored
+from ._common import in_short_batches, stored
 from .quality_rules import COUNTS, count
 
 #: Rows that the scorers are fitted on at most (expected number; picked by hash), hashed features.
@@ -190,7 +190,7 @@ def classify(docs: DataFrame, labelled: DataFrame | None = None, train: int = TR
     labelled (doc_id, toxic), if given, adds a bounded sample of rows with known toxicity, which heuristics of one
     language miss; quality is learnt from weak labels alone.  posterior is the quality model's belief in the text's own votes, score the hashed scorer's.
     """
-    spark = docs.sparkSession
+    spark = in_short_batches(docs).sparkSession
     voted = stored(docs.select(_votes(F.col("text")).alias("v")).groupBy(*[F.col(f"v.{m}").alias(m) for m in HEURISTICS]).agg(F.count("*").alias("n")))
     table = voted.collect()  # 3 to the number of heuristics rows at most
     if not table:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD, fresh, stored
+from ._common import WORD, fresh, in_short_batches, small, stored
 
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 COUNTS = T.StructType([T.StructField(n, T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")])
@@ -116,13 +116,16 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     The text is read twice (thresholds, then rows) and never shuffled.
     """
     c, q = fresh(docs, "counts"), fresh(docs, "quality")
-    counted = docs.withColumn(c, _counts(F.col(text)))
+    counted = in_short_batches(docs).withColumn(c, _counts(F.col(text)))
     return decide(counted, fences(counted, c, lang, source), c, q, lang, source)
 
 
 def decide(counted: DataFrame, limits: DataFrame, c: str, q: str, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Join the fences to the rows and judge each; the counts' column becomes the struct q."""
-    own = limits.select(F.col(lang).alias("_fl"), F.col(source).alias("_fs"), F.struct(*[F.col(f"max_{r}") for r in RATES]).alias("_fence"))
+    """Join the fences to the rows and judge each; the counts' column becomes the struct q.
+
+    Rows with texts are not shuffled for it while there are few groups.
+    """
+    own = small(stored(limits)).select(F.col(lang).alias("_fl"), F.col(source).alias("_fs"), F.struct(*[F.col(f"max_{r}") for r in RATES]).alias("_fence"))
     joined = counted.join(own, counted[lang].eqNullSafe(own["_fl"]) & counted[source].eqNullSafe(own["_fs"]), "left")
     words, repeats = F.col(f"{c}.n_words"), F.col(f"{c}.n_repeat_words")
     base = (words < 50) | (100 * repeats > 50 * words)
@@ -135,6 +138,6 @@ def decide(counted: DataFrame, limits: DataFrame, c: str, q: str, lang: str = "l
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id with the counts and the verdict, for every row; the text is read once."""
-    counted = stored(docs.select("doc_id", "lang", "source", _counts(F.col("text")).alias("counts")))
+    counted = stored(in_short_batches(docs).select("doc_id", "lang", "source", _counts(F.col("text")).alias("counts")))
     judged = decide(counted, fences(counted, "counts"), "counts", "quality")
     return judged.select("doc_id", *[F.col(f"quality.{n}") for n in COUNTS.names], "quality.base_failed", "quality.kept")

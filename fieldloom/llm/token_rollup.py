@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import shared_folder, stored
+from ._common import in_short_batches, shared_folder, stored
 
 GROUP = ("source", "lang", "tokenizer")
 
@@ -76,7 +76,7 @@ def _counter(paths: list[str]):
 def counts(docs: DataFrame, versions: dict[str, str]) -> DataFrame:
     """doc_id, source, lang, tokenizer, n_tokens: a row for each text and tokenizer version (name: file)."""
     kinds = ", ".join(f"c{k}: long" for k in range(len(versions)))
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text").mapInArrow(_counter(list(versions.values())), f"doc_id long, source string, lang string, counts struct<{kinds}>")
+    counted = in_short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text").mapInArrow(_counter(list(versions.values())), f"doc_id long, source string, lang string, counts struct<{kinds}>")
     each = F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"counts.c{k}").alias("n_tokens")) for k, v in enumerate(versions)])
     return counted.select("doc_id", "source", "lang", F.inline(each))
 
