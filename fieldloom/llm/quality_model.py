@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -27,15 +29,20 @@ from pyspark.sql import types as T
 
 from . import words
 from ._common import in_short_batches, stored
-from .quality_rules import COUNTS, count
-
-#: Rows that the scorers are fitted on at most (expected number; picked by hash), hashed features.
-TRAIN, FEATURES = 4000, 1 << 15
+from .quality_rules import _SYMBOL, _WORD, COUNTS, count
+
+#: Rows that the scorers are fitted on at most (expected numbers; picked by hash): weakly labelled ones, and ones with known toxicity.
+TRAIN, KNOWN = 3000, 6000
+#: Sizes of the hashed features' spaces, side by side: the word, its first 4 and 6 bytes, its shape, its repetition.
+SPACES = (1 << 17, 1 << 16, 1 << 16, 1 << 10, 1 << 2)
+FEATURES = sum(SPACES)
+#: What a weakly labelled row weighs where rows with known labels are given.
+WEAK = 0.2
 #: Abuse, a heuristic matter of the second model.
 INSULTS = re.compile(r"\b(?:idiot|moron|stupid|pathetic|worthless|clown|loser|trash|scum|disgusting)s?\b", re.IGNORECASE)
 #: For each model, name: (good up to, bad from), in thousandths of words or lines unless said.
 HEURISTICS = {
-    "quality": {"symbols": (20, 200), "dup_lines": (100, 500), "repeats": (200, 600), "upper": (100, 400), "long_words": (9000, 14000), "marks": (30, 300)},
+    "quality": {"symbols": (20, 200), "symbol_words": (20, 200), "dup_lines": (100, 500), "repeats": (200, 600), "stutter": (30, 200), "upper": (100, 400), "long_words": (9000, 14000), "marks": (30, 300)},
     "toxic": {"insults": (0, 3), "distinct_insults": (0, 2), "insulting_lines": (0, 100)},
 }
 #: P(vote | class) for votes bad, abstain, good where EM starts: a good text, a text with this heuristic's fault, with another.
@@ -46,13 +53,16 @@ def rates(text: str | None) -> dict[str, tuple[int, ...]]:
     """The heuristics' rates of one whole text."""
     n, chars, symbols, dups, repeats, lines, upper = count(text)
     if not n:
-        return {"quality": (1000,) * 6, "toxic": (0, 0, 0)}
+        return {"quality": (1000,) * 8, "toxic": (0, 0, 0)}
     text = text or ""
+    found_words = _WORD.findall(text)
+    stutter = sum(map(eq, found_words, islice(found_words, 1, None)))
+    with_symbol = sum(bool(_SYMBOL.search(x)) for x in found_words) if symbols else 0
     marks = text.count("!") + text.count("|") + text.count("?")
     found = INSULTS.findall(text)
     lewd = sum(bool(INSULTS.search(x)) for x in text.split("\n")) if found else 0
     return {
-        "quality": (symbols * 1000 // n, dups * 1000 // max(1, lines), repeats * 1000 // n, upper * 1000 // n, chars * 1000 // n, marks * 1000 // n),
+        "quality": (symbols * 1000 // n, with_symbol * 1000 // n, dups * 1000 // max(1, lines), repeats * 1000 // n, stutter * 1000 // n, upper * 1000 // n, chars * 1000 // n, marks * 1000 // n),
         "toxic": (len(found) * 1000 // n, len({x.lower() for x in found}), lewd * 1000 // max(1, lines)),
     }
 
@@ -96,21 +106,43 @@ def fit_labels(patterns: np.ndarray, n: np.ndarray, k: int, steps: int = 200) ->
     return post[:, 0], given
 
 
-def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each part of rows: hashed features of all words, and the index of each row's first word.
+#: Kind of a byte: other, lower, upper, digit, mark, symbol, beyond ASCII.
+_KIND = np.zeros(256, np.int64)
+for _n, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), b".,;:!?'\"()-", b"#*$%&|<>", range(128, 256)), 1):
+    _KIND[list(_bytes)] = _n
+_FIRSTS = np.cumsum([0, *SPACES[:-1]])
 
-    Three features a word, in columns: the word, its first six bytes, its shape (first and last byte, length).
-    """
+
+def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each part of rows: hashed features of all words (one column for each of SPACES), and the index of each row's first word."""
     data, offsets = words.buffers(column)
     for a, b in words.parts(offsets):
         own = data[offsets[a] : offsets[b]]
         starts, ends, first = words.spans(own, offsets[a : b + 1] - offsets[a])
-        word = words.hashes(own, starts, ends)
-        shape = words.mix64(own[starts].astype(np.uint64) * np.uint64(65536) + own[np.maximum(ends - 1, 0)].astype(np.uint64) * np.uint64(256) + np.minimum(ends - starts, 24).astype(np.uint64))
-        head = words.hashes(own, starts, np.minimum(ends, starts + 6))
-        each = FEATURES // 4
-        both = np.stack([word % np.uint64(2 * each), head % np.uint64(each) + np.uint64(2 * each), shape % np.uint64(each) + np.uint64(3 * each)], axis=1).astype(np.int64) if len(starts) else np.zeros((0, 3), np.int64)
-        yield both, first
+        if not len(starts):
+            yield np.zeros((0, len(SPACES)), np.int64), first
+            continue
+        hashed = words.hasher(own)
+        word = hashed(starts, ends)
+        heads = [hashed(starts, np.minimum(ends, starts + k)) for k in (4, 6)]
+        shape = (_KIND[own[starts]] * 7 + _KIND[own[ends - 1]]) * 16 + np.minimum(ends - starts, 15)
+        columns = [*(x % np.uint64(n) for x, n in zip((word, *heads), SPACES, strict=False)), shape, _repetition(word, first)]
+        yield np.stack([x.astype(np.int64) + at for x, at in zip(columns, _FIRSTS, strict=True)], axis=1), first
+
+
+def _repetition(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each word 0; 1 in a three-word window that its row has twice or more; 2 if it equals the word before."""
+    row = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    out = np.zeros(len(word), np.int64)
+    if len(word) > 3:
+        with np.errstate(over="ignore"):
+            windows = words.shingles(word, 3) + row[2:] * np.uint64(0x9E3779B97F4A7C15)
+        _, inverse, n = np.unique(windows, return_inverse=True, return_counts=True)
+        at = np.flatnonzero((n[inverse] > 1) & (row[2:] == row[:-2]))
+        for j in range(3):
+            out[at + j] = 1
+    out[1:][(word[1:] == word[:-1]) & (row[1:] == row[:-1])] = 2
+    return out
 
 
 VOTES = T.StructType([T.StructField(m, T.IntegerType()) for m in HEURISTICS])
@@ -132,23 +164,29 @@ def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], [*HEURISTICS, "i", "x"])
 
 
-def fit_scorer(rows: list, y: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
-    """Weights and, last, the bias of a logistic scorer, by full-batch Adam."""
+def fit_scorer(rows: list, y: np.ndarray, worth: np.ndarray | None = None, steps: int = 120, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
+    """Weights and, last, the bias of a logistic scorer, by full-batch Adam.
+
+    worth: what each row weighs.  Features of a single row say nothing about others and are left at 0.
+    """
     index = [np.frombuffer(r.i, "<i4") for r in rows]
     w = np.zeros(FEATURES + 1)
     if not rows:
         return w
-    owner = np.repeat(np.arange(len(rows)), [len(i) for i in index])
-    flat, x = np.concatenate(index), np.concatenate([np.frombuffer(r.x, "<f4") for r in rows]).astype(np.float64)
-    share = np.clip(y.mean(), 0.05, 0.95)
-    weight = y / share + (1 - y) / (1 - share)  # both classes weigh alike
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i in index])
+    flat, x = np.concatenate(index), np.concatenate([np.frombuffer(r.x, "<f4") for r in rows])
+    shared = (np.bincount(flat, minlength=FEATURES) > 1)[flat]
+    owner, flat, x = owner[shared], flat[shared], x[shared]
+    worth = np.ones(len(rows)) if worth is None else worth
+    share = np.clip((y * worth).sum() / worth.sum(), 0.05, 0.95)
+    weight = worth * (y / share + (1 - y) / (1 - share))  # both classes weigh alike
     m, s = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[flat] * x, len(rows)) + w[-1], -30, 30)))
         e = (p - y) * weight / weight.sum()
         g = np.append(np.bincount(flat, e[owner] * x, FEATURES), e.sum()) + decay * w
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-10)
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
     return w
 
 
@@ -167,7 +205,7 @@ def _scorer(weights: np.ndarray):
                 part = np.zeros((len(n), len(weights)))
                 for k, w in enumerate(weights):
                     total = np.concatenate([[0.0], np.cumsum(w[both].sum(axis=1))])
-                    z = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(1, 3 * n)) + w[-1]
+                    z = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(1, len(SPACES) * n)) + w[-1]
                     part[:, k] = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
                 out.append(part)
             yield pd.DataFrame(np.concatenate(out), columns=SCORES.names)
@@ -175,16 +213,16 @@ def _scorer(weights: np.ndarray):
     return score
 
 
-def _told(docs: DataFrame, labelled: DataFrame, train: int) -> list:
-    """Features and labels of at most about `train` labelled rows, picked by hash."""
+def _told(docs: DataFrame, labelled: DataFrame, most: int) -> list:
+    """Features and labels of at most about `most` labelled rows, picked by hash."""
     known = labelled.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null")
-    share = min(1.0, train / max(1, known.count()))
-    few = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * train)
+    share = min(1.0, most / max(1, known.count()))
+    few = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * most)
     texts = docs.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select(F.lit(0).alias("quality"), "toxic", "text")
-    return [r for r in texts.mapInArrow(_sampler, "quality int, toxic int, i binary, x binary").limit(4 * train).collect() if len(r.i)]
+    return [r for r in texts.mapInArrow(_sampler, "quality int, toxic int, i binary, x binary").limit(4 * most).collect() if len(r.i)]
 
 
-def classify(docs: DataFrame, labelled: DataFrame | None = None, train: int = TRAIN) -> DataFrame:
+def classify(docs: DataFrame, labelled: DataFrame | None = None, train: int = TRAIN, known: int = KNOWN) -> DataFrame:
     """A row for each of docs (doc_id, text): doc_id, posterior, score, kept (quality), toxic_score, toxic.
 
     labelled (doc_id, toxic), if given, adds a bounded sample of rows with known toxicity, which heuristics of one
@@ -208,11 +246,10 @@ def classify(docs: DataFrame, labelled: DataFrame | None = None, train: int = TR
         post, _ = fit_labels(np.array(list(counts)), np.array(list(counts.values()), np.float64), len(own))
         labels[m] = dict(zip(counts, post.tolist(), strict=True))
         y = [labels[m][r[m]] for r in rows]
-        if m == "toxic" and labelled is not None:
-            told = _told(docs, labelled, train)
-            rows, y = rows + told, y + [1.0 - r.toxic for r in told]
-        weights.append(fit_scorer(rows, np.array(y)))
-    known = spark.createDataFrame([(int(p), float(q)) for p, q in labels["quality"].items()], "votes int, posterior double")
+        told = _told(docs, labelled, known) if m == "toxic" and labelled is not None else []
+        worth = np.repeat([WEAK if told else 1.0, 1.0], [len(rows), len(told)])
+        weights.append(fit_scorer(rows + told, np.array(y + [1.0 - r.toxic for r in told]), worth))
+    beliefs = spark.createDataFrame([(int(p), float(q)) for p, q in labels["quality"].items()], "votes int, posterior double")
     scored = docs.select("doc_id", _votes(F.col("text"))["quality"].alias("votes"), _scorer(np.array(weights))(F.col("text")).alias("s"))
-    judged = scored.join(F.broadcast(known), "votes", "left")  # as many rows as vote patterns
+    judged = scored.join(F.broadcast(beliefs), "votes", "left")  # as many rows as vote patterns
     return judged.select("doc_id", "posterior", F.col("s.quality").alias("score"), (F.col("s.quality") >= 0.5).alias("kept"), (1 - F.col("s.toxic")).alias("toxic_score"), (F.col("s.toxic") < 0.5).alias("toxic"))

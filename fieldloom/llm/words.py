@@ -82,12 +82,17 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(solid & ~after) + 1, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from a prefix sum of a polynomial over its bytes."""
+def hasher(data: np.ndarray):
+    """A function (starts, ends) to 64-bit hashes of those spans of data, from one prefix sum of a polynomial over its bytes."""
     _POWERS.need(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _POWERS.up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * _POWERS.down[starts] + (ends - starts).astype(np.uint64))
+    return lambda starts, ends: mix64((total[ends] - total[starts]) * _POWERS.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return hasher(data)(starts, ends)
 
 
 def word_hashes(column: pa.Array):
