@@ -44,24 +44,27 @@ def unescape(x: F.Column) -> F.Column:
     return F.array_join(parts, "\\")
 
 
-def blocks(turns: F.Column) -> F.Column:
-    """array<struct<role, texts>> of adjacent turns of one role, from sorted turn structs."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
+def blocks(sorted_turns: DataFrame) -> DataFrame:
+    """(conv_id, b) from (conv_id, t): array<struct<role, texts>> of adjacent turns of one role, from sorted turn structs.
 
-    def add(done: F.Column, t: F.Column) -> F.Column:
-        last = F.try_element_at(done, F.lit(-1))
-        same = F.coalesce(last["role"] == t["role"], F.lit(False))
-        grown = F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        new = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(new)))
+    Blocks are cut out between the places where the role changes, so the work follows the number of turns.  The places
+    are a column of their own: inside the second step they would be found anew for each block.
+    """
+    t, starts, n = F.col("t"), F.col("starts"), F.size("t")
+    changes = F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1)["role"] != x["role"]), i))
+    placed = sorted_turns.select("conv_id", "t", F.array_compact(changes).alias("starts"))
+
+    def cut(start: F.Column, k: F.Column) -> F.Column:
+        texts = F.transform(F.slice(t, start + 1, F.coalesce(F.get(starts, k + 1), n) - start), lambda x: x["text"])
+        return F.struct(F.get(t, start)["role"].alias("role"), texts.alias("texts"))
 
-    return F.aggregate(turns, empty, add)
+    return placed.select("conv_id", F.transform(starts, cut).alias("b"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted: one string for each conversation of (conv_id, turn, role, text)."""
     row = F.struct(F.col("turn").alias("turn"), whole("role").alias("role"), whole("text").alias("text"))
-    merged = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t")).select("conv_id", blocks(F.col("t")).alias("b"))
+    merged = blocks(turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t")))
     block = lambda b: F.concat(F.lit(OPEN), escape(b["role"]), F.lit(ROLE_END), F.array_join(F.transform(b["texts"], escape), JOIN), F.lit(CLOSE))
     return merged.select("conv_id", F.array_join(F.transform("b", block), "").alias("formatted"))
 
