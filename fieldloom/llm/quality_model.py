@@ -32,7 +32,7 @@ from ._common import in_short_batches, stored
 from .quality_rules import _SYMBOL, _WORD, COUNTS, count
 
 #: Rows that the scorers are fitted on at most (expected numbers; picked by hash): weakly labelled ones, and ones with known toxicity.
-TRAIN, KNOWN = 3000, 6000
+TRAIN, KNOWN = 2500, 4000
 #: Sizes of the hashed features' spaces, side by side: the word, its first 4 and 6 bytes, its shape, its repetition.
 SPACES = (1 << 17, 1 << 16, 1 << 16, 1 << 10, 1 << 2)
 FEATURES = sum(SPACES)
@@ -55,9 +55,9 @@ def rates(text: str | None) -> dict[str, tuple[int, ...]]:
     if not n:
         return {"quality": (1000,) * 8, "toxic": (0, 0, 0)}
     text = text or ""
-    found_words = _WORD.findall(text)
-    stutter = sum(map(eq, found_words, islice(found_words, 1, None)))
-    with_symbol = sum(bool(_SYMBOL.search(x)) for x in found_words) if symbols else 0
+    split = _WORD.findall(text)
+    stutter = sum(map(eq, split, islice(split, 1, None)))
+    with_symbol = sum(map(bool, map(_SYMBOL.search, split))) if symbols else 0
     marks = text.count("!") + text.count("|") + text.count("?")
     found = INSULTS.findall(text)
     lewd = sum(bool(INSULTS.search(x)) for x in text.split("\n")) if found else 0
@@ -223,16 +223,17 @@ def _told(docs: DataFrame, labelled: DataFrame, most: int) -> list:
 
 
 def classify(docs: DataFrame, labelled: DataFrame | None = None, train: int = TRAIN, known: int = KNOWN) -> DataFrame:
-    """A row for each of docs (doc_id, text): doc_id, posterior, score, kept (quality), toxic_score, toxic.
+    """A row for each of docs (doc_id, text): doc_id, score, kept (quality), toxic_score, toxic.
 
     labelled (doc_id, toxic), if given, adds a bounded sample of rows with known toxicity, which heuristics of one
-    language miss; quality is learnt from weak labels alone.  posterior is the quality model's belief in the text's own votes, score the hashed scorer's.
+    language miss, and weakly labelled rows then weigh WEAK; quality is learnt from weak labels alone.
+    Texts are read for their votes, for the sample and to be scored; none is shuffled.
     """
-    spark = in_short_batches(docs).sparkSession
+    in_short_batches(docs)
     voted = stored(docs.select(_votes(F.col("text")).alias("v")).groupBy(*[F.col(f"v.{m}").alias(m) for m in HEURISTICS]).agg(F.count("*").alias("n")))
     table = voted.collect()  # 3 to the number of heuristics rows at most
     if not table:
-        return docs.select("doc_id", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"), F.lit(0.0).alias("toxic_score"), F.lit(False).alias("toxic"))
+        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("kept"), F.lit(0.0).alias("toxic_score"), F.lit(False).alias("toxic"))
     total = sum(r.n for r in table)
     share = min(1.0, train / total)
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
@@ -249,7 +250,5 @@ def classify(docs: DataFrame, labelled: DataFrame | None = None, train: int = TR
         told = _told(docs, labelled, known) if m == "toxic" and labelled is not None else []
         worth = np.repeat([WEAK if told else 1.0, 1.0], [len(rows), len(told)])
         weights.append(fit_scorer(rows + told, np.array(y + [1.0 - r.toxic for r in told]), worth))
-    beliefs = spark.createDataFrame([(int(p), float(q)) for p, q in labels["quality"].items()], "votes int, posterior double")
-    scored = docs.select("doc_id", _votes(F.col("text"))["quality"].alias("votes"), _scorer(np.array(weights))(F.col("text")).alias("s"))
-    judged = scored.join(F.broadcast(beliefs), "votes", "left")  # as many rows as vote patterns
-    return judged.select("doc_id", "posterior", F.col("s.quality").alias("score"), (F.col("s.quality") >= 0.5).alias("kept"), (1 - F.col("s.toxic")).alias("toxic_score"), (F.col("s.toxic") < 0.5).alias("toxic"))
+    scored = docs.select("doc_id", _scorer(np.array(weights))(F.col("text")).alias("s"))
+    return scored.select("doc_id", F.col("s.quality").alias("score"), (F.col("s.quality") >= 0.5).alias("kept"), (1 - F.col("s.toxic")).alias("toxic_score"), (F.col("s.toxic") < 0.5).alias("toxic"))
