@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import harmonic, kernel, metrics, networks, quality, simulate, state8, statistics
+from ..operators import harmonic, kernel, metrics, networks, quality, simulate, state8, statistics, studies
 from ..registry import query
 from ..sources.tables import table
 from . import labels, series
@@ -151,3 +151,63 @@ def state8_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def state8_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state8.features(simulate.network_frames(spark, {"s1": SESSION}), profile="network")
+
+
+_PHASE = f"""WITH v AS (SELECT vec_id, {_EIGHT} FROM embeddings), m AS (SELECT avg(x0) AS a, stddev_pop(x0) AS s FROM v)
+SELECT vec_id, round(pi() / 2 * tanh((x0 - a) / CASE WHEN s > 1e-12 THEN s ELSE 1 END / 2), 6) AS angle, round(fmod(fmod(x1 + pi(), 2 * pi()) + 2 * pi(), 2 * pi()) - pi(), 6) AS phase FROM v, m"""
+
+
+@query(_PHASE)
+def phase_direct_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = studies.phase_direct(eight(spark, sf_dir), [f"x{i}" for i in range(8)])
+    return x.select("vec_id", F.round(F.get("x", F.lit(0)), 6).alias("angle"), F.round(F.get("x", F.lit(studies.PHASE)), 6).alias("phase"))
+
+
+_W, _B = studies.frequencies(8, 4, 0.5, 3)
+_COS = ", ".join(f"cos({' + '.join(f'x{i} * ({float(w[i])!r})' for i in range(8))} + {float(b)!r}) * {float(np.sqrt(2 / len(_B)))!r}" for w, b in zip(_W, _B, strict=True))
+
+
+@query(f"WITH v AS (SELECT vec_id, {_EIGHT} FROM embeddings) SELECT vec_id, unnest([0, 1, 2, 3]) AS j, round(unnest([{_COS}]), 6) AS z FROM v")
+def random_fourier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = studies.random_features([F.col(f"x{i}") for i in range(8)], _W, _B)
+    return eight(spark, sf_dir).select("vec_id", F.posexplode(z).alias("j", "z")).withColumn("z", F.round("z", 6))
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """A bank of n rows in seeded order."""
+    return rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
+
+
+@query()
+def sampled_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = angles(spark, sf_dir)
+    return studies.sampled_overlaps(rows, "vec_id", "x", _marks(rows), THETA, 256, 5)
+
+
+@query()
+def positive_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the kernel tells apart best, half of them near each of two prototypes."""
+    rows = angles(spark, sf_dir)
+    prototypes = np.array([r.x for r in _few(rows, 2).collect()])
+    return studies.positive_control(rows, "vec_id", "x", prototypes, THETA, 40)
+
+
+@query()
+def replicated_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank = _few(angles(spark, sf_dir), 120).withColumn("y", F.col("label") % 2)
+    return studies.replicated_study(bank, "x", "y", 4, 17, THETA)
+
+
+@query()
+def permutation_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank = _few(angles(spark, sf_dir), 120).withColumn("y", F.col("label") % 2)
+    return studies.replicated_study(bank, "x", "y", 4, 17, THETA, permute=True)
+
+
+@query()
+def dipole_observability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three networks that look at one dipole: one node, four nodes, four nodes twice as noisy."""
+    places = [[0.0, 0.0, 0.0], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 1.0, 0.4]]
+    rows = [(name, n, [0.5, 0.4, 2.0, 0.3, 0.2, 1.0], [e] * len(n), [1e-3] * 3 + [1e-3] * 3) for name, n, e in (("one", places[:1], 1e-10), ("four", places, 1e-10), ("noisy", places, 2e-10))]
+    nets = spark.createDataFrame(rows, "network string, nodes array<array<double>>, source array<double>, noise array<double>, steps array<double>")
+    return nets.select("network", studies.observability("nodes", "source", "noise", "steps").alias("o")).select("network", "o.*")
