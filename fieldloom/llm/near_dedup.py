@@ -11,7 +11,10 @@ Bands of the signature name buckets.  A bucket never yields its pairs: its
 members are held against two hubs of it, pair by pair exactly (Jaccard of the
 sets of shingles, 32-bit fingerprints).  What that links becomes one component.
 Members of buckets that still hold several components go to finer buckets, of
-twice as many rows, and there meet hubs of other components.  Texts of the same
+twice as many rows, and there meet hubs of other components.  Hubs only reduce:
+the members of the first buckets that hold several components even then are
+joined exactly (_exact_pairs), so a pair that shares a bucket is either in one
+component already or compared, however crowded the bucket.  Texts of the same
 words are one representative from the start, so copies cost one row each.
 
 Result: class_id is the least doc_id among a row's linked rows.  Defined cases:
@@ -38,6 +41,8 @@ M, ROWS = 80, 4
 SIMILAR = 0.8
 #: Finer buckets: so many subsets of 2 * ROWS components.
 FINE = 40
+#: Cells that count how common a fingerprint is, longs of a parity bitmap, rows of a side of a block of pairs.
+CELLS, PARITY, BLOCK = 1 << 20, 8, 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SUBSETS = np.argsort(np.random.default_rng(11).random((FINE, M)), axis=1)[:, : 2 * ROWS]
 _SEQUENCE = np.random.default_rng(5).integers(0, 2**63, 2, dtype=np.uint64)
@@ -163,6 +168,88 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(sizes).filter(_alike("e_a", "e_b")).select("a", "b")
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4") % CELLS, minlength=CELLS)
+    cell = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(counts[cell])], ["cell", "n"])
+
+
+def _common(sets: DataFrame) -> np.ndarray:
+    """How often the fingerprints of each cell occur in sets: CELLS numbers, whatever the input."""
+    made = sets.select("elements").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.uint64)
+    out[made["cell"].to_numpy()] = made["n"].to_numpy()
+    return np.minimum(out, np.uint64(2**31))
+
+
+PREFIX = "rid long, comp long, n int, token int, at int, " + ", ".join(f"p{i} long" for i in range(PARITY))
+
+
+def _prefixes(common: np.ndarray):
+    """The rarest fingerprints of every row, as many as a text of similarity SIMILAR or more can lack, and one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, places, sizes, parities = [], [], [], []
+            for e in batch.column(2):
+                x = np.frombuffer(e.as_buffer(), "<u4")
+                often = common[x % CELLS]
+                first = np.sort((often << np.uint64(32)) | x)[: len(x) - (4 * len(x) + 4) // 5 + 1]
+                at = np.flatnonzero(first >> np.uint64(32) > 1)  # what occurs once leads to no other row
+                bits = (np.bincount((x.astype(np.uint64) * _STEP >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * PARITY) & 1).astype(bool)
+                tokens.append(first[at].astype(np.uint32).view(np.int32))
+                places.append(at.astype(np.int32))
+                sizes.append(len(x))
+                parities.append(np.packbits(bits).view(np.int64))
+            if tokens:
+                row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+                parity = np.stack(parities)[row]
+                left = [batch.column(i).take(pa.array(row)) for i in (0, 1)]
+                arrays = [*left, pa.array(np.array(sizes, np.int32)[row]), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY)]]
+                yield pa.RecordBatch.from_arrays(arrays, ["rid", "comp", "n", "token", "at", *[f"p{i}" for i in range(PARITY)]])
+
+    return run
+
+
+def _exact_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows of different components, among them all with Jaccard similarity SIMILAR (4/5) or more.
+
+    sets: rid, comp, elements.  A prefix join: with fingerprints in one order, the
+    rarest first, the first that two such sets share is among the first
+    n - ceil(4n/5) + 1 of the larger and the first n - ceil(8n/9) + 1 of the
+    smaller.  Sizes, places and the parity bitmaps' differing bits (never more
+    than the sets' differing elements) rule out others by bounds that hold
+    always.  A token's rows meet in blocks of BLOCK by BLOCK.
+    """
+    rows = stored(sets.select("rid", "comp", "elements").mapInArrow(_prefixes(_common(sets)), PREFIX))
+    index = F.col("at") <= F.col("n") - F.floor((8 * F.col("n") + 8) / 9)
+    groups = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(index.cast("long")).alias("small"), F.count("*").alias("all"))
+    cut = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    open_ = stored(groups.filter("low < high and small > 0").select("token", cut("small").alias("is"), cut("all").alias("js")))
+    dealt = stored(rows.join(open_, "token"))
+    place = lambda c: F.pmod(F.xxhash64("rid", F.lit(c)), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("rid", "comp", "n", "at", *[f"p{i}" for i in range(PARITY)])]
+    y = dealt.filter(index).withColumn("i", place("is")).withColumn("j", every("js")).select("token", "i", "j", *part("y"))
+    x = dealt.withColumn("j", place("js")).withColumn("i", every("is")).select("token", "i", "j", *part("x"))
+    both = F.col("n_x") + F.col("n_y")
+    differ = sum((F.bit_count(F.col(f"p{i}_x").bitwiseXOR(F.col(f"p{i}_y"))) for i in range(PARITY)), F.lit(0))
+    ordered = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("rid_y") < F.col("rid_x")))
+    near = (F.col("comp_x") != F.col("comp_y")) & ordered & (5 * F.col("n_y") >= 4 * F.col("n_x"))
+    near &= (9 * F.least(F.col("n_y") - F.col("at_y"), F.col("n_x") - F.col("at_x")) >= 4 * both) & (9 * differ <= both)
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("token", "i", "j")]
+    met = y.alias("l").join(x.alias("r"), [*on, near])
+    return _pairs(met.select(F.col("rid_y").alias("rid"), F.col("rid_x").alias("h")))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rid) of the members of buckets that hold several components."""
+    low = stored(members.join(labels, "rid").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"))
+    return stored(members.join(low, "key").select("rid").distinct())
+
+
 def _buckets(reps: DataFrame, column: str) -> DataFrame:
     """(key, rid) of the buckets with two members or more."""
     rows = reps.select("rid", F.explode(column).alias("key"))
@@ -188,11 +275,13 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     links = stored(_verified(_first_pairs(members), sets))
     labels = components(nodes, links)
 
-    low = stored(members.join(labels, "rid").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"))
-    unsettled = stored(members.join(low, "key").select("rid").distinct())
-    finer = stored(_buckets(near.join(unsettled, "rid", "left_semi").select("rid", "fine"), "fine"))
-    more = stored(_verified(_later_pairs(finer, labels), sets))
-    labels = components(nodes, links.unionAll(more), labels)
+    finer = stored(_buckets(near.join(_open(members, labels), "rid", "left_semi").select("rid", "fine"), "fine"))
+    links = stored(links.unionAll(_verified(_later_pairs(finer, labels), sets)))
+    labels = components(nodes, links, labels)
+
+    unsettled = stored(sets.join(_open(members, labels), "rid").join(labels, "rid"))
+    last = stored(_verified(stored(_exact_pairs(unsettled)), sets))
+    labels = components(nodes, links.unionAll(last), labels)
     reps = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same1", "same2", F.coalesce("comp", "rep").alias("class_rid"))
     rows = stored(worded.select("rid", "doc_id", "same1", "same2").join(reps, ["same1", "same2"]).select("rid", "doc_id", "class_rid"))
     first = stored(rows.groupBy("class_rid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first")))

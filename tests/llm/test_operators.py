@@ -163,6 +163,38 @@ def test_near_dedup_equals_all_pairs(spark, texts):
     assert {i for i, r in got.items() if r.is_kept} == {find(i) for i in sets}
 
 
+def crowd(n=4000, slots=120, changed=17, kept=11):
+    """Texts of one form with words changed in some slots, at about 0.6 to each other; every 50th has a partner at 0.82.
+
+    All of a text's shingles occur in hundreds of others.  Returns rows and, for each, its slots.
+    """
+    rng = np.random.default_rng(8)
+    own = np.zeros((n + n // 50, slots), np.int64)
+    for i in range(n):
+        own[i, rng.choice(slots, changed, replace=False)] = 1
+    for k in range(n // 50):
+        had = np.flatnonzero(own[50 * k])
+        own[n + k, rng.choice(had, kept, replace=False)] = 1
+        own[n + k, rng.choice(np.flatnonzero(own[50 * k] == 0), changed - kept, replace=False)] = 1
+    return [(i, " ".join(f"{'alt' if x else 'std'}{j} a{j} b{j} c{j} d{j}" for j, x in enumerate(o))) for i, o in enumerate(own)], own
+
+
+def test_near_dedup_finds_pairs_in_a_crowd(spark):
+    rows, own = crowd()
+    differ = own.sum(1)[:, None] + own.sum(1)[None, :] - 2 * (own @ own.T)
+    a, b = shingle_set(rows[0][1]), shingle_set(rows[4000][1])
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    # A changed slot changes 5 shingles, but the first slot one: texts that differ there are held against each other as sets.
+    alike = [(i, j) for i, j in np.argwhere(np.triu(differ <= 14, 1)).tolist() if len((p := shingle_set(rows[i][1])) & (q := shingle_set(rows[j][1]))) >= 0.8 * len(p | q)]
+    for i, j in alike:
+        x, y = sorted((find(i), find(j)))
+        root[y] = x
+    assert len(a & b) >= 0.8 * len(a | b) and 80 <= len(alike) < 1000
+    out = {r.doc_id: r.class_id for r in near_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: find(i) for i, _ in rows}
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 300, dtype=np.uint64)
