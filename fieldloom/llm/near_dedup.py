@@ -1,10 +1,11 @@
 """Near-duplicates by probability MinHash, banding and exact verification.
 
-Each text is the multiset of its five-word shingles.  ProbMinHash turns the
-weights (how often a shingle occurs) into a signature whose share of equal
-components estimates the probability Jaccard similarity: each shingle gets the
-arrivals of a Poisson process with its weight as rate, each arrival falls on one
-of M components, a component keeps its earliest.  Arrivals later than the latest
+Each text is the set of its five-word shingles.  ProbMinHash turns weights into
+a signature whose share of equal components estimates the probability Jaccard
+similarity; all weights are 1 here, which makes that the Jaccard similarity of
+the sets, the one that is verified, however often a line is repeated.  Each
+shingle gets the arrivals of a Poisson process with its weight as rate, each
+arrival falls on one of M components, a component keeps its earliest.  Arrivals later than the latest
 kept one can't count any more, which ends a shingle's process early.
 
 Bands of the signature name buckets.  A bucket never yields its pairs: its
@@ -83,8 +84,8 @@ def _sketch(column: pa.Array) -> pa.StructArray:
                 for k in rows:
                     rows[k].append(None)
                 continue
-            elements, weights = np.unique(words.shingles(hashed), return_counts=True)
-            kept = signature(elements, weights)
+            elements = np.unique(words.shingles(hashed))
+            kept = signature(elements, np.ones(len(elements)))  # the set's, as in the verdict: counts don't matter
             place = np.arange(1, len(hashed) + 1, dtype=np.uint64)
             same = [int(words.mix64((hashed * (words.mix64(place * s) | np.uint64(1))).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(hashed))).view(np.int64)[0]) for s in _SEQUENCE]
             coarse = words.mix64(words.combine(kept.reshape(-1, ROWS), 1) + np.arange(M // ROWS, dtype=np.uint64) * _STEP)

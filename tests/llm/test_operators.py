@@ -195,6 +195,15 @@ def test_near_dedup_finds_pairs_in_a_crowd(spark):
     assert out == {i: find(i) for i, _ in rows}
 
 
+def test_near_dedup_counts_repeated_lines_once(spark):
+    """Pairs that differ by one line, repeated often: alike as sets (0.93), not as counts."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(204))
+    line = lambda i: "\n" + " ".join(f"l{i}x{j}" for j in range(10))
+    rows = [(i, text(i)) for i in range(100)] + [(1000 + i, text(i) + 40 * line(i)) for i in range(100)]
+    out = {r.doc_id: r.class_id for r in near_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: i % 1000 for i, _ in rows}
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 300, dtype=np.uint64)
