@@ -6,8 +6,9 @@ pieces in order.  Each distinct piece goes to the library once while the table
 holds it.  Where a cut could change a token (a space inside longer white space,
 special-token strings) the whole text goes to the library instead.
 
-The table knows a piece by a 64-bit hash of its bytes: with MOST pieces, a
-piece that is new to it meets a foreign hash with a chance of 2e-13.
+The table finds a piece by a 64-bit hash and holds its bytes, which are compared
+on every hit: a text with a piece that only shares another's hash goes to the
+library whole, so ids never depend on hashes.
 """
 
 from __future__ import annotations
@@ -26,11 +27,20 @@ _INNER = re.compile(r"\s (?:\s|\Z)")
 _ENDS, _BEGINS = np.zeros(256, bool), np.zeros(256, bool)
 _ENDS[[*range(9, 14), *range(28, 33), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 _BEGINS[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
-#: Pieces that the table holds at most, and bytes of text encoded at once.
-MOST, GROUP = 1_500_000, 4 << 20
+#: Pieces and their bytes that the table holds at most, and bytes of text encoded at once.
+MOST, MOST_BYTES, GROUP = 1_500_000, 64 << 20, 4 << 20
 _FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
+def _append(pool: np.ndarray, used: int, new: np.ndarray, sizes: np.ndarray, spare: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The pool, grown to hold new behind its `used` first, and where each of the runs of `sizes` begins."""
+    total = used + len(new)
+    if total + spare > len(pool):
+        pool = np.concatenate([pool[:used], np.zeros(max(total + spare, 2 * len(pool)) - used, pool.dtype)])
+    pool[used:total] = new
+    return pool, used + np.cumsum(sizes) - sizes
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,25 +52,29 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.begin = self.count = np.zeros(0, np.int32)
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by key; the rest by slot
+        self.begin = self.count = self.place = self.size = np.zeros(0, np.int32)
+        self.first = np.zeros(0, bool)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.raw, self.held = np.zeros(1 << 16, np.uint8), 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = self._library(texts)
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], first: np.ndarray) -> None:
+        found = self._library([(" " if self.keeps_space and not f else "") + x.decode() for x, f in zip(pieces, first.tolist(), strict=True)])
         count = np.fromiter(map(len, found), np.int64, len(found))
-        total = self.used + int(count.sum())
-        if total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, 2 * len(self.pool)) - self.used, np.uint32)])
-        self.pool[self.used : total] = np.fromiter((i for ids in found for i in ids), np.uint32, total - self.used)
-        begin = (self.used + np.cumsum(count) - count).astype(np.int32)
-        self.used = total
+        self.pool, begin = _append(self.pool, self.used, np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum())), count)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.raw, place = _append(self.raw, self.held, np.frombuffer(b"".join(pieces), np.uint8), size, 8)
+        self.used, self.held = self.used + int(count.sum()), self.held + int(size.sum())
+        slots = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
+        for name, new in (("begin", begin), ("count", count), ("place", place), ("size", size), ("first", first)):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old, new.astype(old.dtype)]))
         both = np.concatenate([self.keys, keys])
         order = np.argsort(both, kind="stable")
-        self.keys, self.begin, self.count = both[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count.astype(np.int32)])[order]
+        self.keys, self.slot = both[order], np.concatenate([self.slot, slots])[order]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column's rows (null: none) in order, and the offset of each row in them."""
@@ -101,28 +115,31 @@ class Encoder:
         if len(direct):
             own = ~np.isin(owner, direct)
             starts, ends, owner = starts[own], ends[own], owner[own]
-        keys = np.empty(len(starts), np.uint64)
-        cuts = np.searchsorted(owner, np.arange(n + 1))
-        for a, b in words.parts(offsets):
-            one = slice(cuts[a], cuts[b])
-            keys[one] = words.hashes(data[offsets[a] : offsets[b]], starts[one] - offsets[a], ends[one] - offsets[a])
-        if self.keeps_space and len(keys):  # nothing leads the first piece of a row
-            keys[np.flatnonzero(np.diff(owner, prepend=-1))] ^= _FIRST
+        first, size, own = np.diff(owner, prepend=-1) != 0, ends - starts, words.Bytes(data)
+        if not self.keeps_space:  # a space is dropped, so it makes no difference
+            first = np.zeros(len(starts), bool)
+        keys = own.hashes(starts, ends) ^ np.where(first, _FIRST, np.uint64(0))
         unique, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, unique)
         lacks = np.ones(len(unique), bool)
         inside = at < len(self.keys)
         lacks[inside] = self.keys[at[inside]] != unique[inside]
         if lacks.any():
-            if len(self.keys) + int(lacks.sum()) > MOST:
+            if len(self.keys) + int(lacks.sum()) > MOST or self.held + int(size[where[lacks]].sum()) > MOST_BYTES:
                 self._forget()
                 lacks[:] = True
-            raw, first = data.tobytes(), np.diff(owner, prepend=-1) != 0
-            new = where[lacks]
-            lead = [" " if self.keeps_space and not x else "" for x in first[new]]
-            self._learn(unique[lacks], [x + raw[s:e].decode() for x, s, e in zip(lead, starts[new].tolist(), ends[new].tolist(), strict=True)])
+            raw, new = data.tobytes(), where[lacks]
+            self._learn(unique[lacks], [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], first[new])
             at = np.searchsorted(self.keys, unique)
-        begin, count = self.begin[at][inverse], self.count[at][inverse]
+        slot = self.slot[at][inverse]
+        known = (self.size[slot] == size) & (self.first[slot] == first)
+        hit = np.flatnonzero(known)
+        known[hit] = own.equal(starts[hit], words.Bytes(self.raw, True), self.place[slot[hit]], size[hit])
+        begin, count = self.begin[slot], self.count[slot]
+        if not known.all():  # a foreign piece of the same hash
+            odd = np.unique(owner[~known])
+            count = np.where(np.isin(owner, odd), 0, count)
+            direct = np.union1d(direct, odd)
         stop = np.cumsum(count, dtype=np.int64)
         ids = self.pool[np.repeat(begin - stop + count, count) + np.arange(stop[-1] if len(stop) else 0)]
         counts = np.bincount(owner, weights=count, minlength=n).astype(np.int64)

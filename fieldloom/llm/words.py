@@ -6,14 +6,18 @@ whole batch come from a few array passes, so no Python string is made.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(20240601).integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x2545F4914F6CDD1D
+#: What is left of eight bytes when so many of them belong to a span.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans longer than so many bytes are hashed one by one.
+LONG = 64
 #: Bytes handled at once; a longer text is a part of its own.
 PART = 1 << 20
 SHINGLE = 5
@@ -28,24 +32,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def need(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, PART)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-
-_POWERS = _Powers()
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,17 +68,49 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(solid & ~after) + 1, np.searchsorted(starts, offsets)
 
 
-def hasher(data: np.ndarray):
-    """A function (starts, ends) to 64-bit hashes of those spans of data, from one prefix sum of a polynomial over its bytes."""
-    _POWERS.need(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _POWERS.up[: len(data)], out=total[1:])
-    return lambda starts, ends: mix64((total[ends] - total[starts]) * _POWERS.down[starts] + (ends - starts).astype(np.uint64))
+class Bytes:
+    """Spans of a byte buffer, eight bytes at a time.  spare: data has eight bytes more than it uses."""
+
+    def __init__(self, data: np.ndarray, spare: bool = False) -> None:
+        self.data = data
+        if not spare:
+            data = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+    def chunk(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The bytes from `at` on as integers, of which `left` (8 at most count) belong to the span."""
+        return self.eight[at] & _LEFT[np.minimum(left, 8)]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each span, chained over its chunks by a finaliser, which is no sum that texts could cancel."""
+        size = ends - starts
+        out = mix64(size.astype(np.uint64))
+        which, at = np.flatnonzero(size <= LONG), 0
+        while len(which):
+            out[which] = mix64(out[which] ^ self.chunk(starts[which] + at, size[which] - at))
+            at += 8
+            which = which[size[which] > at]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
+
+    def equal(self, starts: np.ndarray, other: Bytes, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether spans of `size` bytes here and in the other buffer are the same bytes."""
+        out = np.ones(len(starts), bool)
+        which, at = np.flatnonzero(size <= LONG), 0
+        while len(which):
+            left = size[which] - at
+            out[which] &= self.chunk(starts[which] + at, left) == other.chunk(others[which] + at, left)
+            at += 8
+            which = which[size[which] > at]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = np.array_equal(self.data[starts[i] : starts[i] + size[i]], other.data[others[i] : others[i] + size[i]])
+        return out
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word."""
-    return hasher(data)(starts, ends)
+    return Bytes(data).hashes(starts, ends)
 
 
 def word_hashes(column: pa.Array):
