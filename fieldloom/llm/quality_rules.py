@@ -1,14 +1,25 @@
 """Quality rules with thresholds that each language and source sets itself.
 
-Every text gets whole-text counts in one Arrow pass.  Their rates go, as
-integers, into a mergeable quantile sketch per (lang, source, rate): buckets of
-a logarithmic-linear scale with counts, so sketches of any two parts of the
-corpus add up bucket by bucket (an ordinary partial aggregation).  Quartiles
-read from the sketches give each group its fences, which join back to the rows.
+Every text gets whole-text counts in one Arrow pass.  The rates of the texts
+that pass the base rules go, as integers, into a mergeable quantile sketch per
+(lang, source, rate): buckets of a logarithmic-linear scale with counts, so
+sketches of any two parts of the corpus add up bucket by bucket (an ordinary
+partial aggregation).  A fence is
+
+    median + factor * (upper quantile - median)
+
+with quantiles read from the group's sketch and from its language's, which
+weighs as much as PRIOR texts: a small group leans on its language, a large one
+stands alone, and no size switches between them.  RULES has the quantile and the
+factor of each rate, which have no unit; no limit in a rate's own unit exists.
+The fences join back to the rows.
+
+Rates are in thousandths; a lone symbol, repeated line or upper-case word is no
+rate yet, so those counts are less by one.
 
 Defined cases: null text counts as empty (base rules fail it); null lang or
-source is a group of its own; a group of fewer than `least` texts takes its
-language's fences; every row gives one row, repeated or not.
+source is a group of its own; every row gives one row, repeated or not; no column
+of the input is lost whatever its name.
 """
 
 from __future__ import annotations
@@ -22,16 +33,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD, fresh, in_short_batches, small, stored
+from ._common import WORD, fresh, lasting, small, stored, temporary
 
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 COUNTS = T.StructType([T.StructField(n, T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")])
-#: Rates in thousandths that have an upper fence, each with the least distance of that fence from the median.
-RATES = {"symbols": 150, "dup_lines": 500, "repeats": 400, "upper": 200, "word_length": 3000}
-FENCE = 4.0
-LEAST = 200
-#: Buckets to each power of two: a quantile is off by 1/32 at most.
-STEPS = 32
+#: Rates with an upper fence: the upper quantile in hundredths, and how often its distance from the median fits below the fence.
+RULES = {"symbols": (75, 4), "dup_lines": (99, 4), "repeats": (99, 4), "upper": (99, 4), "word_length": (75, 12)}
+#: Texts that a language's sketch weighs as much as.
+PRIOR = 500
+#: Buckets to each power of two: a quantile is off by 1/512 at most, finer than the spread of mean word lengths.
+STEPS = 512
 
 
 def count(text: str | None) -> tuple[int, ...]:
@@ -65,8 +76,13 @@ def _counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def _rates(c: str) -> dict[str, F.Column]:
     """Integers in thousandths; 0 for texts without words."""
-    part = lambda a, b: F.coalesce(F.expr(f"{c}.{a} * 1000L div nullif({c}.{b}, 0L)"), F.lit(0).cast("long"))
-    return {"symbols": part("n_symbols", "n_words"), "dup_lines": part("n_dup_lines", "n_lines"), "repeats": part("n_repeat_words", "n_words"), "upper": part("n_upper", "n_words"), "word_length": part("word_chars", "n_words")}
+    part = lambda a, b, lone=0: F.coalesce(F.expr(f"greatest({c}.{a} - {lone}L, 0L) * 1000L div nullif({c}.{b}, 0L)"), F.lit(0).cast("long"))
+    return {"symbols": part("n_symbols", "n_words", 1), "dup_lines": part("n_dup_lines", "n_lines", 1), "repeats": part("n_repeat_words", "n_words"), "upper": part("n_upper", "n_words", 1), "word_length": part("word_chars", "n_words")}
+
+
+def base_failed(c: str) -> F.Column:
+    words, repeats = F.col(f"{c}.n_words"), F.col(f"{c}.n_repeat_words")
+    return (words < 50) | (100 * repeats > 50 * words)
 
 
 def bucket(x: F.Column) -> F.Column:
@@ -88,35 +104,43 @@ def sketch(counted: DataFrame, keys: list[str], column: str) -> DataFrame:
     return counted.select(*keys, F.explode(rates).alias("r")).groupBy(*keys, "r.rate", "r.bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketched: DataFrame, keys: list[str]) -> DataFrame:
-    """Total and quartiles of each sketch.  A window holds one sketch: some hundred buckets, whatever the corpus."""
+def _of_rate(n: int) -> F.Column:
+    return F.element_at(F.create_map(*[F.lit(x) for rate, rule in RULES.items() for x in (rate, rule[n])]), F.col("rate"))
+
+
+def quantiles(sketched: DataFrame, keys: list[str]) -> DataFrame:
+    """Total, median and the rate's upper quantile of each sketch.  A window holds one sketch: some thousand buckets at most, whatever the corpus."""
     group = [*keys, "rate"]
     summed = sketched.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
     order = Window.partitionBy(*group).orderBy("bucket")
     upto = summed.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value(F.col("bucket"))))
-    return upto.groupBy(*group).agg(F.max("total").alias("total"), *[at(q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= q * F.col("total"), value(F.col("bucket"))))
+    return upto.groupBy(*group).agg(F.max("total").alias("total"), at(F.lit(50)).alias("mid"), at(_of_rate(0)).alias("high"))
+
 
+def fences(counted: DataFrame, column: str, lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
+    """One row per (lang, source) with an upper fence for every rate."""
+    rows = counted.filter(~base_failed(column)).select(F.col(lang).alias("l"), F.col(source).alias("s"), F.col(column).alias("c"))
+    with temporary(counted.sparkSession):
+        return lasting(_fences(stored(sketch(rows, ["l", "s"], "c")), prior))
 
-def fences(counted: DataFrame, column: str, lang: str = "lang", source: str = "source", least: int = LEAST) -> DataFrame:
-    """One row per (lang, source) with an upper fence for every rate; small groups take their language's."""
-    fine = sketch(counted.select(lang, source, column), [lang, source], column)
-    fine = stored(fine)
-    high = F.col("q50") + F.greatest(FENCE * (F.col("q75") - F.col("q25")), F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv])[F.col("rate")]).cast("double")
-    own = quartiles(fine, [lang, source]).withColumn("own", high)
-    broad = quartiles(fine.drop(source), [lang]).select(F.col(lang).alias("_l"), F.col("rate").alias("_r"), high.alias("broad"))
-    joined = own.join(broad, own[lang].eqNullSafe(broad["_l"]) & (own["rate"] == broad["_r"]))
-    fence = F.when(F.col("total") >= least, F.col("own")).otherwise(F.col("broad"))
-    return joined.groupBy(lang, source).agg(*[F.max(F.when(F.col("rate") == r, fence)).alias(f"max_{r}") for r in RATES])
+
+def _fences(fine: DataFrame, prior: int) -> DataFrame:
+    own = quantiles(fine, ["l", "s"])
+    broad = quantiles(fine.drop("s"), ["l"]).select(F.col("l").alias("of"), F.col("rate").alias("by"), F.col("mid").alias("mid_l"), F.col("high").alias("high_l"))
+    joined = own.join(broad, F.col("l").eqNullSafe(F.col("of")) & (F.col("rate") == F.col("by")))
+    shrunk = lambda q: (F.col("total") * F.col(q) + prior * F.col(f"{q}_l")) / (F.col("total") + prior)
+    fenced = joined.withColumn("fence", shrunk("mid") + _of_rate(1) * (shrunk("high") - shrunk("mid")))
+    return fenced.groupBy("l", "s").agg(*[F.max(F.when(F.col("rate") == r, F.col("fence"))).alias(f"max_{r}") for r in RULES])
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """docs' columns and one struct `quality`: counts, base_failed, kept.
+    """docs' columns and one struct `quality` (with as many _ before it as its name needs to be new): counts, base_failed, kept.
 
-    The text is read twice (thresholds, then rows) and never shuffled.
+    The text is read twice (thresholds, then rows) and never shuffled or written.
     """
     c, q = fresh(docs, "counts"), fresh(docs, "quality")
-    counted = in_short_batches(docs).withColumn(c, _counts(F.col(text)))
+    counted = docs.withColumn(c, _counts(F.col(text)))
     return decide(counted, fences(counted, c, lang, source), c, q, lang, source)
 
 
@@ -125,19 +149,18 @@ def decide(counted: DataFrame, limits: DataFrame, c: str, q: str, lang: str = "l
 
     Rows with texts are not shuffled for it while there are few groups.
     """
-    own = small(stored(limits)).select(F.col(lang).alias("_fl"), F.col(source).alias("_fs"), F.struct(*[F.col(f"max_{r}") for r in RATES]).alias("_fence"))
-    joined = counted.join(own, counted[lang].eqNullSafe(own["_fl"]) & counted[source].eqNullSafe(own["_fs"]), "left")
-    words, repeats = F.col(f"{c}.n_words"), F.col(f"{c}.n_repeat_words")
-    base = (words < 50) | (100 * repeats > 50 * words)
+    l, s, fence = (fresh(counted, n) for n in ("fence_l", "fence_s", "fence"))  # noqa: E741
+    own = small(limits).select(F.col("l").alias(l), F.col("s").alias(s), F.struct(*[F.col(f"max_{r}") for r in RULES]).alias(fence))
+    joined = counted.join(own, counted[lang].eqNullSafe(own[l]) & counted[source].eqNullSafe(own[s]), "left")
     inside = F.lit(True)
     for rate, x in _rates(c).items():
-        inside &= F.coalesce(x <= F.col(f"_fence.max_{rate}"), F.lit(True))
-    out = joined.withColumn(q, F.struct(*[F.col(f"{c}.{n}") for n in COUNTS.names], base.alias("base_failed"), (~base & inside).alias("kept")))
-    return out.drop("_fl", "_fs", "_fence", c)
+        inside &= F.coalesce(x <= F.col(f"{fence}.max_{rate}"), F.lit(True))
+    out = joined.withColumn(q, F.struct(*[F.col(f"{c}.{n}") for n in COUNTS.names], base_failed(c).alias("base_failed"), (~base_failed(c) & inside).alias("kept")))
+    return out.drop(l, s, fence, c)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id with the counts and the verdict, for every row; the text is read once."""
-    counted = stored(in_short_batches(docs).select("doc_id", "lang", "source", _counts(F.col("text")).alias("counts")))
+    counted = stored(docs.select("doc_id", "lang", "source", _counts(F.col("text")).alias("counts")))
     judged = decide(counted, fences(counted, "counts"), "counts", "quality")
     return judged.select("doc_id", *[F.col(f"quality.{n}") for n in COUNTS.names], "quality.base_failed", "quality.kept")
