@@ -10,6 +10,9 @@ where <+> parts merged turns.  Texts and roles are escaped reversibly: the
 backslash, '<', '[' and the line end become a backslash and a letter, so no
 control string inside a text stays one, and reading back is exact.
 
+The loss mask is an array of (start, end), code points of the formatted string:
+the escaped text of each assistant turn, without marks.
+
 Defined cases: null or absent text is empty; null role is empty and like any
 other role; turns order by (turn, role, text), null turn first; repeated rows
 are turns of their own; a null conv_id is a conversation.
@@ -20,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import whole
+from ._common import let, running, whole
 
 OPEN, ROLE_END, JOIN, CLOSE = "<s>[ROLE] ", "\n", "<+>", "</s>"
+#: The role whose texts are under the loss mask; code points of a chunk.
+LEARNT, CHUNK = "assistant", 4096
 #: Escaped text has no '<', so each of these is a mark.
 _BLOCK, _TURN = r"</s>", r"<\+>"
 
@@ -62,11 +67,36 @@ def blocks(sorted_turns: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted: one string for each conversation of (conv_id, turn, role, text)."""
+    """conv_id, formatted, loss_mask: one string for each conversation of (conv_id, turn, role, text), and the spans to learn from."""
     row = F.struct(F.col("turn").alias("turn"), whole("role").alias("role"), whole("text").alias("text"))
     merged = blocks(turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t")))
-    block = lambda b: F.concat(F.lit(OPEN), escape(b["role"]), F.lit(ROLE_END), F.array_join(F.transform(b["texts"], escape), JOIN), F.lit(CLOSE))
-    return merged.select("conv_id", F.array_join(F.transform("b", block), "").alias("formatted"))
+    held = merged.select("conv_id", F.transform("b", lambda b: F.struct((b["role"] == LEARNT).alias("learnt"), F.concat(F.lit(OPEN), escape(b["role"]), F.lit(ROLE_END)).alias("head"), F.transform(b["texts"], escape).alias("texts"))).alias("b"))
+    block = lambda b: F.concat(b["head"], F.array_join(b["texts"], JOIN), F.lit(CLOSE))
+    # For each turn what lies before it (a head or a joint), its length, and what closes its block.
+    long_ = lambda x: F.char_length(x).cast("long")
+    parts = F.flatten(F.transform("b", lambda b: F.transform(b["texts"], lambda t, i: F.struct(b["learnt"].alias("learnt"), F.when(i == 0, long_(b["head"])).otherwise(len(JOIN)).alias("lead"), long_(t).alias("size"), F.when(i == F.size(b["texts"]) - 1, len(CLOSE)).otherwise(0).alias("tail")))))
+
+    def spans(p: F.Column) -> F.Column:
+        before = running(F.transform(p, lambda x: x["lead"] + x["size"] + x["tail"]))
+        every = F.zip_with(p, before, lambda x, a: F.struct(x["learnt"].alias("learnt"), (a + x["lead"]).alias("start"), (a + x["lead"] + x["size"]).alias("end")))
+        return F.transform(F.filter(every, lambda x: x["learnt"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+    return held.select("conv_id", F.array_join(F.transform("b", block), "").alias("formatted"), let(parts, spans).alias("loss_mask"))
+
+
+def under(mask: F.Column, formatted: F.Column) -> F.Column:
+    """array<string> of what the spans cut from the formatted string, unescaped.
+
+    Spark finds a code point by counting from the string's start, so cuts are made in chunks.
+    """
+    chunks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def cut(c: F.Column, s: F.Column) -> F.Column:
+        first, last = F.floor(s["start"] / CHUNK), F.floor(s["end"] / CHUNK)
+        near = F.array_join(F.slice(c, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return unescape(F.substring(near, (s["start"] - first * CHUNK + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+    return let(chunks, lambda c: F.transform(mask, lambda s: cut(c, s)))
 
 
 def read_back(formatted: F.Column) -> F.Column:
@@ -84,17 +114,17 @@ def read_back(formatted: F.Column) -> F.Column:
 
 def digests(chats: DataFrame) -> DataFrame:
     """What the formatted strings say, read back from them."""
-    read = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("b"))
+    masked = F.array_join(under(F.col("loss_mask"), F.col("formatted")), "")
+    read = chats.select("conv_id", "formatted", masked.alias("loss"), read_back(F.col("formatted")).alias("b"))
     turns = F.flatten(F.transform("b", lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), t.alias("text")))))
-    read = read.select("conv_id", "formatted", F.size("b").cast("long").alias("n_blocks"), turns.alias("t"))
+    read = read.select("conv_id", "formatted", "loss", F.size("b").cast("long").alias("n_blocks"), turns.alias("t"))
     every = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("t", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return read.select(
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),
         "n_blocks",
         F.sha2(every.cast("binary"), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
