@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from ._common import fresh, in_short_batches, stored
+from ._common import fresh, lasting, stored, temporary
 
 M, ROWS = 80, 4
 SIMILAR = 0.8
@@ -263,30 +263,31 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
 
     rid numbers the rows as Spark reads docs; keeper marks one row of each class.
     """
-    numbered = in_short_batches(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text))
-    sketches = stored(numbered.mapInArrow(_sketches, f"rid long, doc_id long, {SKETCH}"))
-    worded = sketches.filter("n_set is not null")
-    same = stored(worded.groupBy("same1", "same2").agg(F.min("rid").alias("rep")))
-    own = worded.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n_set", "coarse", "fine", "elements")
-
-    members = stored(_buckets(own.select("rid", "coarse"), "coarse"))
-    nodes = stored(members.select("rid").distinct())
-    near = stored(own.join(nodes, "rid", "left_semi"))  # from here on only rows that share a bucket
-    sets = near.select("rid", "n_set", "elements")
-    links = stored(_verified(_first_pairs(members), sets))
-    labels = components(nodes, links)
-
-    finer = stored(_buckets(near.join(_open(members, labels), "rid", "left_semi").select("rid", "fine"), "fine"))
-    links = stored(links.unionAll(_verified(_later_pairs(finer, labels), sets)))
-    labels = components(nodes, links, labels)
-
-    unsettled = stored(sets.join(_open(members, labels), "rid").join(labels, "rid"))
-    last = stored(_verified(stored(_exact_pairs(unsettled)), sets))
-    labels = components(nodes, links.unionAll(last), labels)
-    reps = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same1", "same2", F.coalesce("comp", "rep").alias("class_rid"))
-    rows = stored(worded.select("rid", "doc_id", "same1", "same2").join(reps, ["same1", "same2"]).select("rid", "doc_id", "class_rid"))
-    first = stored(rows.groupBy("class_rid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first")))
-    return rows.join(first, "class_rid").select("rid", "doc_id", "class_rid", F.col("first.doc_id").alias("class_id"), (F.col("rid") == F.col("first.rid")).alias("keeper"))
+    with temporary(docs.sparkSession):
+        numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text))
+        sketches = stored(numbered.mapInArrow(_sketches, f"rid long, doc_id long, {SKETCH}"))
+        worded = sketches.filter("n_set is not null")
+        same = stored(worded.groupBy("same1", "same2").agg(F.min("rid").alias("rep")))
+        own = worded.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n_set", "coarse", "fine", "elements")
+
+        members = stored(_buckets(own.select("rid", "coarse"), "coarse"))
+        nodes = stored(members.select("rid").distinct())
+        near = stored(own.join(nodes, "rid", "left_semi"))  # from here on only rows that share a bucket
+        sets = near.select("rid", "n_set", "elements")
+        links = stored(_verified(_first_pairs(members), sets))
+        labels = components(nodes, links)
+
+        finer = stored(_buckets(near.join(_open(members, labels), "rid", "left_semi").select("rid", "fine"), "fine"))
+        links = stored(links.unionAll(_verified(_later_pairs(finer, labels), sets)))
+        labels = components(nodes, links, labels)
+
+        unsettled = stored(sets.join(_open(members, labels), "rid").join(labels, "rid"))
+        last = stored(_verified(stored(_exact_pairs(unsettled)), sets))
+        labels = components(nodes, links.unionAll(last), labels)
+        reps = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same1", "same2", F.coalesce("comp", "rep").alias("class_rid"))
+        rows = stored(worded.select("rid", "doc_id", "same1", "same2").join(reps, ["same1", "same2"]).select("rid", "doc_id", "class_rid"))
+        first = stored(rows.groupBy("class_rid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first")))
+        return lasting(rows.join(first, "class_rid").select("rid", "doc_id", "class_rid", F.col("first.doc_id").alias("class_id"), (F.col("rid") == F.col("first.rid")).alias("keeper")))
 
 
 def report(docs: DataFrame) -> DataFrame:
