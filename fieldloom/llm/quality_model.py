@@ -1,16 +1,19 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristics vote bad, good or abstain on every text, once for quality
-and once for toxicity.
-Expectation-maximisation estimates each one's accuracy from how votes agree, on
-counts of vote patterns over all documents (at most 3 to the number of
-heuristics, whatever the corpus).  The posteriors label a bounded sample of rows
-(TRAIN), on which a linear scorer over hashed word features is fitted for each;
-they then score every whole text.
+and once for toxicity; where labels are given, the annotator is one more labeller
+of toxicity, who abstains on all other texts.  Expectation-maximisation estimates
+each one's accuracy from how votes agree, on counts of vote patterns over all
+documents (at most 3 to the number of labellers, whatever the corpus).  The
+posteriors label a bounded sample of rows (TRAIN, and KNOWN annotated ones), on
+which a linear scorer over hashed word features is fitted for each; they then
+score every whole text.
 
 Defined cases: null text is empty; a text without words scores 0; no bad votes
 anywhere give posteriors near the prior; with nothing to train on every text
-with words is scored by the prior; repeated rows are rows of their own.
+with words is scored by the prior; repeated rows are rows of their own; a null
+label abstains, and so do labels of one id that disagree; other columns of docs
+and labels are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from ._common import in_short_batches, stored
+from ._common import stored, temporary
 from .quality_rules import _SYMBOL, _WORD, COUNTS, count
 
 #: Rows that the scorers are fitted on at most (expected numbers; picked by hash): weakly labelled ones, and ones with known toxicity.
@@ -36,15 +39,24 @@ TRAIN, KNOWN = 2500, 4000
 #: Sizes of the hashed features' spaces, side by side: the word, its first 4 and 6 bytes, its shape, its repetition.
 SPACES = (1 << 17, 1 << 16, 1 << 16, 1 << 10, 1 << 2)
 FEATURES = sum(SPACES)
-#: What a weakly labelled row weighs where rows with known labels are given.
-WEAK = 0.2
-#: Abuse, a heuristic matter of the second model.
-INSULTS = re.compile(r"\b(?:idiot|moron|stupid|pathetic|worthless|clown|loser|trash|scum|disgusting)s?\b", re.IGNORECASE)
+#: What a row without an annotator's vote weighs where there are annotated ones.
+WEAK = 0.05
+#: Abuse in the languages of the tables, a heuristic matter of the second model, and who is spoken to.
+INSULTS = re.compile(
+    r"\b(?:(?:idiot|moron|loser|imbecile|clown|trash|scum|fool|coward|liar|parasite|freak|degenerate|vermin)s?|stupid|pathetic|worthless|disgusting|dumb|garbage|filth|"
+    r"(?:idiote|imbécile|crétin|débile|abruti|salaud|ordure|minable|dégoûtant|pourriture|raclure|menteur|lâche|parasite)s?|pathétique|stupide|"
+    r"idioten|dumm(?:e[rs]?|kopf)?|trottel|abschaum|versager|arschloch|dreck|erbärmlich(?:e[rs]?)?|widerlich(?:e[rs]?)?|wertlos(?:e[rs]?)?|lügner|feigling|parasiten|müll|"
+    r"(?:idiota|imbécil|estúpid[oa]|patétic[oa]|asqueros[oa]|inútil|basura|escoria|mentiros[oa]|cobarde|payas[oa]|parásito)(?:e?s)?)\b",
+    re.IGNORECASE,
+)
+SPOKEN = re.compile(r"\b(?:you|your|u|du|dich|dein|ihr|euch|tu|toi|vous|votre|tú|eres|ustedes|vosotros|sois)\b", re.IGNORECASE)
 #: For each model, name: (good up to, bad from), in thousandths of words or lines unless said.
 HEURISTICS = {
     "quality": {"symbols": (20, 200), "symbol_words": (20, 200), "dup_lines": (100, 500), "repeats": (200, 600), "stutter": (30, 200), "upper": (100, 400), "long_words": (9000, 14000), "marks": (30, 300)},
-    "toxic": {"insults": (0, 3), "distinct_insults": (0, 2), "insulting_lines": (0, 100)},
+    "toxic": {"insults": (0, 3), "distinct_insults": (0, 2), "insulting_lines": (0, 100), "addressed": (0, 1)},
 }
+#: How often an annotator errs.
+SLIP = 0.001
 #: P(vote | class) for votes bad, abstain, good where EM starts: a good text, a text with this heuristic's fault, with another.
 GOOD, FAULT, OTHER = np.array([0.005, 0.05, 0.945]), np.array([0.8, 0.1, 0.1]), np.array([0.2, 0.1, 0.7])
 
@@ -53,17 +65,18 @@ def rates(text: str | None) -> dict[str, tuple[int, ...]]:
     """The heuristics' rates of one whole text."""
     n, chars, symbols, dups, repeats, lines, upper = count(text)
     if not n:
-        return {"quality": (1000,) * 8, "toxic": (0, 0, 0)}
+        return {"quality": (1000,) * 8, "toxic": (0,) * 4}
     text = text or ""
     split = _WORD.findall(text)
     stutter = sum(map(eq, split, islice(split, 1, None)))
     with_symbol = sum(map(bool, map(_SYMBOL.search, split))) if symbols else 0
     marks = text.count("!") + text.count("|") + text.count("?")
-    found = INSULTS.findall(text)
+    found = [(m.start(), m[0].lower()) for m in INSULTS.finditer(text)]
     lewd = sum(bool(INSULTS.search(x)) for x in text.split("\n")) if found else 0
+    told = sum(bool(SPOKEN.search(text, max(0, at - 40), at)) for at, _ in found)  # within some words before
     return {
         "quality": (symbols * 1000 // n, with_symbol * 1000 // n, dups * 1000 // max(1, lines), repeats * 1000 // n, stutter * 1000 // n, upper * 1000 // n, chars * 1000 // n, marks * 1000 // n),
-        "toxic": (len(found) * 1000 // n, len({x.lower() for x in found}), lewd * 1000 // max(1, lines)),
+        "toxic": (len(found) * 1000 // n, len({x for _, x in found}), lewd * 1000 // max(1, lines), told),
     }
 
 
@@ -78,14 +91,20 @@ def votes(text: str | None) -> tuple[int, ...]:
     return tuple(out)
 
 
-def fit_labels(patterns: np.ndarray, n: np.ndarray, k: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of good for each vote pattern of k heuristics, and P(vote | class) as (heuristic, vote, class).
+def fit_labels(patterns: np.ndarray, n: np.ndarray, k: int, steps: int = 200, annotated: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of good for each vote pattern of k labellers, and P(vote | class) as (labeller, vote, class).
 
     Bad texts are of k kinds (one shouts, another repeats itself), within which votes are independent; class 0 is good.
-    Heuristic j's accuracy is given[j, 2, 0] on good texts and given[j, 0, 1 + j] on those with its fault.
+    Labeller j's accuracy is given[j, 2, 0] on good texts and given[j, 0, 1 + j] on those with its fault.
+    annotated: the last labeller is the annotator, who abstains at random and else errs with chance SLIP; that is not
+    estimated but anchors the rest, and the kind of that labeller is what no heuristic sees.
     """
     v = (np.asarray(patterns)[:, None] // 3 ** np.arange(k - 1, -1, -1)) % 3
     start = np.stack([np.stack([GOOD, *[FAULT if c == j else OTHER for c in range(k)]], axis=1) for j in range(k)])
+    if annotated:
+        silent = float(n[v[:, -1] == 1].sum() / max(1.0, n.sum()))
+        right, wrong = (1 - silent) * (1 - SLIP) + 1e-9, (1 - silent) * SLIP + 1e-9
+        start[-1] = np.array([[wrong, *[right] * k], [silent + 1e-9] * (k + 1), [right, *[wrong] * k]])
     given, prior = start.copy(), np.append(0.7, np.full(k, 0.3 / k))
     post = np.full((len(v), k + 1), 0.5)
     for _ in range(steps):
@@ -96,7 +115,7 @@ def fit_labels(patterns: np.ndarray, n: np.ndarray, k: int, steps: int = 200) ->
         moved, post = np.abs(new - post).max(initial=0.0), new
         mass = post * n[:, None]
         prior = (mass.sum(axis=0) + 1) / (n.sum() + k + 1)
-        for j in range(k):
+        for j in range(k - annotated):
             for c in range(3):
                 # A few counts of the start, so that no heuristic is ever certain.
                 given[j, c] = mass[v[:, j] == c].sum(axis=0) + 5 * start[j, c]
@@ -122,7 +141,7 @@ def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(starts):
             yield np.zeros((0, len(SPACES)), np.int64), first
             continue
-        hashed = words.hasher(own)
+        hashed = words.Bytes(own).hashes
         word = hashed(starts, ends)
         heads = [hashed(starts, np.minimum(ends, starts + k)) for k in (4, 6)]
         shape = (_KIND[own[starts]] * 7 + _KIND[own[ends - 1]]) * 16 + np.minimum(ends - starts, 15)
@@ -154,14 +173,22 @@ def _votes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([votes(t) for t in x], columns=VOTES.names, dtype="int32")
 
 
+SAMPLE = "lot long, quality int, toxic int, i binary, x binary"
+
+
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for both, first in _features(batch.column(2)):
+        for both, first in _features(batch.column(3)):
             for i in range(len(first) - 1):
                 index, n = np.unique(both[first[i] : first[i + 1]], return_counts=True)
                 rows.append((index.astype("<i4").tobytes(), (n / np.sqrt(max(1, n.sum()))).astype("<f4").tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], [*HEURISTICS, "i", "x"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["lot", *HEURISTICS, "i", "x"])
+
+
+def _sampled(rows: DataFrame, most: int) -> list:
+    """Features of rows (lot, quality, toxic, text), the `most` with the least lots if there are more."""
+    return [r for r in rows.mapInArrow(_sampler, SAMPLE).orderBy("lot", "i").limit(most).collect() if len(r.i)]
 
 
 def fit_scorer(rows: list, y: np.ndarray, worth: np.ndarray | None = None, steps: int = 120, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
@@ -213,42 +240,49 @@ def _scorer(weights: np.ndarray):
     return score
 
 
-def _told(docs: DataFrame, labelled: DataFrame, most: int) -> list:
-    """Features and labels of at most about `most` labelled rows, picked by hash."""
-    known = labelled.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null")
-    share = min(1.0, most / max(1, known.count()))
-    few = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * most)
-    texts = docs.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select(F.lit(0).alias("quality"), "toxic", "text")
-    return [r for r in texts.mapInArrow(_sampler, "quality int, toxic int, i binary, x binary").limit(4 * most).collect() if len(r.i)]
+def _annotated(labelled: DataFrame) -> DataFrame:
+    """(_id, said): the annotator's vote on each labelled id, 0 toxic, 2 not."""
+    known = labelled.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("_id is not null and toxic is not null")
+    one = known.groupBy("_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high")).filter("low = high")
+    return one.select("_id", F.when(F.col("low") > 0, 0).otherwise(2).alias("said"))
 
 
 def classify(docs: DataFrame, labelled: DataFrame | None = None, train: int = TRAIN, known: int = KNOWN) -> DataFrame:
     """A row for each of docs (doc_id, text): doc_id, score, kept (quality), toxic_score, toxic.
 
-    labelled (doc_id, toxic), if given, adds a bounded sample of rows with known toxicity, which heuristics of one
-    language miss, and weakly labelled rows then weigh WEAK; quality is learnt from weak labels alone.
-    Texts are read for their votes, for the sample and to be scored; none is shuffled.
+    labelled (doc_id, toxic), if given, is the annotator's.  Rows of the sample without an annotator's vote weigh WEAK
+    for toxicity then; quality is learnt from heuristics alone.  Texts are read for their votes, for the samples and to
+    be scored; none is shuffled but those picked.
     """
-    in_short_batches(docs)
-    voted = stored(docs.select(_votes(F.col("text")).alias("v")).groupBy(*[F.col(f"v.{m}").alias(m) for m in HEURISTICS]).agg(F.count("*").alias("n")))
-    table = voted.collect()  # 3 to the number of heuristics rows at most
-    if not table:
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("kept"), F.lit(0.0).alias("toxic_score"), F.lit(False).alias("toxic"))
-    total = sum(r.n for r in table)
-    share = min(1.0, train / total)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    picked = some.select(_votes(F.col("text")).alias("v"), "text").select(*[F.col(f"v.{m}").alias(m) for m in HEURISTICS], "text")
-    rows = [r for r in picked.mapInArrow(_sampler, "quality int, toxic int, i binary, x binary").limit(2 * train).collect() if len(r.i)]
-    labels, weights = {}, []
+    docs = docs.select("doc_id", "text")
+    lot = F.xxhash64("doc_id", "text")
+    picked_by = lambda share: F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    with temporary(docs.sparkSession):
+        voted = docs.select("doc_id", _votes(F.col("text")).alias("v")).select("doc_id", *[F.col(f"v.{m}").alias(m) for m in HEURISTICS])
+        told = stored(_annotated(labelled)) if labelled is not None else None
+        if told is not None:
+            said = F.coalesce("said", F.lit(1))
+            voted = voted.join(told, F.col("doc_id") == F.col("_id"), "left").withColumn("toxic", F.col("toxic") * 3 + said)
+        table = stored(voted.groupBy(*HEURISTICS).agg(F.count("*").alias("n"))).collect()  # 3 to the number of labellers rows at most
+        if not table:
+            return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("kept"), F.lit(0.0).alias("toxic_score"), F.lit(False).alias("toxic"))
+        some = docs.filter(picked_by(min(1.0, train / sum(r.n for r in table))))
+        votes_of = lambda df, said: df.select(lot.alias("lot"), _votes(F.col("text")).alias("v"), said.alias("said"), "text").select("lot", F.col("v.quality").alias("quality"), (F.col("v.toxic") * 3 + F.col("said") if told is not None else F.col("v.toxic")).alias("toxic"), "text")
+        rows, checked = _sampled(votes_of(some, F.lit(1)), 2 * train), []
+        if told is not None:
+            share = min(1.0, known / max(1, told.count()))
+            few = told.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(F.xxhash64("_id")).limit(2 * known)
+            checked = _sampled(votes_of(docs.join(F.broadcast(few), F.col("doc_id") == F.col("_id")), F.col("said")), 2 * known)
+    weights = []
     for m, own in HEURISTICS.items():
         counts: dict[int, int] = {}
         for r in table:
             counts[r[m]] = counts.get(r[m], 0) + r.n
-        post, _ = fit_labels(np.array(list(counts)), np.array(list(counts.values()), np.float64), len(own))
-        labels[m] = dict(zip(counts, post.tolist(), strict=True))
-        y = [labels[m][r[m]] for r in rows]
-        told = _told(docs, labelled, known) if m == "toxic" and labelled is not None else []
-        worth = np.repeat([WEAK if told else 1.0, 1.0], [len(rows), len(told)])
-        weights.append(fit_scorer(rows + told, np.array(y + [1.0 - r.toxic for r in told]), worth))
+        annotator = int(m == "toxic" and told is not None)
+        post, _ = fit_labels(np.array(list(counts)), np.array(list(counts.values()), np.float64), len(own) + annotator, annotated=bool(annotator))
+        label = dict(zip(counts, post.tolist(), strict=True))
+        used = rows + (checked if annotator else [])
+        worth = np.repeat([WEAK if annotator and checked else 1.0, 1.0], [len(rows), len(used) - len(rows)])
+        weights.append(fit_scorer(used, np.array([label.get(r[m], 0.5) for r in used]), worth))
     scored = docs.select("doc_id", _scorer(np.array(weights))(F.col("text")).alias("s"))
     return scored.select("doc_id", F.col("s.quality").alias("score"), (F.col("s.quality") >= 0.5).alias("kept"), (1 - F.col("s.toxic")).alias("toxic_score"), (F.col("s.toxic") < 0.5).alias("toxic"))
