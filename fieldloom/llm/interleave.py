@@ -4,13 +4,16 @@ HTML is parsed into an ordered array of structs (position, kind, text, ref,
 caption).  Media are addressed by the SHA-256 of their payload; a join on the
 digest resolves each reference, and position and caption stay with it.  What the
 join carries are the facts read from the stored bytes, so payloads themselves
-are not shuffled.
+are not shuffled; they are stored by the task that reads them, once for each row
+(once for each digest would take a shuffle of all payloads), and equal ones
+resolve to one digest.
 
 Payloads are stored as binary PPM images of 64 pixels a row, 8 bits a sample:
 192 payload bytes are one row, which is why payloads are padded to 192.
 
 Defined cases: null HTML gives no items; null text is the empty text, whose
-payload is 192 blanks; equal payloads have one digest; a reference that nothing
+payload is 192 blanks; a caption of a figure without media is text; tags that
+HTML lets out (head, body, ends of paragraphs and figures) may lack; a reference that nothing
 resolves stays with null facts; void or unclosed tags and broken markup never
 fail.
 """
@@ -29,52 +32,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import in_short_batches, stored, whole
+from ._common import stored, whole
 
 UNIT, WIDTH = 192, 64
 ITEMS = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("kind", "text", "ref", "caption")]]))
 FACTS = T.StructType([T.StructField(n, T.LongType() if n[-5:] in ("bytes", "crc32") else T.StringType()) for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
 _BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th tr ul video audio body html".split())
-_MUTE = frozenset("script style template noscript head".split())
+_MUTE = frozenset("script style template noscript title".split())
 _MEDIA = frozenset("img video audio source embed".split())
 
 
+def _tidy(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
 class Sequence(HTMLParser):
-    """Items of one page in reading order."""
+    """Items of one page in reading order.
+
+    A caption is kept for all media of its figure, before or behind it, that no
+    inner figure's caption names; without such media it is a text item.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.mute = 0
-        self.figure: list[int] = []  # items of the open figure
-        self.in_figure = False
+        self.mute: list[str] = []
+        self.figures: list[tuple[list[int], list[str]]] = []  # items and captions of the open figures
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
-        text = " ".join("".join(self.words).split())
-        self.words = []
+        text, self.words = _tidy(self.words), []
         if text:
             self._add("text", text, None, None)
 
     def _add(self, kind: str, text: str | None, ref: str | None, caption: str | None) -> None:
         self.items.append({"position": len(self.items), "kind": kind, "text": text, "ref": ref, "caption": caption})
 
+    def _break(self) -> None:
+        if self.caption is None:
+            self.flush()
+        else:
+            self.caption.append(" ")
+
+    def _end_caption(self) -> None:
+        if self.caption is not None:
+            self.figures[-1][1].append(_tidy(self.caption))
+            self.caption = None
+
+    def _end_figure(self) -> None:
+        self._end_caption()
+        self.flush()
+        media, said = self.figures.pop()
+        caption = _tidy([" ".join(said)])
+        if not caption:
+            if self.figures:
+                self.figures[-1][0].extend(media)
+        elif media:
+            for i in media:
+                self.items[i]["caption"] = caption
+        else:
+            self._add("text", caption, None, None)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.mute[-1:] == ["title"]:  # which holds no tags, so it was left open
+            self.mute.pop()
         if tag in _MUTE:
-            self.mute += 1
+            self.mute.append(tag)
         if tag in _BREAKS:
-            self.flush()
+            self._break()
         if tag == "figure":
-            self.in_figure, self.figure = True, []
-        elif tag == "figcaption":
+            self._end_caption()
+            self.figures.append(([], []))
+        elif tag == "figcaption" and self.figures:
+            self._end_caption()
+            self.flush()
             self.caption = []
         elif tag in _MEDIA and not self.mute:
             have = dict(attrs)
             if have.get("src"):
-                self.flush()
-                if self.in_figure:
-                    self.figure.append(len(self.items))
+                self._break()
+                if self.figures:
+                    self.figures[-1][0].append(len(self.items))
                 self._add("media", None, have["src"], have.get("alt") or None)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -82,31 +121,32 @@ class Sequence(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _MUTE:
-            self.mute = max(0, self.mute - 1)
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for i in self.figure:
-                self.items[i]["caption"] = text or self.items[i]["caption"]
+        if tag in self.mute:
+            while self.mute.pop() != tag:
+                pass
+        if tag == "figcaption":
+            self._end_caption()
+        if tag == "figure" and self.figures:
+            self._end_figure()
         elif tag in _BREAKS:
-            self.flush()
-        if tag == "figure":
-            self.in_figure, self.figure, self.caption = False, [], None
+            self._break()
 
     def handle_data(self, data: str) -> None:
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.mute:
-            self.words.append(data)
+        if not self.mute:
+            (self.words if self.caption is None else self.caption).append(data)
+
+    def finish(self) -> list[dict]:
+        self.close()
+        while self.figures:
+            self._end_figure()
+        self.flush()
+        return self.items
 
 
 def parse(html: str | None) -> list[dict]:
     page = Sequence()
     page.feed(html or "")
-    page.close()
-    page.flush()
-    return page.items
+    return page.finish()
 
 
 @F.pandas_udf(ITEMS)
@@ -196,7 +236,7 @@ def resolve(sequence: DataFrame, media: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """For each document the facts of its stored payload, found through its page."""
-    media = store_texts(in_short_batches(docs))
+    media = store_texts(docs)
     seen = pages_of(docs).select("doc_id", "n_bytes", F.inline(items(F.col("html")))).filter("kind = 'media'")
     out = resolve(seen, media)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
