@@ -4,8 +4,8 @@ Each task packs the documents it reads, online: a document's last piece goes to
 the open bin with the least free space that holds it, else to a new bin.  Open
 bins are found by a bitset keyed by free space (bit f is set while a bin with f
 free places is open).  When more than OPEN bins are open, the fullest closes.
-Pieces of full length are sequences of their own.  Within a batch of documents
-longer pieces come first, which only improves the fit.
+Pieces of full length are sequences of their own.  Pieces are placed in the order
+in which they are read; none waits for another.
 
 Nothing is shuffled and no bin is shared between tasks; each task leaves less
 than one sequence's worth of bins that could have been joined, times a few.
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import in_short_batches
 
 LENGTH, OPEN = 2048, 512
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -82,8 +81,8 @@ def _packer(path: str, end: int, length: int, most: int):
                 start = piece * length
                 size = np.minimum(length, counts[row] - start)
                 place = np.zeros((len(row), 2), np.int64)
-                for i in np.argsort(-size, kind="stable").tolist():
-                    place[i] = bins.put(int(size[i]))
+                for i, n in enumerate(size.tolist()):
+                    place[i] = bins.put(n)
                 begin = offsets[row] + start
                 crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(1).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(place[:, 0]), pa.array(place[:, 1])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
@@ -93,5 +92,5 @@ def _packer(path: str, end: int, length: int, most: int):
 
 def pack(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH, most: int = OPEN, text: str = "text", id: str = "doc_id") -> DataFrame:  # noqa: A002
     """One row for each piece of docs' token ids (with `end` behind each text) and its place in a sequence."""
-    read = in_short_batches(docs).select(F.spark_partition_id().alias("part"), F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    read = docs.select(F.spark_partition_id().alias("part"), F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return read.mapInArrow(_packer(tokenizer, end, length, most), PACKED)
