@@ -1,8 +1,9 @@
 """Secret scans with Spark expressions only.
 
-Patterns give the base spans.  A battery of randomness tests adds spans: long
-tokens are read in the encoding their characters suggest (hex, base32, base64),
-and each gets three normal scores that are near 0 for random symbols:
+Patterns give the base spans.  A battery of randomness tests adds spans: every
+long token is read in the smallest alphabet that covers it (decimal, hex, base32,
+base36, letters of both cases, base62, base64, each in its cases), and gets three
+normal scores that are near 0 for random symbols:
 
 * chi-squared, symbols against a uniform alphabet;
 * runs above and below the middle of the alphabet;
@@ -10,15 +11,22 @@ and each gets three normal scores that are near 0 for random symbols:
 
 Their squares (only an excess of chi-squared counts) add up to a distance from
 randomness.  A token must not be rejected as random at 1 %, and it must survive
-false-discovery control against ordinary words: the corpus' own letter-only
-words of the same length or shorter, read in the widest alphabet, say how often
-a word looks that random, and Benjamini-Hochberg over all tokens of a length
-class sets the distance up to which at most FDR of the findings are words.  What
-is gathered for it are counts by length class and distance, which add up.
+false-discovery control against ordinary words: the corpus' own words of one
+case, read in the same alphabet (a letter by its place in it, or its number modulo
+the alphabet's size where it has none), and compounds of words and numbers in the
+alphabets that cover them, say how often a word looks that random.
+Words of the token's length class count, and of the next shorter ones until they
+are FEW: shorter words look more random, so that errs on the safe side.  Benjamini-Hochberg over all tokens of an
+alphabet and length class sets the distance up to which at most FDR of the
+findings are words.  So short tokens, for which words look random too often, are
+left alone by that control and by nothing else.  What is gathered for it are
+counts by alphabet, length class and distance, which add up.
 
 Defined cases: null text is empty; positions are code points, end exclusive;
 spans of one kind don't overlap; added spans that touch a base span are left
-out; a corpus without ordinary words gets no added spans.
+out; letters of one case, and words and numbers joined by - _ + / or by capitals,
+are ordinary and never a finding; a corpus without
+ordinary words gets no added spans.
 """
 
 from __future__ import annotations
@@ -26,18 +34,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, stored, whole
+from ._common import fresh, let, running, stored, whole
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
-#: Maximal long tokens; shorter ones have no power.
+#: Maximal long tokens.
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
-SHORTEST, FDR, REJECT = 20, 0.05, 11.34  # the last: chi-squared of 3 degrees at 1 %
+FDR, REJECT = 0.05, 11.34  # the latter: chi-squared of 3 degrees at 1 %
+#: Words that can tell a share of FDR.
+FEW = 100
 #: Lower ends of the length classes, and the cells of the square root of the distance.
 CLASSES, CELL, CELLS = (16, 20, 24, 32, 48), 0.25, 80
-_HEX, _B32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Alphabets, smallest first: the token's form, its letters' case if they count as one, the symbols in order.
+ALPHABETS = {
+    "decimal": ("^[0-9]+$", None, _DIGITS),
+    "hex": ("^[0-9a-fA-F]+$", "lower", _DIGITS + "abcdef"),
+    "base32": ("^([a-z2-7]+|[A-Z2-7]+)$", "lower", _LOWER + "234567"),
+    "base36": ("^([a-z0-9]+|[A-Z0-9]+)$", "lower", _LOWER + _DIGITS),
+    "letters": ("^[A-Za-z]+$", None, _UPPER + _LOWER),
+    "base62": ("^[A-Za-z0-9]+$", None, _UPPER + _LOWER + _DIGITS),
+    "base64": ("", None, _UPPER + _LOWER + _DIGITS + "+/"),
+}
+NAMES = list(ALPHABETS)
+#: Letters of one case; compounds of such words with numbers behind them.
+PLAIN = "^([A-Za-z][a-z]+|[A-Z]+)$"
+_PART = "(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)[0-9]*|[0-9]+)"
+WORDS = f"^(?![0-9]+$)[-_+/]*{_PART}(?:[-_+/]+{_PART})*[-_+/]*$"
+_TESTED = "array<struct<start:bigint,end:bigint,word:boolean,cls:int,cells:array<int>,kind:int,distance:double>>"
 
 
 def found(text: F.Column, pattern: str) -> F.Column:
@@ -51,13 +76,12 @@ def found(text: F.Column, pattern: str) -> F.Column:
 
 def _places(hits: F.Column, gaps: F.Column) -> F.Column:
     both = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).cast("long").alias("g"), F.char_length(h).cast("long").alias("h")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
 
-    def add(acc: F.Column, x: F.Column) -> F.Column:
-        start = acc["at"] + x["g"]
-        return F.struct((start + x["h"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["h"]).alias("end")))).alias("out"))
+    def place(b: F.Column) -> F.Column:
+        at = running(F.transform(b, lambda x: x["g"] + x["h"]))
+        return F.zip_with(b, at, lambda x, a: F.struct((a + x["g"]).alias("start"), (a + x["g"] + x["h"]).alias("end")))
 
-    return F.aggregate(both, zero, add)["out"]
+    return let(both, place)
 
 
 def base_spans(text: F.Column) -> F.Column:
@@ -72,78 +96,97 @@ def base_spans(text: F.Column) -> F.Column:
     return F.concat(assign, long_(ACCESS, 16, 1), long_(HEX.replace("+", "{32,}"), 32, 2))
 
 
-def _index(token: F.Column, alphabet: str) -> F.Column:
-    return F.transform(F.split(token, r"(?!^)(?!$)", -1), lambda c: F.position(c, F.lit(alphabet)) - 1)
-
-
 def tested(text: F.Column) -> F.Column:
-    """array<struct<start, end, word, cls, cell, random>> of long tokens: length class, cell of the distance."""
+    """array<struct<start, end, word, cls, cells, kind, distance>> of long tokens.
+
+    A token has its alphabet's number (kind), one cell of the distance and the
+    distance; an ordinary word has a cell for each alphabet that it is read in.
+    """
     hits = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    read = F.transform(hits, _encoding)
-    scored = F.transform(read, _scores)
-    spans = F.zip_with(_places(hits, F.split(text, TOKEN, -1)), scored, lambda s, x: F.struct(s["start"].alias("start"), s["end"].alias("end"), x["word"].alias("word"), x["cls"].alias("cls"), x["cell"].alias("cell"), x["distance"].alias("distance")))
-    kept = F.filter(spans, lambda s: s["word"].isNotNull())
-    return F.when(F.size(hits) > 0, kept).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,word:boolean,cls:int,cell:int,distance:double>>"))
-
-
-def _encoding(token: F.Column) -> F.Column:
-    """The token's symbols as numbers, the size of its alphabet, and whether it is an ordinary word (null: neither)."""
-    digit, lower, upper = (token.rlike(x) for x in ("[0-9]", "[a-z]", "[A-Z]"))
-    hexed = token.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (lower | upper)
-    b32 = token.rlike("^[A-Z2-7]+$") & digit & upper
-    word = token.rlike("^[A-Za-z]?[a-z]+$") | token.rlike("^[A-Z]+$")
-    b64 = digit & lower & upper
-    symbols = F.when(hexed, _index(F.lower(token), _HEX)).when(b32, _index(token, _B32)).when(b64 | word, _index(F.translate(token, "-_", "+/"), _B64)).otherwise(F.array().cast("array<int>"))
-    size = F.when(hexed, 16).when(b32, 32).otherwise(64)
-    return F.struct(symbols.alias("x"), size.alias("k"), F.when(word, True).when(hexed | b32 | b64, False).alias("word"))
-
-
-def _scores(t: F.Column) -> F.Column:
-    x, k = t["x"], t["k"].cast("double")
-    n = F.size(x)
-    m = n.cast("double")
-    squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda a, s: a + F.pow(F.size(F.filter(x, lambda y: y == s)).cast("double"), F.lit(2.0)))
-    chi = (squares * k / m - m - (k - 1)) / F.sqrt(2 * (k - 1))
-    head, tail = F.slice(x, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(x, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    changes = F.aggregate(F.zip_with(head, tail, lambda a, b: F.when((a * 2 >= k) != (b * 2 >= k), 1.0).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
-    runs = (changes - (m - 1) / 2) / F.sqrt((m - 1) / 4)
-    middle = (k - 1) / 2
-    product = F.aggregate(F.zip_with(head, tail, lambda a, b: (a - middle) * (b - middle)), F.lit(0.0), lambda a, b: a + b)
-    serial = product / ((k * k - 1) / 12) / F.sqrt(m - 1)
-    plus = F.greatest(chi, F.lit(0.0))
-    distance = F.when(n > 1, plus * plus + runs * runs + serial * serial)
-    cls = sum((F.when(n >= c, 1).otherwise(0) for c in CLASSES[1:]), F.lit(0))
-    cell = F.least(F.floor(F.sqrt(distance) / CELL), F.lit(CELLS)).cast("int")
-    return F.struct(t["word"].alias("word"), cls.cast("int").alias("cls"), cell.alias("cell"), distance.alias("distance"))
-
-
-def limits(scanned: DataFrame, column: str) -> dict[int, int]:
-    """For each length class the last cell of distance that false-discovery control lets through.
-
-    One row for each class and cell reaches the driver's side: CLASSES times CELLS at most.
+
+    def judged(hits: F.Column) -> F.Column:
+        scored = F.transform(hits, _judge)
+        return F.zip_with(_places(hits, F.split(text, TOKEN, -1)), scored, lambda s, x: F.struct(s["start"].alias("start"), s["end"].alias("end"), *[x[n].alias(n) for n in ("word", "cls", "cells", "kind", "distance")]))
+
+    return F.when(F.size(hits) > 0, judged(hits).cast(_TESTED)).otherwise(F.array().cast(_TESTED))
+
+
+def _judge(token: F.Column) -> F.Column:
+    word = token.rlike(WORDS)
+    n = F.char_length(token)
+    cls = sum((F.when(n >= c, 1).otherwise(0) for c in CLASSES[1:]), F.lit(0)).cast("int")
+    kind = F.lit(len(NAMES) - 1)
+    for i in range(len(NAMES) - 2, -1, -1):
+        kind = F.when(token.rlike(ALPHABETS[NAMES[i]][0]), i).otherwise(kind)
+    cell = lambda d: F.least(F.floor(F.sqrt(d) / CELL), F.lit(CELLS)).cast("int")
+    as_word = F.struct(F.lit(True).alias("word"), cls.alias("cls"), F.array(*[F.when(token.rlike(PLAIN) | token.rlike(ALPHABETS[k][0]), cell(_distance(_symbols(token, k), k))) for k in NAMES]).alias("cells"), F.lit(-1).alias("kind"), F.lit(None).cast("double").alias("distance"))
+
+    def as_token(kind: F.Column) -> F.Column:
+        by_kind = F.coalesce(*[F.when(kind == i, _distance(_symbols(token, k), k)) for i, k in enumerate(NAMES)])
+        return let(by_kind, lambda d: F.struct(F.lit(False).alias("word"), cls.alias("cls"), F.array(cell(d)).alias("cells"), kind.alias("kind"), d.alias("distance")))
+
+    return F.when(word, as_word).otherwise(let(kind, as_token))
+
+
+def _symbols(token: F.Column, name: str) -> F.Column:
+    """The token's symbols as numbers; a letter that the alphabet lacks counts by its number modulo the size."""
+    _, case, symbols = ALPHABETS[name]
+    read = F.lower(token) if case or name == "decimal" else F.translate(token, "-_", "+/")
+    lacks = "".join(c for c in _LOWER if c not in symbols) if name in ("decimal", "hex") else ""
+    read = F.translate(read, lacks, "".join(symbols[_LOWER.index(c) % len(symbols)] for c in lacks)) if lacks else read
+    return F.transform(F.split(read, r"(?!^)(?!$)", -1), lambda c: F.position(c, F.lit(symbols)) - 1)
+
+
+def _distance(symbols: F.Column, name: str) -> F.Column:
+    k = float(len(ALPHABETS[name][2]))
+
+    def scores(x: F.Column) -> F.Column:
+        n = F.size(x)
+        m = n.cast("double")
+        squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda a, s: a + F.pow(F.size(F.filter(x, lambda y: y == s)).cast("double"), F.lit(2.0)))
+        chi = (squares * k / m - m - (k - 1)) / F.sqrt(F.lit(2 * (k - 1)))
+        head, tail = F.slice(x, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(x, F.lit(2), F.greatest(n - 1, F.lit(0)))
+        changes = F.aggregate(F.zip_with(head, tail, lambda a, b: F.when((a * 2 >= k) != (b * 2 >= k), 1.0).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+        runs = (changes - (m - 1) / 2) / F.sqrt((m - 1) / 4)
+        middle = (k - 1) / 2
+        product = F.aggregate(F.zip_with(head, tail, lambda a, b: (a - middle) * (b - middle)), F.lit(0.0), lambda a, b: a + b)
+        serial = product / ((k * k - 1) / 12) / F.sqrt(m - 1)
+        plus = F.greatest(chi, F.lit(0.0))
+        return plus * plus + runs * runs + serial * serial
+
+    return let(symbols, scores)
+
+
+def limits(scanned: DataFrame, column: str) -> dict[tuple[int, int], int]:
+    """For each alphabet and length class the last cell of distance that false-discovery control lets through.
+
+    One row for each alphabet, class and cell reaches the driver: their product at most.
     """
-    each = scanned.select(F.explode(column).alias("t")).select("t.word", "t.cls", "t.cell").filter("cell is not null")
-    table = each.groupBy("cls", "cell").agg(F.sum(F.when(F.col("word"), 1).otherwise(0)).alias("words"), F.sum(F.when(~F.col("word"), 1).otherwise(0)).alias("tokens"))
+    each = scanned.select(F.explode(column).alias("t")).select("t.word", "t.cls", "t.kind", F.posexplode("t.cells").alias("i", "cell")).filter("cell is not null")
+    kind = F.when(F.col("word"), F.col("i")).otherwise(F.col("kind"))
+    table = each.groupBy(kind.alias("kind"), "cls", "cell").agg(F.sum(F.when(F.col("word"), 1).otherwise(0)).alias("words"), F.sum(F.when(~F.col("word"), 1).otherwise(0)).alias("tokens"))
     words, tokens = {}, {}
     for r in table.collect():
-        words[r.cls, r.cell], tokens[r.cls, r.cell] = r.words, r.tokens
+        words[r.kind, r.cls, r.cell], tokens[r.kind, r.cls, r.cell] = r.words, r.tokens
     out = {}
-    for c in range(len(CLASSES)):
-        # Shorter words look more random than longer ones, so counting them in errs on the safe side.
-        null = [sum(words.get((d, i), 0) for d in range(c + 1)) for i in range(CELLS + 1)]
-        seen = [tokens.get((c, i), 0) for i in range(CELLS + 1)]
-        total, m, below, hits = sum(null), sum(seen), 0, 0
-        for i in range(CELLS + 1):
-            below, hits = below + null[i], hits + seen[i]
-            if hits and CLASSES[c] >= SHORTEST and (1 + below) / (1 + total) * m <= FDR * hits:
-                out[c] = i
+    for k in range(len(NAMES)):
+        for c in range(len(CLASSES)):
+            null, d = [0] * (CELLS + 1), c
+            while d >= 0 and sum(null) < FEW:
+                null, d = [n + words.get((k, d, i), 0) for i, n in enumerate(null)], d - 1
+            seen = [tokens.get((k, c, i), 0) for i in range(CELLS + 1)]
+            total, m, below, hits = sum(null), sum(seen), 0, 0
+            for i in range(CELLS + 1):
+                below, hits = below + null[i], hits + seen[i]
+                if total and hits and (1 + below) / (1 + total) * m <= FDR * hits:
+                    out[k, c] = i
     return out
 
 
-def all_spans(base: F.Column, tokens: F.Column, through: dict[int, int]) -> F.Column:
+def all_spans(base: F.Column, tokens: F.Column, through: dict[tuple[int, int], int]) -> F.Column:
     """array<struct<start, kind, end>>: base spans, and tokens within the limits that touch none of them."""
-    allowed = F.array(*[F.lit(through.get(c, -1)) for c in range(len(CLASSES))])
-    good = F.filter(tokens, lambda t: ~t["word"] & (t["cell"] <= F.element_at(allowed, t["cls"] + 1)) & (t["distance"] <= REJECT))
+    allowed = F.array(*[F.lit(through.get((k, c), -1)) for k in range(len(NAMES)) for c in range(len(CLASSES))])
+    good = F.filter(tokens, lambda t: ~t["word"] & (F.get(t["cells"], F.lit(0)) <= F.get(allowed, t["kind"] * len(CLASSES) + t["cls"])) & (t["distance"] <= REJECT))
     added = F.transform(good, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     free = F.filter(added, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return F.array_sort(F.concat(base, free))
