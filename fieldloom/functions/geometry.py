@@ -122,3 +122,28 @@ def clip(v: Column, limit: Column | float) -> Column:
     """struct<v, mask>: components held to +-limit, and which were."""
     parts = [at(v, i) for i in range(3)]
     return F.struct(vector(*[held(p, -F.lit(limit), F.lit(limit)) for p in parts]).alias("v"), F.array(*[F.abs(p) > limit for p in parts]).alias("mask"))
+
+
+AXES = {"x": 0, "y": 1, "z": 2}
+
+
+def channel(v: Column, mask: Column, which: str) -> Column:
+    """struct<value, clipped>: one axis or the magnitude of a vector, and whether what it rests on is clipped."""
+    if which == "magnitude":
+        return F.struct(norm(v).alias("value"), F.exists(mask, lambda x: x).alias("clipped"))
+    return F.struct(at(v, AXES[which]).alias("value"), F.get(mask, F.lit(AXES[which])).alias("clipped"))
+
+
+def project(v: Column, mode: str, axis: Column | None = None) -> Column:
+    """What a sensor of a mode reports: all components, the component along its axis, or the total field."""
+    if mode == "vector":
+        return v
+    return F.array(dot(v, axis) if mode == "monoaxial" else norm(v))
+
+
+def integrate(q: Column, rate: Column, dt: Column | float) -> Column:
+    """The orientation after turning at a constant rate (rad/s) for dt seconds."""
+    speed = norm(rate)
+    half = speed * dt / 2
+    part = F.when(speed > 0, F.sin(half) / speed).otherwise(0.0)
+    return canonical(quaternion_product(q, F.array(F.cos(half), *[at(rate, i) * part for i in range(3)])))

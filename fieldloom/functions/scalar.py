@@ -68,6 +68,25 @@ def digest(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
 
 
+def iso_utc(t: Column) -> Column:
+    """ISO-8601 text of a timestamp in UTC, to the microsecond (the session's time zone is UTC)."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def from_iso(text: Column) -> Column:
+    return F.to_timestamp(text, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X")
+
+
+def age_ms(t: Column, now: Column) -> Column:
+    """Whole milliseconds from t to now."""
+    return F.floor((F.unix_micros(now) - F.unix_micros(t)) / 1000).cast("long")
+
+
+def identifier(x: Column) -> Column:
+    """Whether an id is a lower-case letter and at most 31 letters, digits, ':', '_' or '-'."""
+    return x.rlike("^[a-z][a-z0-9:_-]{0,31}$")
+
+
 def uncertain(scores: Column, least: float = 0.70, margin: float = 0.15) -> Column:
     """Whether the top score is low or the second close."""
     top = F.sort_array(scores, asc=False)

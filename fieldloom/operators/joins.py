@@ -71,3 +71,11 @@ def split_leaks(assigned: DataFrame, key: str) -> DataFrame:
 def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that only one side has; empty when the two are aligned exactly."""
     return a.select(key).exceptAll(b.select(key)).withColumn("side", F.lit("left")).unionAll(b.select(key).exceptAll(a.select(key)).withColumn("side", F.lit("right")))
+
+
+def scheduled(events: DataFrame, key: str, order: str, at: str) -> DataFrame:
+    """events with accepted (strictly later than the key's event before, which the clock has reached) and the version it makes."""
+    w = Window.partitionBy(key).orderBy(order)
+    now = F.lag(at).over(w)
+    placed = events.withColumn("accepted", now.isNull() | (F.col(at) > now))
+    return placed.withColumn("version", 1 + F.sum(F.col("accepted").cast("long")).over(w))

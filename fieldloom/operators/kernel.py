@@ -1,149 +1,98 @@
-"""An eight-qubit fidelity kernel, landmark embeddings and their fitting.
+"""Kernels between rows and a bounded set of landmarks, and whole-table kernel figures from moments.
 
-States of a whole Arrow batch are built at once.  What fitting needs (tens of
-landmark rows) is held by the driver, what scoring needs goes to the executors
-with the function.  A kernel between all rows and a bounded set of landmarks is
-one pass; no all-pairs kernel is made of unbounded inputs.
+A kernel of all rows with all rows is never made: its trace, mean, deviation and
+alignment with labels are sums of products of coordinates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Qubits, controlled phases in order.
-QUBITS = 8
-EDGES = ((0, 1), (2, 3), (4, 5), (6, 7), (1, 2), (3, 4), (5, 6))
-RIDGE, NEGATIVE, LANDMARKS = 1e-6, 1e-10, 32
-
-
-def states(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """(n, 256) states of (n, 8) angles: RY(x), RZ(theta), phases on a path, RY(theta), RZ(x); bit q is qubit q."""
-    x, theta = np.atleast_2d(np.asarray(x, float)), np.asarray(theta, float)
-    n, size = len(x), 1 << QUBITS
-    bit = (np.arange(size)[:, None] >> np.arange(QUBITS)) & 1
-    # After RY on |0> the state is a product; the phases of RZ and CZ are one diagonal.
-    half = np.stack([np.cos(x / 2), np.sin(x / 2)], axis=2)
-    s = np.ones((n, size), complex)
-    for q in range(QUBITS):
-        s *= half[:, q, bit[:, q]]
-    sign = np.prod([1 - 2 * (bit[:, a] & bit[:, b]) for a, b in EDGES], axis=0)
-    s *= sign * np.exp(0.5j * (bit * 2 - 1) @ theta[:QUBITS])
-    for q in range(QUBITS):
-        c, t = np.cos(theta[QUBITS + q] / 2), np.sin(theta[QUBITS + q] / 2)
-        v = s.reshape(n, -1, 2, 1 << q)
-        s = np.stack([c * v[:, :, 0] - t * v[:, :, 1], t * v[:, :, 0] + c * v[:, :, 1]], axis=2).reshape(n, size)
-    return s * np.exp(0.5j * x @ (bit * 2 - 1).T)
-
-
-def fidelity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.clip(np.abs(a.conj() @ b.T) ** 2, 0, 1)
-
-
-def derivatives(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """(n, 16, 256) derivatives of the states by shifts of a quarter turn."""
-    steps = np.eye(len(theta)) * np.pi / 2
-    return np.stack([(states(x, theta + d) - states(x, theta - d)) / (2 * np.sqrt(2)) for d in steps], axis=1)
-
-
-def centred(k: np.ndarray) -> np.ndarray:
-    return k - k.mean(axis=0) - k.mean(axis=1)[:, None] + k.mean()
-
-
-def alignment(k: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """1 minus the centred alignment of a kernel with labels, and its derivative by the kernel."""
-    y = y - y.mean()
-    target, c = np.outer(y, y), centred(k)
-    nt, nc = np.linalg.norm(target), np.linalg.norm(c)
-    if min(nt, nc) < 1e-12:
-        raise ValueError("alignment is undefined: one class only, or a collapsed kernel")
-    a = (c * target).sum() / (nt * nc)
-    return float(1 - a), centred(a * c / nc**2 - target / (nt * nc))
-
-
-def loss_and_slopes(x: np.ndarray, y: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Loss, gradient and mean Fubini-Study metric."""
-    s, d = states(x, theta), derivatives(x, theta)
-    overlap = s.conj() @ s.T
-    loss, dk = alignment(np.abs(overlap) ** 2, y)
-    moved = np.einsum("irk,jk->rij", d.conj(), s) + np.einsum("ik,jrk->rij", s.conj(), d)
-    slope = (2 * (overlap.conj() * moved).real * dk).sum(axis=(1, 2))
-    v = np.einsum("nrk,nk->nr", d.conj(), s)
-    metric = (np.einsum("nrk,nqk->rq", d.conj(), d) - np.einsum("nr,nq->rq", v, v.conj())).real / len(s)
-    return loss, slope, (metric + metric.T) / 2
-
-
-def natural_gradient(x: np.ndarray, y: np.ndarray, theta: np.ndarray, steps: int = 15, rate: float = 0.2, damping: float = 1e-3, most: float = 0.5, halvings: int = 12, armijo: float = 1e-4) -> tuple[np.ndarray, list[float]]:
-    """Damped natural gradient with backtracking: theta and the losses of accepted steps."""
-    loss, slope, metric = loss_and_slopes(x, y, theta)
-    history = [loss]
-    for _ in range(steps):
-        way = np.linalg.solve(metric + damping * np.eye(len(theta)), slope)
-        way *= min(1.0, most / max(np.linalg.norm(rate * way), 1e-300))
-        size = rate
-        for _ in range(halvings):
-            new = theta - size * way
-            if alignment(fidelity(states(x, new), states(x, new)), y)[0] <= loss - armijo * size * (slope @ way):
-                break
-            size /= 2
-        else:
-            break
-        theta = new
-        loss, slope, metric = loss_and_slopes(x, y, theta)
-        history.append(loss)
-    return theta, history
 
+from ..shared import let
+from .selection import lot
 
-def landmarks(rows: DataFrame, id: str, lineage: str, label: str, seed: int = 0, most: int = LANDMARKS) -> DataFrame:  # noqa: A002
-    """Balanced landmarks, one per lineage (its least id), in seeded order, classes interleaved: (id, label, ordinal)."""
-    own = rows.groupBy(lineage).agg(F.min_by(F.struct(F.col(id), F.col(label)), id).alias("r")).select("r.*")
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(id), F.lit(seed)), id)
-    ranked = own.withColumn("ordinal", F.row_number().over(w) - 1)
-    sizes = own.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.count("*").alias("classes"))
-    r = sizes.first()
-    each = min(most // r.classes, r.least) if r.classes else 0
-    return ranked.filter(F.col("ordinal") < each).orderBy("ordinal", label)
-
-
-def basis(k: np.ndarray) -> np.ndarray:
-    """Regularised inverse root of a landmark kernel."""
-    w, v = np.linalg.eigh((k + k.T) / 2)
-    if w.min() < -NEGATIVE * max(1.0, w.max()):
-        raise ValueError("the landmark kernel has a negative eigenvalue")
-    b = (v * (np.maximum(w, 0) + RIDGE) ** -0.5) @ v.T
-    return (b + b.T) / 2
+LANDMARKS, RIDGE, NEGATIVE = 32, 1e-6, 1e-10
 
 
-EMBEDDED = T.StructType([T.StructField("z", T.ArrayType(T.DoubleType())), T.StructField("residual", T.DoubleType())])
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def embedder(marks: np.ndarray, theta: np.ndarray) -> Callable[[Column], Column]:
-    """A column function: angles to coordinates among the landmarks and what they leave unexplained."""
-    own = states(marks, theta)
-    b = basis(fidelity(own, own))
+def rbf(a: Column, b: Column, gamma: float) -> Column:
+    return F.exp(-gamma * F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
-    @F.pandas_udf(EMBEDDED)
-    def embed(x: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for column in x:
-            s = states(np.stack(column.to_numpy()), theta)
-            z = fidelity(s, own) @ b
-            yield pd.DataFrame({"z": list(z), "residual": np.maximum(0.0, 1 - (z * z).sum(axis=1))})
 
-    return embed
+def landmarks(rows: DataFrame, id: str, lineage: str, label: str, seed: int = 0, most: int = LANDMARKS) -> DataFrame:  # noqa: A002
+    """Balanced landmarks, one per lineage (its least id), in seeded order, classes interleaved: (id, label, ordinal)."""
+    own = rows.groupBy(lineage).agg(F.min_by(F.struct(F.col(id), F.col(label)), id).alias("r")).select("r.*")
+    r = own.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.count("*").alias("classes")).first()
+    each = min(most // r.classes, r.least) if r.classes else 0
+    w = Window.partitionBy(label).orderBy(lot(id, seed), id)
+    return own.withColumn("ordinal", F.row_number().over(w) - 1).filter(F.col("ordinal") < each).orderBy("ordinal", label)
 
 
-def cross_kernel(rows: DataFrame, id: str, angles: str, marks: np.ndarray, theta: np.ndarray) -> DataFrame:  # noqa: A002
-    """(id, j, k): fidelity of every row with every landmark."""
-    own = states(marks, theta)
+def cross_kernel(rows: DataFrame, id: str, x: str, marks: list[tuple[int, list[float]]], gamma: float | None = None) -> DataFrame:  # noqa: A002
+    """(id, mark, k): every row against the landmarks (mark, x), which go along as literals; dot products without gamma."""
+    k = lambda m: dot(F.col(x), F.lit(m)) if gamma is None else rbf(F.col(x), F.lit(m), gamma)
+    return rows.select(id, F.inline(F.array(*[F.struct(F.lit(name).alias("mark"), k(m).alias("k")) for name, m in marks])))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def near(x: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in x:
-            yield pd.Series(list(fidelity(states(np.stack(column.to_numpy()), theta), own)))
 
-    return rows.select(id, F.posexplode(near(F.col(angles))).alias("j", "k"))
+def basis(k: np.ndarray) -> np.ndarray:
+    """Regularised inverse root of a landmark kernel."""
+    values, vectors = np.linalg.eigh((k + k.T) / 2)
+    if values.min() < -NEGATIVE * max(1.0, values.max()):
+        raise ValueError("the landmark kernel has a negative eigenvalue")
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0) + RIDGE)) @ vectors.T
+    return (root + root.T) / 2
+
+
+def embed(x: Column, marks: np.ndarray, gamma: float) -> Column:
+    """struct<z, residual>: coordinates among the landmarks and what they leave unexplained of a row's own kernel value, 1."""
+    own = np.exp(-gamma * ((marks[:, None, :] - marks[None, :, :]) ** 2).sum(axis=2))
+    b = basis(own)
+    near = F.transform(F.lit(marks.tolist()), lambda m: rbf(x, m, gamma))
+    z = let(near, lambda k: F.transform(F.lit(b.tolist()), lambda row: dot(k, row)))
+    return let(z, lambda z: F.struct(z.alias("z"), F.greatest(F.lit(0.0), 1 - dot(z, z)).alias("residual")))
+
+
+def moments(rows: DataFrame, x: str, y: Column) -> tuple[int, np.ndarray, float, np.ndarray, float, np.ndarray, float]:
+    """n, sum of x, of y, of x x', of y y, of x y and of |x|^4, of all rows: partial sums of each task, added up."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                v, t = np.stack(b["x"].to_numpy()).astype(float), b["y"].to_numpy(float)
+                z = np.concatenate([np.ones((len(v), 1)), t[:, None], v], axis=1)
+                own = np.append((z.T @ z).ravel(), ((v * v).sum(axis=1) ** 2).sum())
+                total = own if total is None else total + own
+        if total is not None:
+            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+
+    sums = rows.select(F.col(x).alias("x"), y.cast("double").alias("y")).mapInPandas(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
+    v = np.array([r.v for r in sums.orderBy("k").collect()])  # (2 + width)^2 + 1 numbers
+    d = round(np.sqrt(len(v) - 1))
+    m = v[:-1].reshape(d, d)
+    return int(m[0, 0]), m[0, 2:], float(m[0, 1]), m[2:, 2:], float(m[1, 1]), m[1, 2:], float(v[-1])
+
+
+def alignment_loss(rows: DataFrame, x: str, y: Column) -> float:
+    """One less the centred alignment of the dot-product kernel of all rows with that of their labels."""
+    n, sx, sy, xx, yy, xy, _ = moments(rows, x, y)
+    cov, cross, spread = xx - np.outer(sx, sx) / n, xy - sx * sy / n, yy - sy * sy / n
+    return float(1 - cross @ cross / (np.sqrt((cov * cov).sum()) * spread))
+
+
+def gram_figures(rows: DataFrame, x: str) -> dict[str, float]:
+    """trace, off-diagonal mean and population deviation of the dot-product kernel of all rows; effective rank."""
+    n, sx, _, xx, _, _, fourth = moments(rows, x, F.lit(0.0))
+    trace, pairs = float(np.trace(xx)), n * (n - 1)
+    mean = (sx @ sx - trace) / pairs
+    p = np.clip(np.linalg.eigvalsh(xx), 0, None)  # the kernel's eigenvalues but for zeros
+    p = p[p > 0] / p.sum()
+    return {"trace": trace, "off_mean": float(mean), "off_sd": float(np.sqrt(max(0.0, ((xx * xx).sum() - fourth) / pairs - mean * mean))), "effective_rank": float(np.exp(-(p * np.log(p)).sum()))}

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..shared import sums_before
 
 ABSTAIN = "ABSTAIN"
 
@@ -43,9 +47,8 @@ def scores(rows: DataFrame, truth: str, predicted: str, by: list[str] | None = N
 def auc(rows: DataFrame, positive: Column, score: str) -> DataFrame:
     """Area under the ROC curve from counts per distinct score: ties count half."""
     counts = rows.filter(F.col(score).isNotNull()).groupBy(score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return below.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)) / F.when(F.sum("p") * F.sum("n") > 0, F.sum("p") * F.sum("n"))).alias("auc"))
+    below = sums_before(counts, [], [score], ["n"])
+    return below.agg((F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2.0)) / F.when(F.sum("p") * F.sum("n") > 0, F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def coverage(rows: DataFrame, by: list[str], abstained: Column, **reasons: Column) -> DataFrame:
@@ -69,12 +72,10 @@ def replay(windows: DataFrame, onset: str = "onset_s", end: str = "end_s", posit
 def thresholds(rows: DataFrame, positive: Column, score: str) -> DataFrame:
     """(threshold, balanced_accuracy) of calling score >= threshold positive, for every midpoint of distinct scores and both ends.
 
-    Counts per distinct score and running sums: no cross join of thresholds and rows.
+    Counts per distinct score and running sums over ranges of scores: no cross join of thresholds and rows.
     """
     counts = rows.groupBy(F.col(score).cast("double").alias("v")).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
-    w, every = Window.orderBy("v"), Window.partitionBy()
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = counts.select("v", F.sum("p").over(upto).alias("pb"), F.sum("n").over(upto).alias("nb"), F.sum("p").over(every).alias("pt"), F.sum("n").over(every).alias("nt"), F.lead("v").over(w).alias("next"))
+    c = sums_before(counts, [], ["v"], ["p", "n"], "v").select("v", (F.col("p_before") + F.col("p")).alias("pb"), (F.col("n_before") + F.col("n")).alias("nb"), F.col("p_all").alias("pt"), F.col("n_all").alias("nt"), "next")
     above = c.select(F.when(F.col("next").isNull(), F.col("v") + 1.0).otherwise((F.col("v") + F.col("next")) / 2).alias("threshold"), ((F.col("pt") - F.col("pb")) / F.col("pt") / 2 + F.col("nb") / F.col("nt") / 2).alias("balanced_accuracy"))
     lowest = c.agg((F.min("v") - 1.0).alias("threshold"), F.lit(0.5).alias("balanced_accuracy"))
     return above.unionAll(lowest)
@@ -91,24 +92,41 @@ def paired(rows: DataFrame, a: str, b: str, tie: float = 1e-12) -> DataFrame:
     return rows.withColumn("delta", d).withColumn("verdict", F.when(d > tie, "HELPED").when(d < -tie, "HURT").otherwise("TIED"))
 
 
-def resample_plan(spark, strata: dict[str, int], replicates: int, seed: int) -> DataFrame:
-    """(replicate, stratum, place, times): how often a seeded stratified bootstrap draws each place.
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _draws(seeds: pd.Series, n: pd.Series, shares: pd.Series) -> pd.Series:
+    """Seeded multinomial counts."""
+    return pd.Series([np.random.default_rng(int(s)).multinomial(int(k), np.asarray(p, float) / np.sum(p)).tolist() for s, k, p in zip(seeds, n, shares, strict=True)])
+
+
+def bootstrap(cells: DataFrame, stratum: str, cell: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, stratum, cell, n): how often seeded resamples of the size of each stratum draw rows of each cell.
 
-    Sizes are those of an evaluation set, not of a corpus.
+    cells: counts (stratum, cell, n) of equal rows, so a resample is a multinomial draw of counts and no rows are
+    drawn; stratum null for a plain bootstrap.  The seed is the stratum's and the replicate's.
     """
-    rng, rows = np.random.default_rng(seed), []
-    for r in range(replicates):
-        for name, n in sorted(strata.items()):
-            places, times = np.unique(rng.integers(0, n, n), return_counts=True)
-            rows += [(r, name, int(p), int(t)) for p, t in zip(places, times, strict=True)]
-    return spark.createDataFrame(rows, "replicate int, stratum string, place int, times int")
-
-
-def bootstrap_accuracy(rows: DataFrame, truth: str, predicted: str, id: str, replicates: int, seed: int) -> DataFrame:  # noqa: A002
-    """low, high: percentile interval of balanced accuracy over stratified resamples."""
-    placed = rows.select(F.col(truth).alias("stratum"), (F.col(truth) == F.col(predicted)).cast("int").alias("hit"), (F.row_number().over(Window.partitionBy(truth).orderBy(id)) - 1).alias("place"))
-    strata = {r.stratum: r.n for r in placed.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
-    plan = resample_plan(rows.sparkSession, strata, replicates, seed)
-    recall = plan.join(placed, ["stratum", "place"]).groupBy("replicate", "stratum").agg((F.sum(F.col("hit") * F.col("times")) / F.sum("times")).alias("recall"))
-    per = recall.groupBy("replicate").agg(F.avg("recall").alias("ba"))
-    return per.agg(F.count("*").alias("replicates"), F.expr("percentile(ba, 0.025)").alias("low"), F.expr("percentile(ba, 0.975)").alias("high"))
+    listed = cells.groupBy(stratum).agg(F.array_sort(F.collect_list(F.struct(F.col(cell).alias("cell"), F.col("n")))).alias("c"))
+    each = listed.select(stratum, "c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    total = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    drawn = each.withColumn("d", _draws(F.abs(F.xxhash64(stratum, "replicate", F.lit(seed)) % (1 << 62)), total, F.transform("c", lambda x: x["n"].cast("double"))))
+    return drawn.select("replicate", stratum, F.inline(F.zip_with("c", "d", lambda x, k: F.struct(x["cell"].alias(cell), k.alias("n")))))
+
+
+def interval(values: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """replicates, low, high: the percentile interval of a value over replicates (as many rows as replicates)."""
+    return values.groupBy(*(by or [])).agg(F.count("*").alias("replicates"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
+
+
+def bootstrap_accuracy(rows: DataFrame, truth: str, predicted: str, replicates: int, seed: int) -> DataFrame:
+    """replicates, low, high: interval of balanced accuracy over stratified resamples."""
+    cells = rows.groupBy(F.col(truth).alias("stratum"), F.coalesce((F.col(truth) == F.col(predicted)).cast("int"), F.lit(0)).alias("hit")).agg(F.count("*").alias("n"))
+    recall = bootstrap(cells, "stratum", "hit", replicates, seed).groupBy("replicate", "stratum").agg((F.sum(F.col("hit") * F.col("n")) / F.sum("n")).alias("recall"))
+    return interval(recall.groupBy("replicate").agg(F.avg("recall").alias("ba")), "ba")
+
+
+def paired_bootstrap(rows: DataFrame, truth: str, a: str, b: str, replicates: int, seed: int) -> DataFrame:
+    """replicates, low, high of the difference of two predictions' balanced accuracies on the same resamples."""
+    hit = lambda c: F.coalesce((F.col(truth) == F.col(c)).cast("int"), F.lit(0))
+    cells = rows.groupBy(F.col(truth).alias("stratum"), (2 * hit(a) + hit(b)).alias("both")).agg(F.count("*").alias("n"))
+    gain = F.when(F.col("both") == 2, 1).when(F.col("both") == 1, -1).otherwise(0)
+    delta = bootstrap(cells, "stratum", "both", replicates, seed).groupBy("replicate", "stratum").agg((F.sum(gain * F.col("n")) / F.sum("n")).alias("delta"))
+    return interval(delta.groupBy("replicate").agg(F.avg("delta").alias("delta")), "delta")

@@ -11,15 +11,18 @@ def lot(id: str, seed: int) -> Column:  # noqa: A002
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string")))
 
 
-def lineage_split(rows: DataFrame, lineage: str, label: str, seed: int, shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
-    """rows with `split`: lineages of each label in seeded order, the first share to TRAIN, the next to VALIDATION."""
-    own = rows.select(lineage, label).distinct()
-    w = Window.partitionBy(label).orderBy(lot(lineage, seed), lineage)
+def lineage_split(rows: DataFrame, lineage: str, label: str, seed: int, shares: tuple[float, float] = (0.6, 0.2), by: Column | None = None) -> DataFrame:
+    """rows with `split`: lineages of each label in seeded order, the first share to TRAIN, the next to VALIDATION.
+
+    by: what orders them instead (a content digest, say), the same for all rows of a lineage.
+    """
+    own = rows.select(lineage, label, (lot(lineage, seed) if by is None else by).alias("_lot")).distinct()
+    w = Window.partitionBy(label).orderBy("_lot", lineage)
     n = F.count("*").over(Window.partitionBy(label))
     at = F.row_number().over(w)
     a, b = F.rint(n * shares[0]), F.rint(n * (shares[0] + shares[1]))
     placed = own.withColumn("split", F.when(at <= a, "TRAIN").when(at <= b, "VALIDATION").otherwise("TEST"))
-    return rows.join(placed, [lineage, label])
+    return rows.join(placed.drop("_lot"), [lineage, label])
 
 
 def balanced_bank(rows: DataFrame, id: str, label: str, each: int, seed: int) -> DataFrame:  # noqa: A002
@@ -38,8 +41,8 @@ def newest(rows: DataFrame, frame: str, n: int) -> DataFrame:
     return rows.orderBy(F.desc(frame)).limit(n)
 
 
-def strongest(rows: DataFrame, label: str, score: str, each: int) -> DataFrame:
-    w = Window.partitionBy(label).orderBy(F.desc(F.abs(score)), score)
+def strongest(rows: DataFrame, label: str, score: str, each: int, id: str) -> DataFrame:  # noqa: A002
+    w = Window.partitionBy(label).orderBy(F.desc(F.abs(score)), score, id)
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= each)
 
 

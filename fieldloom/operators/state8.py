@@ -28,9 +28,9 @@ LOW, MIDDLE, HIGH, FLOOR = 0.25, 2.0, 20.0, 1e-12
 CORE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("f0", "f1", "f2", "f3", "f5", "f6")])
 
 
-def reference(frames: DataFrame, n: int = REFERENCE) -> DataFrame:
+def reference(frames: DataFrame, n: int = REFERENCE, hz: float = quality.HZ) -> DataFrame:
     """(session_id, sensor_id, calibration, usable, north_ref, temperature_ref, valid, flags)."""
-    indexed = quality.index_frames(frames).filter(F.col("i") < n)
+    indexed = quality.index_frames(frames, hz).filter(F.col("i") < n)
     framed = indexed.groupBy("session_id").agg(F.count("*").alias("n_frames"))
     s = quality.samples(quality.readings(indexed))
     per = s.groupBy("session_id", "sensor_id").agg(
@@ -44,7 +44,7 @@ def reference(frames: DataFrame, n: int = REFERENCE) -> DataFrame:
         F.avg(F.when(F.col("usable"), F.col("x"))).alias("north"),
         F.avg(F.when(F.col("usable"), F.col("temperature"))).alias("warm"),
     )
-    even = quality.even(F.col("t"), n)
+    even = quality.even(F.col("t"), n, hz)
     tests = {"missing_reference_frame": F.col("n_frames") < n, "missing_reading": F.col("n") < F.col("n_frames"), "nonuniform_reference_sampling": F.col("odd"), "duplicate_sensor_id": F.col("twice"), "reference_calibration_not_stable": F.size("calibrations") != 1, "nonuniform_reference_sequence": ~even["sequence"], "nonuniform_reference_clock": ~even["clock"]}
     found = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in tests.items()]))
     judged = per.join(framed, "session_id").withColumn("flags", F.array_sort(F.array_distinct(F.concat("own", found))))
@@ -53,12 +53,12 @@ def reference(frames: DataFrame, n: int = REFERENCE) -> DataFrame:
     return judged.select("session_id", "sensor_id", only(F.get("calibrations", F.lit(0))).alias("calibration"), "usable", only(F.col("north")).alias("north_ref"), only(F.col("warm")).alias("temperature_ref"), valid.alias("valid"), "flags")
 
 
-def windows(frames: DataFrame, ref: DataFrame, first: int = REFERENCE, size: int = SIZE, hop: int = HOP) -> DataFrame:
+def windows(frames: DataFrame, ref: DataFrame, first: int = REFERENCE, size: int = SIZE, hop: int = HOP, hz: float = quality.HZ) -> DataFrame:
     """(session_id, sensor_id, s, origin_s, received, usable, flags, anomaly, warmer): one row per sensor and window.
 
     Windows are those that the session's frames reach the end of.
     """
-    indexed = quality.index_frames(frames)
+    indexed = quality.index_frames(frames, hz)
     ends = indexed.groupBy("session_id").agg(F.max("i").alias("last"), F.first("origin_s").alias("origin_s"))
     starts = ends.filter(F.col("last") >= first + size - 1).select("session_id", "origin_s", F.explode(F.sequence(F.lit(first), F.col("last") - size + 1, F.lit(hop))).alias("s"))
     per_window = slide(indexed.select("session_id", "i"), size, hop, first).groupBy("session_id", "s").agg(F.count("*").alias("n_frames"))
@@ -74,7 +74,7 @@ def windows(frames: DataFrame, ref: DataFrame, first: int = REFERENCE, size: int
         F.max("twice").alias("twice"),
     )
     joined = grid.join(per, ["session_id", "sensor_id", "s"], "left").withColumn("t", F.coalesce("t", F.expr("cast(array() as array<struct<i:bigint,sequence:bigint,micros:bigint,x:double,temperature:double,usable:boolean>>)")))
-    even = quality.even(F.col("t"), size)
+    even = quality.even(F.col("t"), size, hz)
     usable = F.size(F.filter("t", lambda x: x["usable"]))
     tests = {"reference_invalid": ~F.col("valid"), "missing_frame": F.coalesce("n_frames", F.lit(0)) < size, "missing_reading": F.size("t") < F.coalesce("n_frames", F.lit(0)), "nonuniform_sampling": F.col("odd"), "duplicate_sensor_id": F.col("twice"), "nonuniform_sequence": ~even["sequence"], "nonuniform_clock": ~even["clock"]}
     found = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in tests.items()]))
@@ -112,19 +112,22 @@ def correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(bottom > np.finfo(float).eps, np.clip((a * b).sum(axis=-1) / bottom, -1, 1), np.nan)
 
 
-@F.pandas_udf(CORE)
-def _core(anomalies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for column in anomalies:
-        out = np.full((len(column), 6), np.nan)
-        have = column.notna().to_numpy()
-        if have.any():
-            x = np.stack(column[have].to_numpy())
-            middle = np.median(x, axis=1, keepdims=True)
-            spread = 1.4826 * np.median(np.abs(x - middle), axis=1)
-            step = np.diff(x, axis=1)
-            out[have] = np.stack([x.mean(axis=1), spread, _trend(x, quality.HZ)[0], band_ratio_db(x), np.sqrt((step * step).mean(axis=1)), correlation(x[:, :-1], x[:, 1:])], axis=1)
-        frame = pd.DataFrame(out, columns=CORE.names)
-        yield frame.astype(object).where(frame.notna(), None)
+def _core(hz: float):
+    @F.pandas_udf(CORE)
+    def core(anomalies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in anomalies:
+            out = np.full((len(column), 6), np.nan)
+            have = column.notna().to_numpy()
+            if have.any():
+                x = np.stack(column[have].to_numpy())
+                middle = np.median(x, axis=1, keepdims=True)
+                spread = 1.4826 * np.median(np.abs(x - middle), axis=1)
+                step = np.diff(x, axis=1)
+                out[have] = np.stack([x.mean(axis=1), spread, _trend(x, hz)[0], band_ratio_db(x, hz), np.sqrt((step * step).mean(axis=1)), correlation(x[:, :-1], x[:, 1:])], axis=1)
+            frame = pd.DataFrame(out, columns=CORE.names)
+            yield frame.astype(object).where(frame.notna(), None)
+
+    return core
 
 
 PEER = T.StructType([T.StructField("f5", T.DoubleType()), T.StructField("f6", T.DoubleType())])
@@ -144,14 +147,14 @@ def _peers(focal: pd.Series, peers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=PEER.names, dtype=object)
 
 
-def features(frames: DataFrame, ref: DataFrame | None = None, profile: str = "local", latest: bool = False, **shape: int) -> DataFrame:
+def features(frames: DataFrame, ref: DataFrame | None = None, profile: str = "local", latest: bool = False, **shape: float) -> DataFrame:
     """(session_id, sensor_id, s, window_id, start_s, values array<double>(8), valid, flags, peers, received, usable)."""
-    ref = reference(frames) if ref is None else ref
-    size = shape.get("size", SIZE)
+    hz, size = shape.get("hz", quality.HZ), shape.get("size", SIZE)
+    ref = reference(frames, shape.get("first", REFERENCE), hz) if ref is None else ref
     w = windows(frames, ref, **shape)
     if latest:
         w = w.join(w.groupBy("session_id").agg(F.max("s").alias("s")), ["session_id", "s"])
-    w = w.withColumn("c", _core(F.col("anomaly")))
+    w = w.withColumn("c", _core(hz)(F.col("anomaly")))
     no_peers = F.array().cast("array<string>")
     if profile == "network":
         # A session has few sensors, so a window's sensors fit one row.
@@ -174,7 +177,7 @@ def features(frames: DataFrame, ref: DataFrame | None = None, profile: str = "lo
         "sensor_id",
         "s",
         F.concat_ws(":", "session_id", F.lit(profile), "sensor_id", F.col("s").cast("string"), (F.col("s") + size).cast("string")).alias("window_id"),
-        (F.col("origin_s") + F.col("s") / quality.HZ).alias("start_s"),
+        (F.col("origin_s") + F.col("s") / hz).alias("start_s"),
         "values",
         "valid",
         F.when(F.col("valid"), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_union("flags", added))).alias("flags"),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from math import erfc, sqrt
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import quantiles, sums_before
+
 #: What the rule watches, by place in the eight features: absolute mean, spread, absolute slope, peer residual.
 WATCHED = {"mean": (0, True), "spread": (1, False), "slope": (2, True), "residual": (5, False)}
 
@@ -15,7 +17,9 @@ WATCHED = {"mean": (0, True), "spread": (1, False), "slope": (2, True), "residua
 def rule_thresholds(rows: DataFrame, values: str, q: float = 0.99) -> DataFrame:
     """One row: the q quantile (linear) of each watched feature over normal training rows."""
     pick = lambda i, size: F.abs(F.get(values, F.lit(i))) if size else F.get(values, F.lit(i))
-    return rows.agg(*[F.percentile(pick(i, size), F.lit(q)).alias(n) for n, (i, size) in WATCHED.items()])
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), pick(i, size).alias("v")) for n, (i, size) in WATCHED.items()])))
+    found = quantiles(long, ["name"], "v", q)
+    return found.agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in WATCHED])
 
 
 def rule_status(mean: Column, spread: Column, slope: Column, residual: Column, t: dict[str, Column]) -> Column:
@@ -33,11 +37,10 @@ def standardiser(rows: DataFrame, columns: list[str]) -> DataFrame:
 def signed_ranks(rows: DataFrame, delta: str) -> DataFrame:
     """One row: sums of positive and negative ranks of |delta| with zeros kept (Pratt) and ties averaged.
 
-    Counts per distinct |delta| carry it, so ties need no sort of all rows.
+    Counts per distinct |delta|, summed over ranges of it, carry it.
     """
     c = rows.groupBy(F.abs(delta).alias("a")).agg(F.sum((F.col(delta) > 0).cast("long")).alias("up"), F.sum((F.col(delta) < 0).cast("long")).alias("down"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = c.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+    r = sums_before(c, [], ["a"], ["n"]).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
     zero = F.col("a") == 0
     return r.agg(
         F.sum(F.col("rank") * F.col("up")).alias("plus"),
@@ -53,26 +56,17 @@ def wilcoxon(rows: DataFrame, delta: str) -> tuple[float, float]:
     r = signed_ranks(rows, delta).first()
     if not r.n or r.n == r.zeros:
         return 0.0, 1.0
-    n, z = r.n, r.zeros
-    mean = (n * (n + 1) - z * (z + 1)) / 4
-    variance = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1)) / 24 - r.ties / 48
-    low = min(r.plus, r.minus)
-    return float(low), float(min(1.0, erfc(abs(low - mean) / sqrt(variance) / sqrt(2))))
-
+    return float(min(r.plus, r.minus)), float(min(1.0, erfc(signed_z(r) / sqrt(2))))
 
-def kernel_stats(gram: DataFrame, i: str = "i", j: str = "j", k: str = "k") -> DataFrame:
-    """One row: diagonal and off-diagonal spread of a kernel in long form."""
-    diagonal = F.col(i) == F.col(j)
-    on, off = F.when(diagonal, F.col(k)), F.when(~diagonal, F.col(k))
-    return gram.agg(F.sum(on).alias("trace"), *[f(c).alias(f"{p}_{n}") for p, c in (("diag", on), ("off", off)) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("sd", F.stddev_pop))])
 
-
-def spectrum(matrix: np.ndarray) -> dict[str, float]:
-    """Eigenvalue diagnostics of a small symmetric kernel."""
-    w = np.clip(np.linalg.eigvalsh((matrix + matrix.T) / 2), 0, None)
-    p = w / w.sum()
-    p = p[p > 0]
-    return {"trace": float(w.sum()), "effective_rank": float(np.exp(-(p * np.log(p)).sum())), "largest_share": float(w.max() / w.sum()), "condition": float(w.max() / max(w.min(), np.finfo(float).tiny))}
+def signed_z(r) -> float:
+    """Distance of the lesser rank sum from its mean, in deviations; 0 if all deltas are 0."""
+    n, z = r.n or 0, r.zeros or 0
+    if n == z:
+        return 0.0
+    mean = (n * (n + 1) - z * (z + 1)) / 4
+    variance = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1)) / 24 - r.ties / 48
+    return abs(min(r.plus, r.minus) - mean) / sqrt(variance)
 
 
 def replica_summary(rows: DataFrame, by: str, value: str) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Encoders with a phase, random features, sampled overlaps, controls, replicated studies, observability.
+"""Encoders with a phase, random features, controls, replicated studies, observability, bounded descent.
 
-What is fitted on bounded sets of rows is held by the driver; what is applied to
-all rows is column expressions or an Arrow function.
+What is fitted comes from sums over all training rows; what is applied to rows is
+column expressions.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar
-from . import kernel, networks, selection, statistics
+from . import kernel, metrics, selection, statistics
 
 #: Fixed value: the coordinate that holds a phase.
 PHASE = 1
@@ -36,76 +36,75 @@ def frequencies(inputs: int, n: int, gamma: float, seed: int) -> tuple[np.ndarra
     return rng.normal(0, np.sqrt(2 * gamma), (n, inputs)), rng.uniform(0, 2 * np.pi, n)
 
 
-def random_features(columns: list[Column], directions: np.ndarray, offsets: np.ndarray) -> Column:
-    """array of sqrt(2/n) cos(w.x + b): dot products of it approximate the kernel, and all of it is column math."""
+def random_features(x: Column, directions: np.ndarray, offsets: np.ndarray) -> Column:
+    """array of sqrt(2/n) cos(w.x + b) of an array column: dot products of it approximate the kernel."""
     scale = float(np.sqrt(2 / len(offsets)))
-    dot = lambda w: sum((c * float(v) for c, v in zip(columns[1:], w[1:], strict=True)), columns[0] * float(w[0]))
-    return F.array(*[F.cos(dot(w) + float(b)) * scale for w, b in zip(directions, offsets, strict=True)])
+    parts = F.lit([[*w, b] for w, b in zip(directions.tolist(), offsets.tolist(), strict=True)])
+    return F.transform(parts, lambda p: F.cos(kernel.dot(F.concat(x, F.array(F.lit(1.0))), p)) * scale)
 
 
-def sampled_overlaps(rows: DataFrame, id: str, angles: str, marks: np.ndarray, theta: np.ndarray, shots: int, seed: int) -> DataFrame:  # noqa: A002
-    """(id, j, k): overlaps as `shots` seeded draws would estimate them; the stream is the id's, so reruns agree."""
-    own = kernel.states(marks, theta)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def drawn(ids: pd.Series, x: pd.Series) -> pd.Series:
-        exact = kernel.fidelity(kernel.states(np.stack(x.to_numpy()), theta), own)
-        return pd.Series([np.random.default_rng([seed, int(i)]).binomial(shots, p) / shots for i, p in zip(ids, exact, strict=True)])
-
-    return rows.select(id, F.posexplode(drawn(F.col(id), F.col(angles))).alias("j", "k"))
-
-
-def circuit_budget(samples: int, metric_samples: int, parameters: int = 16) -> int:
-    """Circuits of one sampled natural-gradient step: kernel, two shifts for each parameter, metric."""
-    pairs = samples * (samples - 1) // 2
-    return pairs * (1 + 2 * parameters) + metric_samples * parameters * (parameters + 1) // 2 * 4
-
-
-def positive_control(rows: DataFrame, id: str, angles: str, prototypes: np.ndarray, theta: np.ndarray, n: int) -> DataFrame:  # noqa: A002
+def positive_control(rows: DataFrame, id: str, x: str, prototypes: list[tuple[int, list[float]]], gamma: float, n: int) -> DataFrame:  # noqa: A002
     """(id, label, score, place): labels from the kernel's contrast to two prototypes, the n/2 clearest of each."""
-    near = kernel.cross_kernel(rows, id, angles, prototypes, theta)
-    contrast = near.groupBy(id).agg(F.sum(F.when(F.col("j") == 0, F.col("k")).otherwise(-F.col("k"))).alias("score"))
-    return selection.strongest(contrast.withColumn("label", F.when(F.col("score") >= 0, 1).otherwise(-1)), "label", "score", n // 2)
+    a, b = (kernel.rbf(F.col(x), F.lit(p), gamma) for _, p in prototypes)
+    contrast = rows.select(id, (a - b).alias("score")).withColumn("label", F.when(F.col("score") >= 0, 1).otherwise(-1))
+    return selection.strongest(contrast, "label", "score", n // 2, id)
 
 
-RESULT = "replica int, method string, balanced_accuracy double, train_size int, test_size int"
+def replicated_study(rows: DataFrame, id: str, x: str, label: str, replicas: int, seed: int, methods: dict[str, Column], permute: bool = False) -> DataFrame:  # noqa: A002
+    """(replica, method, n, balanced_accuracy, macro_f1): nearest class mean over encodings of all rows, for seeded splits.
 
-
-def _balanced(y: np.ndarray, said: np.ndarray) -> float:
-    return float(np.mean([(said[y == c] == c).mean() for c in np.unique(y)]))
-
-
-def replicated_study(rows: DataFrame, angles: str, label: str, replicas: int, seed: int, theta: np.ndarray, permute: bool = False) -> DataFrame:
-    """A row for each replica and method on a bounded bank of rows, each replica a task of its own.
-
-    rows: the bank (hundreds of rows; it goes along with the function).  permute: the negative control, whose
-    training labels are shuffled.
+    Each replica draws its own three quarters for training by a hash of the id.  methods: name and encoding (an array
+    column).  permute: the negative control, whose training labels are drawn by another hash.  Class means are grouped
+    sums; a row is scored against the few means of its replica and method.
+    """
+    lot = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}{k}"), "replica", F.col(id).cast("string"))), 1, 8), 16, 10).cast("long")
+    each = F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))
+    encoded = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), v.alias("z")) for m, v in methods.items()]))
+    long = rows.select(id, F.col(label).cast("string").alias("truth"), x, each.alias("replica")).withColumn("train", F.pmod(lot("s"), F.lit(4)) < 3).withColumn("m", encoded).select(id, "truth", "replica", "train", "m.method", "m.z")
+    told = F.pmod(lot("p"), F.lit(2)).cast("string") if permute else F.col("truth")
+    places = long.filter("train").withColumn("told", told).select("replica", "method", "told", F.posexplode("z").alias("i", "v"))
+    coordinate = places.groupBy("replica", "method", "told", "i").agg(F.avg("v").alias("v"))
+    centre = coordinate.groupBy("replica", "method", "told").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("c"))
+    centres = centre.groupBy("replica", "method").agg(F.array_sort(F.collect_list(F.struct(F.col("told").alias("label"), "c"))).alias("all"))
+    far = lambda c: F.aggregate(F.zip_with("z", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    nearest = F.array_min(F.transform("all", lambda c: F.struct(F.round(far(c["c"]), 9).alias("d"), c["label"].alias("label"))))["label"]
+    said = long.filter("not train").join(F.broadcast(centres), ["replica", "method"]).withColumn("said", nearest)
+    return metrics.scores(said, "truth", "said", ["replica", "method"])
+
+
+def descend(rows: DataFrame, x: str, y: str, steps: int, rate: float, cap: float, stop: float = 1e-6) -> tuple[np.ndarray, list[tuple[int, float, float, str]]]:
+    """Weights and history (step, loss, step's length, state) of logistic gradient descent over all rows.
+
+    A step's length is held to `cap`; it ends after `steps`, or when the gradient is shorter than `stop`.  Each step is
+    one pass of partial sums.
     """
-    bank = rows.select(angles, label).collect()
-    x, y = np.array([r[0] for r in bank], float), np.array([1.0 if r[1] > 0 else -1.0 for r in bank])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part["replica"].tolist():
-                rng = np.random.default_rng([seed, r])
-                order = np.concatenate([rng.permutation(np.flatnonzero(y == c))[: int((y == c).sum() * 0.75)] for c in (-1.0, 1.0)])
-                test = np.setdiff1d(np.arange(len(y)), order)
-                own = rng.permutation(y[order]) if permute else y[order]
-                a, b = kernel.states(x[order], theta), kernel.states(x[test], theta)
-                w, c = frequencies(x.shape[1], 64, 0.5, r)
-                lift = lambda v: np.cos(v @ w.T + c) * np.sqrt(2 / len(c))  # noqa: B023, E731
-                kernels = {"kernel": (kernel.fidelity(a, a), kernel.fidelity(b, a)), "rbf": (networks.rbf(x[order], x[order], 0.5), networks.rbf(x[test], x[order], 0.5)), "random_features": (lift(x[order]) @ lift(x[order]).T, lift(x[test]) @ lift(x[order]).T)}
-                out = []
-                for name, (train, cross) in kernels.items():
-                    dual, bias = networks.fit_kernel_machine(train, own)
-                    out.append((r, name, _balanced(y[test], np.where(cross @ dual + bias >= 0, 1.0, -1.0)), len(order), len(test)))
-                net = networks.fit_network(x[order], [str(int(v)) for v in own], seed=r, steps=60)
-                said = np.array([float(net.classes[k]) for k in net.scores(x[test]).argmax(axis=1)])
-                out.append((r, "network", _balanced(y[test], said), len(order), len(test)))
-                yield pd.DataFrame(out, columns=[f.split()[0] for f in RESULT.split(", ")])
-
-    spark = rows.sparkSession
-    return spark.range(replicas).select(F.col("id").cast("int").alias("replica")).repartition(replicas).mapInPandas(run, RESULT)
+    first = rows.select(F.size(x).alias("d")).first()
+    w, history = np.zeros(first.d if first else 0), []
+    for k in range(steps):
+
+        def part(batches: Iterator[pd.DataFrame], w: np.ndarray = w) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    v, t = np.stack(b["x"].to_numpy()).astype(float), b["y"].to_numpy(float)
+                    z = v @ w
+                    loss = (np.logaddexp(0, z) - t * z).sum()
+                    g = v.T @ (1 / (1 + np.exp(-np.clip(z, -709, 709))) - t)
+                    yield pd.DataFrame({"k": np.arange(len(g) + 2), "v": [len(v), loss, *g]})
+
+        sums = rows.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y")).mapInPandas(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+        if not sums:
+            break
+        n, loss, g = sums[0].v, sums[1].v, np.array([r.v for r in sums[2:]])
+        step = rate * g / n
+        length = float(np.sqrt(step @ step))
+        if length > cap:
+            step, length = step * (cap / length), cap
+        state = "converged" if np.sqrt(g @ g) / n < stop else "budget" if k == steps - 1 else "running"
+        w = w - step
+        history.append((k, float(loss / n), length, state))
+        if state == "converged":
+            break
+    return w, history
 
 
 OBSERVED = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("condition", T.DoubleType()), T.StructField("singular", T.ArrayType(T.DoubleType()))])

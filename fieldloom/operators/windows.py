@@ -1,8 +1,9 @@
 """Windows over indexed samples.
 
-Each sample is sent to the windows that hold it (size / hop at most), so a window
-is an ordinary equi-group: no range join, no sort of a whole series.  Groups are
-bounded by the window's size.
+Samples are grouped once into blocks of one hop; a window is a run of blocks, put
+together from the blocks behind its first one (whole_windows).  Where a window may
+lack samples, each sample is sent to the windows that hold it (slide), which are
+ordinary equi-groups bounded by the window's size.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS
 from ..functions.scalar import held as bounded
+from ..shared import let
 
 
 def indexed(rows: DataFrame, key: str, *order: str, name: str = "i") -> DataFrame:
@@ -33,6 +35,31 @@ def whole(windowed: DataFrame, size: int, *keys: str) -> DataFrame:
     return windowed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("t")).filter(F.size("t") == size)
 
 
+#: Blocks that one task puts together in order: a long series is many such runs.
+RUN = 4096
+
+
+def whole_windows(rows: DataFrame, size: int, hop: int, first: int, key: str, index: str = "i", start: str = "s") -> DataFrame:
+    """(key, start, t): the windows with all their samples, as arrays of (i, x) in order.
+
+    size is a multiple of hop.  Each sample is shuffled once, as part of its block.  Runs of blocks overlap by what a
+    window needs beyond its first block, so no task holds a whole series.
+    """
+    if size % hop:
+        return whole(slide(rows, size, hop, first, index, start), size, key, start)
+    n = size // hop
+    block = F.expr(f"({index} - {first}) div {hop}")
+    blocks = rows.filter(F.col(index) >= first).groupBy(key, block.alias("b")).agg(F.array_sort(F.collect_list(F.struct(index, "x"))).alias("t")).filter(F.size("t") == hop)
+    run = F.expr(f"b div {RUN}")
+    shared = F.when((F.col("b") % RUN < n - 1) & (F.col("b") >= RUN), F.array(run, run - 1)).otherwise(F.array(run))
+    w = Window.partitionBy(key, "run").orderBy("b")
+    placed = blocks.withColumn("run", F.explode(shared))
+    ahead = [F.lead("t", k).over(w) for k in range(1, n)]
+    last = F.lead("b", n - 1).over(w) if n > 1 else F.col("b")
+    found = placed.select(key, "b", "run", F.concat("t", *ahead).alias("t"), last.alias("last")).filter((F.col("last") == F.col("b") + n - 1) & (F.col("run") == run))
+    return found.select(key, (F.col("b") * hop + first).alias(start), "t")
+
+
 def mean(a: Column) -> Column:
     return total(a) / F.size(a)
 
@@ -42,13 +69,13 @@ def total(a: Column) -> Column:
 
 
 def median(a: Column) -> Column:
-    s, n = F.sort_array(a), F.size(a)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    n = F.size(a)
+    return let(F.sort_array(a), lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
 
 def mad(a: Column) -> Column:
     """1.4826 times the median distance from the median."""
-    return 1.4826 * median(F.transform(a, lambda x: F.abs(x - median(a))))
+    return 1.4826 * let(median(a), lambda m: median(F.transform(a, lambda x: F.abs(x - m))))
 
 
 def slope(a: Column, hz: float) -> Column:
@@ -61,11 +88,15 @@ def slope(a: Column, hz: float) -> Column:
 
 def pearson(a: Column, b: Column) -> Column:
     """Correlation of two arrays held to +-1; null where it is undefined."""
-    ma, mb = mean(a), mean(b)
-    da, db = F.transform(a, lambda x: x - ma), F.transform(b, lambda x: x - mb)
-    bottom = F.sqrt(total(F.transform(da, lambda x: x * x)) * total(F.transform(db, lambda x: x * x)))
-    r = total(F.zip_with(da, db, lambda x, y: x * y)) / F.when(bottom > EPS, bottom)
-    return bounded(r, -1.0, 1.0)
+
+    def about(a: Column) -> Column:
+        return let(mean(a), lambda m: F.transform(a, lambda x: x - m))
+
+    def ratio(d: Column) -> Column:
+        bottom = F.sqrt(total(F.transform(d["a"], lambda x: x * x)) * total(F.transform(d["b"], lambda x: x * x)))
+        return total(F.zip_with(d["a"], d["b"], lambda x, y: x * y)) / F.when(bottom > EPS, bottom)
+
+    return let(let(F.struct(about(a).alias("a"), about(b).alias("b")), ratio), lambda r: bounded(r, -1.0, 1.0))
 
 
 def _steps(a: Column) -> tuple[Column, Column]:

@@ -49,11 +49,15 @@ def coverage_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("coverage", F.round("coverage", 6))
 
 
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user is an episode, most have an onset, and high values are detections."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("episode"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("end_s"), (F.col("value") > 60).alias("positive"), F.when(F.col("user_id") % 3 > 0, F.lit(1705276800.0)).alias("onset_s"))
+
+
 @query("""WITH w AS (SELECT user_id AS episode, epoch(ts) AS e, value > 60 AS pos, CASE WHEN user_id % 3 > 0 THEN epoch(TIMESTAMP '2024-01-15') END AS onset FROM events)
 SELECT episode, CAST(sum(CASE WHEN pos AND (onset IS NULL OR e <= onset) THEN 1 ELSE 0 END) AS BIGINT) AS fp_windows, round(min(CASE WHEN pos AND e > onset THEN e END) - max(onset), 3) AS delay_s, max(onset) IS NOT NULL AND min(CASE WHEN pos AND e > onset THEN e END) IS NULL AS censored FROM w GROUP BY episode""")
 def detection_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("end_s"), (F.col("value") > 60).alias("positive"), F.when(F.col("user_id") % 3 > 0, F.lit(1705276800.0)).alias("onset_s"))
-    return M.replay(e).select("episode", "fp_windows", F.round("delay_s", 3).alias("delay_s"), "censored")
+    return M.replay(episodes(spark, sf_dir)).select("episode", "fp_windows", F.round("delay_s", 3).alias("delay_s"), "censored")
 
 
 @query(f"""WITH {BASE}, v AS (SELECT n_chars::DOUBLE AS v, sum(quality) AS p, sum(1 - quality) AS n FROM b GROUP BY 1), c AS (SELECT v, sum(p) OVER q AS pb, sum(n) OVER q AS nb, sum(p) OVER () AS pt, sum(n) OVER () AS nt, lead(v) OVER (ORDER BY v) AS nx FROM v WINDOW q AS (ORDER BY v)),

@@ -12,6 +12,7 @@ from ..functions import scalar
 from ..operators import statistics as S
 from ..operators import windows as W
 from ..registry import query
+from ..shared import let, stored
 from ..sources.tables import table
 
 REF, SIZE, HOP = 20, 20, 5
@@ -35,7 +36,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sensor, s, a): complete windows as arrays of differences from the sensor's reference."""
     rows = series(spark, sf_dir).select("sensor", "i", "x")
-    found = W.whole(W.slide(rows, SIZE, HOP, REF), SIZE, "sensor", "s")
+    found = W.whole_windows(rows, SIZE, HOP, REF, "sensor")
     ref = W.first_of(rows, "sensor", REF)
     return found.join(ref, "sensor").select("sensor", "s", F.transform("t", lambda t: t["x"] - F.col("ref")).alias("a"))
 
@@ -96,7 +97,7 @@ def p99_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sensor, s, CASE WHEN c AND d THEN 'MIXED' WHEN c THEN 'COMMON' WHEN d THEN 'DISAGREEMENT' ELSE 'NONE' END AS status FROM q""")
 def rule_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: reference, sliding windows, robust features, learned thresholds, a status per window."""
-    found = features(spark, sf_dir)
+    found = stored(features(spark, sf_dir))
     t = _thresholds(found).first()  # one row
     limits = {c: F.lit(t[c]) for c in S.WATCHED}
     return found.select("sensor", "s", S.rule_status(F.abs("f0"), F.col("f1"), F.abs("f2"), F.col("f5"), limits).alias("status"))
@@ -143,9 +144,12 @@ def reference_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.filter("k <> 'view'").join(ref, "d").select("k", "d", F.round(F.col("v") - F.col("w"), 6).alias("diff"))
 
 
-@query(f"WITH {R} SELECT sensor, round(count(CASE WHEN event_type <> 'error' THEN 1 END) / 40.0, 6) AS received FROM r WHERE i < 40 GROUP BY sensor")
+@query(f"WITH {R}, st AS (SELECT sensor, unnest(range(20, max(i) - 18, 5)) AS s FROM r GROUP BY sensor) SELECT st.sensor, s, round(count(CASE WHEN event_type <> 'error' THEN 1 END) / 20.0, 6) AS received FROM st JOIN r ON r.sensor = st.sensor AND r.i >= s AND r.i < s + 20 GROUP BY ALL")
 def feat_received_frac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series(spark, sf_dir).filter("i < 40").groupBy("sensor").agg(F.round(F.count(F.when(F.col("event_type") != "error", 1)) / 40.0, 6).alias("received"))
+    """The share of each window's samples that are no errors."""
+    rows = series(spark, sf_dir).select("sensor", "i", (F.col("event_type") != "error").cast("double").alias("x"))
+    found = W.whole_windows(rows, SIZE, HOP, REF, "sensor")
+    return found.select("sensor", "s", F.round(W.total(F.transform("t", lambda t: t["x"])) / SIZE, 6).alias("received"))
 
 
 _BINS = 9
@@ -160,7 +164,7 @@ def band_power_dft(spark: SparkSession, sf_dir: str) -> DataFrame:
     from math import cos, pi, sin
 
     a, n = F.col("a"), SIZE
-    flat = F.transform(a, lambda x, k: (x - W.mean(a) - W.slope(a, 1.0) * (k - (n - 1) / 2)))
+    flat = let(F.struct(W.mean(a).alias("m"), W.slope(a, 1.0).alias("k")), lambda line: F.transform(a, lambda x, k: x - line["m"] - line["k"] * (k - (n - 1) / 2)))
     hann = F.array(*[F.lit(0.5 - 0.5 * cos(2 * pi * k / (n - 1))) for k in range(n)])
     rows = anomalies(spark, sf_dir).select("sensor", "s", F.zip_with(flat, hann, lambda x, h: x * h).alias("v"))
 
@@ -172,15 +176,6 @@ def band_power_dft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sensor", "s", F.round(scalar.ratio_db(low, high), 5).alias("ratio_db"))
 
 
-@query("""SELECT event_id, list_sort(list_filter([CASE WHEN value < 5 THEN 'low' END, CASE WHEN event_type = 'error' THEN 'error' END, CASE WHEN props IS NULL THEN 'no_props' END], lambda x: x IS NOT NULL))::VARCHAR AS flags,
- value >= 5 AND event_type <> 'error' AND props IS NOT NULL AS usable FROM events""")
-def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    tests = {"low": F.col("value") < 5, "error": F.col("event_type") == "error", "no_props": F.col("props").isNull()}
-    flags = F.array_sort(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in tests.items()])))
-    return e.select("event_id", F.concat(F.lit("["), F.array_join(flags, ", "), F.lit("]")).alias("flags"), (F.size(flags) == 0).alias("usable"))
-
-
 @query(f"""WITH {R}, b AS (SELECT *, CASE WHEN event_type = 'error' OR coalesce(lag(event_type) OVER (PARTITION BY sensor ORDER BY i) = 'error', true) THEN 1 ELSE 0 END AS brk FROM r),
 g AS (SELECT *, sum(brk) OVER (PARTITION BY sensor ORDER BY i) AS run FROM b), u AS (SELECT sensor, run, min(i) AS first_i, max(i) AS last_i, count(*) AS n FROM g WHERE event_type <> 'error' GROUP BY ALL)
 SELECT sensor, first_i, last_i, n FROM u QUALIFY last_i = max(last_i) OVER (PARTITION BY sensor) AND n >= 4""")
@@ -188,13 +183,6 @@ def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.islands(series(spark, sf_dir), "sensor", F.col("event_type") != "error", 4)
 
 
-@query("SELECT user_id, h, event_id, n FROM (SELECT user_id, date_trunc('hour', ts) AS h, event_id, row_number() OVER q AS k, count(*) OVER (PARTITION BY user_id, date_trunc('hour', ts)) AS n FROM events WINDOW q AS (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id)) WHERE k = 1")
-def frame_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first row of each index, and how many the index had: an aggregate, no sort."""
-    e = table(spark, sf_dir, "events").withColumn("h", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    return e.groupBy("user_id", "h").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("event_id"), F.count("*").alias("n"))
-
-
 @query(f"WITH {R} SELECT sensor, i, round(last_value(CASE WHEN event_type <> 'error' THEN x END IGNORE NULLS) OVER (PARTITION BY sensor ORDER BY i), 6) AS held FROM r")
 def stuck_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.held(series(spark, sf_dir), "sensor", F.col("event_type") == "error").select("sensor", "i", F.round("held", 6).alias("held"))
@@ -206,12 +194,6 @@ def random_walk_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).select("sensor", "i", F.round(F.sum("x").over(w), 4).alias("walk"))
 
 
-@query(f"WITH {R} SELECT sensor, bool_and(coalesce(ts >= p, true)) AS ordered, count(*) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY sensor ORDER BY i) AS p FROM r) GROUP BY sensor")
-def stream_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = series(spark, sf_dir).withColumn("p", F.lag("ts").over(Window.partitionBy("sensor").orderBy("i")))
-    return rows.groupBy("sensor").agg(F.bool_and(F.coalesce(F.col("ts") >= F.col("p"), F.lit(True))).alias("ordered"), F.count("*").alias("n"))
-
-
 @query("SELECT event_id, ts, false AS gap FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 50")
 def cursor_page_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.selection import page

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from fieldloom.functions import geometry as G
 from fieldloom.functions import scalar
-from fieldloom.operators import harmonic, joins, kernel, metrics, networks, selection, statistics, windows
+from fieldloom import shared
+from fieldloom.operators import harmonic, joins, kernel, metrics, selection, statistics, windows
 from fieldloom.sinks import datasets
 from fieldloom.sources import tables
 from pyspark.sql import functions as F
@@ -40,96 +41,76 @@ def test_geometry(spark):
     assert row.r == 0.375 and row.phase == -math.pi and row.soft == [0.5, 0.5] and row.snr == 0 and row.i == 2 and row.null1 is None and row.null2 is None
 
 
-def gate_state(x, theta):
-    """The circuit gate by gate on one state."""
-    s = np.zeros(256, complex)
-    s[0] = 1
-
-    def ry(a, q):
-        nonlocal s
-        out = s.copy()
-        for i in range(256):
-            if not i >> q & 1:
-                j = i | 1 << q
-                out[i], out[j] = math.cos(a / 2) * s[i] - math.sin(a / 2) * s[j], math.sin(a / 2) * s[i] + math.cos(a / 2) * s[j]
-        s = out
-
-    def rz(a, q):
-        for i in range(256):
-            s[i] *= np.exp((0.5j if i >> q & 1 else -0.5j) * a)
-
-    for q in range(8):
-        ry(x[q], q)
-    for q in range(8):
-        rz(theta[q], q)
-    for a, b in kernel.EDGES:
-        for i in range(256):
-            if i >> a & 1 and i >> b & 1:
-                s[i] *= -1
-    for q in range(8):
-        ry(theta[8 + q], q)
-    for q in range(8):
-        rz(x[q], q)
-    return s
-
-
-def test_states_and_gradient():
-    rng = np.random.default_rng(0)
-    x, theta, y = rng.normal(size=(6, 8)), rng.normal(size=16), np.array([1.0, -1, 1, -1, 1, -1])
-    s = kernel.states(x, theta)
-    assert np.allclose(s, [gate_state(v, theta) for v in x], atol=1e-12) and np.allclose(np.abs(s) ** 2 @ np.ones(256), 1)
-    loss, slope, metric = kernel.loss_and_slopes(x, y, theta)
-    for r in range(16):
-        d = np.zeros(16)
-        d[r] = 1e-5
-        up, down = (kernel.alignment(kernel.fidelity(*[kernel.states(x, theta + k * d)] * 2), y)[0] for k in (1, -1))
-        assert slope[r] == pytest.approx((up - down) / 2e-5, abs=1e-6)
-    assert np.linalg.eigvalsh(metric).min() > -1e-12
-    _, history = kernel.natural_gradient(x, y, theta, steps=5)
-    assert history[0] == pytest.approx(loss) and all(a > b for a, b in zip(history, history[1:]))
-
-
 def test_landmark_embedding(spark):
     rng = np.random.default_rng(1)
-    marks, theta = rng.normal(size=(6, 8)), rng.normal(size=16)
-    rows = spark.createDataFrame([(i, [float(v) for v in m]) for i, m in enumerate(marks)], "id long, x array<double>")
-    out = rows.select("id", kernel.embedder(marks, theta)("x").alias("e")).collect()
-    assert all(r.e.residual < 1e-4 for r in out)
-    z = np.array([r.e.z for r in sorted(out)])
-    assert np.allclose(z @ z.T, kernel.fidelity(*[kernel.states(marks, theta)] * 2), atol=1e-4)
+    marks = rng.normal(size=(6, 8))
+    rows = spark.createDataFrame([(i, [float(v) for v in m]) for i, m in enumerate(np.concatenate([marks, rng.normal(size=(9, 8))]))], "id long, x array<double>")
+    gram = lambda a, b: np.exp(-0.3 * ((a[:, None] - b[None]) ** 2).sum(axis=2))
+    out = sorted((r.id, r.e.z, r.e.residual) for r in rows.select("id", kernel.embed(F.col("x"), marks, 0.3).alias("e")).collect())
+    x = np.array([r.x for r in sorted(rows.collect())])
+    z = gram(x, marks) @ np.linalg.cholesky(np.linalg.inv(gram(marks, marks) + 1e-6 * np.eye(6)))  # another root, the same products
+    mine = np.array([v for _, v, _ in out])
+    assert np.allclose(mine @ mine.T, z @ z.T, atol=1e-6) and np.allclose([r for *_, r in out], np.maximum(0, 1 - (z * z).sum(axis=1)), atol=1e-6)
+    assert all(r < 1e-4 for *_, r in out[:6])
+    with pytest.raises(ValueError, match="negative eigenvalue"):
+        kernel.basis(np.array([[1.0, 2.0], [2.0, 1.0]]))
     pool = spark.createDataFrame([(f"e{i:02d}", f"l{i // 2}", "ab"[i % 4 // 2]) for i in range(24)], "id string, lineage string, label string")
     chosen = kernel.landmarks(pool, "id", "lineage", "label", 3, 8).collect()
     assert [r.label for r in chosen] == ["a", "b"] * 4 and len({r.id for r in chosen}) == 8
     assert sorted(map(tuple, kernel.landmarks(pool.orderBy(F.rand(1)), "id", "lineage", "label", 3, 8).collect())) == sorted(map(tuple, chosen))
 
 
-def test_networks(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(150, 4))
-    for labels in ([("in" if v @ v < 3 else "out") for v in x], [str(int(v[0] > 0) + int(v[1] > 0)) for v in x]):
-        net = networks.fit_network(x, labels, steps=150)
-        p = net.scores(x)
-        assert np.allclose(p.sum(axis=1), 1) and np.mean([net.classes[k] == c for k, c in zip(p.argmax(axis=1), labels)]) > 0.95
-    rows = spark.createDataFrame([([float(v) for v in r],) for r in x[:5]], "x array<double>")
-    assert np.allclose([r[0] for r in rows.select(net.column()("x")).collect()], p[:5])
-    y = np.sign(x[:, 0] ** 2 + x[:, 1] ** 2 - 1.2)
-    dual, bias = networks.fit_kernel_machine(networks.rbf(x, x, 1.0), y, 10)
-    assert np.mean(np.sign(networks.rbf(x, x, 1.0) @ dual + bias) == y) > 0.97
+def test_kernel_figures_equal_the_whole_kernel(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 5)), rng.choice([-1.0, 1.0], 40)
+    rows = spark.createDataFrame([([float(v) for v in a], float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(3)
+    k = x @ x.T
+    off, w = k[~np.eye(40, dtype=bool)], np.clip(np.linalg.eigvalsh(k), 0, None)
+    p = w[w > 1e-9] / w.sum()
+    got = kernel.gram_figures(rows, "x")
+    assert got["trace"] == pytest.approx(np.trace(k)) and got["off_mean"] == pytest.approx(off.mean()) and got["off_sd"] == pytest.approx(off.std())
+    assert got["effective_rank"] == pytest.approx(np.exp(-(p * np.log(p)).sum()))
+    h = np.eye(40) - 1 / 40
+    c, t = h @ k @ h, h @ np.outer(y, y) @ h
+    assert kernel.alignment_loss(rows, "x", F.col("y")) == pytest.approx(1 - (c * t).sum() / np.sqrt((c * c).sum() * (t * t).sum()))
 
 
 def test_harmonics():
     t = np.arange(400) / 100
-    x = 3 * np.sin(2 * np.pi * 5.1 * t + 0.4) + 0.5 * t
-    amplitude, phase, hz, variance, drift, snr, *_, flags, valid, status, cycles, _ = harmonic.describe(x, np.zeros(400, bool), 293.0, 100.0)
-    assert (amplitude, hz, drift) == pytest.approx((3, 5.1, 0.5), rel=0.05) and abs(phase - 0.4) < 0.5 and status == "valid" and flags == [] and snr > 10
-    assert harmonic.describe(np.ones(400), np.zeros(400, bool), 293.0, 100.0)[8][:2] == ["almost_constant", "insufficient_cycles"]
-    clipped = harmonic.describe(x, np.arange(400) == 3, 293.0, 100.0)
-    assert clipped[8] == ["clipped"] and clipped[9] == [False] * 7 + [True] and clipped[10] == "invalid"
+    x = np.stack([3 * np.sin(2 * np.pi * 5.1 * t + 0.4) + 0.5 * t, np.ones(400), 3 * np.sin(2 * np.pi * 5.1 * t + 0.4) + 0.5 * t])
+    r = harmonic.describe(x, np.array([False, False, True]), np.full(3, 293.0), 100.0, np.zeros(3))
+    one, flat, clipped = (r.loc[i] for i in range(3))
+    assert (one.amplitude, one.frequency, one.drift) == pytest.approx((3, 5.1, 0.5), rel=0.05) and abs(one.phase - 0.4) < 0.5
+    assert one.status == "valid" and one["flags"] == [] and one.snr_db > 10
+    assert flat["flags"][:2] == ["almost_constant", "insufficient_cycles"] and flat.frequency == 0
+    assert clipped["flags"] == ["clipped"] and clipped.feature_valid == [False] * 7 + [True] and clipped.status == "invalid"
+    # A transform term by term, for an even and an odd length.
+    for n in (20, 21):
+        v, hz = np.random.default_rng(n).normal(size=n), 10.0
+        k = np.arange(n)
+        flat = v - np.polyval(np.polyfit(k, v, 1), k)
+        taper = np.hanning(n)
+        f, p = harmonic.spectra(v[None, :], hz)
+        for b in range(n // 2 + 1):
+            term = abs((flat * taper * np.exp(-2j * np.pi * b * k / n)).sum()) ** 2 / (hz * (taper**2).sum())
+            assert p[0, b] == pytest.approx(term * (1 if b == 0 or 2 * b == n else 2)) and f[b] == pytest.approx(b * hz / n)
     assert harmonic.window_shape(0.25, 100, 0.5) == (25, 12)
     with pytest.raises(ValueError, match="16 samples"):
         harmonic.window_shape(0.1, 100, 0)
 
 
+def test_places_and_quantiles_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([("ab"[i % 2], float(v)) for i, v in enumerate(rng.integers(0, 50, 999))] + [("a", None)], "k string, v double")
+    for n in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.k: r.v for r in shared.quantiles(rows.repartition(n), ["k"], "v", 0.93).collect()}
+        assert got == {k: pytest.approx(np.quantile([r.v for r in rows.collect() if r.k == k and r.v is not None], 0.93)) for k in "ab"}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    long = spark.createDataFrame([(list(range(1000)),)], "a array<bigint>").select(shared.running(F.col("a")).alias("s"), shared.running(F.expr("cast(array() as array<bigint>)")).alias("none")).first()
+    assert long.s == [i * (i - 1) // 2 for i in range(1000)] and long.none == []
+
+
 def test_signed_ranks_equal_brute_force(spark):
     d = [0.0, 0.0, 1.0, -1.0, 2.0, 2.0, -3.0, 4.0, 5.5, 0.5]
     order = sorted(abs(x) for x in d)
@@ -141,11 +122,16 @@ def test_signed_ranks_equal_brute_force(spark):
     assert low == r.minus and 0 < p < 1 and statistics.wilcoxon(rows.filter("delta = 0"), "delta") == (0.0, 1.0)
 
 
-def test_window_functions(spark):
+def test_window_functions(spark, monkeypatch):
     rows = spark.createDataFrame([(1, i, float(i * i % 7)) for i in range(50)] + [(2, i, 3.0) for i in range(20)], "k long, i long, x double")
     for size, hop, first in ((10, 5, 0), (10, 3, 4), (7, 7, 0), (5, 9, 2)):
-        got = {(r.k, r.s) for r in windows.whole(windows.slide(rows, size, hop, first), size, "k", "s").collect()}
-        assert got == {(k, s) for k, n in ((1, 50), (2, 20)) for s in range(first, n - size + 1, hop)}
+        got = {(r.k, r.s): [t.i for t in r.t] for r in windows.whole(windows.slide(rows, size, hop, first), size, "k", "s").collect()}
+        assert got == {(k, s): list(range(s, s + size)) for k, n in ((1, 50), (2, 20)) for s in range(first, n - size + 1, hop)}
+        monkeypatch.setattr(windows, "RUN", 3)
+        lacking = rows.filter("i <> 23")
+        for some in (rows, lacking):
+            want = {(r.k, r.s): r.t for r in windows.whole(windows.slide(some, size, hop, first), size, "k", "s").collect()}
+            assert {(r.k, r.s): r.t for r in windows.whole_windows(some, size, hop, first, "k").collect()} == want
     flat = windows.whole(windows.slide(rows.filter("k = 2"), 10, 5), 10, "k", "s").select(windows.lag1(F.transform("t", lambda t: t["x"])).alias("r"))
     assert all(r.r is None for r in flat.collect())
     assert statistics.diverse(rows.withColumn("y", F.col("x") * 2), ["x", "y"]) and not statistics.diverse(rows.filter("k = 2"), ["x"])
@@ -173,8 +159,15 @@ def test_metrics(spark):
     assert metrics.scores(only, "t", "p").first().macro_f1 == pytest.approx(2 / 3)
     assert metrics.scores(only, "t", "p", zero_support="keep").first().macro_f1 == pytest.approx(1 / 3)
     assert metrics.scores(only, "t", "p", zero_support="null").first().balanced_accuracy is None
-    r = metrics.bootstrap_accuracy(rows.withColumn("id", F.monotonically_increasing_id()), "t", "p", "id", 100, 1).first()
+    r = metrics.bootstrap_accuracy(rows, "t", "p", 100, 1).first()
     assert 0 <= r.low <= 0.5 <= r.high <= 1 and r.replicates == 100
+    many = spark.range(4000).selectExpr("string(id % 2) as t", "if(id % 10 < 7, string(id % 2), 'x') as p", "if(id % 10 < 6, string(id % 2), 'x') as q")
+    r, again = (metrics.bootstrap_accuracy(x, "t", "p", 400, 1).first() for x in (many, many.repartition(5)))
+    hit = many.groupBy("t").agg(F.avg((F.col("t") == F.col("p")).cast("int")).alias("h")).collect()
+    sd = math.sqrt(sum(x.h * (1 - x.h) / 2000 for x in hit)) / 2
+    assert r == again and r.low < 0.7 < r.high and (r.high - r.low) == pytest.approx(3.92 * sd, rel=0.2)
+    d = metrics.paired_bootstrap(many, "t", "p", "q", 400, 1).first()
+    assert d.low < 0.1 < d.high < 0.125 and d.low > 0.075  # paired: far narrower than two intervals
 
 
 def test_selection_is_independent_of_order(spark):

@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pytest
-from fieldloom.operators import quality, simulate, state8
+from fieldloom.operators import quality, state8
 from fieldloom.streaming import state8 as stream
 from pyspark.sql import functions as F
 
@@ -131,26 +131,6 @@ def test_first_frame_of_an_index_wins(spark):
     assert [r.frame_id for r in quality.order_faults(to_df(spark, rows)).collect()] == [8]
 
 
-def test_simulation_is_seeded_and_streams_are_independent(spark):
-    base = {"seed": 3, "seconds": 2, "nodes": {"a": {"white": (1e-9,) * 3, "walk": (1e-18,) * 3, "ou_sigma": (1e-9,) * 3}, "b": {"limit": 1e-5}}}
-    more = base | {"nodes": base["nodes"] | {"z": {"white": (1e-9,) * 3}}}
-    read = lambda c: {(r.frame_id, x.sensor_id): x for r in simulate.network_frames(spark, {"s": c}).collect() for x in r.readings}
-    one, two, three = read(base), read(base), read(more)
-    assert one == two and all(three[k] == v for k, v in one.items())
-    assert all("clipped" in one[k, "b"].quality_flags and not one[k, "b"].valid for k in (1, 100, 200))
-    series = simulate.scalar_series(spark, {"m": {"noise": 0.0, "drift": 2.0}}).collect()
-    assert all(r.x == pytest.approx(50_000 + 50 * math.sin(10 * math.pi * r.t) + 2 * r.t) for r in series)
-
-
-def test_faults_override(spark):
-    events = [{"kind": "stuck", "start": 0.5, "duration": 1.0, "targets": ["a"]}, {"kind": "dropout", "start": 1.0, "duration": 0.2, "targets": ["a"]}]
-    frames = simulate.network_frames(spark, {"s": {"seed": 1, "seconds": 2, "nodes": {"a": {"white": (1e-9,) * 3}}, "events": events}}).collect()
-    got = {r.frame_id - 1: r.readings[0] for r in frames}
-    assert got[60].components_T == got[49].components_T and got[60].quality_flags == ["stuck"]
-    assert got[110].components_T is None and got[110].quality_flags == ["signal_absent"]
-    assert got[160].valid
-
-
 def test_stream_equals_batch_and_fails_on_gaps(spark, tmp_path):
     rows = frame_rows()
     source = tmp_path / "in"
