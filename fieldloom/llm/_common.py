@@ -1,134 +1,40 @@
-"""Helpers shared by the training-data operators."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Words as the contracts define them: everything but space and \t..\r.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see, below spark.checkpoint.dir.
-
-    Only a local master may go without the setting (tests, a laptop): a folder
-    below the warehouse is taken then.  A cluster's executors would not see it.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{top.rstrip('/')}/loom-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again.
+from ..shared import fresh, lasting, let, ranked, running, shared_folder, small, stored, temporary
 
-    Cuts the lineage: a lost executor costs the tasks that ran on it, never the
-    steps before.  The files survive every executor.  Within temporary() they
-    go when it ends; otherwise the folder's owner clears them.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.options(**options).parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "fresh", "lasting", "let", "pieces", "ranked", "read", "running", "shared_folder", "small", "stored", "struct", "temporary", "whole"]
 
-
-_SCOPES: list[list[str]] = []
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what stored() writes inside.  What leaves it must be stored again, by lasting()."""
-    _SCOPES.append([])
-    try:
-        yield
-    finally:
-        for path in _SCOPES.pop():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def lasting(df: DataFrame) -> DataFrame:
-    """stored(), for a result that leaves temporary()."""
-    hidden, _SCOPES[:] = list(_SCOPES), []
-    try:
-        return stored(df)
-    finally:
-        _SCOPES[:] = hidden
+#: Words as the contracts define them: everything but space and \t..\r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small(df: DataFrame, most: int = 20_000) -> DataFrame:
-    """df, marked for broadcast if it has `most` rows or fewer; beyond, joins shuffle it."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def pieces(column: pa.Array, most: int = 500) -> Iterator[pa.Array]:
+    """A column in short runs, so that few texts at a time are Python strings."""
+    for at in range(0, len(column), most):
+        yield column.slice(at, most)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have (case aside)."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name = f"_{name}"
-    return name
-
-
-def let(x: F.Column, f: Callable[[F.Column], F.Column]) -> F.Column:
-    """f(x) with x worked out once, however often f uses it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
-def _sums(numbers: F.Column, start: F.Column) -> F.Column:
-    zero = F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(numbers, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
-
-
-def running(numbers: F.Column, step: int = 256) -> F.Column:
-    """For each number of an array<bigint> the sum of those before it.
-
-    Arrays grow by copying, so runs of `step` are summed alone and then set behind each other.
-    """
-
-    def cut(a: F.Column) -> F.Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / step).cast("int")), lambda k: F.slice(a, k * step + 1, F.lit(step)))
-
-    def join(runs: F.Column) -> F.Column:
-        totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x))
-        return F.flatten(F.zip_with(runs, _sums(totals, F.lit(0)), _sums))
-
-    return F.when(F.size(numbers) > 0, let(let(numbers, cut), join)).otherwise(F.array().cast("array<bigint>"))
+def struct(rows: list[tuple], kind: T.StructType) -> pa.StructArray:
+    """Rows of tuples as an Arrow struct column of a Spark type."""
+    kinds = to_arrow_schema(kind)
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], fields=list(kinds))
 
 
 def whole(column: str) -> F.Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))
-
-
-def ranked(df: DataFrame, keys: list[str], order: list[F.Column], column: str) -> DataFrame:
-    """df with each row's place (from 0) in its keys' rows by `order`, whatever the files and partitions.
-
-    A range partitioning sorts; the places of a partition's rows begin where the
-    partitions before it end.  So no task sees more than its partition, and the
-    window has a row for each partition and key in it.
-    """
-    first = [F.col(k).asc_nulls_last() for k in keys]
-    n, part, of, before = (fresh(df, c) for c in ("line", "part", "of", "before"))
-    lined = stored(df.repartitionByRange(*first, *order).sortWithinPartitions(*first, *order).withColumn(n, F.monotonically_increasing_id()))
-    lined = lined.withColumn(part, F.shiftright(n, 33))
-    runs = lined.groupBy(*keys, part).agg(F.min(n).alias("low"), F.count("*").alias("rows"))
-    upto = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored(runs.select(*[F.col(k).alias(f"{of}{i}") for i, k in enumerate(keys)], F.col(part).alias(of), (F.coalesce(F.sum("rows").over(upto), F.lit(0)) - F.col("low")).alias(before)))
-    on = lined[part] == starts[of]
-    for i, k in enumerate(keys):
-        on &= lined[k].eqNullSafe(starts[f"{of}{i}"])
-    return lined.join(small(starts), on).withColumn(column, F.col(n) + F.col(before)).select(*df.columns, column)

@@ -27,12 +27,13 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import stored, whole
+from ._common import pieces, stored, struct, whole
 
 UNIT, WIDTH = 192, 64
 ITEMS = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("kind", "text", "ref", "caption")]]))
@@ -149,10 +150,10 @@ def parse(html: str | None) -> list[dict]:
     return page.finish()
 
 
-@F.pandas_udf(ITEMS)
-def items(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(ITEMS)
+def items(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for x in pages:
-        yield pd.Series([parse(h) for h in x])
+        yield pa.array([parse(h) for some in pieces(x) for h in some.to_pylist()], to_arrow_type(ITEMS))
 
 
 def sequences(pages: DataFrame, id: str, html: str = "html") -> DataFrame:  # noqa: A002
@@ -198,15 +199,16 @@ def feature(pixels: np.ndarray) -> str:
     return f"{pixels.shape[1]}x{pixels.shape[0]} mean={','.join(map(str, mean.tolist()))} sd={','.join(map(str, spread))} hash={np.packbits(bits).tobytes().hex()}"
 
 
-@F.pandas_udf(FACTS)
-def facts(media: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(FACTS)
+def facts(media: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """What the stored bytes say."""
     for column in media:
         rows = []
         for raw in column:
+            raw = raw.as_py()
             pixels, data = samples(raw)
             rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(pixels)))
-        yield pd.DataFrame(rows, columns=FACTS.names)
+        yield struct(rows, FACTS)
 
 
 REF = "media:sha256:"

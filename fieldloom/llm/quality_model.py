@@ -24,14 +24,13 @@ from itertools import islice
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from ._common import stored, temporary
+from ._common import pieces, stored, struct, temporary
 from .quality_rules import _SYMBOL, _WORD, COUNTS, count
 
 #: Rows that the scorers are fitted on at most (expected numbers; picked by hash): weakly labelled ones, and ones with known toxicity.
@@ -167,10 +166,10 @@ def _repetition(word: np.ndarray, first: np.ndarray) -> np.ndarray:
 VOTES = T.StructType([T.StructField(m, T.IntegerType()) for m in HEURISTICS])
 
 
-@F.pandas_udf(VOTES)
-def _votes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(VOTES)
+def _votes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for x in texts:
-        yield pd.DataFrame([votes(t) for t in x], columns=VOTES.names, dtype="int32")
+        yield struct([votes(t) for some in pieces(x) for t in some.to_pylist()], VOTES)
 
 
 SAMPLE = "lot long, quality int, toxic int, i binary, x binary"
@@ -223,11 +222,11 @@ SCORES = T.StructType([T.StructField(m, T.DoubleType()) for m in HEURISTICS])
 def _scorer(weights: np.ndarray):
     """A column function: a text's score by each model's weights."""
 
-    @F.pandas_udf(SCORES)
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(SCORES)
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in texts:
             out = [np.zeros((0, len(weights)))]
-            for both, first in _features(pa.array(x, pa.string())):
+            for both, first in _features(x):
                 n = np.diff(first)
                 part = np.zeros((len(n), len(weights)))
                 for k, w in enumerate(weights):
@@ -235,7 +234,7 @@ def _scorer(weights: np.ndarray):
                     z = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(1, len(SPACES) * n)) + w[-1]
                     part[:, k] = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
                 out.append(part)
-            yield pd.DataFrame(np.concatenate(out), columns=SCORES.names)
+            yield pa.StructArray.from_arrays([pa.array(c) for c in np.concatenate(out).T], names=SCORES.names)
 
     return score
 

@@ -28,12 +28,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD, fresh, lasting, small, stored, temporary
+from ._common import WORD, fresh, lasting, pieces, small, stored, struct, temporary
 
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 COUNTS = T.StructType([T.StructField(n, T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")])
@@ -68,10 +68,14 @@ def repeated(words: list[str]) -> int:
     return int(hit.sum())
 
 
-@F.pandas_udf(COUNTS)
-def _counts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(COUNTS)
+def _counted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for x in texts:
-        yield pd.DataFrame([count(t) for t in x], columns=COUNTS.names, dtype="int64")
+        yield struct([count(t) for some in pieces(x) for t in some.to_pylist()], COUNTS)
+
+
+#: Said to be nondeterministic, so that a filter on the counts does not count anew.
+_counts = _counted.asNondeterministic()
 
 
 def _rates(c: str) -> dict[str, F.Column]:

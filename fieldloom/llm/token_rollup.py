@@ -24,12 +24,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import tokens
 from ._common import WORD, shared_folder, stored, temporary, whole
@@ -141,28 +139,25 @@ class Rollup:
         return self._totals(sorted(self._records("commits")), self._snapshot())
 
 
-@F.pandas_udf(T.StringType())
-def without_repeats(texts: pd.Series) -> pd.Series:
-    """Texts without lines that they had before; null where none goes."""
-
-    def one(text: str | None) -> str | None:
-        lines = (text or "").split("\n")
-        kept = list(dict.fromkeys(lines))
-        return None if len(kept) == len(lines) else "\n".join(kept)
-
-    return texts.map(one, na_action=None)
+def without_repeats(text: str | None) -> str | None:
+    """The text without lines that it had before; None where none goes."""
+    lines = (text or "").split("\n")
+    kept = list(dict.fromkeys(lines))
+    return None if len(kept) == len(lines) else "\n".join(kept)
 
 
 def _counter(paths: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = [tokens.encoder(p) for p in paths]
         for batch in batches:
-            made = [np.diff(c.encode(batch.column(3))[1]) for c in coders]
-            # A revised text is counted anew; null says that it is the same.
-            same = np.array(batch.column(4).is_null())
-            newer = [np.where(same, n, np.diff(c.encode(batch.column(4))[1])) for c, n in zip(coders, made, strict=True)]
-            counts = pa.StructArray.from_arrays([pa.array(x) for x in made + newer], [f"{s}{k}" for s in "nr" for k in range(len(paths))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], counts, batch.column(5)], ["doc_id", "source", "lang", "counts", "n_words"])
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                made = [np.diff(c.encode(some.column(4))[1]) for c in coders]
+                # A revised text is counted anew; None says that it is the same.
+                revised = pa.array([without_repeats(t) for t in some.column(4).to_pylist()], pa.string())
+                newer = [np.where(np.array(revised.is_null()), n, np.diff(c.encode(revised)[1])) for c, n in zip(coders, made, strict=True)]
+                counts = pa.StructArray.from_arrays([pa.array(x) for x in made + newer], [f"{s}{k}" for s in "nr" for k in range(len(paths))])
+                yield pa.RecordBatch.from_arrays([*some.columns[:4], counts], ["doc_id", "source", "lang", "n_words", "counts"])
 
     return run
 
@@ -173,8 +168,8 @@ def counts(docs: DataFrame, versions: dict[str, str]) -> DataFrame:
     n_revised: tokens of the text without repeated lines.
     """
     kinds = ", ".join(f"{s}{k}: long" for s in "nr" for k in range(len(versions)))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text", without_repeats("text").alias("revised"), F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("n_words"))
-    counted = read.mapInArrow(_counter(list(versions.values())), f"doc_id long, source string, lang string, counts struct<{kinds}>, n_words long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("n_words"), "text")
+    counted = read.mapInArrow(_counter(list(versions.values())), f"doc_id long, source string, lang string, n_words long, counts struct<{kinds}>")
     each = F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"counts.n{k}").alias("n_tokens"), F.col(f"counts.r{k}").alias("n_revised")) for k, v in enumerate(versions)])
     return counted.select("doc_id", "source", "lang", "n_words", F.inline(each))
 
