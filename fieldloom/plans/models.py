@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import array_digest
 from ..operators import harmonic, kernel, metrics, selection, statistics, studies
 from ..registry import query
 from ..shared import quantiles, stored
@@ -206,6 +207,12 @@ def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(min(r.plus, r.minus)), r.n, r.zeros, round(statistics.signed_z(r), 6))], "statistic double, n long, zeros long, z double")
 
 
+@query()
+def array_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each vector's header and bytes."""
+    return vectors(spark, sf_dir).select("vec_id", array_digest("x").alias("digest"))
+
+
 @query()
 def harmonic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = series.anomalies(spark, sf_dir).filter("a is not null")

@@ -39,6 +39,31 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any store that Spark reads; None if it isn't there."""
+    files, p = _file(spark, path)
+    if not files.exists(p):
+        return None
+    stream = files.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file; an error if it is there, so of two writers one wins."""
+    files, p = _file(spark, path)
+    stream = files.create(p, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
 _SCOPES: list[list[str]] = []
 
 

@@ -4,18 +4,61 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..shared import create_text, read_text
 
-def write_dataset(channels: dict[str, DataFrame], path: str) -> None:
-    """Each channel (observations, labels, ...) in a folder of its own, by split; existing ones are never overwritten."""
+
+MANIFEST = "manifest.json"
+
+
+def write_dataset(channels: dict[str, DataFrame], path: str) -> dict:
+    """All channels (observations, labels, ...) or none, each in a folder of its own, by split; the manifest, which is returned.
+
+    Folders are written first; the manifest that names them, with rows, schema and digest of each, is created last and
+    only if there is none.  So a broken attempt is no dataset, and a dataset is never overwritten.
+    """
+    spark, top = next(iter(channels.values())).sparkSession, path.rstrip("/")
+    if read_text(spark, f"{top}/{MANIFEST}") is not None:
+        raise FileExistsError(f"a dataset is never overwritten: {path}")
+    attempt, listed = f"data-{uuid.uuid4().hex}", {}
     for name, rows in channels.items():
         out = rows.write.mode("errorifexists")
-        (out.partitionBy("split") if "split" in rows.columns else out).parquet(f"{path.rstrip('/')}/{name}")
+        (out.partitionBy("split") if "split" in rows.columns else out).parquet(f"{top}/{attempt}/{name}")
+        made = spark.read.schema(rows.schema).parquet(f"{top}/{attempt}/{name}")
+        listed[name] = {"folder": f"{attempt}/{name}", "rows": made.count(), "schema": rows.schema.jsonValue(), "digest": content_digest(made)}
+    manifest = {"channels": listed}
+    create_text(spark, f"{top}/{MANIFEST}", json.dumps(manifest, sort_keys=True))
+    return manifest
+
+
+def read_dataset(spark: SparkSession, path: str, channel: str, split: str | None = None, verify: bool = True) -> DataFrame:
+    """A channel of a dataset, or one split of it (the others' files are not opened).
+
+    Only what the manifest lists is read, by its schema; verify: its rows must have the manifest's number and digest.
+    """
+    top = path.rstrip("/")
+    listed = json.loads(read_text(spark, f"{top}/{MANIFEST}") or '{"channels": {}}')["channels"]
+    if channel not in listed:
+        raise KeyError(f"the manifest lists no {channel!r}")
+    own = listed[channel]
+    rows = spark.read.schema(T.StructType.fromJson(own["schema"])).parquet(f"{top}/{own['folder']}")
+    if verify and (rows.count() != own["rows"] or content_digest(rows) != own["digest"]):
+        raise ValueError(f"{channel!r} is not what was published")
+    return rows if split is None else rows.filter(F.col("split") == split)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of files, an inventory."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def content_digest(rows: DataFrame) -> str:
@@ -69,15 +112,18 @@ class Ledger:
 
 
 def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key isn't there yet: repeats change nothing."""
-    once = rows.dropDuplicates([key])
+    """Append the rows whose key isn't there yet: repeats change nothing, a known key with other content is an error."""
     try:
-        there = spark.read.parquet(path).select(key)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        there = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        there = once.select(key).filter("false")
-    once.join(there, key, "left_anti").write.mode("append").parquet(path)
+        there = rows.filter("false")
+    content = lambda df: df.select(key, F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}), 256).alias("content"))
+    clash = content(rows).unionAll(content(there)).groupBy(key).agg(F.countDistinct("content").alias("n")).filter("n > 1").select(key).limit(1).collect()
+    if clash:
+        raise ValueError(f"{key} {clash[0][0]!r} is there with other content")
+    rows.dropDuplicates([key]).join(there.select(key), key, "left_anti").select(*rows.columns).write.mode("append").parquet(path)
 
 
 def approved(observations: DataFrame, labels: DataFrame, entries: DataFrame) -> DataFrame:

@@ -34,11 +34,6 @@ def matrix(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("label", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("a row has no finite features or a label that is not -1 or 1")).cast("int")).otherwise(F.col("label")))
 
 
-def partition(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """One split of a dataset; the others' files are not opened."""
-    return spark.read.parquet(path).filter(F.col("split") == split)
-
-
 def strict_json(text: Column, schema: str, keys: list[str]) -> Column:
     """A struct from JSON; unknown keys and text that is not JSON raise an error."""
     unknown = F.array_except(F.json_object_keys(text), F.array(*map(F.lit, keys)))

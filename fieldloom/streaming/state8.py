@@ -5,11 +5,16 @@ needs, and counters.  Each micro-batch analyses only the newest complete window
 and counts the ones it skipped; a gap in frame ids or time that doesn't grow
 fails the session until a frame with id 1 resets it (a new epoch).  State is
 bounded by the reference's and a window's frames.
+
+Spark hands a micro-batch over in no order, so frames are taken by the id that
+their source counts; times are never sorted, and a time that doesn't grow with the
+ids, or a frame that comes after its batch, fails the session.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -59,7 +64,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterato
             s["last"], s["t"] = frame, t
             s["frames"].append(json.loads(x))
         if s["ref"] is None and len(s["frames"]) == REFERENCE:
-            own = {k: [f.get(k) for f in s["frames"]] for k in s["frames"][0]}
+            own = {k: [f.get(k) for f in s["frames"]] for k in sorted(set().union(*s["frames"]))}
             s["ref"] = {k: float(np.mean(v)) for k, v in own.items() if None not in v}
             s["frames"] = []
         elif s["ref"] is not None and len(s["frames"]) > SIZE + HOP:
@@ -82,6 +87,11 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterato
     yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype(object)
 
 
+def frames_per_update(hz: float, refresh_hz: float) -> int:
+    """Frames that make one update: what a source's rate limit for each trigger is set to."""
+    return math.ceil(hz / refresh_hz)
+
+
 def analyse(frames: DataFrame) -> DataFrame:
     """The stream of newest-window features; frames is a streaming DataFrame of the frame schema."""
     return samples(frames).groupBy("session_id").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,5 +1,6 @@
 """Geometry, kernels, networks, spectra, statistics, joins, sources and sinks."""
 
+import hashlib
 import itertools
 import math
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from fieldloom.functions import geometry as G
 from fieldloom.functions import scalar
+from fieldloom.functions.arrays import array_digest
 from fieldloom import shared
 from fieldloom.operators import harmonic, joins, kernel, metrics, selection, statistics, windows
 from fieldloom.sinks import datasets
@@ -187,10 +189,23 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="unknown fields"):
         read(j)
     data = spark.createDataFrame([(1, "TRAIN", 1.0), (2, "TEST", 2.0)], "id long, split string, x double")
-    datasets.write_dataset({"observations": data, "labels": data.drop("split")}, str(tmp_path / "d"))
-    assert tables.partition(spark, str(tmp_path / "d/observations"), "TRAIN").count() == 1
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        datasets.write_dataset({"observations": data}, str(tmp_path / "d"))
+    top = str(tmp_path / "d")
+    with pytest.raises(Exception, match="Unable to infer|no such column|cannot|split"):  # the second channel fails, so nothing is published
+        datasets.write_dataset({"observations": data, "labels": data.withColumn("x", F.raise_error(F.lit("split it")).cast("double"))}, top)
+    with pytest.raises(KeyError, match="lists no"):
+        datasets.read_dataset(spark, top, "observations")
+    datasets.write_dataset({"observations": data, "labels": data.drop("split")}, top)
+    assert datasets.read_dataset(spark, top, "observations", "TRAIN").count() == 1 and datasets.read_dataset(spark, top, "labels").columns == ["id", "x"]
+    with pytest.raises(FileExistsError, match="never overwritten"):
+        datasets.write_dataset({"observations": data}, top)
+    with pytest.raises(KeyError, match="lists no"):
+        datasets.read_dataset(spark, top, "generation")
+    for f in (tmp_path / "d").glob("data-*/labels/*.parquet"):
+        f.unlink()
+    with pytest.raises(ValueError, match="not what was published"):
+        datasets.read_dataset(spark, top, "labels")
+    (tmp_path / "f.bin").write_bytes(b"abc")
+    assert datasets.file_digests(spark, str(tmp_path / "f.bin")).first().sha256 == hashlib.sha256(b"abc").hexdigest()
     assert datasets.content_digest(data) == datasets.content_digest(data.orderBy(F.desc("id"))) != datasets.content_digest(data.limit(1))
     ledger = datasets.Ledger(spark, str(tmp_path / "ledger"))
     ledger.append("sealed", by="x")
@@ -201,6 +216,11 @@ def test_sources_and_sinks(spark, tmp_path):
     for _ in range(2):
         datasets.append_new(spark, data, str(tmp_path / "review"), "id")
     assert spark.read.parquet(str(tmp_path / "review")).count() == 2
+    with pytest.raises(ValueError, match="other content"):
+        datasets.append_new(spark, data.withColumn("x", F.lit(9.0)), str(tmp_path / "review"), "id")
+    v = spark.createDataFrame([([1.0, -2.5],), (None,)], "v array<double>")
+    head = b'{"dtype": "<f8", "shape": [2]}\n' + np.array([1.0, -2.5], "<f8").tobytes()
+    assert [r[0] for r in v.select(array_digest("v")).collect()] == [hashlib.sha256(head).hexdigest(), None]
     datasets.write_report(data, str(tmp_path / "report"))
     a = spark.createDataFrame([("x", 1, "h")], "path string, bytes long, sha256 string")
     assert datasets.inventory_changes(a, a).isEmpty() and datasets.inventory_changes(a, a.withColumn("sha256", F.lit("g"))).count() == 1
