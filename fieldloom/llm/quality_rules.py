@@ -158,7 +158,7 @@ def decide(counted: DataFrame, limits: DataFrame, c: str, q: str, lang: str = "l
     joined = counted.join(own, counted[lang].eqNullSafe(own[l]) & counted[source].eqNullSafe(own[s]), "left")
     inside = F.lit(True)
     for rate, x in _rates(c).items():
-        inside &= F.coalesce(x <= F.col(f"{fence}.max_{rate}"), F.lit(True))
+        inside &= F.coalesce(value(bucket(x)) <= F.col(f"{fence}.max_{rate}"), F.lit(True))  # at the sketch's resolution
     out = joined.withColumn(q, F.struct(*[F.col(f"{c}.{n}") for n in COUNTS.names], base_failed(c).alias("base_failed"), (~base_failed(c) & inside).alias("kept")))
     return out.drop(l, s, fence, c)
 

@@ -81,11 +81,12 @@ nl AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_
 k AS (SELECT d.doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_upper, 0)::BIGINT AS n_upper
  FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN nl USING (doc_id)),
 v AS (SELECT doc_id, lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'upper', 'word_length']) AS rate, coalesce(unnest([greatest(n_symbols - 1, 0) * 1000 // nullif(n_words, 0), greatest(n_dup_lines - 1, 0) * 1000 // nullif(n_lines, 0), n_repeat_words * 1000 // nullif(n_words, 0), greatest(n_upper - 1, 0) * 1000 // nullif(n_words, 0), word_chars * 1000 // nullif(n_words, 0)]), 0) AS x, unnest([4, 4, 4, 4, 12]) AS times, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM k),
-u AS (SELECT *, CASE WHEN x < 1024 THEN x ELSE (x >> (floor(log2(x + 0.5))::INT - 9)) << (floor(log2(x + 0.5))::INT - 9) END AS cell FROM v WHERE NOT failed),
-fine AS (SELECT lang, source, rate, times, count(*) AS n, quantile_disc(cell, 0.5) AS mid, CASE WHEN rate IN ('symbols', 'word_length') THEN quantile_disc(cell, 0.75) ELSE quantile_disc(cell, 0.99) END AS high FROM u GROUP BY ALL),
-broad AS (SELECT lang, rate, quantile_disc(cell, 0.5) AS mid, CASE WHEN rate IN ('symbols', 'word_length') THEN quantile_disc(cell, 0.75) ELSE quantile_disc(cell, 0.99) END AS high FROM u GROUP BY ALL),
+vc AS (SELECT *, CASE WHEN x < 1024 THEN x ELSE (x >> (floor(log2(x + 0.5))::INT - 9)) << (floor(log2(x + 0.5))::INT - 9) END AS cell FROM v),
+u AS (SELECT * FROM vc WHERE NOT failed),
+fine AS (SELECT lang, source, rate, times, count(*) AS n, quantile_disc(cell, 0.5) AS mid, CASE WHEN rate IN ('symbols', 'word_length') THEN quantile_disc(cell, 0.75) ELSE quantile_disc(cell, 0.99) END AS high FROM u GROUP BY lang, source, rate, times),
+broad AS (SELECT lang, rate, quantile_disc(cell, 0.5) AS mid, CASE WHEN rate IN ('symbols', 'word_length') THEN quantile_disc(cell, 0.75) ELSE quantile_disc(cell, 0.99) END AS high FROM u GROUP BY lang, rate),
 z AS (SELECT fine.lang, source, fine.rate, times, (n * fine.mid + 500 * broad.mid) / (n + 500) AS mid, (n * fine.high + 500 * broad.high) / (n + 500) AS high FROM fine JOIN broad ON fine.lang IS NOT DISTINCT FROM broad.lang AND fine.rate = broad.rate),
-ok AS (SELECT doc_id, bool_and(x <= coalesce(mid + times * (high - mid), x)) AS inside FROM v LEFT JOIN z ON v.lang IS NOT DISTINCT FROM z.lang AND v.source IS NOT DISTINCT FROM z.source AND v.rate = z.rate GROUP BY doc_id)"""
+ok AS (SELECT doc_id, bool_and(cell <= coalesce(mid + vc.times * (high - mid), cell)) AS inside FROM vc LEFT JOIN z ON vc.lang IS NOT DISTINCT FROM z.lang AND vc.source IS NOT DISTINCT FROM z.source AND vc.rate = z.rate GROUP BY doc_id)"""
 
 SQL: dict[str, str] = {
     "op1_quality_rules": f"""WITH {_COUNTS} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

@@ -56,3 +56,18 @@ def test_stages(spark):
     assert len({(r.doc_id, r.piece) for r in once}) == len(once)
     assert check_packing(packed, {}) <= 1.05 * sum(r.length for r in packed) / 2048 + 1
     assert np.isfinite(len(packed))
+
+
+def test_stages_take_odd_and_empty_rows(spark, odd, empty):
+    """Every stage: nulls, repeated rows, very long texts, clashing names, no rows."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, DATA)
+        assert out.columns == odd.columns and out.count() <= 2 * odd.count(), name
+        assert stage(spark, empty, DATA).isEmpty()
+    rules, dedup, clean, mixed = (stage(spark, odd, DATA) for _, stage in corpus_pipeline.STAGES[:-1])
+    assert [r.doc_id for r in rules.collect()] == [4]  # only the long text has 50 words
+    assert dedup.filter("doc_id = 5").count() == 2 and dedup.filter("doc_id = 7").isEmpty()
+    assert sorted(map(str, clean.collect())) != [] and clean.count() == odd.count() and clean.filter("text is null").count() == 1
+    assert mixed.filter("text is null or doc_id in (2, 3)").isEmpty()
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, DATA)
+    assert packed.filter("piece = 0").count() == odd.count() and corpus_pipeline.STAGES[-1][1](spark, empty, DATA).isEmpty()
