@@ -69,11 +69,18 @@ _SCOPES: list[list[str]] = []
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what stored() writes inside.  What leaves it must be stored again, by lasting()."""
+    """Deletes at its end what stored() writes inside.  What leaves it must be stored again, by lasting().
+
+    Meanwhile rows, which may be long texts, go to Python in short batches; the session's own setting comes back.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(1000, int(had) if int(had) > 0 else 1000)))
     _SCOPES.append([])
     try:
         yield
     finally:
+        spark.conf.set(batch, had)
         for path in _SCOPES.pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
