@@ -131,5 +131,6 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
     with temporary(docs.sparkSession):
         sizes = _sized(numbered, F.col(rid), F.xxhash64(*hashed), text, id, source)
         often = lasting(copies(sizes, targets(sizes)).filter("copies > 0").select(F.col("rid").alias(rid), "copies"))
+    # A row for each document: merged, as it is at any size, never broadcast.
     often = often.select(rid, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(copy))
-    return numbered.join(often, rid).select(*docs.columns)
+    return numbered.join(often.hint("merge"), rid).select(*docs.columns)
