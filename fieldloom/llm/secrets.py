@@ -31,6 +31,8 @@ ordinary words gets no added spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +72,13 @@ def found(text: F.Column, pattern: str) -> F.Column:
 
     What lies between matches is what split() leaves, so lengths add up to places.
     """
+    return _where(text, pattern, lambda hits: _places(hits, F.split(text, pattern, -1)), "array<struct<start:bigint,end:bigint>>")
+
+
+def _where(text: F.Column, pattern: str, then: Callable[[F.Column], F.Column], kind: str) -> F.Column:
+    """then(matches), or an empty array of the kind where there are none; the text is searched once."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(F.size(hits) > 0, _places(hits, F.split(text, pattern, -1))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    return let(hits, lambda h: F.when(F.size(h) > 0, then(h).cast(kind)).otherwise(F.array().cast(kind)))
 
 
 def _places(hits: F.Column, gaps: F.Column) -> F.Column:
@@ -86,11 +93,14 @@ def _places(hits: F.Column, gaps: F.Column) -> F.Column:
 
 def base_spans(text: F.Column) -> F.Column:
     """array<struct<start, kind, end>> of the three patterns, in no order."""
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     tag = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    pairs = F.zip_with(found(text, ASSIGN), values, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.char_length(v) >= 8).alias("ok")))
-    assign = F.when(F.size(values) > 0, tag(F.filter(pairs, lambda p: p["ok"]), 0)).otherwise(none)
+
+    def assigned(hits: F.Column) -> F.Column:
+        values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
+        pairs = F.zip_with(_places(hits, F.split(text, ASSIGN, -1)), values, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.char_length(v) >= 8).alias("ok")))
+        return tag(F.filter(pairs, lambda p: p["ok"]), 0)
+
+    assign = _where(text, ASSIGN, assigned, "array<struct<start:bigint,kind:int,end:bigint>>")
     long_ = lambda pattern, n, kind: tag(F.filter(found(text, pattern), lambda s: s["end"] - s["start"] >= n), kind)
     # A run shorter than 32 is never a part of a longer run, so runs may be asked for as 32 and more.
     return F.concat(assign, long_(ACCESS, 16, 1), long_(HEX.replace("+", "{32,}"), 32, 2))
@@ -102,13 +112,12 @@ def tested(text: F.Column) -> F.Column:
     A token has its alphabet's number (kind), one cell of the distance and the
     distance; an ordinary word has a cell for each alphabet that it is read in.
     """
-    hits = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
     def judged(hits: F.Column) -> F.Column:
         scored = F.transform(hits, _judge)
         return F.zip_with(_places(hits, F.split(text, TOKEN, -1)), scored, lambda s, x: F.struct(s["start"].alias("start"), s["end"].alias("end"), *[x[n].alias(n) for n in ("word", "cls", "cells", "kind", "distance")]))
 
-    return F.when(F.size(hits) > 0, judged(hits).cast(_TESTED)).otherwise(F.array().cast(_TESTED))
+    return _where(text, TOKEN, judged, _TESTED)
 
 
 def _judge(token: F.Column) -> F.Column:
