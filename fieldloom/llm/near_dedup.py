@@ -1,12 +1,18 @@
 """Near-duplicates by probability MinHash, banding and exact verification.
 
-Each text is the set of its five-word shingles.  ProbMinHash turns weights into
-a signature whose share of equal components estimates the probability Jaccard
-similarity; all weights are 1 here, which makes that the Jaccard similarity of
-the sets, the one that is verified, however often a line is repeated.  Each
-shingle gets the arrivals of a Poisson process with its weight as rate, each
-arrival falls on one of M components, a component keeps its earliest.  Arrivals later than the latest
-kept one can't count any more, which ends a shingle's process early.
+Each text is a weighted set of its five-word shingles.  ProbMinHash turns weights
+into a signature whose share of equal components estimates the probability Jaccard
+similarity.  Each shingle gets the arrivals of a Poisson process with its weight as
+rate, each arrival falls on one of M components, a component keeps its earliest.
+Arrivals later than the latest kept one can't count any more, which ends a
+shingle's process early.
+
+Weights are 1 unless weigh is set, which makes that similarity the Jaccard
+similarity of the sets, however often a line is repeated; candidates and verdict
+use the same measure.  With weigh a shingle's weight is its count, the verdict is
+the exact probability Jaccard similarity of the counts, and the last, exact join
+(whose bounds hold for sets alone) is left out: pairs that no hub links are found
+as the bands find them.
 
 Bands of the signature name buckets.  A bucket never yields its pairs: its
 members are held against two hubs of it, pair by pair exactly (Jaccard of the
@@ -73,36 +79,40 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int = M) -> np.ndarr
     return chosen
 
 
-SKETCH = "same1 long, same2 long, n_set int, coarse array<long>, fine array<long>, elements binary"
+SKETCH = "same1 long, same2 long, n_set int, coarse array<long>, fine array<long>, elements binary, weights binary"
 
 
-def _sketch(column: pa.Array) -> pa.StructArray:
-    rows = {k: [] for k in ("same1", "same2", "n_set", "coarse", "fine", "elements")}
+def _sketch(column: pa.Array, weigh: bool) -> pa.StructArray:
+    rows = {k: [] for k in ("same1", "same2", "n_set", "coarse", "fine", "elements", "weights")}
     with np.errstate(over="ignore"):
         for hashed in words.word_hashes(column):
             if not len(hashed):
                 for k in rows:
                     rows[k].append(None)
                 continue
-            elements = np.unique(words.shingles(hashed))
-            kept = signature(elements, np.ones(len(elements)))  # the set's, as in the verdict: counts don't matter
+            elements, counts = np.unique(words.shingles(hashed), return_counts=True)
+            kept = signature(elements, counts if weigh else np.ones(len(elements)))
             place = np.arange(1, len(hashed) + 1, dtype=np.uint64)
             same = [int(words.mix64((hashed * (words.mix64(place * s) | np.uint64(1))).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(hashed))).view(np.int64)[0]) for s in _SEQUENCE]
             coarse = words.mix64(words.combine(kept.reshape(-1, ROWS), 1) + np.arange(M // ROWS, dtype=np.uint64) * _STEP)
             fine = words.mix64(words.combine(kept[_SUBSETS], 2) + np.arange(FINE, dtype=np.uint64) * _STEP)
-            small = np.unique((elements >> np.uint64(32)).astype("<u4"))
-            for k, v in zip(rows, (*same, len(small), coarse.view(np.int64), fine.view(np.int64), small.tobytes()), strict=True):
+            small, where = np.unique((elements >> np.uint64(32)).astype("<u4"), return_inverse=True)
+            weights = np.bincount(where, weights=counts).astype("<u4").tobytes() if weigh else None
+            for k, v in zip(rows, (*same, len(small), coarse.view(np.int64), fine.view(np.int64), small.tobytes(), weights), strict=True):
                 rows[k].append(v)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
     return pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            made = _sketch(part.column(2))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made.flatten()], ["rid", "doc_id", *[f.name for f in made.type]])
+def _sketches(weigh: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                made = _sketch(part.column(2), weigh)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made.flatten()], ["rid", "doc_id", *[f.name for f in made.type]])
+
+    return run
 
 
 @F.pandas_udf(T.BooleanType())
@@ -117,6 +127,25 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def probability_jaccard(x: np.ndarray, v: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Sum over shared elements i of 1 / sum over all j of max(v_j / v_i, w_j / w_i), of sorted elements x and y with weights v and w.
+
+    In order of v / w the first of the two is the greater for all elements up to i, and the second behind it.
+    """
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    a, b = v[i].astype(float), w[j].astype(float)
+    order = np.argsort(-a / b, kind="stable")
+    a, b = a[order], b[order]
+    first, second = np.cumsum(a) + v.sum() - a.sum(), w.sum() - np.cumsum(b)
+    return float((1 / (first / a + second / b)).sum())
+
+
+@F.pandas_udf(T.BooleanType())
+def _alike_weighted(a: pd.Series, v: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
+    read = lambda x: np.frombuffer(x, "<u4")
+    return pd.Series([probability_jaccard(*map(read, row)) >= SIMILAR for row in zip(a, v, b, w, strict=True)], dtype=bool)
+
+
 def components(nodes: DataFrame, links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(rid, comp): the least rid that links (a, b) lead to, for every node.
 
@@ -164,9 +193,14 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda c: sets.select(F.col("rid").alias(c), F.col("n_set").alias(f"n_{c}"), F.col("elements").alias(f"e_{c}"))
+    """The pairs that are alike; sets: rid, n_set, elements, and weights where these count."""
+    names = {"n_set": "n", "elements": "e", "weights": "w"}
+    side = lambda c: sets.select(F.col("rid").alias(c), *[F.col(k).alias(f"{v}_{c}") for k, v in names.items() if k in sets.columns])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    if "weights" in sets.columns:
+        return both.filter(_alike_weighted("e_a", "w_a", "e_b", "w_b")).select("a", "b")
     sizes = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(sizes).filter(_alike("e_a", "e_b")).select("a", "b")
+    return both.filter(sizes).filter(_alike("e_a", "e_b")).select("a", "b")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,32 +292,38 @@ def _buckets(reps: DataFrame, column: str) -> DataFrame:
     return rows.join(shared, "key")
 
 
-def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:  # noqa: A002
+def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", weigh: bool = False) -> DataFrame:  # noqa: A002
     """One row (rid, doc_id, class_rid, class_id, keeper) for each row of docs that has words.
 
-    rid numbers the rows as Spark reads docs; keeper marks one row of each class.
+    rid numbers the rows as Spark reads docs; keeper marks one row of each class.  Steps that have nothing left to do
+    are skipped.
     """
+    carried = ["rid", "n_set", "elements", *(["weights"] if weigh else [])]
     with temporary(docs.sparkSession):
         numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text))
-        sketches = stored(numbered.mapInArrow(_sketches, f"rid long, doc_id long, {SKETCH}"))
+        sketches = stored(numbered.mapInArrow(_sketches(weigh), f"rid long, doc_id long, {SKETCH}"))
         worded = sketches.filter("n_set is not null")
         same = stored(worded.groupBy("same1", "same2").agg(F.min("rid").alias("rep")))
-        own = worded.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n_set", "coarse", "fine", "elements")
+        own = worded.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi").select("coarse", "fine", *carried)
 
         members = stored(_buckets(own.select("rid", "coarse"), "coarse"))
         nodes = stored(members.select("rid").distinct())
         near = stored(own.join(nodes, "rid", "left_semi"))  # from here on only rows that share a bucket
-        sets = near.select("rid", "n_set", "elements")
+        sets = near.select(*carried)
         links = stored(_verified(_first_pairs(members), sets))
         labels = components(nodes, links)
 
         finer = stored(_buckets(near.join(_open(members, labels), "rid", "left_semi").select("rid", "fine"), "fine"))
-        links = stored(links.unionAll(_verified(_later_pairs(finer, labels), sets)))
-        labels = components(nodes, links, labels)
+        more = stored(_verified(_later_pairs(finer, labels), sets)) if not finer.isEmpty() else links.filter("false")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            labels = components(nodes, links, labels)
 
         unsettled = stored(sets.join(_open(members, labels), "rid").join(labels, "rid"))
-        last = stored(_verified(stored(_exact_pairs(unsettled)), sets))
-        labels = components(nodes, links.unionAll(last), labels)
+        if not weigh and not unsettled.isEmpty():
+            last = stored(_verified(stored(_exact_pairs(unsettled)), sets))
+            if not last.isEmpty():
+                labels = components(nodes, links.unionAll(last), labels)
         reps = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same1", "same2", F.coalesce("comp", "rep").alias("class_rid"))
         rows = stored(worded.select("rid", "doc_id", "same1", "same2").join(reps, ["same1", "same2"]).select("rid", "doc_id", "class_rid"))
         first = stored(rows.groupBy("class_rid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first")))

@@ -275,6 +275,26 @@ def test_signature_estimates_probability_jaccard():
     assert (one == x[0]).all()
 
 
+def test_probability_jaccard_equals_its_definition():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        x, y = (np.sort(rng.choice(60, rng.integers(1, 40), replace=False)) for _ in "xy")
+        v, w = rng.integers(1, 9, len(x)), rng.integers(1, 9, len(y))
+        a, b = dict(zip(x.tolist(), v.tolist())), dict(zip(y.tolist(), w.tolist()))
+        want = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in a.keys() | b.keys()) for i in a.keys() & b.keys())
+        assert near_dedup.probability_jaccard(x, v, y, w) == pytest.approx(want)
+
+
+def test_near_dedup_may_weigh_counts(spark):
+    """With counts, a line repeated often tells texts apart, and texts that share such a line are alike."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(204))
+    line = lambda i: "\n" + " ".join(f"l{i}x{j}" for j in range(10))
+    rows = [(i, text(i)) for i in range(40)] + [(1000 + i, text(i) + 40 * line(i)) for i in range(40)] + [(2000 + i, text(i) + 41 * line(i)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.class_id for r in near_dedup.classes(frame, weigh=True).collect()}
+    assert out == {i: i if i < 1000 else 1000 + i % 1000 for i, _ in rows}
+
+
 # 4
 
 
