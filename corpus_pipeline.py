@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir), reads all its predecessor kept, and
 returns documents (doc_id, text, lang, source, n_chars and whatever columns came
 along); the last returns the pieces and their places.  Between stages the rows
 are written as Parquet and read again, so a lost executor never costs a stage.
+
+Defined cases, for every stage: extra columns of any name stay as they are; an
+empty table gives an empty one; a null text is empty.  Quality rules drop rows of
+fewer than 50 words, null and empty ones among them; near-dedup keeps one row of a
+class, and every row without words; secret scans leave a null text null; the mix
+takes no row without words, and repeated rows are rows of their own; packing gives
+a row without words its end id alone.
 """
 
 from __future__ import annotations

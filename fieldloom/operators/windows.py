@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS
 from ..functions.scalar import held as bounded
-from ..shared import let
+from ..shared import let, ranked
 
 
 def indexed(rows: DataFrame, key: str, *order: str, name: str = "i") -> DataFrame:
-    """Rows with their place in their series, from 0."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    """Rows with their place in their series, from 0; no task holds a whole series for it."""
+    return ranked(rows, [key], [F.col(c) for c in order], name)
 
 
 def slide(rows: DataFrame, size: int, hop: int, first: int = 0, index: str = "i", start: str = "s") -> DataFrame:

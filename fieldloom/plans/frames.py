@@ -8,12 +8,13 @@ each 20, behind a reference of 80.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality, state8
 from ..operators.windows import latest
 from ..registry import query
+from ..shared import ranked
 from ..sources.tables import READING, table
 
 HZ, REF, SIZE, HOP = 10.0, 80, 40, 20
@@ -45,8 +46,8 @@ def reading(sensor: Column, sequence: Column, value: Column, event: Column) -> C
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("session_id", F.expr("user_id div 15").cast("string"))
-    i = F.row_number().over(Window.partitionBy("session_id", "event_type").orderBy("ts", "event_id")) - 1
-    read = e.withColumn("i", i.cast("long")).select("session_id", "i", reading(F.col("event_type"), F.col("i") + 1, F.col("value"), F.col("event_id")).alias("r"))
+    placed = ranked(e.withColumn("series", F.concat_ws(":", "session_id", "event_type")), ["series"], [F.col("ts"), F.col("event_id")], "i")
+    read = placed.select("session_id", "i", reading(F.col("event_type"), F.col("i") + 1, F.col("value"), F.col("event_id")).alias("r"))
     framed = read.groupBy("session_id", "i").agg(F.array_sort(F.collect_list("r")).alias("readings"))
     return framed.select("session_id", F.lit(1).alias("configuration_version"), (F.col("i") + 1).alias("frame_id"), (F.col("i") / HZ).alias("sim_time_s"), "readings")
 
