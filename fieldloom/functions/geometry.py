@@ -10,6 +10,7 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shared import let
 from .scalar import held
 
 NANO = 1e9
@@ -63,16 +64,23 @@ def to_sensor(q: Column, world: Column) -> Column:
 
 
 def quaternion_product(a: Column, b: Column) -> Column:
-    aw, ax, ay, az = (at(a, i) for i in range(4))
-    bw, bx, by, bz = (at(b, i) for i in range(4))
-    return F.array(aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw)
+    def product(p: Column) -> Column:
+        aw, ax, ay, az = (at(p["a"], i) for i in range(4))
+        bw, bx, by, bz = (at(p["b"], i) for i in range(4))
+        return F.array(aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), product)
 
 
 def canonical(q: Column) -> Column:
     """Unit length, w not negative."""
-    n = F.sqrt(sum((at(q, i) * at(q, i) for i in range(1, 4)), at(q, 0) * at(q, 0)))
-    sign = F.when(at(q, 0) < 0, -1.0).otherwise(1.0)
-    return F.when(n > 0, F.array(*[at(q, i) / n * sign for i in range(4)]))
+    length = lambda q: F.sqrt(sum((at(q, i) * at(q, i) for i in range(1, 4)), at(q, 0) * at(q, 0)))
+
+    def scaled(p: Column) -> Column:
+        sign = F.when(at(p["q"], 0) < 0, -1.0).otherwise(1.0)
+        return F.when(p["n"] > 0, F.array(*[at(p["q"], i) / p["n"] * sign for i in range(4)]))
+
+    return let(let(q, lambda q: F.struct(q.alias("q"), length(q).alias("n"))), scaled)
 
 
 def radical_inverse(n: Column, base: int, digits: int = 32) -> Column:
@@ -143,7 +151,10 @@ def project(v: Column, mode: str, axis: Column | None = None) -> Column:
 
 def integrate(q: Column, rate: Column, dt: Column | float) -> Column:
     """The orientation after turning at a constant rate (rad/s) for dt seconds."""
-    speed = norm(rate)
-    half = speed * dt / 2
-    part = F.when(speed > 0, F.sin(half) / speed).otherwise(0.0)
-    return canonical(quaternion_product(q, F.array(F.cos(half), *[at(rate, i) * part for i in range(3)])))
+
+    def turn(r: Column) -> Column:
+        half = r["speed"] * dt / 2
+        part = F.when(r["speed"] > 0, F.sin(half) / r["speed"]).otherwise(0.0)
+        return F.array(F.cos(half), *[at(r["rate"], i) * part for i in range(3)])
+
+    return canonical(quaternion_product(q, let(let(rate, lambda r: F.struct(r.alias("rate"), norm(r).alias("speed"))), turn)))
