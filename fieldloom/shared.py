@@ -64,23 +64,28 @@ def create_text(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
+def in_short_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python 1000 at a time where the session leaves that open.
+
+    Texts are long: Arrow's default of 10,000 rows or 64 MB costs an executor of 3 GB its memory.  The setting is read
+    when a result is run, so it can't be put back before; a session that has its own keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 _SCOPES: list[list[str]] = []
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what stored() writes inside.  What leaves it must be stored again, by lasting().
-
-    Meanwhile rows, which may be long texts, go to Python in short batches; the session's own setting comes back.
-    """
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    had = spark.conf.get(batch)
-    spark.conf.set(batch, str(min(1000, int(had) if int(had) > 0 else 1000)))
+    """Deletes at its end what stored() writes inside.  What leaves it must be stored again, by lasting()."""
     _SCOPES.append([])
     try:
         yield
     finally:
-        spark.conf.set(batch, had)
         for path in _SCOPES.pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
