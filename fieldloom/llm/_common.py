@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..shared import fresh, lasting, let, ranked, running, shared_folder, small, stored, temporary
+from ..shared import fresh, in_short_batches, lasting, let, ranked, running, shared_folder, small, stored, temporary
 
-__all__ = ["WORD", "fresh", "lasting", "let", "pieces", "ranked", "read", "running", "shared_folder", "small", "stored", "struct", "temporary", "whole"]
+__all__ = ["WORD", "fresh", "in_short_batches", "lasting", "let", "pieces", "ranked", "read", "running", "shared_folder", "small", "stored", "struct", "temporary", "whole"]
 
 #: Words as the contracts define them: everything but space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"

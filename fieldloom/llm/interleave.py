@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import pieces, stored, struct, whole
+from ._common import in_short_batches, pieces, stored, struct, whole
 
 UNIT, WIDTH = 192, 64
 ITEMS = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("kind", "text", "ref", "caption")]]))
@@ -238,7 +238,7 @@ def resolve(sequence: DataFrame, media: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """For each document the facts of its stored payload, found through its page."""
-    media = store_texts(docs)
+    media = store_texts(in_short_batches(docs))
     seen = pages_of(docs).select("doc_id", "n_bytes", F.inline(items(F.col("html")))).filter("kind = 'media'")
     out = resolve(seen, media)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

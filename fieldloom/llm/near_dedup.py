@@ -35,14 +35,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from ._common import fresh, lasting, stored, temporary
+from ._common import fresh, in_short_batches, lasting, stored, temporary
 
 M, ROWS = 80, 4
 SIMILAR = 0.8
@@ -115,16 +114,21 @@ def _sketches(weigh: bool):
     return run
 
 
-@F.pandas_udf(T.BooleanType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+def _numbers(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each row's 32-bit numbers, where Arrow holds them."""
+    for x in column:
+        yield np.frombuffer(x.as_buffer(), "<u4")
+
+
+@F.arrow_udf(T.BooleanType())
+def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether two sorted sets of fingerprints have Jaccard similarity SIMILAR or more."""
 
-    def one(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    def one(x: np.ndarray, y: np.ndarray) -> bool:
         both = np.intersect1d(x, y, assume_unique=True).size
-        return both >= SIMILAR * (x.size + y.size - both)
+        return bool(both >= SIMILAR * (x.size + y.size - both))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pa.array([one(x, y) for x, y in zip(_numbers(a), _numbers(b), strict=True)], pa.bool_())
 
 
 def probability_jaccard(x: np.ndarray, v: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
@@ -140,10 +144,9 @@ def probability_jaccard(x: np.ndarray, v: np.ndarray, y: np.ndarray, w: np.ndarr
     return float((1 / (first / a + second / b)).sum())
 
 
-@F.pandas_udf(T.BooleanType())
-def _alike_weighted(a: pd.Series, v: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
-    read = lambda x: np.frombuffer(x, "<u4")
-    return pd.Series([probability_jaccard(*map(read, row)) >= SIMILAR for row in zip(a, v, b, w, strict=True)], dtype=bool)
+@F.arrow_udf(T.BooleanType())
+def _alike_weighted(a: pa.Array, v: pa.Array, b: pa.Array, w: pa.Array) -> pa.Array:
+    return pa.array([probability_jaccard(*row) >= SIMILAR for row in zip(*map(_numbers, (a, v, b, w)), strict=True)], pa.bool_())
 
 
 def components(nodes: DataFrame, links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -300,7 +303,7 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", weigh: bool
     """
     carried = ["rid", "n_set", "elements", *(["weights"] if weigh else [])]
     with temporary(docs.sparkSession):
-        numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text))
+        numbered = in_short_batches(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text))
         sketches = stored(numbered.mapInArrow(_sketches(weigh), f"rid long, doc_id long, {SKETCH}"))
         worded = sketches.filter("n_set is not null")
         same = stored(worded.groupBy("same1", "same2").agg(F.min("rid").alias("rep")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from ._common import pieces, stored, struct, temporary
+from ._common import in_short_batches, pieces, stored, struct, temporary
 from .quality_rules import _SYMBOL, _WORD, COUNTS, count
 
 #: Rows that the scorers are fitted on at most (expected numbers; picked by hash): weakly labelled ones, and ones with known toxicity.
@@ -253,7 +253,7 @@ def classify(docs: DataFrame, labelled: DataFrame | None = None, train: int = TR
     for toxicity then; quality is learnt from heuristics alone.  Texts are read for their votes, for the samples and to
     be scored; none is shuffled but those picked.
     """
-    docs = docs.select("doc_id", "text")
+    docs = in_short_batches(docs).select("doc_id", "text")
     lot = F.xxhash64("doc_id", "text")
     picked_by = lambda share: F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
     with temporary(docs.sparkSession):

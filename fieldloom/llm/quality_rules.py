@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD, fresh, lasting, pieces, small, stored, struct, temporary
+from ._common import WORD, fresh, in_short_batches, lasting, pieces, small, stored, struct, temporary
 
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 COUNTS = T.StructType([T.StructField(n, T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")])
@@ -144,7 +144,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     The text is read twice (thresholds, then rows) and never shuffled or written.
     """
     c, q = fresh(docs, "counts"), fresh(docs, "quality")
-    counted = docs.withColumn(c, _counts(F.col(text)))
+    counted = in_short_batches(docs).withColumn(c, _counts(F.col(text)))
     return decide(counted, fences(counted, c, lang, source), c, q, lang, source)
 
 
@@ -165,6 +165,6 @@ def decide(counted: DataFrame, limits: DataFrame, c: str, q: str, lang: str = "l
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id with the counts and the verdict, for every row; the text is read once."""
-    counted = stored(docs.select("doc_id", "lang", "source", _counts(F.col("text")).alias("counts")))
+    counted = stored(in_short_batches(docs).select("doc_id", "lang", "source", _counts(F.col("text")).alias("counts")))
     judged = decide(counted, fences(counted, "counts"), "counts", "quality")
     return judged.select("doc_id", *[F.col(f"quality.{n}") for n in COUNTS.names], "quality.base_failed", "quality.kept")

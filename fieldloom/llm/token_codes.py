@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import shared_folder, small
+from ._common import in_short_batches, shared_folder, small
 
 SEGMENT = 1 << 18
 BLOCK = 512
@@ -179,7 +179,7 @@ def _writer(path: str, end: int):
 
 def write_codes(docs: DataFrame, path: str, tokenizer: str, end: int, text: str = "text", id: str = "doc_id") -> str:  # noqa: A002
     """Write the ids of docs' whole texts, each with `end` behind it, in ascending id order."""
-    placed = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    placed = in_short_batches(docs).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     placed.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_writer(tokenizer, end), SEGMENTS).write.parquet(path)
     return path
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import WORD, shared_folder, stored, temporary, whole
+from ._common import WORD, in_short_batches, shared_folder, stored, temporary, whole
 
 GROUP = ("source", "lang", "tokenizer")
 
@@ -168,7 +168,7 @@ def counts(docs: DataFrame, versions: dict[str, str]) -> DataFrame:
     n_revised: tokens of the text without repeated lines.
     """
     kinds = ", ".join(f"{s}{k}: long" for s in "nr" for k in range(len(versions)))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("n_words"), "text")
+    read = in_short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("n_words"), "text")
     counted = read.mapInArrow(_counter(list(versions.values())), f"doc_id long, source string, lang string, n_words long, counts struct<{kinds}>")
     each = F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"counts.n{k}").alias("n_tokens"), F.col(f"counts.r{k}").alias("n_revised")) for k, v in enumerate(versions)])
     return counted.select("doc_id", "source", "lang", "n_words", F.inline(each))
