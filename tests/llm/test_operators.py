@@ -704,6 +704,13 @@ def test_no_column_is_lost_whatever_its_name(spark, odd):
         assert out.columns[: len(wide.columns)] == wide.columns and rows and all(r[n] == f"own {n}" for r in rows for n in names)
 
 
+def test_a_batch_size_of_the_session_stays(spark, odd):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "3")
+    assert quality_rules.report(odd).count() == odd.count() and near_dedup.report(odd).count() == odd.count() and spark.conf.get(key) == "3"
+    spark.conf.unset(key)
+
+
 def test_temporary_tables_go(spark, docs):
     files = lambda: sum(1 for _ in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("loom-*"))
     few, had = docs.limit(50), files()
