@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 from operator import eq
 
@@ -60,6 +61,11 @@ SLIP = 0.001
 GOOD, FAULT, OTHER = np.array([0.005, 0.05, 0.945]), np.array([0.8, 0.1, 0.1]), np.array([0.2, 0.1, 0.7])
 
 
+@lru_cache(1 << 16)
+def _insulting(word: str) -> bool:
+    return INSULTS.search(word) is not None
+
+
 def rates(text: str | None) -> dict[str, tuple[int, ...]]:
     """The heuristics' rates of one whole text."""
     n, chars, symbols, dups, repeats, lines, upper = count(text)
@@ -70,7 +76,8 @@ def rates(text: str | None) -> dict[str, tuple[int, ...]]:
     stutter = sum(map(eq, split, islice(split, 1, None)))
     with_symbol = sum(map(bool, map(_SYMBOL.search, split))) if symbols else 0
     marks = text.count("!") + text.count("|") + text.count("?")
-    found = [(m.start(), m[0].lower()) for m in INSULTS.finditer(text)]
+    # No insult has white space inside, so a text without one in its distinct words has none.
+    found = [(m.start(), m[0].lower()) for m in INSULTS.finditer(text)] if any(map(_insulting, set(split))) else []
     lewd = sum(bool(INSULTS.search(x)) for x in text.split("\n")) if found else 0
     told = sum(bool(SPOKEN.search(text, max(0, at - 40), at)) for at, _ in found)  # within some words before
     return {
