@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, interleave, mixing, near_dedup, packing, quality_model, quality_rules, secrets, token_codes, token_rollup
+from . import chat_format, interleave, jaccard_join, mixing, near_dedup, packing, prefix_trie, quality_model, quality_rules, secrets, token_codes, token_rollup, whitening
 from ._common import read
 from .tokens import vocabulary
 
@@ -56,6 +56,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(read(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(read(spark, sf_dir, "embeddings"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_near_dedup, op4_quality_model, op5_token_codes, op6_token_rollup, op7_interleave, op8_mixing, op9_packing, op10_secrets, pipeline)
+    f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_near_dedup, op4_quality_model, op5_token_codes, op6_token_rollup, op7_interleave, op8_mixing, op9_packing, op10_secrets, op11_prefix_trie, op12_whitening, op13_jaccard_join, pipeline)
 }
 
 _TURNS = """c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -88,6 +100,14 @@ broad AS (SELECT lang, rate, quantile_disc(cell, 0.5) AS mid, CASE WHEN rate IN
 z AS (SELECT fine.lang, source, fine.rate, times, (n * fine.mid + 500 * broad.mid) / (n + 500) AS mid, (n * fine.high + 500 * broad.high) / (n + 500) AS high FROM fine JOIN broad ON fine.lang IS NOT DISTINCT FROM broad.lang AND fine.rate = broad.rate),
 ok AS (SELECT doc_id, bool_and(cell <= coalesce(mid + vc.times * (high - mid), cell)) AS inside FROM vc LEFT JOIN z ON vc.lang IS NOT DISTINCT FROM z.lang AND vc.source IS NOT DISTINCT FROM z.source AND vc.rate = z.rate GROUP BY doc_id)"""
 
+#: crc: CRC-32 of each decimal id from a table made by eight steps of its polynomial; rebuilt: digests and byte counts of turns.
+_REBUILT = """cell AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+ids AS (SELECT DISTINCT conv_id AS c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda a, b: xor(t[xor(a, b) % 256 + 1], a // 256))) % 9 AS h FROM conversations, cell WHERE conv_id IS NOT NULL),
+named AS (SELECT conv_id AS c, turn, substr(sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS g, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) AS i, g, b FROM named),
+put AS (SELECT ids.c, own.i, own.g, own.b FROM ids JOIN own ON own.c = ids.c - ids.c % 5 AND own.i <= h UNION ALL SELECT ids.c, own.i, own.g, own.b FROM ids JOIN own ON own.c = ids.c AND own.i > h),
+rebuilt AS (SELECT ids.c, coalesce(list(put.g ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS g, coalesce(list(put.b ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS b FROM ids LEFT JOIN put ON put.c = ids.c GROUP BY ids.c)"""
+
 SQL: dict[str, str] = {
     "op1_quality_rules": f"""WITH {_COUNTS} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND inside AS kept FROM k JOIN ok USING (doc_id)""",
@@ -100,4 +120,17 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_i
 e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c)),
 both_ways AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
 SELECT x AS doc_id, min(y) AS class_id, x = min(y) AS is_kept FROM reach GROUP BY x""",
+    "op11_prefix_trie": f"""WITH {_REBUILT},
+member AS (SELECT c, d, g[1:d] AS p, len(g) AS n, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS b FROM (SELECT *, unnest(range(len(g) + 1)) AS d FROM rebuilt)),
+node AS MATERIALIZED (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(b) AS saved, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM member GROUP BY d, p),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+below AS (SELECT p[1:e] AS p, sum(saved) AS saved, sum(leaf::INT) AS leaves FROM (SELECT node.p, saved, k IS NULL AS leaf, unnest(range(d + 1)) AS e FROM node LEFT JOIN kids ON kids.p = node.p) GROUP BY 1)
+SELECT node.conv_id, node.d::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(k, 0) AS n_children, leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN below ON below.p = node.p LEFT JOIN kids ON kids.p = node.p LEFT JOIN node up ON node.d > 0 AND up.d = node.d - 1 AND up.p = node.p[1:node.d - 1]""",
+    "op13_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(l[i:i + 3], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, 1) + 1)) AS i FROM w WHERE len(l) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+both_ways AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
+SELECT x AS doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(y) AS component_id FROM reach LEFT JOIN n ON n.doc_id = x GROUP BY x""",
 }
