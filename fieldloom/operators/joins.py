@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import scan
+
 
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: float, on: list[str] | None = None) -> DataFrame:
     """points with the spans [start, end) that hold `at`: an equi-join on buckets of `width`, then the exact test.
@@ -18,25 +20,33 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end:
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, since: str, take: str) -> DataFrame:
-    """left with `take` of the latest right row whose `since` is not after `at`, by key: one sort of both, no range join."""
+    """left with `take` of the latest right row whose `since` is not after `at`, by key.
+
+    One sort of both sides over ranges and a scan, so a key may fill many partitions; no range join.
+    """
     rows = left.withColumn("_take", F.lit(None).cast(right.schema[take].dataType)).withColumn("_at", F.col(at)).withColumn("_left", F.lit(1))
     versions = right.select(F.col(key), F.col(since).alias("_at"), F.col(take).alias("_take")).withColumn("_left", F.lit(0))
     both = rows.unionByName(versions, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_at", "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(take, F.last("_take", ignorenulls=True).over(w)).filter("_left = 1").select(*left.columns, take)
+    return scan(both, [key], ["_at", "_left"], carry={take: F.col("_take")}).filter("_left = 1").select(*left.columns, take)
 
 
 def overlaps(spans: DataFrame, key: str, id: str, start: str, end: str, group: str) -> DataFrame:  # noqa: A002
     """Spans of one key that start before an earlier span of another group has ended, with how far that one reaches.
 
-    A sweep with one running maximum for each group (groups are splits: a handful), so no pairs are made.
+    A scan whose state is the two furthest ends of different groups: no pairs, any number of groups, keys of any length.
+    """
+    return scan(spans, [key], [start, id], rival={"reach": (F.col(end), F.col(group))}).filter(F.col("reach") > F.col(start))
+
+
+def overlap_pairs(spans: DataFrame, key: str, id: str, start: str, end: str, group: str, width: float) -> DataFrame:  # noqa: A002
+    """(key, first, second): ids of two spans of one key and different groups that overlap, by start and then id.
+
+    Only spans that overlaps() names can be second; they meet the spans that hold their start by buckets of `width`.
     """
-    names = [r[0] for r in spans.select(group).distinct().limit(101).collect()]
-    if len(names) > 100:
-        raise ValueError("overlaps() takes 100 groups at most")
-    w = Window.partitionBy(key).orderBy(start, id).rowsBetween(Window.unboundedPreceding, -1)
-    so_far = [F.when(~F.col(group).eqNullSafe(F.lit(g)), F.max(F.when(F.col(group).eqNullSafe(F.lit(g)), F.col(end))).over(w)) for g in names]
-    return spans.withColumn("reach", F.array_max(F.array(*so_far))).filter(F.col("reach") > F.col(start))
+    late = overlaps(spans, key, id, start, end, group).select(key, F.col(id).alias("second"), F.col(start).alias("_at"), F.col(group).alias("_of"))
+    early = spans.select(key, F.col(id).alias("first"), F.col(start).alias("_a"), F.col(end).alias("_b"), F.col(group).alias("_g"))
+    before = (F.col("_a") < F.col("_at")) | ((F.col("_a") == F.col("_at")) & (F.col("first") < F.col("second")))
+    return interval_join(late, early, "_at", "_a", "_b", width, [key]).filter(before & ~F.col("_g").eqNullSafe(F.col("_of"))).select(key, "first", "second")
 
 
 def bank(rows: DataFrame, chosen: DataFrame, key: str, ok: Column) -> DataFrame:
@@ -75,7 +85,6 @@ def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def scheduled(events: DataFrame, key: str, order: str, at: str) -> DataFrame:
     """events with accepted (strictly later than the key's event before, which the clock has reached) and the version it makes."""
-    w = Window.partitionBy(key).orderBy(order)
-    now = F.lag(at).over(w)
-    placed = events.withColumn("accepted", now.isNull() | (F.col(at) > now))
-    return placed.withColumn("version", 1 + F.sum(F.col("accepted").cast("long")).over(w))
+    told = scan(events, [key], [order], lag={"_now": F.col(at)})
+    placed = told.withColumn("accepted", F.col("_now").isNull() | (F.col(at) > F.col("_now"))).drop("_now")
+    return scan(placed, [key], [order], sums={"version": F.col("accepted").cast("long")}).withColumn("version", F.col("version") + 1)

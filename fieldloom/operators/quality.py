@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import world_north_nt
 from ..functions.scalar import sample_index
+from .scans import scan
 
 HZ, TOLERANCE = 100.0, 1e-8
 #: Flags that a device may set itself.
@@ -48,8 +49,7 @@ def index_frames(frames: DataFrame, hz: float = HZ) -> DataFrame:
 
 def order_faults(frames: DataFrame) -> DataFrame:
     """Frames whose time does not come after the frame before: a stream with any is refused, not sorted."""
-    w = Window.partitionBy("session_id").orderBy("frame_id")
-    return frames.withColumn("before_s", F.lag("sim_time_s").over(w)).filter("sim_time_s <= before_s")
+    return scan(frames, ["session_id"], ["frame_id"], lag={"before_s": F.col("sim_time_s")}).filter("sim_time_s <= before_s")
 
 
 def readings(indexed: DataFrame) -> DataFrame:

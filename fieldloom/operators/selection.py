@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import ranked, small
+
 
 def lot(id: str, seed: int) -> Column:  # noqa: A002
     """A seeded order of ids that any executor recomputes."""
@@ -17,12 +19,12 @@ def lineage_split(rows: DataFrame, lineage: str, label: str, seed: int, shares:
     by: what orders them instead (a content digest, say), the same for all rows of a lineage.
     """
     own = rows.select(lineage, label, (lot(lineage, seed) if by is None else by).alias("_lot")).distinct()
-    w = Window.partitionBy(label).orderBy("_lot", lineage)
-    n = F.count("*").over(Window.partitionBy(label))
-    at = F.row_number().over(w)
-    a, b = F.rint(n * shares[0]), F.rint(n * (shares[0] + shares[1]))
-    placed = own.withColumn("split", F.when(at <= a, "TRAIN").when(at <= b, "VALIDATION").otherwise("TEST"))
-    return rows.join(placed.drop("_lot"), [lineage, label])
+    placed = ranked(own, [label], [F.col("_lot"), F.col(lineage)], "_at")
+    n = small(own.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n")))
+    a, b = F.rint(F.col("_n") * shares[0]), F.rint(F.col("_n") * (shares[0] + shares[1]))
+    split = F.when(F.col("_at") < a, "TRAIN").when(F.col("_at") < b, "VALIDATION").otherwise("TEST")
+    named = placed.join(n, placed[label].eqNullSafe(n["_label"])).select(lineage, label, split.alias("split"))
+    return rows.join(named, [lineage, label])
 
 
 def balanced_bank(rows: DataFrame, id: str, label: str, each: int, seed: int) -> DataFrame:  # noqa: A002

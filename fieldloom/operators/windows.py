@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import EPS
 from ..functions.scalar import held as bounded
 from ..shared import let, ranked
+from .scans import scan
 
 
 def indexed(rows: DataFrame, key: str, *order: str, name: str = "i") -> DataFrame:
@@ -125,16 +126,16 @@ def latest(windows: DataFrame, key: str, start: str = "s") -> DataFrame:
 
 
 def islands(rows: DataFrame, key: str, good: Column, least: int) -> DataFrame:
-    """Each series' latest uninterrupted run of good rows, if it has `least` rows or more: (key, first_i, last_i, n)."""
-    w = Window.partitionBy(key).orderBy("i")
-    tagged = rows.withColumn("_good", good).withColumn("_jump", F.coalesce(F.col("i") - F.lag("i").over(w) > 1, F.lit(True)))
-    runs = tagged.withColumn("_break", F.when(~F.col("_good") | F.col("_jump") | ~F.lag("_good", 1, False).over(w), 1).otherwise(0)).withColumn("_run", F.sum("_break").over(w))
-    found = runs.filter("_good").groupBy(key, "_run").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n"))
+    """Each series' latest uninterrupted run of good rows, if it has `least` rows or more: (key, first_i, last_i, n).
+
+    Along a run both the place and the number of good rows so far grow by one, so their difference names it.
+    """
+    counted = scan(rows.select(key, "i", good.alias("_good")), [key], ["i"], sums={"_so_far": F.col("_good").cast("long")})
+    found = counted.filter("_good").groupBy(key, (F.col("i") - F.col("_so_far")).alias("_run")).agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n"))
     last = found.groupBy(key).agg(F.max_by(F.struct("first_i", "last_i", "n"), "last_i").alias("r"))
     return last.select(key, "r.*").filter(F.col("n") >= least)
 
 
 def held(rows: DataFrame, key: str, stuck: Column, value: str = "x") -> DataFrame:
     """The value, or where a reading is stuck the last one that wasn't."""
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("held", F.last(F.when(~stuck, F.col(value)), ignorenulls=True).over(w))
+    return scan(rows, [key], ["i"], carry={"held": F.when(~stuck, F.col(value))})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import statistics as S
 from ..operators import windows as W
+from ..operators.scans import scan
 from ..registry import query
 from ..shared import let, stored
 from ..sources.tables import table
@@ -190,8 +191,7 @@ def stuck_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {R} SELECT sensor, i, round(sum(x) OVER (PARTITION BY sensor ORDER BY i), 4) AS walk FROM r")
 def random_walk_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("sensor").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return series(spark, sf_dir).select("sensor", "i", F.round(F.sum("x").over(w), 4).alias("walk"))
+    return scan(series(spark, sf_dir), ["sensor"], ["i"], sums={"walk": F.col("x")}).select("sensor", "i", F.round("walk", 4).alias("walk"))
 
 
 @query("SELECT event_id, ts, false AS gap FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 50")
