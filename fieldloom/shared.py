@@ -24,18 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/loom-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
+def stored(df: DataFrame, outer: bool = False, **options: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again.
 
     Cuts the lineage: a lost executor costs the tasks that ran on it, never the
     steps before.  The files survive every executor.  Within temporary() they
-    go when it ends; otherwise the folder's owner clears them.
+    go when it ends (outer: when the scope around it ends); otherwise the folder's
+    owner clears them.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.options(**options).parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    scopes = _SCOPES[:-1] if outer else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
