@@ -46,7 +46,9 @@ from .near_dedup import components
 
 SHINGLE, THRESHOLD = 4, Fraction(85, 100)
 #: Bytes of a fingerprint, cells of counts, longs of a parity, rows of a side of a block, texts at once.
-WIDTH, CELLS, PARITY, BLOCK, RUN = 5, 1 << 20, 8, 1000, 500
+WIDTH, CELLS, PARITY, BLOCK, RUN = 5, 1 << 17, 8, 1000, 500
+#: Bits of the map that rules rows out before they are shuffled.
+BITS = 1 << 26
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -128,25 +130,59 @@ def _ordered(often: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _tokens(often: np.ndarray, t: Fraction):
-    """(token, index) of each row's prefix; index: within the shorter prefix of the smaller set."""
+    """(rid, token, index, tag) of each row's prefix; index: within the shorter prefix of the smaller set; tag: 32 bits that name the set.
+
+    A task passes over sets that it has met before, so copies cost a task one set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, RUN):
                 tokens, index, sizes = [], [], []
                 part = batch.slice(at, RUN)
+                fresh = []
+                for i, same in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    if same not in met:
+                        met.add(same)
+                        fresh.append(i)
+                if not fresh:
+                    continue
+                part = part.take(pa.array(fresh))
                 for e in part.column(1):
                     x = unpacked(e)
                     large, small = prefix_sizes(len(x), t)
                     tokens.append(_ordered(often, x)[:large])
                     index.append(np.arange(large) < small)
                     sizes.append(large)
-                rids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                yield pa.RecordBatch.from_arrays([rids, pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(index))], ["rid", "token", "index"])
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                tag = (part.column(2).to_numpy() >> 32).astype(np.int32)[row]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(index)), pa.array(tag)], ["rid", "token", "index", "tag"])
 
     return run
 
 
+def _among(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """rows (rid first) without most of those whose rid is not in few: a map of BITS bits, whatever the input.
+
+    It only spares a shuffle; the join behind it decides.  A map that few fills rules nothing out.
+    """
+    bit = F.pmod(F.xxhash64("rid"), F.lit(BITS))
+    # Spark's buckets hold bits from 1 on.
+    maps = few.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    every = np.zeros(BITS // 8, np.uint8)
+    for r in maps:  # BITS / 32768 at most
+        every[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(batch.num_columns - 1).to_numpy()
+            keep = (every[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep.astype(bool))) for c in batch.columns[:-1]], batch.schema.names[:-1])
+
+    return rows.withColumn("bit", bit).mapInArrow(run, rows.schema)
+
+
 def parities(x: np.ndarray, places: np.ndarray) -> np.ndarray:
     """For each place in an ordered set, 512 bits: how many fingerprints behind it fall on each bit, modulo 2."""
     bit = (words.mix64(x) >> np.uint64(55)).astype(np.int64)
@@ -249,20 +285,22 @@ def verified(pairs: DataFrame, elements: DataFrame, t: Fraction) -> DataFrame:
 
 def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:  # noqa: A002
     """One row (doc_id, n_shingles, component_id) for each row of docs."""
-    with temporary(docs.sparkSession):
-        numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        sketches = stored(numbered.mapInArrow(_sketches(size), "rid long, doc_id long, same1 long, same2 long, n_shingles long, n int, elements binary"))
-        worded = sketches.filter("n > 0")
-        same = stored(worded.groupBy("same1", "same2").agg(F.min("rid").alias("rep")))
-        reps = worded.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "elements")
-        often = common(reps)
-
-        tokens = stored(reps.select("rid", "elements").mapInArrow(_tokens(often, threshold), "rid long, token long, index boolean"))
-        shared = stored(tokens.groupBy("token").agg(F.count("*").alias("k"), F.max("index").alias("index")).filter("k > 1 and index").select("token"))
-        wanted = tokens.join(shared, "token").groupBy("rid").agg(F.collect_list("token").alias("tokens"))
-        met = stored(reps.join(wanted, "rid").select("rid", "n", "elements", "tokens"))  # only rows that share a prefix n-gram from here on
+    spark = docs.sparkSession
+    with temporary(spark):
+        with temporary(spark):
+            numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+            sketches = stored(numbered.mapInArrow(_sketches(size), "rid long, doc_id long, same1 long, same2 long, n_shingles long, n int, elements binary"))
+            rows = stored(sketches.select("rid", "doc_id", "same1", "same2", "n_shingles"), outer=True)
+            same = stored(rows.filter("n_shingles > 0").groupBy("same1", "same2").agg(F.min("rid").alias("rep")), outer=True)
+            worded = sketches.filter("n > 0").select("rid", "elements", "same1", "same2")
+            often = common(worded)
+            tokens = stored(worded.mapInArrow(_tokens(often, threshold), "rid long, token long, index boolean, tag int"))
+            shared = stored(tokens.groupBy("token").agg(F.min("tag").alias("low"), F.max("tag").alias("high"), F.max("index").alias("index")).filter("low < high and index").select("token"))
+            listed = tokens.select("rid", "token").join(shared, "token").groupBy("rid").agg(F.collect_list("token").alias("tokens"))
+            wanted = stored(listed.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi"))
+            met = stored(_among(sketches.filter("n > 0").select("rid", "n", "elements"), wanted).join(wanted, "rid"), outer=True)
+        # Only representatives that share a prefix n-gram from here on.
         members = stored(met.select("rid", "elements", "tokens").mapInArrow(_members(often, threshold), MEMBERS))
-
         nodes, elements = met.select("rid"), met.select("rid", "n", "elements")
         links = stored(verified(stored(hub_pairs(members, threshold)), elements, threshold))
         labels = components(nodes, links)
@@ -270,10 +308,10 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int =
         if not more.isEmpty():
             labels = components(nodes, links.unionAll(more), labels)
         reps = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same1", "same2", F.coalesce("comp", "rep").alias("comp"))
-        rows = stored(worded.select("doc_id", "n_shingles", "same1", "same2").join(reps, ["same1", "same2"]).select("doc_id", "n_shingles", "comp"))
-        least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        alone = sketches.filter("n = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return lasting(rows.join(least, "comp").select("doc_id", "n_shingles", "component_id").unionAll(alone))
+        found = stored(rows.filter("n_shingles > 0").join(reps, ["same1", "same2"]).select("doc_id", "n_shingles", "comp"))
+        least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return lasting(found.join(least, "comp").select("doc_id", "n_shingles", "component_id").unionAll(alone))
 
 
 def report(docs: DataFrame) -> DataFrame:

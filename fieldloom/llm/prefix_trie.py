@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import lasting, let, stored, temporary, whole
+from ._common import lasting, let, small, stored, temporary, whole
 
 #: Sequences and turns of a block.
 BLOCK, TURNS = 16_384, 1 << 20
@@ -304,7 +304,7 @@ def _resolved(nodes: DataFrame, summary: DataFrame, every: Blocks) -> DataFrame:
     far = summary.sparkSession.createDataFrame([(int(b), *map(int, every.before[:, i])) for i, b in enumerate(every.id)], f"block long, {', '.join(f'f_{s} long' for s in SUMS)}")
     ahead = summary.select("block", "lefts", "rights").join(far, "block")  # a row for each block
     side = lambda c, ends_: ahead.select(F.col("block").alias(f"{c}_block"), F.col(ends_), *[F.col(f"f_{s}").alias(f"{c}f_{s}") for s in SUMS])
-    joined = nodes.join(side("l", "lefts"), "l_block", "left").join(side("r", "rights"), "r_block", "left")
+    joined = nodes.join(small(side("l", "lefts")), "l_block", "left").join(small(side("r", "rights")), "r_block", "left")
     smaller = lambda c: F.array_max(F.filter(c, lambda e: e["value"] < F.col("value")))
     equal = lambda c: F.filter(c, lambda e: e["value"] == F.col("value"))
     joined = joined.withColumn("le", smaller("lefts")).withColumn("re", smaller("rights")).withColumn("lq", F.coalesce(F.size(equal("lefts")), F.lit(-1)) > 0).withColumn("rq", F.coalesce(F.get(equal("rights"), F.lit(0))["k"], F.lit(0)))
