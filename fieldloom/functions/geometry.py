@@ -150,11 +150,11 @@ def project(v: Column, mode: str, axis: Column | None = None) -> Column:
 
 
 def integrate(q: Column, rate: Column, dt: Column | float) -> Column:
-    """The orientation after turning at a constant rate (rad/s) for dt seconds."""
+    """The world-to-sensor orientation after the sensor has turned at a constant rate (rad/s, in its own frame) for dt seconds."""
 
     def turn(r: Column) -> Column:
         half = r["speed"] * dt / 2
         part = F.when(r["speed"] > 0, F.sin(half) / r["speed"]).otherwise(0.0)
         return F.array(F.cos(half), *[at(r["rate"], i) * part for i in range(3)])
 
-    return canonical(quaternion_product(q, let(let(rate, lambda r: F.struct(r.alias("rate"), norm(r).alias("speed"))), turn)))
+    return canonical(quaternion_product(let(let(rate, lambda r: F.struct(r.alias("rate"), norm(r).alias("speed"))), turn), q))

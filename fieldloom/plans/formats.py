@@ -53,6 +53,14 @@ def rotate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.round(G.at(q, 0), 6).alias("w"), F.round(G.at(q, 3), 6).alias("z"))
 
 
+@query("SELECT event_id, round((c - s) / 2, 6) AS w, round((c + s) / 2, 6) AS x, round((c - s) / 2, 6) AS y, round((c + s) / 2, 6) AS z FROM (SELECT event_id, cos(value / 200) AS c, sin(value / 200) AS s FROM events WHERE value < 150)")
+def rotate_tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As rotate_rate, about the sensor's own x axis and from a tilted start, where the order of the product shows."""
+    e = table(spark, sf_dir, "events").filter("value < 150")
+    q = G.integrate(F.array(*[F.lit(0.5)] * 4), F.array(F.col("value") / 100, F.lit(0.0), F.lit(0.0)), 1.0)
+    return e.select("event_id", *[F.round(G.at(q, i), 6).alias(n) for i, n in enumerate("wxyz")])
+
+
 @query("SELECT event_id, round(1e9 * (cos(a) * value * 1e-9 + sin(a) * 2e-8), 6) AS north FROM (SELECT event_id, value, (user_id % 12) * pi() / 6 AS a FROM events)")
 def world_north(spark: SparkSession, sf_dir: str) -> DataFrame:
     """North component in nT of fields seen by sensors turned about z."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def stored(df: DataFrame, outer: bool = False, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.options(**options).parquet(path)
-    scopes = _SCOPES[:-1] if outer else _SCOPES
+    scopes = _SCOPES.get()[: -1 if outer else None]
     if scopes:
         scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -78,28 +79,31 @@ def in_short_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-_SCOPES: list[list[str]] = []
+#: The scopes of this thread's call; a list of paths each.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what stored() writes inside.  What leaves it must be stored again, by lasting()."""
-    _SCOPES.append([])
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for path in own:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def lasting(df: DataFrame) -> DataFrame:
     """stored(), for a result that leaves temporary()."""
-    hidden, _SCOPES[:] = list(_SCOPES), []
+    token = _SCOPES.set(())
     try:
         return stored(df)
     finally:
-        _SCOPES[:] = hidden
+        _SCOPES.reset(token)
 
 
 def small(df: DataFrame, most: int = 20_000) -> DataFrame:

@@ -57,6 +57,8 @@ def test_gates(spark):
 def test_orientation(spark):
     q = lambda *v: F.array(*[F.lit(float(x)) for x in v])
     row = spark.range(1).select(G.integrate(q(1, 0, 0, 0), q(0, 0, np.pi / 2), 1.0).alias("z"), G.integrate(q(1, 0, 0, 0), q(0, 0, 0), 1.0).alias("still"), G.project(q(3, 0, 4), "total").alias("t"), G.project(q(3, 0, 4), "vector").alias("v")).first()
+    tilted = spark.range(1).select(G.integrate(q(0.5, 0.5, 0.5, 0.5), q(1, 0, 0), 1.0).alias("q")).first().q
+    assert tilted == pytest.approx([0.19907, 0.678504, 0.19907, 0.678504], abs=1e-5)
     assert row.z == pytest.approx([np.sqrt(0.5), 0, 0, np.sqrt(0.5)]) and row.still == [1, 0, 0, 0] and row.t == [5] and row.v == [3, 0, 4]
 
 
