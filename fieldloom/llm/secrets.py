@@ -62,8 +62,9 @@ ALPHABETS = {
 NAMES = list(ALPHABETS)
 #: Letters of one case; compounds of such words with numbers behind them.
 PLAIN = "^([A-Za-z][a-z]+|[A-Z]+)$"
-_PART = "(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)[0-9]*|[0-9]+)"
-WORDS = f"^(?![0-9]+$)[-_+/]*{_PART}(?:[-_+/]+{_PART})*[-_+/]*$"
+#: What compounds of words and numbers lack: a letter behind a number, or a capital that neither begins a word nor stands
+#: among capitals alone.  Searched for, so no token is too long for a matcher's stack.
+MIXED = "[0-9][A-Za-z]|[a-z][A-Z](?![a-z])|[A-Z][A-Z][a-z]"
 _TESTED = "array<struct<start:bigint,end:bigint,word:boolean,cls:int,cells:array<int>,kind:int,distance:double>>"
 
 
@@ -121,7 +122,7 @@ def tested(text: F.Column) -> F.Column:
 
 
 def _judge(token: F.Column) -> F.Column:
-    word = token.rlike(WORDS)
+    word = token.rlike("[A-Za-z0-9]") & ~token.rlike("^[0-9]+$") & ~token.rlike(MIXED)
     n = F.char_length(token)
     cls = sum((F.when(n >= c, 1).otherwise(0) for c in CLASSES[1:]), F.lit(0)).cast("int")
     kind = F.lit(len(NAMES) - 1)

@@ -602,6 +602,11 @@ def test_base_secrets(spark, texts):
     assert hits > 20
 
 
+#: Compounds of words and numbers, stated as one pattern.
+_PART = "(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)[0-9]*|[0-9]+)"
+COMPOUND = f"^(?![0-9]+$)[-_+/]*{_PART}(?:[-_+/]+{_PART})*[-_+/]*$"
+
+
 def battery(token):
     """Alphabet and distance of a token, or its distances as a word, in plain Python."""
 
@@ -614,7 +619,7 @@ def battery(token):
         serial = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(x, x[1:])) / ((k * k - 1) / 12) / math.sqrt(n - 1)
         return chi**2 + runs**2 + serial**2
 
-    if re.search(secrets.WORDS, token):
+    if re.search(COMPOUND, token):
         return None, {k: distance(k) for k in secrets.NAMES if re.search(secrets.PLAIN, token) or re.search(secrets.ALPHABETS[k][0], token)}
     kind = next(k for k in secrets.NAMES if re.search(secrets.ALPHABETS[k][0], token))
     return kind, distance(kind)
@@ -727,3 +732,32 @@ def test_empty_tables(spark, empty):
     assert interleave.report(empty).isEmpty() and mixing.report(empty).isEmpty() and mixing.mix(empty).isEmpty()
     assert packing.pack(empty, vocabulary("word_bpe_49k.json"), 0).isEmpty()
     assert secrets.report(empty).isEmpty() and secrets.redact(empty).isEmpty()
+
+
+def test_compounds_of_any_length(spark):
+    """A fresh JVM's matcher must get through every kind of token: paths, camel case, letters and digits, base64."""
+    rng = np.random.default_rng(2)
+    symbols = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    kinds = lambda n: {
+        "path": "/".join(f"get{i}" for i in range(n // 6)), "camel": "aBc" * (n // 3), "capital": "Word" * (n // 4), "upper": "ABC" * (n // 3), "digits": "12345" * (n // 5),
+        "mixed": "a1" * (n // 2), "separators": "a-_" * (n // 3), "base64": "".join(rng.choice(symbols, n)), "hex": "".join(rng.choice(symbols[26:32].tolist() + symbols[52:62].tolist(), n)),
+    }
+    rows = [(k, n, f"before {x} after") for n in (10_000, 100_000, 1_000_000) for k, x in kinds(n).items()]
+    df = spark.createDataFrame(rows, "kind string, n int, text string").repartition(9)
+    out = {(r.kind, r.n): r.t for r in df.select("kind", "n", secrets.tested(F.col("text")).alias("t")).collect()}
+    for k, n, text in rows:
+        (one,) = out[k, n]
+        token = text.split()[1]
+        assert (one.start, one.end) == (7, 7 + len(token))
+        assert one.word == (k in ("path", "camel", "capital", "upper", "separators")), (k, n)
+    docs = df.filter("n < 1000000").select(F.col("n").cast("long").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    assert secrets.report(docs).count() == secrets.redact(docs).count() == len(rows) * 2 // 3
+
+
+def test_compounds_are_those_of_the_pattern(spark):
+    rng = np.random.default_rng(5)
+    bits = ["a", "b", "A", "B", "1", "2", "-", "_", "/", "+", "aa", "Aa", "AA"]
+    tokens = ["".join(rng.choice(bits, rng.integers(14, 22))) for _ in range(4000)] + ["1234567890123456", "----------------", "12345678-12345678"]
+    tokens = [t for t in tokens if len(t) >= 16]
+    found = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.tested(F.col("t")).alias("x")).collect()
+    assert all(r.x[0].word == bool(re.search(COMPOUND, r.t)) for r in found) and sum(r.x[0].word for r in found) > 20
