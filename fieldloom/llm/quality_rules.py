@@ -4,15 +4,19 @@ Every text gets whole-text counts in one Arrow pass.  The rates of the texts
 that pass the base rules go, as integers, into a mergeable quantile sketch per
 (lang, source, rate): buckets of a logarithmic-linear scale with counts, so
 sketches of any two parts of the corpus add up bucket by bucket (an ordinary
-partial aggregation).  A fence is
+partial aggregation).  One rule sets the fences of all rates:
 
-    median + factor * (upper quantile - median)
+* where the language's sketch falls apart above its median, the fence is in the middle
+  of the gap.  The gap is the widest between neighbouring values, on a logarithmic
+  scale; it counts if it is as wide as the way from the median up to it, and as the way
+  from its upper end to the 99 % quantile of what lies above.  So a bulk and a cluster
+  far from it are told apart, and a tail that thins out is not cut.
+* elsewhere the fence is median + FACTOR * (HIGH % quantile - median).
 
-with quantiles read from the group's sketch and from its language's, which
-weighs as much as PRIOR texts: a small group leans on its language, a large one
-stands alone, and no size switches between them.  RULES has the quantile and the
-factor of each rate, which have no unit; no limit in a rate's own unit exists.
-The fences join back to the rows.
+Both come from the group's sketch and its language's, which weighs as much as PRIOR
+texts: a small group leans on its language, a large one stands alone, and no size
+switches between them.  (A gap of the group's own counts if its language has one.)  No
+limit in a rate's own unit exists.  The fences join back to the rows.
 
 Rates are in thousandths; a lone symbol, repeated line or upper-case word is no
 rate yet, so those counts are less by one.
@@ -37,8 +41,10 @@ from ._common import WORD, fresh, in_short_batches, lasting, pieces, small, stor
 
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 COUNTS = T.StructType([T.StructField(n, T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")])
-#: Rates with an upper fence: the upper quantile in hundredths, and how often its distance from the median fits below the fence.
-RULES = {"symbols": (75, 4), "dup_lines": (99, 4), "repeats": (99, 4), "upper": (99, 4), "word_length": (75, 12)}
+#: Rates with an upper fence.
+RULES = ("symbols", "dup_lines", "repeats", "upper", "word_length")
+#: The upper quantile in hundredths, and how often its distance from the median fits below the fence.
+HIGH, FACTOR = 99, 4
 #: Texts that a language's sketch weighs as much as.
 PRIOR = 500
 #: Buckets to each power of two: a quantile is off by 1/512 at most, finer than the spread of mean word lengths.
@@ -108,18 +114,28 @@ def sketch(counted: DataFrame, keys: list[str], column: str) -> DataFrame:
     return counted.select(*keys, F.explode(rates).alias("r")).groupBy(*keys, "r.rate", "r.bucket").agg(F.count("*").alias("n"))
 
 
-def _of_rate(n: int) -> F.Column:
-    return F.element_at(F.create_map(*[F.lit(x) for rate, rule in RULES.items() for x in (rate, rule[n])]), F.col("rate"))
+def scale(x: F.Column) -> F.Column:
+    """A rate's place on a logarithmic scale, in millionths, as an integer."""
+    return F.round(F.log(1 + x) * 1e6).cast("long")
 
 
 def quantiles(sketched: DataFrame, keys: list[str]) -> DataFrame:
-    """Total, median and the rate's upper quantile of each sketch.  A window holds one sketch: some thousand buckets at most, whatever the corpus."""
+    """Total, median, upper quantile and the middle of the gap (null where there is none) of each sketch.
+
+    A window holds one sketch: some thousand buckets at most, whatever the corpus.
+    """
     group = [*keys, "rate"]
-    summed = sketched.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy(*group).orderBy("bucket")
-    upto = summed.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= q * F.col("total"), value(F.col("bucket"))))
-    return upto.groupBy(*group).agg(F.max("total").alias("total"), at(F.lit(50)).alias("mid"), at(_of_rate(0)).alias("high"))
+    every, order = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("bucket")
+    upto = sketched.groupBy(*group, "bucket").agg(F.sum("n").alias("n")).withColumn("v", value(F.col("bucket")))
+    upto = upto.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(every), "next": F.lead("v").over(order)})
+    upto = upto.withColumn("mid", F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("v"))).over(every))
+    wide = F.when(F.col("v") >= F.col("mid"), F.struct((scale(F.col("next")) - scale(F.col("v"))).alias("gap"), (-F.col("v")).alias("low"), F.col("next").alias("next"), F.col("upto").alias("upto")))
+    upto = upto.withColumn("g", F.max(F.when(F.col("next").isNotNull(), wide)).over(every))
+    above = (F.col("v") >= F.col("g.next")) & ((F.col("upto") - F.col("g.upto")) * 100 >= HIGH * (F.col("total") - F.col("g.upto")))
+    at = upto.groupBy(*group).agg(F.max("total").alias("total"), F.max("mid").alias("mid"), F.min(F.when(F.col("upto") * 100 >= HIGH * F.col("total"), F.col("v"))).alias("high"), F.max("g").alias("g"), F.min(F.when(above, F.col("v"))).alias("top"))
+    low = -F.col("g.low")
+    apart = (F.col("g.gap") >= scale(low) - scale(F.col("mid"))) & (F.col("g.gap") >= scale(F.col("top")) - scale(F.col("g.next")))
+    return at.select(*group, "total", "mid", "high", F.when(apart, F.sqrt((1 + low) * (1 + F.col("g.next")).cast("double")) - 1).alias("middle"))
 
 
 def fences(counted: DataFrame, column: str, lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
@@ -131,10 +147,12 @@ def fences(counted: DataFrame, column: str, lang: str = "lang", source: str = "s
 
 def _fences(fine: DataFrame, prior: int) -> DataFrame:
     own = quantiles(fine, ["l", "s"])
-    broad = quantiles(fine.drop("s"), ["l"]).select(F.col("l").alias("of"), F.col("rate").alias("by"), F.col("mid").alias("mid_l"), F.col("high").alias("high_l"))
+    broad = quantiles(fine.drop("s"), ["l"]).select(F.col("l").alias("of"), F.col("rate").alias("by"), *[F.col(c).alias(f"{c}_l") for c in ("mid", "high", "middle")])
     joined = own.join(broad, F.col("l").eqNullSafe(F.col("of")) & (F.col("rate") == F.col("by")))
-    shrunk = lambda q: (F.col("total") * F.col(q) + prior * F.col(f"{q}_l")) / (F.col("total") + prior)
-    fenced = joined.withColumn("fence", shrunk("mid") + _of_rate(1) * (shrunk("high") - shrunk("mid")))
+    shrunk = lambda q, p: (F.col("total") * q + prior * F.col(p)) / (F.col("total") + prior)
+    mid, high = shrunk(F.col("mid"), "mid_l"), shrunk(F.col("high"), "high_l")
+    fence = F.when(F.col("middle_l").isNotNull(), shrunk(F.coalesce("middle", "middle_l"), "middle_l")).otherwise(mid + FACTOR * (high - mid))
+    fenced = joined.withColumn("fence", fence)
     return fenced.groupBy("l", "s").agg(*[F.max(F.when(F.col("rate") == r, F.col("fence"))).alias(f"max_{r}") for r in RULES])
 
 

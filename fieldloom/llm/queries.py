@@ -92,13 +92,19 @@ ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line
 nl AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 k AS (SELECT d.doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_upper, 0)::BIGINT AS n_upper
  FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN nl USING (doc_id)),
-v AS (SELECT doc_id, lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'upper', 'word_length']) AS rate, coalesce(unnest([greatest(n_symbols - 1, 0) * 1000 // nullif(n_words, 0), greatest(n_dup_lines - 1, 0) * 1000 // nullif(n_lines, 0), n_repeat_words * 1000 // nullif(n_words, 0), greatest(n_upper - 1, 0) * 1000 // nullif(n_words, 0), word_chars * 1000 // nullif(n_words, 0)]), 0) AS x, unnest([4, 4, 4, 4, 12]) AS times, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM k),
+v AS (SELECT doc_id, lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'upper', 'word_length']) AS rate, coalesce(unnest([greatest(n_symbols - 1, 0) * 1000 // nullif(n_words, 0), greatest(n_dup_lines - 1, 0) * 1000 // nullif(n_lines, 0), n_repeat_words * 1000 // nullif(n_words, 0), greatest(n_upper - 1, 0) * 1000 // nullif(n_words, 0), word_chars * 1000 // nullif(n_words, 0)]), 0) AS x, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM k),
 vc AS (SELECT *, CASE WHEN x < 1024 THEN x ELSE (x >> (floor(log2(x + 0.5))::INT - 9)) << (floor(log2(x + 0.5))::INT - 9) END AS cell FROM v),
 u AS (SELECT * FROM vc WHERE NOT failed),
-fine AS (SELECT lang, source, rate, times, count(*) AS n, quantile_disc(cell, 0.5) AS mid, CASE WHEN rate IN ('symbols', 'word_length') THEN quantile_disc(cell, 0.75) ELSE quantile_disc(cell, 0.99) END AS high FROM u GROUP BY lang, source, rate, times),
-broad AS (SELECT lang, rate, quantile_disc(cell, 0.5) AS mid, CASE WHEN rate IN ('symbols', 'word_length') THEN quantile_disc(cell, 0.75) ELSE quantile_disc(cell, 0.99) END AS high FROM u GROUP BY lang, rate),
-z AS (SELECT fine.lang, source, fine.rate, times, (n * fine.mid + 500 * broad.mid) / (n + 500) AS mid, (n * fine.high + 500 * broad.high) / (n + 500) AS high FROM fine JOIN broad ON fine.lang IS NOT DISTINCT FROM broad.lang AND fine.rate = broad.rate),
-ok AS (SELECT doc_id, bool_and(cell <= coalesce(mid + vc.times * (high - mid), cell)) AS inside FROM vc LEFT JOIN z ON vc.lang IS NOT DISTINCT FROM z.lang AND vc.source IS NOT DISTINCT FROM z.source AND vc.rate = z.rate GROUP BY doc_id)"""
+fine AS (SELECT 0 AS whole, lang, source, rate, cell, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT 1, lang, NULL, rate, cell, count(*) FROM u GROUP BY ALL),
+f1 AS (SELECT *, sum(n) OVER o AS upto, sum(n) OVER q AS total, lead(cell) OVER o AS nxt FROM fine WINDOW q AS (PARTITION BY whole, lang, source, rate), o AS (PARTITION BY whole, lang, source, rate ORDER BY cell)),
+f2 AS (SELECT *, min(CASE WHEN upto * 2 >= total THEN cell END) OVER (PARTITION BY whole, lang, source, rate) AS mid FROM f1),
+f3 AS (SELECT *, round(ln(1 + nxt) * 1e6) - round(ln(1 + cell) * 1e6) AS gap FROM f2),
+f4 AS (SELECT *, first_value(cell) OVER p AS low, first_value(nxt) OVER p AS hi, first_value(upto) OVER p AS below, first_value(gap) OVER p AS wide, first_value(nxt IS NOT NULL AND cell >= mid) OVER p AS has FROM f3 WINDOW p AS (PARTITION BY whole, lang, source, rate ORDER BY (nxt IS NOT NULL AND cell >= mid) DESC, gap DESC NULLS LAST, cell)),
+f5 AS (SELECT whole, lang, source, rate, max(total) AS n, max(mid) AS mid, min(CASE WHEN upto * 100 >= 99 * total THEN cell END) AS high, max(CASE WHEN has THEN low END) AS low, max(CASE WHEN has THEN hi END) AS hi, max(CASE WHEN has THEN wide END) AS wide, min(CASE WHEN has AND cell >= hi AND (upto - below) * 100 >= 99 * (total - below) THEN cell END) AS top FROM f4 GROUP BY ALL),
+f6 AS (SELECT *, CASE WHEN wide >= round(ln(1 + low) * 1e6) - round(ln(1 + mid) * 1e6) AND wide >= round(ln(1 + top) * 1e6) - round(ln(1 + hi) * 1e6) THEN sqrt(((1 + low) * (1 + hi))::DOUBLE) - 1 END AS middle FROM f5),
+y AS (SELECT a.lang, a.source, a.rate, (a.n * a.mid + 500 * b.mid) / (a.n + 500) AS mid, (a.n * a.high + 500 * b.high) / (a.n + 500) AS high, (a.n * coalesce(a.middle, b.middle) + 500 * b.middle) / (a.n + 500) AS middle FROM f6 a JOIN f6 b ON a.whole = 0 AND b.whole = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.rate = b.rate),
+z AS (SELECT lang, source, rate, coalesce(middle, mid + 4 * (high - mid)) AS fence FROM y),
+ok AS (SELECT doc_id, bool_and(cell <= coalesce(fence, cell)) AS inside FROM vc LEFT JOIN z ON vc.lang IS NOT DISTINCT FROM z.lang AND vc.source IS NOT DISTINCT FROM z.source AND vc.rate = z.rate GROUP BY doc_id)"""
 
 #: crc: CRC-32 of each decimal id from a table made by eight steps of its polynomial; rebuilt: digests and byte counts of turns.
 _REBUILT = """cell AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),

@@ -115,13 +115,30 @@ def test_every_fence_comes_from_the_sketches(spark, docs):
     low = lambda x: x if x < 1024 else x >> (x.bit_length() - 10) << (x.bit_length() - 10)
     at = lambda v, q: sorted(v)[-(-len(v) * q // 100) - 1]
     got = {(r.l, r.s): r for r in quality_rules.fences(counted, "c").collect()}
+    log = lambda x: round(math.log(1 + x) * 1e6)
+
+    def middle(v):
+        """The middle of the widest gap above the median, if it sets a cluster apart."""
+        v = sorted(v)
+        mid, cells = at(v, 50), sorted(set(v))
+        gaps = [(log(b) - log(a), -a, b) for a, b in zip(cells, cells[1:]) if a >= mid]
+        if not gaps:
+            return None
+        gap, a, b = max(gaps)
+        return math.sqrt((1 - a) * (1 + b)) - 1 if gap >= log(-a) - log(mid) and gap >= log(at([x for x in v if x >= b], 99)) - log(b) else None
+
+    several = set()
     for lang, source in {x[:2] for x in rows}:
         for name, rate in rates.items():
-            q, times = quality_rules.RULES[name]
             own, broad = [low(rate(r)) for a, b, r in rows if (a, b) == (lang, source)], [low(rate(r)) for a, _, r in rows if a == lang]
             n, prior = len(own), quality_rules.PRIOR
-            mid, high = ((n * at(own, p) + prior * at(broad, p)) / (n + prior) for p in (50, q))
-            assert got[lang, source][f"max_{name}"] == pytest.approx(mid + times * (high - mid))
+            mid, high = ((n * at(own, p) + prior * at(broad, p)) / (n + prior) for p in (50, quality_rules.HIGH))
+            want = mid + quality_rules.FACTOR * (high - mid)
+            if middle(broad) is not None:
+                want = (n * (middle(broad) if middle(own) is None else middle(own)) + prior * middle(broad)) / (n + prior)
+            assert got[lang, source][f"max_{name}"] == pytest.approx(want)
+            several.add((name, round(want, 6)))
+    assert all(len([x for x in several if x[0] == name]) > 4 for name in ("symbols", "word_length", "repeats"))
 
 
 def test_fences_differ_by_group(spark):
