@@ -18,10 +18,14 @@ of y: the prefixes.  Rows join on prefix n-grams, and at the first shared one
 each rule the pair out, or it is verified, once.
 
 Rows of equal sets are one representative from the start.  An n-gram that many hold
-never yields all its pairs: its rows are first held against two hubs of it, and what
-that links is one component.  Then the rows of n-grams that still hold several
-components join exactly, pairs of one component left out, in blocks of BLOCK by BLOCK
-rows of one n-gram and size class.  So each pair of similar sets ends in one component.
+never yields all its pairs: of the rows that hold it two are hubs, and each row is
+verified against the HUBS first ones of its n-grams' hubs.  What that links is one
+component.  Then the rows of n-grams that still hold several components join exactly,
+pairs of one component left out, in blocks of BLOCK by BLOCK rows of one n-gram and size
+class, with the suffix filter.  So each pair of similar sets ends in one component.
+
+Sets stay where they are stored until a pair needs them: maps of bits, of a size that
+does not depend on the input, drop rows before a shuffle that a join would drop behind it.
 
 Defined cases: a null text or one without words has size 0 and is linked with
 nothing; repeated rows are linked, also those of one doc_id; a null doc_id takes part
@@ -47,8 +51,8 @@ from .near_dedup import components
 SHINGLE, THRESHOLD = 4, Fraction(85, 100)
 #: Bytes of a fingerprint, cells of counts, longs of a parity, rows of a side of a block, texts at once.
 WIDTH, CELLS, PARITY, BLOCK, RUN = 5, 1 << 17, 8, 1000, 500
-#: Bits of the map that rules rows out before they are shuffled.
-BITS = 1 << 26
+#: Bits of the map that rules rows out before they are shuffled; hubs that a row is verified against.
+BITS, HUBS = 1 << 27, 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -130,44 +134,33 @@ def _ordered(often: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _tokens(often: np.ndarray, t: Fraction):
-    """(rid, token, index, tag) of each row's prefix; index: within the shorter prefix of the smaller set; tag: 32 bits that name the set.
-
-    A task passes over sets that it has met before, so copies cost a task one set.
-    """
+    """A row for each n-gram of each row's prefix; index: within the shorter prefix of the smaller set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, RUN):
-                tokens, index, sizes = [], [], []
+                tokens, places, index, sizes, lengths = [], [], [], [], []
                 part = batch.slice(at, RUN)
-                fresh = []
-                for i, same in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    if same not in met:
-                        met.add(same)
-                        fresh.append(i)
-                if not fresh:
-                    continue
-                part = part.take(pa.array(fresh))
                 for e in part.column(1):
                     x = unpacked(e)
                     large, small = prefix_sizes(len(x), t)
                     tokens.append(_ordered(often, x)[:large])
+                    places.append(np.arange(large, dtype=np.int32))
                     index.append(np.arange(large) < small)
                     sizes.append(large)
+                    lengths.append(len(x))
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                tag = (part.column(2).to_numpy() >> 32).astype(np.int32)[row]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(index)), pa.array(tag)], ["rid", "token", "index", "tag"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.array(lengths, np.int32)[row]), pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(index))], ["rid", "n", "token", "at", "index"])
 
     return run
 
 
-def _among(rows: DataFrame, few: DataFrame) -> DataFrame:
-    """rows (rid first) without most of those whose rid is not in few: a map of BITS bits, whatever the input.
+def _among(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key (a long) is not in few: a map of BITS bits, whatever the input.
 
     It only spares a shuffle; the join behind it decides.  A map that few fills rules nothing out.
     """
-    bit = F.pmod(F.xxhash64("rid"), F.lit(BITS))
+    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
     # Spark's buckets hold bits from 1 on.
     maps = few.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     every = np.zeros(BITS // 8, np.uint8)
@@ -193,7 +186,7 @@ def parities(x: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.accumulate(own, axis=0)[places] ^ every
 
 
-MEMBERS = "rid long, n int, class int, token long, at int, index boolean, " + ", ".join(f"{p} long" for p in _PARITIES)
+MEMBERS = "rid long, comp long, n int, class int, token long, at int, index boolean, " + ", ".join(f"{p} long" for p in _PARITIES)
 
 
 def _members(often: np.ndarray, t: Fraction):
@@ -213,23 +206,27 @@ def _members(often: np.ndarray, t: Fraction):
                         c.append(v)
                 if cols[0]:
                     row, n, grade, token, place, index, par = (np.concatenate(c) for c in cols)
-                    arrays = [part.column(0).take(pa.array(row)), pa.array(n, pa.int32()), pa.array(grade, pa.int32()), pa.array(token), pa.array(place, pa.int32()), pa.array(index)]
-                    yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(np.ascontiguousarray(par[:, i]).view(np.int64)) for i in range(PARITY)]], ["rid", "n", "class", "token", "at", "index", *_PARITIES])
+                    arrays = [part.column(0).take(pa.array(row)), part.column(3).take(pa.array(row)), pa.array(n, pa.int32()), pa.array(grade, pa.int32()), pa.array(token), pa.array(place, pa.int32()), pa.array(index)]
+                    yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(np.ascontiguousarray(par[:, i]).view(np.int64)) for i in range(PARITY)]], ["rid", "comp", "n", "class", "token", "at", "index", *_PARITIES])
 
     return run
 
 
-def _near(t: Fraction, x: str, y: str) -> F.Column:
-    """Length, position and suffix filters of two members of one n-gram, with integers throughout; x and y: prefixes of their columns' names."""
+def _fits(t: Fraction, x: str, y: str) -> F.Column:
+    """Length and position filters of two members of one n-gram, with integers throughout; x and y: prefixes of their columns' names."""
+    p, q = t.numerator, t.denominator
+    n, at = ([F.col(f"{s}{c}") for s in (x, y)] for c in ("n", "at"))
+    behind = F.least(n[0] - at[0], n[1] - at[1])
+    return (q * F.least(*n) >= p * F.greatest(*n)) & ((p + q) * behind >= p * (n[0] + n[1]))
+
+
+def _suffix(t: Fraction, x: str, y: str) -> F.Column:
+    """Suffix filter: what stands behind both places differs in no more n-grams than similar sets can."""
     p, q = t.numerator, t.denominator
     col = lambda s, c: F.col(f"{s}{c}")
-    both = col(x, "n") + col(y, "n")
-    behind = lambda s: col(s, "n") - col(s, "at") - 1
     differ = sum((F.bit_count(col(x, c).bitwiseXOR(col(y, c))) for c in _PARITIES), F.lit(0))
-    length = q * F.least(col(x, "n"), col(y, "n")) >= p * F.greatest(col(x, "n"), col(y, "n"))
-    position = (p + q) * (1 + F.least(behind(x), behind(y))) >= p * both
-    suffix = (p + q) * (2 + behind(x) + behind(y) - differ) >= 2 * p * both
-    return length & position & suffix
+    behind = col(x, "n") - col(x, "at") + col(y, "n") - col(y, "at")
+    return (p + q) * (behind - differ) >= 2 * p * (col(x, "n") + col(y, "n"))
 
 
 def _distinct(met: DataFrame) -> DataFrame:
@@ -237,22 +234,25 @@ def _distinct(met: DataFrame) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of every member and two members of its n-gram.
+    """Pairs (a, b) of every member and the HUBS first of its n-grams' hubs that length and place allow.
 
-    Hubs are the rows with the least hashes, so texts that share many n-grams meet the same few hubs.
+    An n-gram's hubs are its two rows with the least hashes, and so are a row's, so texts that share many n-grams meet
+    the same few.
     """
-    row = ["rid", "n", "at", *_PARITIES]
-    lot = lambda k: F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("lot"), *row))
+    lot = lambda k: F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("lot"), "rid", "n", "at"))
     hubs = members.groupBy("token").agg(lot(1).alias("h1"), lot(2).alias("h2"))
-    met = members.join(stored(hubs), "token").select(*row, F.explode(F.array("h1", "h2")).alias("h"))
-    return _distinct(met.filter(_near(t, "", "h.")).select(F.col("rid").alias("a"), F.col("h.rid").alias("b")))
+    met = members.join(stored(hubs), "token").select("rid", "n", "at", F.explode(F.array("h1", "h2")).alias("h")).filter("rid <> h.rid")
+    first = met.filter(_fits(t, "", "h.")).groupBy("rid").agg(F.slice(F.array_sort(F.collect_set(F.struct("h.lot", "h.rid"))), 1, HUBS).alias("h"))
+    return _distinct(first.select(F.col("rid").alias("a"), F.explode("h.rid").alias("b")))
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
+def rest_pairs(members: DataFrame, labels: DataFrame, elements: DataFrame, often: np.ndarray, t: Fraction) -> DataFrame:
     """Pairs (a, b) of members of different components, among them all whose sets are similar."""
-    tagged = stored(members.join(labels, "rid"))
-    open_ = stored(tagged.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token"))
-    rows = tagged.join(open_, "token")
+    tagged = stored(members.select("rid", "token").join(labels, "rid"))
+    open_ = tagged.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+    wanted = stored(tagged.join(open_, "token").groupBy("rid", "comp").agg(F.collect_list("token").alias("tokens")))
+    whole = _among(elements, wanted, "rid").join(wanted, "rid").select("rid", "elements", "tokens", "comp")
+    rows = stored(whole.mapInArrow(_members(often, t), MEMBERS))
     small = rows.filter("index").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
     counts = lambda df, c: df.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
     cells = stored(counts(rows, "xs").join(counts(small, "ys"), ["token", "class"]))
@@ -263,12 +263,12 @@ def rest_pairs(members: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
     x = rows.join(cells, ["token", "class"]).withColumn("i", place("xs")).withColumn("j", every("ys")).select(*keys, *part("x_"))
     y = small.join(cells, ["token", "class"]).withColumn("j", place("ys")).withColumn("i", every("xs")).select(*keys, *part("y_"))
     larger = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_rid") < F.col("x_rid")))
-    met = x.alias("l").join(y.alias("r"), [*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys], larger & (F.col("x_comp") != F.col("y_comp")) & _near(t, "x_", "y_")])
+    met = x.alias("l").join(y.alias("r"), [*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys], larger & (F.col("x_comp") != F.col("y_comp")) & _fits(t, "x_", "y_") & _suffix(t, "x_", "y_")])
     return _distinct(met.select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")))
 
 
 def verified(pairs: DataFrame, elements: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs whose sets are similar; elements: rid, n, elements."""
+    """The pairs whose sets are similar; elements: rid, elements."""
     p, q = t.numerator, t.denominator
 
     @F.arrow_udf(T.BooleanType())
@@ -279,38 +279,36 @@ def verified(pairs: DataFrame, elements: DataFrame, t: Fraction) -> DataFrame:
 
         return pa.array([one(unpacked(x), unpacked(y)) for x, y in zip(a, b, strict=True)], pa.bool_())
 
+    few = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
+    elements = _among(elements.select("rid", "elements"), few, "rid")
     side = lambda c: elements.select(F.col("rid").alias(c), F.col("elements").alias(f"e_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("e_a", "e_b")).select("a", "b")
 
 
 def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:  # noqa: A002
     """One row (doc_id, n_shingles, component_id) for each row of docs."""
-    spark = docs.sparkSession
-    with temporary(spark):
-        with temporary(spark):
-            numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-            sketches = stored(numbered.mapInArrow(_sketches(size), "rid long, doc_id long, same1 long, same2 long, n_shingles long, n int, elements binary"))
-            rows = stored(sketches.select("rid", "doc_id", "same1", "same2", "n_shingles"), outer=True)
-            same = stored(rows.filter("n_shingles > 0").groupBy("same1", "same2").agg(F.min("rid").alias("rep")), outer=True)
-            worded = sketches.filter("n > 0").select("rid", "elements", "same1", "same2")
-            often = common(worded)
-            tokens = stored(worded.mapInArrow(_tokens(often, threshold), "rid long, token long, index boolean, tag int"))
-            shared = stored(tokens.groupBy("token").agg(F.min("tag").alias("low"), F.max("tag").alias("high"), F.max("index").alias("index")).filter("low < high and index").select("token"))
-            listed = tokens.select("rid", "token").join(shared, "token").groupBy("rid").agg(F.collect_list("token").alias("tokens"))
-            wanted = stored(listed.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi"))
-            met = stored(_among(sketches.filter("n > 0").select("rid", "n", "elements"), wanted).join(wanted, "rid"), outer=True)
-        # Only representatives that share a prefix n-gram from here on.
-        members = stored(met.select("rid", "elements", "tokens").mapInArrow(_members(often, threshold), MEMBERS))
-        nodes, elements = met.select("rid"), met.select("rid", "n", "elements")
+    with temporary(docs.sparkSession):
+        numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        sketches = stored(numbered.mapInArrow(_sketches(size), "rid long, doc_id long, same1 long, same2 long, n_shingles long, n int, elements binary"))
+        worded = sketches.filter("n > 0")
+        same = stored(worded.groupBy("same1", "same2").agg(F.min("rid").alias("rep")))
+        reps = same.select(F.col("rep").alias("rid"))
+        elements = worded.select("rid", "elements")
+        own = _among(elements, reps, "rid")  # representatives, and a copy here and there
+        often = common(own)
+        tokens = stored(own.mapInArrow(_tokens(often, threshold), "rid long, n int, token long, at int, index boolean"))
+        shared = stored(tokens.groupBy("token").agg(F.count("*").alias("k"), F.max("index").alias("index")).filter("k > 1 and index").select("token"))
+        members = stored(_among(tokens, shared, "token").join(shared, "token").join(reps, "rid", "left_semi"))
         links = stored(verified(stored(hub_pairs(members, threshold)), elements, threshold))
+        nodes = stored(members.select("rid").distinct())
         labels = components(nodes, links)
-        more = stored(verified(stored(rest_pairs(members, labels, threshold)), elements, threshold))
+        more = stored(verified(stored(rest_pairs(members, labels, elements, often, threshold)), elements, threshold))
         if not more.isEmpty():
             labels = components(nodes, links.unionAll(more), labels)
-        reps = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same1", "same2", F.coalesce("comp", "rep").alias("comp"))
-        found = stored(rows.filter("n_shingles > 0").join(reps, ["same1", "same2"]).select("doc_id", "n_shingles", "comp"))
+        named = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same1", "same2", F.coalesce("comp", "rep").alias("comp"))
+        found = stored(worded.select("doc_id", "n_shingles", "same1", "same2").join(named, ["same1", "same2"]).select("doc_id", "n_shingles", "comp"))
         least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        alone = sketches.filter("n = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return lasting(found.join(least, "comp").select("doc_id", "n_shingles", "component_id").unionAll(alone))
 
 
