@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from .plans import evaluation, fields, fitting, formats, frames, labels, models, recursions, series, star, streams  # noqa: E402, F401  (they register themselves)
+from .plans import evaluation, fields, fitting, formats, frames, labels, models, recursions, series, star, storage, streams  # noqa: E402, F401  (they register themselves)
