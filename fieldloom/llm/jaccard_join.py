@@ -12,17 +12,19 @@ of y: the prefixes.  Rows join on prefix n-grams, and at the first shared one
 
 * length: |y| >= t |x|, also as a key: y goes to its own size class and the next;
 * position: no more than min of what is left behind both places can be shared;
-* suffix: 512-bit parities of what stands behind the places differ in as many bits
-  as the suffixes differ in n-grams at least
+* suffix: cut at the same fingerprints, what stands behind the places must not differ
+  in its pieces' sizes by more n-grams than similar sets can
 
-each rule the pair out, or it is verified, once.
+each rule the pair out, and so do 512-bit parities of whole sets, which differ in no
+more bits than the sets in n-grams; what is left is verified, once.
 
 Rows of equal sets are one representative from the start.  An n-gram that many hold
 never yields all its pairs: of the rows that hold it two are hubs, and each row is
-verified against the HUBS first ones of its n-grams' hubs.  What that links is one
-component.  Then the rows of n-grams that still hold several components join exactly,
-pairs of one component left out, in blocks of BLOCK by BLOCK rows of one n-gram and size
-class, with the suffix filter.  So each pair of similar sets ends in one component.
+verified against the HUBS first ones of its n-grams' hubs.  It points to the first that
+is similar, and what points to one row is one component.  Then the rows of n-grams that
+still hold several components join exactly, pairs of one component left out, in blocks
+of BLOCK by BLOCK rows of one n-gram and size class.  So each pair of similar sets ends
+in one component.
 
 Sets stay where they are stored until a pair needs them: maps of bits, of a size that
 does not depend on the input, drop rows before a shuffle that a join would drop behind it.
@@ -83,6 +85,12 @@ def sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.unique(words.shingles(hashed, size)) if len(hashed) else hashed
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """512 bits: how many fingerprints fall on each, modulo 2."""
+    bit = (words.mix64(x) >> np.uint64(55)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=64 * PARITY) & 1).astype(bool), bitorder="little").view("<u8")
+
+
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +102,12 @@ def _sketches(size: int):
                         if len(x):
                             same = [int(words.mix64(np.bitwise_xor.reduce(words.mix64(x + np.uint64(salt)), keepdims=True) + np.uint64(len(x))).view(np.int64)[0]) for salt in (1, 2)]
                             small = np.unique(x >> np.uint64(24))
-                            rows.append((*same, len(x), len(small), packed(small)))
+                            rows.append((*same, len(x), len(small), packed(small), *parity(small).view(np.int64).tolist()))
                         else:
-                            rows.append((None, None, 0, 0, None))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                            rows.append((None, None, 0, 0, None, *[0] * PARITY))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * PARITY)
                 made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["rid", "doc_id", "same1", "same2", "n_shingles", "n", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["rid", "doc_id", "same1", "same2", "n_shingles", "n", "elements", *_PARITIES])
 
     return run
 
@@ -176,42 +184,6 @@ def _among(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("bit", bit).mapInArrow(run, rows.schema)
 
 
-def parities(x: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For each place in an ordered set, 512 bits: how many fingerprints behind it fall on each bit, modulo 2."""
-    bit = (words.mix64(x) >> np.uint64(55)).astype(np.int64)
-    every = np.packbits((np.bincount(bit, minlength=64 * PARITY) & 1).astype(bool), bitorder="little").view("<u8")
-    first = int(places.max()) + 1
-    own = np.zeros((first, PARITY), np.uint64)
-    own[np.arange(first), bit[:first] >> 6] = np.uint64(1) << (bit[:first] & 63).astype(np.uint64)
-    return np.bitwise_xor.accumulate(own, axis=0)[places] ^ every
-
-
-MEMBERS = "rid long, comp long, n int, class int, token long, at int, index boolean, " + ", ".join(f"{p} long" for p in _PARITIES)
-
-
-def _members(often: np.ndarray, t: Fraction):
-    """A row for each of the tokens listed with a set: its place there, and the parity of what stands behind."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, RUN):
-                part = batch.slice(at, RUN)
-                cols: list[list] = [[] for _ in range(7)]
-                for r, (e, wanted) in enumerate(zip(part.column(1), part.column(2), strict=True)):
-                    x = _ordered(often, unpacked(e))
-                    large, small = prefix_sizes(len(x), t)
-                    places = np.flatnonzero(np.isin(x[:large].astype(np.int64), wanted.values.to_numpy()))
-                    grade = int(np.floor(np.log(len(x)) / np.log(float(1 / t)) - 1e-9))
-                    for c, v in zip(cols, (np.full(len(places), r), np.full(len(places), len(x)), np.full(len(places), grade), x[places].astype(np.int64), places, places < small, parities(x, places)), strict=True):
-                        c.append(v)
-                if cols[0]:
-                    row, n, grade, token, place, index, par = (np.concatenate(c) for c in cols)
-                    arrays = [part.column(0).take(pa.array(row)), part.column(3).take(pa.array(row)), pa.array(n, pa.int32()), pa.array(grade, pa.int32()), pa.array(token), pa.array(place, pa.int32()), pa.array(index)]
-                    yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(np.ascontiguousarray(par[:, i]).view(np.int64)) for i in range(PARITY)]], ["rid", "comp", "n", "class", "token", "at", "index", *_PARITIES])
-
-    return run
-
-
 def _fits(t: Fraction, x: str, y: str) -> F.Column:
     """Length and position filters of two members of one n-gram, with integers throughout; x and y: prefixes of their columns' names."""
     p, q = t.numerator, t.denominator
@@ -220,39 +192,42 @@ def _fits(t: Fraction, x: str, y: str) -> F.Column:
     return (q * F.least(*n) >= p * F.greatest(*n)) & ((p + q) * behind >= p * (n[0] + n[1]))
 
 
-def _suffix(t: Fraction, x: str, y: str) -> F.Column:
-    """Suffix filter: what stands behind both places differs in no more n-grams than similar sets can."""
+def _even(t: Fraction, x: str, y: str) -> F.Column:
+    """Whether two sets' parities allow them to be similar, by whole sets."""
     p, q = t.numerator, t.denominator
     col = lambda s, c: F.col(f"{s}{c}")
     differ = sum((F.bit_count(col(x, c).bitwiseXOR(col(y, c))) for c in _PARITIES), F.lit(0))
-    behind = col(x, "n") - col(x, "at") + col(y, "n") - col(y, "at")
-    return (p + q) * (behind - differ) >= 2 * p * (col(x, "n") + col(y, "n"))
+    both = col(x, "n") + col(y, "n")
+    return (p + q) * (both - differ) >= 2 * p * both
 
 
-def _distinct(met: DataFrame) -> DataFrame:
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+def hub_pairs(members: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b, lot, at_a, at_b) of every member a and the HUBS first of its n-grams' hubs that length, place and parity allow.
 
+    An n-gram's hubs are its two rows with the least hashes (lot), and a row's hubs those of the least lots of them, so
+    texts that share many n-grams meet the same few.  bits: rid, n and parities.
+    """
+    row = F.struct(F.xxhash64("rid").alias("lot"), "rid", "n", "at")
+    first = members.groupBy("token").agg(F.min(row).alias("h1"))
+    rest = members.join(stored(first), "token").select("rid", "n", "at", "token", "h1").filter("rid <> h1.rid")
+    second = stored(rest.groupBy("token").agg(F.min(row).alias("h2")))
+    met = rest.join(second, "token").select("rid", "n", "at", F.explode(F.array("h1", "h2")).alias("h")).filter((F.col("rid") != F.col("h.rid")) & _fits(t, "", "h."))
+    pairs = stored(met.groupBy(F.col("rid").alias("a"), F.col("h.rid").alias("b")).agg(F.min("h.lot").alias("lot"), F.min("at").alias("at_a"), F.min("h.at").alias("at_b")))
+    near = _plausible(pairs, bits, t).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("lot", "b", "at_a", "at_b"))), 1, HUBS).alias("h"))
+    return near.select("a", F.inline("h"))
 
-def hub_pairs(members: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of every member and the HUBS first of its n-grams' hubs that length and place allow.
 
-    An n-gram's hubs are its two rows with the least hashes, and so are a row's, so texts that share many n-grams meet
-    the same few.
-    """
-    lot = lambda k: F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("lot"), "rid", "n", "at"))
-    hubs = members.groupBy("token").agg(lot(1).alias("h1"), lot(2).alias("h2"))
-    met = members.join(stored(hubs), "token").select("rid", "n", "at", F.explode(F.array("h1", "h2")).alias("h")).filter("rid <> h.rid")
-    first = met.filter(_fits(t, "", "h.")).groupBy("rid").agg(F.slice(F.array_sort(F.collect_set(F.struct("h.lot", "h.rid"))), 1, HUBS).alias("h"))
-    return _distinct(first.select(F.col("rid").alias("a"), F.explode("h.rid").alias("b")))
+def _plausible(pairs: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
+    side = lambda c: bits.select(F.col("rid").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("n", *_PARITIES)])
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_even(t, "a_", "b_")).select(*pairs.columns)
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, elements: DataFrame, often: np.ndarray, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of members of different components, among them all whose sets are similar."""
-    tagged = stored(members.select("rid", "token").join(labels, "rid"))
+def rest_pairs(members: DataFrame, labels: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b, at_a, at_b) of members of different components, among them all whose sets are similar."""
+    tagged = stored(members.join(labels, "rid"))
     open_ = tagged.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    wanted = stored(tagged.join(open_, "token").groupBy("rid", "comp").agg(F.collect_list("token").alias("tokens")))
-    whole = _among(elements, wanted, "rid").join(wanted, "rid").select("rid", "elements", "tokens", "comp")
-    rows = stored(whole.mapInArrow(_members(often, t), MEMBERS))
+    grade = F.floor(F.log(F.col("n")) / float(np.log(float(1 / t))) - 1e-9).cast("int")
+    rows = stored(tagged.join(stored(open_), "token").withColumn("class", grade).join(bits.drop("n"), "rid"))
     small = rows.filter("index").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
     counts = lambda df, c: df.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
     cells = stored(counts(rows, "xs").join(counts(small, "ys"), ["token", "class"]))
@@ -263,48 +238,72 @@ def rest_pairs(members: DataFrame, labels: DataFrame, elements: DataFrame, often
     x = rows.join(cells, ["token", "class"]).withColumn("i", place("xs")).withColumn("j", every("ys")).select(*keys, *part("x_"))
     y = small.join(cells, ["token", "class"]).withColumn("j", place("ys")).withColumn("i", every("xs")).select(*keys, *part("y_"))
     larger = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_rid") < F.col("x_rid")))
-    met = x.alias("l").join(y.alias("r"), [*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys], larger & (F.col("x_comp") != F.col("y_comp")) & _fits(t, "x_", "y_") & _suffix(t, "x_", "y_")])
-    return _distinct(met.select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")))
+    met = x.alias("l").join(y.alias("r"), [*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys], larger & (F.col("x_comp") != F.col("y_comp")) & _fits(t, "x_", "y_") & _even(t, "x_", "y_")])
+    return met.groupBy(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")).agg(F.min("x_at").alias("at_a"), F.min("y_at").alias("at_b"))
 
 
-def verified(pairs: DataFrame, elements: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs whose sets are similar; elements: rid, elements."""
+def alike(x: np.ndarray, y: np.ndarray, at_x: int, at_y: int, often: np.ndarray, t: Fraction) -> bool:
+    """Whether two sets are similar; at: places of the first n-gram of their prefixes that both hold, for the suffix filter."""
     p, q = t.numerator, t.denominator
+    behind = [np.bincount((_ordered(often, v)[at + 1 :] >> np.uint64(35)).astype(np.int64), minlength=32) for v, at in ((x, at_x), (y, at_y))]
+    shared = 1 + np.minimum(*behind).sum()  # at most
+    if (p + q) * shared < p * (x.size + y.size):
+        return False
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return bool(q * both >= p * (x.size + y.size - both))
 
-    @F.arrow_udf(T.BooleanType())
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        def one(x: np.ndarray, y: np.ndarray) -> bool:
-            both = np.intersect1d(x, y, assume_unique=True).size
-            return bool(q * both >= p * (x.size + y.size - both))
 
-        return pa.array([one(unpacked(x), unpacked(y)) for x, y in zip(a, b, strict=True)], pa.bool_())
+def verified(pairs: DataFrame, elements: DataFrame, often: np.ndarray, t: Fraction) -> DataFrame:
+    """The pairs (a, b, at_a, at_b, ...) whose sets are similar; elements: rid, elements."""
+
+    @F.arrow_udf(T.BooleanType())
+    def test(a: pa.Array, b: pa.Array, at_a: pa.Array, at_b: pa.Array) -> pa.Array:
+        return pa.array([alike(unpacked(x), unpacked(y), i, j, often, t) for x, y, i, j in zip(a, b, at_a.to_pylist(), at_b.to_pylist(), strict=True)], pa.bool_())
 
     few = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
-    elements = _among(elements.select("rid", "elements"), few, "rid")
-    side = lambda c: elements.select(F.col("rid").alias(c), F.col("elements").alias(f"e_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("e_a", "e_b")).select("a", "b")
+    own = _among(elements.select("rid", "elements"), few, "rid")
+    side = lambda c: own.select(F.col("rid").alias(c), F.col("elements").alias(f"e_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(test("e_a", "e_b", "at_a", "at_b")).select(*pairs.columns)
+
+
+def tops(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(rid, comp): where pointers lead; links: (a, b, lot), of which a row takes the one of the least lot below its own.
+
+    Pointers lead to lesser lots, so there is no circle; each step doubles their length.
+    """
+    to = links.filter(F.xxhash64("a") > F.col("lot")).groupBy("a").agg(F.min_by("b", "lot").alias("b"))
+    labels = stored(nodes.join(to, nodes["rid"] == to["a"], "left").select("rid", F.coalesce("b", "rid").alias("comp")))
+    while True:
+        up = labels.select(F.col("rid").alias("comp"), F.col("comp").alias("up"))
+        new = stored(labels.join(up, "comp").select("rid", F.col("up").alias("comp"), (F.col("up") != F.col("comp")).alias("moved")))
+        labels = new.select("rid", "comp")
+        if new.filter("moved").isEmpty():
+            return labels
 
 
 def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:  # noqa: A002
     """One row (doc_id, n_shingles, component_id) for each row of docs."""
     with temporary(docs.sparkSession):
         numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        sketches = stored(numbered.mapInArrow(_sketches(size), "rid long, doc_id long, same1 long, same2 long, n_shingles long, n int, elements binary"))
+        kinds = "rid long, doc_id long, same1 long, same2 long, n_shingles long, n int, elements binary, " + ", ".join(f"{c} long" for c in _PARITIES)
+        sketches = stored(numbered.mapInArrow(_sketches(size), kinds))
         worded = sketches.filter("n > 0")
         same = stored(worded.groupBy("same1", "same2").agg(F.min("rid").alias("rep")))
         reps = same.select(F.col("rep").alias("rid"))
-        elements = worded.select("rid", "elements")
+        elements, bits = worded.select("rid", "elements"), worded.select("rid", "n", *_PARITIES)
         own = _among(elements, reps, "rid")  # representatives, and a copy here and there
         often = common(own)
         tokens = stored(own.mapInArrow(_tokens(often, threshold), "rid long, n int, token long, at int, index boolean"))
         shared = stored(tokens.groupBy("token").agg(F.count("*").alias("k"), F.max("index").alias("index")).filter("k > 1 and index").select("token"))
         members = stored(_among(tokens, shared, "token").join(shared, "token").join(reps, "rid", "left_semi"))
-        links = stored(verified(stored(hub_pairs(members, threshold)), elements, threshold))
         nodes = stored(members.select("rid").distinct())
-        labels = components(nodes, links)
-        more = stored(verified(stored(rest_pairs(members, labels, elements, often, threshold)), elements, threshold))
-        if not more.isEmpty():
-            labels = components(nodes, links.unionAll(more), labels)
+        labels = tops(nodes, stored(verified(stored(hub_pairs(members, bits, threshold)), elements, often, threshold)))
+        more = verified(stored(rest_pairs(members, labels, bits, threshold)), elements, often, threshold)
+        end = lambda c: labels.select(F.col("rid").alias(c), F.col("comp").alias(f"{c}_comp"))
+        joins = stored(more.join(end("a"), "a").join(end("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
+        if not joins.isEmpty():
+            merged = components(joins.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), joins)
+            labels = stored(labels.join(merged.select(F.col("rid").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("rid", F.coalesce("to", "comp").alias("comp")))
         named = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same1", "same2", F.coalesce("comp", "rep").alias("comp"))
         found = stored(worded.select("doc_id", "n_shingles", "same1", "same2").join(named, ["same1", "same2"]).select("doc_id", "n_shingles", "comp"))
         least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -228,9 +228,10 @@ def test_filters_never_lose_a_pair():
             first = min(set(large) & set(small))
             i, j = large.index(first), small.index(first)
             assert i < jaccard_join.prefix_sizes(len(large), t)[0] and j < jaccard_join.prefix_sizes(len(small), t)[1]
-            arrays = [np.array(s, np.uint64) for s in (large, small)]
-            differ = sum(int(np.bitwise_count(a ^ b)) for a, b in zip(*(jaccard_join.parities(a, np.array([k]))[0] for a, k in zip(arrays, (i, j)))))
-            assert differ <= len(set(large[i + 1 :]) ^ set(small[j + 1 :]))
+            arrays = [np.array(s, np.uint64) << np.uint64(33) for s in (large, small)]
+            differ = int(np.bitwise_count(np.bitwise_xor(*map(jaccard_join.parity, arrays))).sum())
+            assert differ <= len(x ^ y)
+            assert jaccard_join.alike(*arrays, i, j, np.zeros(jaccard_join.CELLS, np.uint64), t)
 
 
 def test_join_of_odd_rows(spark, odd, empty):
