@@ -47,14 +47,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from ._common import lasting, stored, temporary
+from ._common import in_short_batches, lasting, stored, temporary
 from .near_dedup import components
 
 SHINGLE, THRESHOLD = 4, Fraction(85, 100)
 #: Bytes of a fingerprint, cells of counts, longs of a parity, rows of a side of a block, texts at once.
 WIDTH, CELLS, PARITY, BLOCK, RUN = 5, 1 << 17, 8, 1000, 500
 #: Bits of the map that rules rows out before they are shuffled; hubs that a row is verified against.
-BITS, HUBS = 1 << 27, 2
+BITS, HUBS = 1 << 24, 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -284,7 +284,7 @@ def tops(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:  # noqa: A002
     """One row (doc_id, n_shingles, component_id) for each row of docs."""
     with temporary(docs.sparkSession):
-        numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        numbered = in_short_batches(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
         kinds = "rid long, doc_id long, same1 long, same2 long, n_shingles long, n int, elements binary, " + ", ".join(f"{c} long" for c in _PARITIES)
         sketches = stored(numbered.mapInArrow(_sketches(size), kinds))
         worded = sketches.filter("n > 0")
