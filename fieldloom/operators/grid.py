@@ -92,7 +92,7 @@ def _passed(maps: list[FeatureMap], costs: list[float], weights: dict[tuple[int,
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the arrays of each (candidate, i); rows of one are in one task."""
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
@@ -119,7 +119,7 @@ def fit(rows: DataFrame, x: str, y: str, maps: list[FeatureMap], costs: list[flo
     for step in range(passes):
         sums: dict[tuple[int, int], dict[int, np.ndarray]] = {k: {} for k in open_}
         partial = made.mapInArrow(_passed(maps, costs, {k: at[k] for k in open_}), "candidate int, i int, v array<double>")
-        for r in partial.repartition("candidate", "i").mapInArrow(_added, "candidate int, i int, v array<double>").toLocalIterator():
+        for r in partial.repartition("candidate", "i").mapInArrow(added, "candidate int, i int, v array<double>").toLocalIterator():
             sums[divmod(r.candidate, len(costs))][r.i] = np.array(r.v)
         for k in sorted(open_):
             w, cost, own = at[k], costs[k[1]], sums[k]

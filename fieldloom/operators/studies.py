@@ -72,14 +72,14 @@ def replicated_study(rows: DataFrame, id: str, x: str, label: str, replicas: int
     return metrics.scores(said, "truth", "said", ["replica", "method"])
 
 
-def descend(rows: DataFrame, x: str, y: str, steps: int, rate: float, cap: float, stop: float = 1e-6) -> tuple[np.ndarray, list[tuple[int, float, float, str]]]:
+def descend(rows: DataFrame, x: str, y: str, steps: int, rate: float, cap: float, stop: float = 1e-6, start: list[float] | None = None) -> tuple[np.ndarray, list[tuple[int, float, float, str]]]:
     """Weights and history (step, loss, step's length, state) of logistic gradient descent over all rows.
 
-    A step's length is held to `cap`; it ends after `steps`, or when the gradient is shorter than `stop`.  Each step is
+    start: weights to go on from, else zeros.  A step's length is held to `cap`; it ends after `steps`, or when the gradient is shorter than `stop`.  Each step is
     one pass of partial sums.
     """
     first = rows.select(F.size(x).alias("d")).first()
-    w, history = np.zeros(first.d if first else 0), []
+    w, history = np.zeros(first.d if first else 0) if start is None else np.array(start, float), []
     for k in range(steps):
 
         def part(batches: Iterator[pd.DataFrame], w: np.ndarray = w) -> Iterator[pd.DataFrame]:

@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid, resampling, selection
+from ..operators import grid, resampling, runs, selection, spectrum
 from ..registry import query
-from ..shared import stored
+from ..shared import shared_folder, stored
 from ..sources.tables import table
-from .models import GAMMA, WIDTH, _marks, vectors
+from .models import _V, GAMMA, WIDTH, _marks, vectors
 
 COSTS, GAMMAS, FEATURES = [0.1, 1.0, 10.0], [0.05, 0.5, 5.0], 256
 
@@ -64,3 +64,28 @@ def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = {"auc": resampling.aucs(e, "event_id", F.col("event_type") == "error", "value", REPLICATES, 3), "median": resampling.quantiles(e, "event_id", "value", 0.5, REPLICATES, 3)}
     said = [(k, *[round(v, 8) for v in resampling.interval(x)[:3]], resampling.interval(x)[3]) for k, x in found.items()]
     return spark.createDataFrame(said, "statistic string, estimate double, low double, high double, replicates long")
+
+
+@query(f"WITH {_V}, g AS (SELECT a.vec_id AS i, b.vec_id AS j, exp(-{GAMMA} * pow(list_distance(a.x, b.x), 2)) AS k FROM v a, v b) SELECT round(sum(CASE WHEN i = j THEN k END), 4) AS trace, round(sqrt(sum(k * k)), 4) AS frobenius FROM g")
+def kernel_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace and norm of the Gaussian kernel of all rows from at most 512 pivots; beyond so many rows they are bounds."""
+    r = spectrum.spectrum(vectors(spark, sf_dir), "vec_id", "x", GAMMA, 1e-9, 512)
+    return spark.createDataFrame([(round(r["trace"], 4), round(r["frobenius"], 4))], "trace double, frobenius double")
+
+
+@query()
+def kernel_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 greatest eigenvalues, each with what it is at most, their share of the trace, and the effective rank."""
+    r = spectrum.spectrum(vectors(spark, sf_dir), "vec_id", "x", GAMMA, 0.01, 512)
+    rows = [(i, float(v), float(v + r["error"]), float(v / r["trace"]), r["effective_rank"], r["pivots"]) for i, v in enumerate(r["eigenvalues"][:32])]
+    return spark.createDataFrame(rows, "i long, at_least double, at_most double, share double, effective_rank double, pivots long")
+
+
+@query()
+def resumed_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic descent that ends after three steps and goes on from what it stored."""
+    rows = vectors(spark, sf_dir).withColumn("y", F.col("label") % 2)
+    folder = shared_folder(spark)
+    for steps in (3, 8):
+        done, w, ended = runs.descent(runs.Run(spark, folder), rows, "x", "y", steps, 0.5, 0.5)
+    return spark.createDataFrame([(i, v, done, ended) for i, v in enumerate(w)], "i long, w double, steps int, ended string")

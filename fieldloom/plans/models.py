@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import array_digest
-from ..operators import harmonic, kernel, metrics, selection, statistics, studies
+from ..operators import harmonic, kernel, metrics, network, selection, statistics, studies
 from ..registry import query
 from ..shared import quantiles, stored
 from ..sources.tables import table
@@ -160,12 +160,14 @@ def _fitted(spark: SparkSession, sf_dir: str, learner, x=None) -> DataFrame:
 
 @query()
 def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 32-16 network on raw features; rows of uncertain score abstain."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-
+    """A 32-16 network on standardised features, applied as one expression; rows of uncertain score abstain."""
     from ..functions import scalar
 
-    out = _fitted(spark, sf_dir, MultilayerPerceptronClassifier(layers=[WIDTH, 32, 16, 2], maxIter=40, seed=3))
+    rows = vectors(spark, sf_dir).withColumn("y", F.col("label") % 2)
+    split = stored(selection.lineage_split(rows, "vec_id", "y", 5))
+    net = network.fit(split.filter("split = 'TRAIN'"), "x", "y", [32, 16], 100, 3)
+    scored = split.select("vec_id", "split", F.get(net.scores(F.col("x")), F.lit(1)).alias("score"), "y")
+    out = scored.select("vec_id", "split", "score", (F.col("score") > 0.5).cast("int").alias("said"), "y", F.lit(net.converged).alias("converged"))
     return out.withColumn("uncertain", scalar.uncertain(F.array("score", 1 - F.col("score"))))
 
 
