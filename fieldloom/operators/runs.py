@@ -42,7 +42,7 @@ class Run:
         done, state = self.last()
         state = begin if done < 0 else state["value"]
         ended = done >= 0 and self.last()[1]["end"]
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         try:
             while not ended and done + 1 < most:
                 if self.cancelled:
@@ -56,12 +56,12 @@ class Run:
                 done += 1
                 create_text(self.spark, self._path(done), json.dumps({"state": {"value": state, "end": bool(ended)}}))
         finally:
-            self.spark.removeTag(self.tag)
+            self.spark.sparkContext.removeJobTag(self.tag)
         return done + 1, state, "converged" if ended else "steps"
 
     def cancel(self) -> None:
         self.cancelled = True
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
 
 def descent(run: Run, rows: DataFrame, x: str, y: str, steps: int, rate: float, cap: float, stop: float = 1e-6) -> tuple[int, list[float], str]:
