@@ -12,6 +12,7 @@ def session(name: str = "fieldloom", cores: int | str = "*", **conf: str) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.python.filterPushdown.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }

@@ -142,10 +142,11 @@ def test_stream_equals_batch_and_fails_on_gaps(spark, tmp_path):
             f.rename(source / f"{k}.json")
     from fieldloom.sources.tables import FRAME
 
-    streaming = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 1).json(str(source))
+    own = stream.stateful(spark)
+    streaming = own.readStream.schema(FRAME).option("maxFilesPerTrigger", 1).json(str(source))
     q = stream.analyse(streaming).writeStream.format("memory").queryName("newest").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(180)
-    out = spark.table("newest").collect()
+    out = own.table("newest").collect()
     batch = {(r.sensor_id, r.s): r["values"] for r in state8.features(to_df(spark, rows)).collect()}
     mine = [r for r in out if r.session_id == "s"]
     assert {(r.sensor_id, r.start) for r in mine} == {(n, 1000) for n in NODES} and {r.skipped for r in mine} == {2}
