@@ -11,6 +11,8 @@ The pivots' approximation never exceeds the kernel, so with `error` = trace of t
 kernel less that of the approximation, each eigenvalue is at least the found one and at
 most `error` more, and so is the sum of any of them.  It ends when error is below the
 tolerance times the trace, or at `most` pivots.
+
+The kernel's norm has no such short way: norm() works out every pair, block by block.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from ..shared import stored, temporary
 from .grid import added
 
 ROUND, RUN = 64, 2048
+#: Rows of a block of norm(), and of a part of it that meets the other block at once.
+BLOCK, PART = 8192, 512
 
 
 def _kernel(x: np.ndarray, marks: np.ndarray, gamma: float) -> np.ndarray:
@@ -101,3 +105,28 @@ def spectrum(rows: DataFrame, id: str, x: str, gamma: float, tolerance: float =
     values = np.clip(np.linalg.eigvalsh(products)[::-1], 0, None)
     p = values[values > 0] / values.sum()
     return {"eigenvalues": values, "trace": float(n), "error": float(left), "frobenius": float(np.sqrt((values * values).sum())), "effective_rank": float(np.exp(-(p * np.log(p)).sum())), "pivots": len(marks)}
+
+
+def norm(rows: DataFrame, id: str, x: str, gamma: float, block: int = BLOCK) -> tuple[int, float]:  # noqa: A002
+    """Rows that have a vector, and the Frobenius norm of exp(-gamma d^2) over all pairs of them, exact but for rounding.
+
+    Rows are dealt into blocks by a hash, and each two blocks meet in one group of at most about twice `block` rows.  The work grows with
+    the square of the rows; a task holds two blocks and a strip of their kernel.
+    """
+
+    def squares(key: tuple, pair: pa.Table) -> pa.Table:
+        low, high = (k.as_py() for k in key)
+        own, v = pair.column("own").to_numpy(), pair.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(pair.num_rows, -1)
+        a, b = v[own == low], v[own == high]
+        found = sum(float(_kernel(a[at : at + PART], b, 2 * gamma).sum()) for at in range(0, len(a), PART))
+        return pa.table({"v": pa.array([found if low == high else 2 * found], pa.float64())})
+
+    with temporary(rows.sparkSession):
+        ready = stored(rows.filter(F.col(x).isNotNull()).select(F.xxhash64(id).alias("lot"), F.col(x).cast("array<double>").alias("x")))
+        n = ready.count()
+        blocks = -(-n // min(block, max(256, n // 8)))
+        own, other = F.pmod("lot", F.lit(blocks)).cast("int"), F.col("other")
+        dealt = ready.select(own.alias("own"), "x", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("other"))
+        met = dealt.select(F.least("own", other).alias("low"), F.greatest("own", other).alias("high"), "own", "x")
+        total = met.groupBy("low", "high").applyInArrow(squares, "v double").agg(F.sum("v")).first()[0] if n else 0.0
+    return n, float(np.sqrt(total))

@@ -136,6 +136,18 @@ def test_eigenvalues_within_their_error(spark):
     assert spectrum.spectrum(df.filter("false"), "id", "x", 0.3)["pivots"] == 0
 
 
+def test_norm_of_a_kernel_is_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 6))  # more rows than pivots would be
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    k = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    df = spark.createDataFrame([*rows, (-1, None)], "id long, x array<double>").repartition(3)
+    for block in (8192, 100):
+        n, norm = spectrum.norm(df, "id", "x", 0.5, block)
+        assert n == 1500 and norm == pytest.approx(np.sqrt((k * k).sum()), rel=1e-12)
+    assert spectrum.norm(df.filter("id = 7"), "id", "x", 0.5) == (1, 1.0) and spectrum.norm(df.filter("false"), "id", "x", 0.5) == (0, 0.0)
+
+
 def test_lag_of_a_stream(spark, tmp_path):
     folder = f"file://{tmp_path}/lag"
     listener = lag.LagListener(spark, folder)
