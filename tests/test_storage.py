@@ -79,6 +79,14 @@ def test_all_faults_of_a_text(spark):
     assert [r.s.a for r in ok.collect()] == [1]
 
 
+def test_a_text_is_parsed_once(spark):
+    inner = C.Record({"x": C.Number(0, 9, integer=True), "y": C.Text(nonempty=True)})
+    spec = C.Record({"a": C.Record({"b": inner, "c": C.Number(0)}), "d": C.Items(inner, 1, 2, unique="x")})
+    rules = [C.Rule("c above x", lambda v: C.number(v, "$.a.c") > C.number(v, "$.a.b.x"))]
+    plan = spark.range(1).select(C.faults(F.col("id").cast("string"), spec, rules).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_parse_json(") == 1
+
+
 def test_a_network_as_an_expression(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 4)) * [1, 100, 1, 1] + 5
