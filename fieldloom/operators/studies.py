@@ -1,7 +1,7 @@
 """Encoders with a phase, random features, controls, replicated studies, observability, bounded descent.
 
 What is fitted comes from sums over all training rows; what is applied to rows is
-column expressions.
+column expressions, or matrix products of Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +38,28 @@ def frequencies(inputs: int, n: int, gamma: float, seed: int) -> tuple[np.ndarra
 
 
 def random_features(x: Column, directions: np.ndarray, offsets: np.ndarray) -> Column:
-    """array of sqrt(2/n) cos(w.x + b) of an array column: dot products of it approximate the kernel."""
-    scale = float(np.sqrt(2 / len(offsets)))
-    parts = F.lit([[*w, b] for w, b in zip(directions.tolist(), offsets.tolist(), strict=True)])
-    return F.transform(parts, lambda p: F.cos(kernel.dot(F.concat(x, F.array(F.lit(1.0))), p)) * scale)
+    """array of sqrt(2/n) cos(w.x + b) of an array column: dot products of it approximate the kernel.
+
+    A batch's rows are one matrix product.  An array that lacks a coordinate has null features, a null array none.
+    """
+    n, inputs = directions.shape
+    scale, turned = float(np.sqrt(2 / n)), np.ascontiguousarray(directions.T)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def features(column: pa.Array) -> pa.Array:
+        there, lengths = column.is_valid().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy()
+        whole = there & (lengths == inputs)
+        held = column.filter(pa.array(whole)).flatten()
+        known = held.is_valid().to_numpy(zero_copy_only=False).reshape(-1, inputs).all(axis=1)
+        z = np.cos(held.to_numpy(zero_copy_only=False).astype(float).reshape(-1, inputs) @ turned + offsets) * scale
+        lacking = np.ones(len(column), bool)
+        lacking[np.flatnonzero(whole)[known]] = False
+        if not lacking.any():
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * n, pa.int32()), pa.array(z.ravel()))
+        rows = iter(z[known].tolist())
+        return pa.array([None if not t else [None] * n if lacks else next(rows) for t, lacks in zip(there, lacking, strict=True)], pa.list_(pa.float64()))
+
+    return features(x.cast("array<double>"))
 
 
 def positive_control(rows: DataFrame, id: str, x: str, prototypes: list[tuple[int, list[float]]], gamma: float, n: int) -> DataFrame:  # noqa: A002

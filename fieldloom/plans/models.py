@@ -150,7 +150,7 @@ def _fitted(spark: SparkSession, sf_dir: str, learner, x=None) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = vectors(spark, sf_dir).withColumn("y", F.col("label") % 2)
-    split = selection.lineage_split(rows, "vec_id", "y", 5)
+    split = stored(selection.lineage_split(rows, "vec_id", "y", 5))  # read for the fit and for the scores
     ready = split.select("vec_id", "y", "split", array_to_vector(F.col("x") if x is None else x).alias("features"), F.col("y").cast("double").alias("truth"))
     model = learner.setLabelCol("truth").setFeaturesCol("features").fit(ready.filter("split = 'TRAIN'"))
     scored = model.transform(ready)

@@ -27,6 +27,19 @@ def test_random_features_approximate_the_kernel(spark):
     assert np.abs(z @ z.T - want).max() < 0.15
 
 
+def test_random_features_are_matrix_products_of_batches(spark):
+    w, b = studies.frequencies(3, 5, 0.5, 1)
+    x = [[0.1 * i, -0.2, 0.3 * i] for i in range(40)]
+    odd = [(40, None), (41, [1.0, None, 2.0]), (42, [1.0, 2.0]), (43, [])]
+    df = spark.createDataFrame([*enumerate(x), *odd], "id int, x array<double>").repartition(3)
+    z = df.select("id", studies.random_features(F.col("x"), w, b).alias("z"))
+    plan = z._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+    got = {r.id: r.z for r in z.collect()}
+    assert np.allclose([got[i] for i in range(40)], np.sqrt(2 / 5) * np.cos(np.array(x) @ w.T + b), atol=1e-12)
+    assert got[40] is None and all(got[i] == [None] * 5 for i in (41, 42, 43))
+
+
 def test_studies_tell_signal_from_chance(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4) + (i % 2)], i % 2) for i in range(600)], "id long, x array<double>, y int")
