@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..shared import shared_folder, stored
+from ..shared import shared_folder
 from ..streaming import state8 as stream
 from .frames import _E, _WIN, HOP, REF, SHAPE, SIZE, frames
 
@@ -40,11 +40,14 @@ UNION ALL SELECT split_part(session, '/', 1), 0, NULL, NULL, NULL, NULL, NULL, N
 def stream_state8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stream says after each delivery: the newest window of every session, or that it failed.
 
-    Each delivery is a run of its own that goes on from the checkpoint of the last.
+    Each delivery is a run of its own that goes on from the checkpoint of the last, and reads its own folder of frames only.
     """
-    rows = stored(delivered(spark, sf_dir))
     top = shared_folder(spark)
-    for d in range(rows.agg(F.max("delivery")).first()[0] + 1):
+    made = delivered(spark, sf_dir)
+    spread = F.pmod(F.xxhash64("session_id"), F.lit(2 * spark.sparkContext.defaultParallelism))
+    made.repartition("delivery", spread).write.partitionBy("delivery").parquet(f"{top}/deliveries")
+    rows = spark.read.schema(made.schema).parquet(f"{top}/deliveries")
+    for d in range((rows.agg(F.max("delivery")).first()[0] or 0) + 1):
         stream.arrive(rows.filter(F.col("delivery") == d).drop("delivery"), f"{top}/in", f"{top}/checkpoint", f"{top}/out", **SHAPE)
     out = spark.read.parquet(f"{top}/out")
     return out.select(F.col("session_id").alias("session"), "epoch", "start", F.col("sensor_id").alias("sensor"), *[F.round(f"f{k}", 8 if k == 4 else 6).alias(f"f{k}") for k in range(7)], "f7", "valid", "skipped", "status")

@@ -39,6 +39,7 @@ FRAME = "x array<double>, k array<double>, got array<boolean>, c array<string>,
 KNOWN = "north double, kelvin double, c string"
 #: Rows that a stream may begin with: a session's cursor and the reference of its sensors.
 INITIAL = "session_id string, version int, last bigint, names array<string>, north array<double>, kelvin array<double>, c array<string>"
+_NOTHING = pd.DataFrame(columns=[c.split()[0] for c in OUT.split(", ")], dtype=object)
 #: Spark keeps lists, maps and timers in this store only.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -119,7 +120,8 @@ class Newest(StatefulProcessor):
         names = [c.split()[0] for c in RUN.split(", ")]
         run = dict(zip(names, self.run.get(), strict=True)) if self.run.exists() else None
         failed_before = run is not None and run["failed"] is not None
-        batch = pd.concat(list(rows)).sort_values(["version", "frame_id"], kind="stable")
+        parts = list(rows)
+        batch = (parts[0] if len(parts) == 1 else pd.concat(parts)).sort_values(["version", "frame_id"], kind="stable")
         new: list[tuple] = []
         for version, frame, t, *told in batch[["version", "frame_id", "sim_time_s", "x", "k", "got", "c", "names"]].itertuples(index=False):
             if run is None:
@@ -195,7 +197,7 @@ class Newest(StatefulProcessor):
         yield self._rows([] if said else [(key[0], run["epoch"], None, None, *[None] * 9, run["skipped"], run["fenced"], "idle")])
 
     def _rows(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype(object).where(lambda d: d.notna(), None)
+        return _NOTHING if not out else pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype(object).where(lambda d: d.notna(), None)
 
     def close(self) -> None:
         pass
@@ -207,12 +209,17 @@ def frames_per_update(hz: float, refresh_hz: float) -> int:
 
 
 def stateful(spark: SparkSession) -> SparkSession:
-    """A session of the same application that keeps streams' state where lists, maps and timers can be; the caller's stays as it is."""
+    """A session of the same application that keeps streams' state where lists, maps and timers can be; the caller's stays as it is.
+
+    Each partition of the state opens a store in every micro-batch, however few sessions it holds, so there are twice as
+    many as cores at most.  A checkpoint keeps the number that it began with.
+    """
     own = spark.newSession()
     own.conf.set(*PROVIDER)
-    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.checkpoint.dir"):
-        if spark.conf.get(k, None) is not None and k != "spark.checkpoint.dir":
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        if spark.conf.get(k, None) is not None:
             own.conf.set(k, spark.conf.get(k))
+    own.conf.set("spark.sql.shuffle.partitions", str(min(int(own.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)))
     return own
 
 

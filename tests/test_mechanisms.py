@@ -180,3 +180,14 @@ def test_poisson_bootstrap(spark, finely, monkeypatch):
     low, high = resampling.interval(resampling.aucs(df, "id", F.col("p"), "s", 400, 7))[1:3]
     assert (low, high) == pytest.approx(tuple(np.quantile(draws, [0.025, 0.975])), abs=0.02)
     assert np.isnan(resampling.aucs(df.filter("p"), "id", F.col("p"), "s", 3)).all() and np.isnan(resampling.quantiles(df.filter("false"), "id", "s", 0.5, 3)).all()
+
+
+def test_partitions_of_a_stream_state_are_bounded_by_cores(spark):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for given, most in (("200", 2 * spark.sparkContext.defaultParallelism), ("3", 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", given)
+            assert int(stream.stateful(spark).conf.get("spark.sql.shuffle.partitions")) == most
+            assert spark.conf.get("spark.sql.shuffle.partitions") == given
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
