@@ -47,14 +47,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from ._common import in_short_batches, lasting, stored, temporary
+from ._common import among, in_short_batches, lasting, stored, temporary
 from .near_dedup import components
 
 SHINGLE, THRESHOLD = 4, Fraction(85, 100)
 #: Bytes of a fingerprint, cells of counts, longs of a parity, rows of a side of a block, texts at once.
 WIDTH, CELLS, PARITY, BLOCK, RUN = 5, 1 << 17, 8, 1000, 500
-#: Bits of the map that rules rows out before they are shuffled; hubs that a row is verified against.
-BITS, HUBS = 1 << 24, 2
+#: Hubs that a row is verified against.
+HUBS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -163,27 +163,6 @@ def _tokens(often: np.ndarray, t: Fraction):
     return run
 
 
-def _among(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """rows without most of those whose key (a long) is not in few: a map of BITS bits, whatever the input.
-
-    It only spares a shuffle; the join behind it decides.  A map that few fills rules nothing out.
-    """
-    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    # Spark's buckets hold bits from 1 on.
-    maps = few.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    every = np.zeros(BITS // 8, np.uint8)
-    for r in maps:  # BITS / 32768 at most
-        every[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = batch.column(batch.num_columns - 1).to_numpy()
-            keep = (every[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep.astype(bool))) for c in batch.columns[:-1]], batch.schema.names[:-1])
-
-    return rows.withColumn("bit", bit).mapInArrow(run, rows.schema)
-
-
 def _fits(t: Fraction, x: str, y: str) -> F.Column:
     """Length and position filters of two members of one n-gram, with integers throughout; x and y: prefixes of their columns' names."""
     p, q = t.numerator, t.denominator
@@ -261,7 +240,7 @@ def verified(pairs: DataFrame, elements: DataFrame, often: np.ndarray, t: Fracti
         return pa.array([alike(unpacked(x), unpacked(y), i, j, often, t) for x, y, i, j in zip(a, b, at_a.to_pylist(), at_b.to_pylist(), strict=True)], pa.bool_())
 
     few = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
-    own = _among(elements.select("rid", "elements"), few, "rid")
+    own = among(elements.select("rid", "elements"), few, "rid")
     side = lambda c: own.select(F.col("rid").alias(c), F.col("elements").alias(f"e_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(test("e_a", "e_b", "at_a", "at_b")).select(*pairs.columns)
 
@@ -291,11 +270,11 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int =
         same = stored(worded.groupBy("same1", "same2").agg(F.min("rid").alias("rep")))
         reps = same.select(F.col("rep").alias("rid"))
         elements, bits = worded.select("rid", "elements"), worded.select("rid", "n", *_PARITIES)
-        own = _among(elements, reps, "rid")  # representatives, and a copy here and there
+        own = among(elements, reps, "rid")  # representatives, and a copy here and there
         often = common(own)
         tokens = stored(own.mapInArrow(_tokens(often, threshold), "rid long, n int, token long, at int, index boolean"))
         shared = stored(tokens.groupBy("token").agg(F.count("*").alias("k"), F.max("index").alias("index")).filter("k > 1 and index").select("token"))
-        members = stored(_among(tokens, shared, "token").join(shared, "token").join(reps, "rid", "left_semi"))
+        members = stored(among(tokens, shared, "token").join(shared, "token").join(reps, "rid", "left_semi"))
         nodes = stored(members.select("rid").distinct())
         labels = tops(nodes, stored(verified(stored(hub_pairs(members, bits, threshold)), elements, often, threshold)))
         more = verified(stored(rest_pairs(members, labels, bits, threshold)), elements, often, threshold)

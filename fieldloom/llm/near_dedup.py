@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from ._common import fresh, in_short_batches, lasting, stored, temporary
+from ._common import among, fresh, in_short_batches, lasting, stored, temporary
 
 M, ROWS = 80, 4
 SIMILAR = 0.8
@@ -197,13 +197,16 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that are alike; sets: rid, n_set, elements, and weights where these count."""
-    names = {"n_set": "n", "elements": "e", "weights": "w"}
-    side = lambda c: sets.select(F.col("rid").alias(c), *[F.col(k).alias(f"{v}_{c}") for k, v in names.items() if k in sets.columns])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    names = {"elements": "e", "weights": "w"}
+    side = lambda c: own.select(F.col("rid").alias(c), *[F.col(k).alias(f"{v}_{c}") for k, v in names.items() if k in sets.columns])
     if "weights" in sets.columns:
-        return both.filter(_alike_weighted("e_a", "w_a", "e_b", "w_b")).select("a", "b")
+        own = sets
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike_weighted("e_a", "w_a", "e_b", "w_b")).select("a", "b")
+    n = lambda c: sets.select(F.col("rid").alias(c), F.col("n_set").alias(f"n_{c}"))
     sizes = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")
-    return both.filter(sizes).filter(_alike("e_a", "e_b")).select("a", "b")
+    fit = stored(pairs.join(n("a"), "a").join(n("b"), "b").filter(sizes).select("a", "b"))  # before sets travel
+    own = among(sets.select("rid", "elements"), fit.select(F.explode(F.array("a", "b")).alias("rid")), "rid")
+    return fit.join(side("a"), "a").join(side("b"), "b").filter(_alike("e_a", "e_b")).select("a", "b")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,11 +310,11 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", weigh: bool
         sketches = stored(numbered.mapInArrow(_sketches(weigh), f"rid long, doc_id long, {SKETCH}"))
         worded = sketches.filter("n_set is not null")
         same = stored(worded.groupBy("same1", "same2").agg(F.min("rid").alias("rep")))
-        own = worded.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi").select("coarse", "fine", *carried)
-
-        members = stored(_buckets(own.select("rid", "coarse"), "coarse"))
+        reps = same.select(F.col("rep").alias("rid"))
+        members = stored(_buckets(worded.select("rid", "coarse").join(reps, "rid", "left_semi"), "coarse"))
         nodes = stored(members.select("rid").distinct())
-        near = stored(own.join(nodes, "rid", "left_semi"))  # from here on only rows that share a bucket
+        # From here on only rows that share a bucket.  The map keeps the others' sets out of the shuffle.
+        near = stored(among(worded.select("fine", *carried), nodes, "rid").join(nodes, "rid", "left_semi"))
         sets = near.select(*carried)
         links = stored(_verified(_first_pairs(members), sets))
         labels = components(nodes, links)

@@ -270,6 +270,15 @@ def test_near_dedup_finds_pairs_in_a_crowd(spark):
     assert out == {i: find(i) for i, _ in rows}
 
 
+def test_sets_travel_only_for_pairs_whose_sizes_fit(spark, monkeypatch):
+    seen, real = [], near_dedup.among
+    monkeypatch.setattr(near_dedup, "among", lambda rows, few, key: seen.append({r.rid for r in few.collect()}) or real(rows, few, key))
+    held = lambda n: np.arange(n, dtype="<u4").tobytes()
+    sets = spark.createDataFrame([(1, 10, held(10)), (2, 9, held(9)), (3, 100, held(100))], "rid long, n_set int, elements binary")
+    out = near_dedup._verified(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), sets).collect()
+    assert [tuple(r) for r in out] == [(1, 2)] and seen == [{1, 2}]
+
+
 def test_near_dedup_counts_repeated_lines_once(spark):
     """Pairs that differ by one line, repeated often: alike as sets (0.93), not as counts."""
     text = lambda i: " ".join(f"w{i}x{j}" for j in range(204))
