@@ -16,14 +16,18 @@ as the bands find them.
 
 Bands of the signature name buckets.  A bucket never yields its pairs: its
 members are held against two hubs of it, pair by pair exactly (Jaccard of the
-sets of shingles, 32-bit fingerprints).  What that links becomes one component.
-Members of buckets that still hold several components go to finer buckets, of
-twice as many rows, and there meet hubs of other components.  Hubs only reduce:
-the members of the first buckets that hold several components even then are
+sets of shingles, 32-bit fingerprints).  What that links becomes one component,
+and a bucket of three rows or fewer is done: all its pairs have met.  Members of
+larger buckets that still hold several components go to finer buckets, of twice
+as many rows, and there meet hubs of other components.  Hubs only reduce: the
+members of the larger first buckets that hold several components even then are
 joined exactly (_exact_pairs), so a pair that shares a bucket is either in one
 component already or compared, however crowded the bucket.  Texts of the same
 words are one representative from the start, so copies cost one row each.
 
+Sets move only for pairs that sizes and 512-bit parities allow (they differ in no
+more bits than the sets in shingles).
+
 Result: class_id is the least doc_id among a row's linked rows.  Defined cases:
 a text without words (null, empty, blanks) is alone in its class even if
 repeated; 1 to 4 words are one shingle; rows with the same doc_id are rows of
@@ -78,11 +82,20 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int = M) -> np.ndarr
     return chosen
 
 
-SKETCH = "same1 long, same2 long, n_set int, coarse array<long>, fine array<long>, elements binary, weights binary"
+#: Buckets of so many rows or fewer are done when their members have met two hubs.
+MET = 3
+_PARITIES = [f"p{i}" for i in range(PARITY)]
+SKETCH = "same1 long, same2 long, n_set int, coarse array<long>, fine array<long>, elements binary, weights binary, " + ", ".join(f"{c} long" for c in _PARITIES)
+
+
+def _parity(x: np.ndarray) -> np.ndarray:
+    """How many fingerprints fall on each of 64 * PARITY bits, modulo 2, as longs."""
+    bits = (np.bincount((x.astype(np.uint64) * _STEP >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * PARITY) & 1).astype(bool)
+    return np.packbits(bits).view(np.int64)
 
 
 def _sketch(column: pa.Array, weigh: bool) -> pa.StructArray:
-    rows = {k: [] for k in ("same1", "same2", "n_set", "coarse", "fine", "elements", "weights")}
+    rows = {k: [] for k in ("same1", "same2", "n_set", "coarse", "fine", "elements", "weights", *_PARITIES)}
     with np.errstate(over="ignore"):
         for hashed in words.word_hashes(column):
             if not len(hashed):
@@ -97,9 +110,9 @@ def _sketch(column: pa.Array, weigh: bool) -> pa.StructArray:
             fine = words.mix64(words.combine(kept[_SUBSETS], 2) + np.arange(FINE, dtype=np.uint64) * _STEP)
             small, where = np.unique((elements >> np.uint64(32)).astype("<u4"), return_inverse=True)
             weights = np.bincount(where, weights=counts).astype("<u4").tobytes() if weigh else None
-            for k, v in zip(rows, (*same, len(small), coarse.view(np.int64), fine.view(np.int64), small.tobytes(), weights), strict=True):
+            for k, v in zip(rows, (*same, len(small), coarse.view(np.int64), fine.view(np.int64), small.tobytes(), weights, *_parity(small).tolist()), strict=True):
                 rows[k].append(v)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), *[pa.int64()] * PARITY)
     return pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
@@ -171,9 +184,9 @@ def components(nodes: DataFrame, links: DataFrame, start: DataFrame | None = Non
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of every member and two members of its bucket taken by chance."""
-    lot = lambda k: F.min(F.struct(F.xxhash64("rid", "key", F.lit(k)).alias("lot"), "rid"))["rid"]
-    hubs = stored(members.groupBy("key").agg(lot(1).alias("h1"), lot(2).alias("h2")))
+    """Pairs (a, b) of every member and two different members of its bucket taken by chance."""
+    lot = F.struct(F.xxhash64("rid", "key").alias("lot"), "rid")
+    hubs = stored(members.groupBy("key").agg(F.min(lot)["rid"].alias("h1"), F.max(lot)["rid"].alias("h2")))
     return _pairs(members.join(hubs, "key").select("rid", F.explode(F.array("h1", "h2")).alias("h")))
 
 
@@ -195,15 +208,22 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.filter("rid <> h").select(F.least("rid", "h").alias("a"), F.greatest("rid", "h").alias("b")).distinct()
 
 
+def _differ(parities: list[str], x: str, y: str) -> F.Column:
+    """In how many bits two rows' parities differ: no more than the shingles that one of their sets lacks."""
+    return sum((F.bit_count(F.col(f"{p}_{x}").bitwiseXOR(F.col(f"{p}_{y}"))) for p in parities), F.lit(0))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are alike; sets: rid, n_set, elements, and weights where these count."""
+    """The pairs that are alike; sets: rid, n_set, elements, weights where these count, and parities where they are known."""
     names = {"elements": "e", "weights": "w"}
     side = lambda c: own.select(F.col("rid").alias(c), *[F.col(k).alias(f"{v}_{c}") for k, v in names.items() if k in sets.columns])
     if "weights" in sets.columns:
         own = sets
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike_weighted("e_a", "w_a", "e_b", "w_b")).select("a", "b")
-    n = lambda c: sets.select(F.col("rid").alias(c), F.col("n_set").alias(f"n_{c}"))
+    known = [c for c in _PARITIES if c in sets.columns]
+    n = lambda c: sets.select(F.col("rid").alias(c), F.col("n_set").alias(f"n_{c}"), *[F.col(p).alias(f"{p}_{c}") for p in known])
     sizes = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")
+    sizes &= 9 * _differ(known, "a", "b") <= F.col("n_a") + F.col("n_b")
     fit = stored(pairs.join(n("a"), "a").join(n("b"), "b").filter(sizes).select("a", "b"))  # before sets travel
     own = among(sets.select("rid", "elements"), fit.select(F.explode(F.array("a", "b")).alias("rid")), "rid")
     return fit.join(side("a"), "a").join(side("b"), "b").filter(_alike("e_a", "e_b")).select("a", "b")
@@ -225,7 +245,7 @@ def _common(sets: DataFrame) -> np.ndarray:
     return np.minimum(out, np.uint64(2**31))
 
 
-PREFIX = "rid long, comp long, n int, token int, at int, " + ", ".join(f"p{i} long" for i in range(PARITY))
+PREFIX = "rid long, comp long, n int, token int, at int, " + ", ".join(f"{c} long" for c in _PARITIES)
 
 
 def _prefixes(common: np.ndarray):
@@ -239,17 +259,16 @@ def _prefixes(common: np.ndarray):
                 often = common[x % CELLS]
                 first = np.sort((often << np.uint64(32)) | x)[: len(x) - (4 * len(x) + 4) // 5 + 1]
                 at = np.flatnonzero(first >> np.uint64(32) > 1)  # what occurs once leads to no other row
-                bits = (np.bincount((x.astype(np.uint64) * _STEP >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * PARITY) & 1).astype(bool)
                 tokens.append(first[at].astype(np.uint32).view(np.int32))
                 places.append(at.astype(np.int32))
                 sizes.append(len(x))
-                parities.append(np.packbits(bits).view(np.int64))
+                parities.append(_parity(x))
             if tokens:
                 row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
                 parity = np.stack(parities)[row]
                 left = [batch.column(i).take(pa.array(row)) for i in (0, 1)]
                 arrays = [*left, pa.array(np.array(sizes, np.int32)[row]), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY)]]
-                yield pa.RecordBatch.from_arrays(arrays, ["rid", "comp", "n", "token", "at", *[f"p{i}" for i in range(PARITY)]])
+                yield pa.RecordBatch.from_arrays(arrays, ["rid", "comp", "n", "token", "at", *_PARITIES])
 
     return run
 
@@ -269,33 +288,32 @@ def _exact_pairs(sets: DataFrame) -> DataFrame:
     groups = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(index.cast("long")).alias("small"), F.count("*").alias("all"))
     cut = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     open_ = stored(groups.filter("low < high and small > 0").select("token", cut("small").alias("is"), cut("all").alias("js")))
-    dealt = stored(rows.join(open_, "token"))
+    dealt = stored(among(rows, open_, "token").join(open_, "token"))
     place = lambda c: F.pmod(F.xxhash64("rid", F.lit(c)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    part = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("rid", "comp", "n", "at", *[f"p{i}" for i in range(PARITY)])]
+    part = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("rid", "comp", "n", "at", *_PARITIES)]
     y = dealt.filter(index).withColumn("i", place("is")).withColumn("j", every("js")).select("token", "i", "j", *part("y"))
     x = dealt.withColumn("j", place("js")).withColumn("i", every("is")).select("token", "i", "j", *part("x"))
     both = F.col("n_x") + F.col("n_y")
-    differ = sum((F.bit_count(F.col(f"p{i}_x").bitwiseXOR(F.col(f"p{i}_y"))) for i in range(PARITY)), F.lit(0))
     ordered = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("rid_y") < F.col("rid_x")))
     near = (F.col("comp_x") != F.col("comp_y")) & ordered & (5 * F.col("n_y") >= 4 * F.col("n_x"))
-    near &= (9 * F.least(F.col("n_y") - F.col("at_y"), F.col("n_x") - F.col("at_x")) >= 4 * both) & (9 * differ <= both)
+    near &= (9 * F.least(F.col("n_y") - F.col("at_y"), F.col("n_x") - F.col("at_x")) >= 4 * both) & (9 * _differ(_PARITIES, "x", "y") <= both)
     on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("token", "i", "j")]
     met = y.alias("l").join(x.alias("r"), [*on, near])
     return _pairs(met.select(F.col("rid_y").alias("rid"), F.col("rid_x").alias("h")))
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rid) of the members of buckets that hold several components."""
-    low = stored(members.join(labels, "rid").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"))
+    """(rid) of the members of buckets of more than MET rows that hold several components."""
+    low = stored(members.join(labels, "rid").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter(f"low < high and n > {MET}").select("key"))
     return stored(members.join(low, "key").select("rid").distinct())
 
 
 def _buckets(reps: DataFrame, column: str) -> DataFrame:
     """(key, rid) of the buckets with two members or more."""
-    rows = reps.select("rid", F.explode(column).alias("key"))
+    rows = stored(reps).select("rid", F.explode(column).alias("key"))
     shared = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-    return rows.join(shared, "key")
+    return among(rows, shared, "key").join(shared, "key")
 
 
 def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", weigh: bool = False) -> DataFrame:  # noqa: A002
@@ -304,7 +322,7 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", weigh: bool
     rid numbers the rows as Spark reads docs; keeper marks one row of each class.  Steps that have nothing left to do
     are skipped.
     """
-    carried = ["rid", "n_set", "elements", *(["weights"] if weigh else [])]
+    carried = ["rid", "n_set", "elements", *(["weights"] if weigh else _PARITIES)]
     with temporary(docs.sparkSession):
         numbered = in_short_batches(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text))
         sketches = stored(numbered.mapInArrow(_sketches(weigh), f"rid long, doc_id long, {SKETCH}"))
@@ -325,7 +343,8 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", weigh: bool
             links = links.unionAll(more)
             labels = components(nodes, links, labels)
 
-        unsettled = stored(sets.join(_open(members, labels), "rid").join(labels, "rid"))
+        left = stored(_open(members, labels).join(labels, "rid"))
+        unsettled = stored(among(sets.select("rid", "elements"), left, "rid").join(left, "rid"))
         if not weigh and not unsettled.isEmpty():
             last = stored(_verified(stored(_exact_pairs(unsettled)), sets))
             if not last.isEmpty():

@@ -279,6 +279,25 @@ def test_sets_travel_only_for_pairs_whose_sizes_fit(spark, monkeypatch):
     assert [tuple(r) for r in out] == [(1, 2)] and seen == [{1, 2}]
 
 
+def test_buckets_of_three_are_done_after_two_hubs(spark):
+    """All pairs of every bucket of three meet, so only larger buckets of several components stay open."""
+    members = spark.createDataFrame([(k, 10 * k + i) for k in range(40) for i in range(3)] + [(99, 1000 + i) for i in range(4)], "key long, rid long")
+    met = {(r.a, r.b) for r in near_dedup._first_pairs(members).collect()}
+    assert {(10 * k + i, 10 * k + j) for k in range(40) for i, j in ((0, 1), (0, 2), (1, 2))} <= met
+    labels = members.selectExpr("rid", "rid as comp")
+    assert {r.rid for r in near_dedup._open(members, labels).collect()} == {1000, 1001, 1002, 1003}
+
+
+def test_sets_travel_only_for_pairs_whose_parities_fit(spark, monkeypatch):
+    seen, real = [], near_dedup.among
+    monkeypatch.setattr(near_dedup, "among", lambda rows, few, key: seen.append({r.rid for r in few.collect()}) or real(rows, few, key))
+    held = {1: range(0, 100), 2: range(5, 105), 3: range(50, 150)}
+    rows = [(i, 100, (x := np.array(e, "<u4")).tobytes(), *near_dedup._parity(x).tolist()) for i, e in held.items()]
+    sets = spark.createDataFrame(rows, "rid long, n_set int, elements binary, " + ", ".join(f"{c} long" for c in near_dedup._PARITIES))
+    out = near_dedup._verified(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), sets).collect()
+    assert [tuple(r) for r in out] == [(1, 2)] and seen == [{1, 2}]
+
+
 def test_near_dedup_counts_repeated_lines_once(spark):
     """Pairs that differ by one line, repeated often: alike as sets (0.93), not as counts."""
     text = lambda i: " ".join(f"w{i}x{j}" for j in range(204))
