@@ -16,7 +16,8 @@ of y: the prefixes.  Rows join on prefix n-grams, and at the first shared one
   in its pieces' sizes by more n-grams than similar sets can
 
 each rule the pair out, and so do 512-bit parities of whole sets, which differ in no
-more bits than the sets in n-grams; what is left is verified, once.
+more bits than the sets in n-grams.  Large sets fill 512 bits: before they move, parities
+of as many bits as they have n-grams do the same.  What is left is verified, once.
 
 Rows of equal sets are one representative from the start.  An n-gram that many hold
 never yields all its pairs: of the rows that hold it two are hubs, and each row is
@@ -48,6 +49,7 @@ from pyspark.sql import types as T
 
 from . import words
 from ._common import among, in_short_batches, lasting, stored, temporary
+from ._common import small as sized
 from .near_dedup import components
 
 SHINGLE, THRESHOLD = 4, Fraction(85, 100)
@@ -91,6 +93,19 @@ def parity(x: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bit, minlength=64 * PARITY) & 1).astype(bool), bitorder="little").view("<u8")
 
 
+def wide_parity(x: np.ndarray) -> bytes:
+    """A parity of the least power of two bits, 64 at least, that is no less than the set's size."""
+    size = 64 << max(0, int(len(x) - 1).bit_length() - 6)
+    bit = (words.mix64(x) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=size) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many bits two wide parities differ (as longs), the wider one folded to the other's bits."""
+    a, b = sorted((a, b), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) ^ a).sum())
+
+
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,12 +117,12 @@ def _sketches(size: int):
                         if len(x):
                             same = [int(words.mix64(np.bitwise_xor.reduce(words.mix64(x + np.uint64(salt)), keepdims=True) + np.uint64(len(x))).view(np.int64)[0]) for salt in (1, 2)]
                             small = np.unique(x >> np.uint64(24))
-                            rows.append((*same, len(x), len(small), packed(small), *parity(small).view(np.int64).tolist()))
+                            rows.append((*same, len(x), len(small), packed(small), wide_parity(small), *parity(small).view(np.int64).tolist()))
                         else:
-                            rows.append((None, None, 0, 0, None, *[0] * PARITY))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * PARITY)
+                            rows.append((None, None, 0, 0, None, None, *[0] * PARITY))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * PARITY)
                 made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["rid", "doc_id", "same1", "same2", "n_shingles", "n", "elements", *_PARITIES])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["rid", "doc_id", "same1", "same2", "n_shingles", "n", "elements", "wide", *_PARITIES])
 
     return run
 
@@ -188,7 +203,7 @@ def hub_pairs(members: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
     """
     row = F.struct(F.xxhash64("rid").alias("lot"), "rid", "n", "at")
     first = members.groupBy("token").agg(F.min(row).alias("h1"))
-    rest = members.join(stored(first), "token").select("rid", "n", "at", "token", "h1").filter("rid <> h1.rid")
+    rest = stored(members.join(stored(first), "token").select("rid", "n", "at", "token", "h1").filter("rid <> h1.rid"))
     second = stored(rest.groupBy("token").agg(F.min(row).alias("h2")))
     met = rest.join(second, "token").select("rid", "n", "at", F.explode(F.array("h1", "h2")).alias("h")).filter((F.col("rid") != F.col("h.rid")) & _fits(t, "", "h."))
     pairs = stored(met.groupBy(F.col("rid").alias("a"), F.col("h.rid").alias("b")).agg(F.min("h.lot").alias("lot"), F.min("at").alias("at_a"), F.min("h.at").alias("at_b")))
@@ -206,16 +221,19 @@ def rest_pairs(members: DataFrame, labels: DataFrame, bits: DataFrame, t: Fracti
     tagged = stored(members.join(labels, "rid"))
     open_ = tagged.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
     grade = F.floor(F.log(F.col("n")) / float(np.log(float(1 / t))) - 1e-9).cast("int")
-    rows = stored(tagged.join(stored(open_), "token").withColumn("class", grade).join(bits.drop("n"), "rid"))
+    open_ = stored(open_)
+    rows = stored(among(tagged, open_, "token").join(open_, "token").withColumn("class", grade).join(bits.drop("n"), "rid"))
     small = rows.filter("index").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
     counts = lambda df, c: df.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
-    cells = stored(counts(rows, "xs").join(counts(small, "ys"), ["token", "class"]))
+    # Only of groups of more than one block, which are few: other rows need no shuffle to be dealt.
+    cells = sized(stored(counts(rows, "xs").join(counts(small, "ys"), ["token", "class"]).filter("xs > 1 or ys > 1")))
+    dealt = lambda df: df.join(cells, ["token", "class"], "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("xs", "ys")})
     place = lambda c: F.pmod(F.xxhash64("rid", F.lit(c)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     part = lambda s: [F.col(c).alias(f"{s}{c}") for c in ("rid", "comp", "n", "at", *_PARITIES)]
     keys = ["token", "class", "i", "j"]
-    x = rows.join(cells, ["token", "class"]).withColumn("i", place("xs")).withColumn("j", every("ys")).select(*keys, *part("x_"))
-    y = small.join(cells, ["token", "class"]).withColumn("j", place("ys")).withColumn("i", every("xs")).select(*keys, *part("y_"))
+    x = dealt(rows).withColumn("i", place("xs")).withColumn("j", every("ys")).select(*keys, *part("x_"))
+    y = dealt(small).withColumn("j", place("ys")).withColumn("i", every("xs")).select(*keys, *part("y_"))
     larger = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_rid") < F.col("x_rid")))
     met = x.alias("l").join(y.alias("r"), [*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys], larger & (F.col("x_comp") != F.col("y_comp")) & _fits(t, "x_", "y_") & _even(t, "x_", "y_")])
     return met.groupBy(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")).agg(F.min("x_at").alias("at_a"), F.min("y_at").alias("at_b"))
@@ -233,16 +251,28 @@ def alike(x: np.ndarray, y: np.ndarray, at_x: int, at_y: int, often: np.ndarray,
 
 
 def verified(pairs: DataFrame, elements: DataFrame, often: np.ndarray, t: Fraction) -> DataFrame:
-    """The pairs (a, b, at_a, at_b, ...) whose sets are similar; elements: rid, elements."""
+    """The pairs (a, b, at_a, at_b, ...) whose sets are similar; elements: rid, n, wide, elements.
+
+    Sets travel only for pairs that the wide parities allow.
+    """
+    p, q = t.numerator, t.denominator
 
     @F.arrow_udf(T.BooleanType())
     def test(a: pa.Array, b: pa.Array, at_a: pa.Array, at_b: pa.Array) -> pa.Array:
         return pa.array([alike(unpacked(x), unpacked(y), i, j, often, t) for x, y, i, j in zip(a, b, at_a.to_pylist(), at_b.to_pylist(), strict=True)], pa.bool_())
 
-    few = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
-    own = among(elements.select("rid", "elements"), few, "rid")
-    side = lambda c: own.select(F.col("rid").alias(c), F.col("elements").alias(f"e_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(test("e_a", "e_b", "at_a", "at_b")).select(*pairs.columns)
+    @F.arrow_udf(T.IntegerType())
+    def differ(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([differing(*(np.frombuffer(x.as_buffer(), "<u8") for x in row)) for row in zip(a, b, strict=True)], pa.int32())
+
+    def sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        own = among(elements.select("rid", *columns), pairs.select(F.explode(F.array("a", "b")).alias("rid")), "rid")
+        side = lambda c: own.select(F.col("rid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    both = F.col("n_a") + F.col("n_b")
+    near = stored(sides(pairs, "n", "wide").filter((p + q) * (both - differ("wide_a", "wide_b")) >= 2 * p * both).select(*pairs.columns))
+    return sides(near, "elements").filter(test("elements_a", "elements_b", "at_a", "at_b")).select(*pairs.columns)
 
 
 def tops(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -260,29 +290,35 @@ def tops(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (rid, comp) whose components are one where links (a, b) of rows join them."""
+    end = lambda c: labels.select(F.col("rid").alias(c), F.col("comp").alias(f"{c}_comp"))
+    joins = stored(links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
+    if joins.isEmpty():
+        return labels
+    to = components(joins.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), joins)
+    return stored(labels.join(sized(to.select(F.col("rid").alias("comp"), F.col("comp").alias("to"))), "comp", "left").select("rid", F.coalesce("to", "comp").alias("comp")))
+
+
 def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:  # noqa: A002
     """One row (doc_id, n_shingles, component_id) for each row of docs."""
     with temporary(docs.sparkSession):
         numbered = in_short_batches(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        kinds = "rid long, doc_id long, same1 long, same2 long, n_shingles long, n int, elements binary, " + ", ".join(f"{c} long" for c in _PARITIES)
+        kinds = "rid long, doc_id long, same1 long, same2 long, n_shingles long, n int, elements binary, wide binary, " + ", ".join(f"{c} long" for c in _PARITIES)
         sketches = stored(numbered.mapInArrow(_sketches(size), kinds))
         worded = sketches.filter("n > 0")
         same = stored(worded.groupBy("same1", "same2").agg(F.min("rid").alias("rep")))
         reps = same.select(F.col("rep").alias("rid"))
-        elements, bits = worded.select("rid", "elements"), worded.select("rid", "n", *_PARITIES)
-        own = among(elements, reps, "rid")  # representatives, and a copy here and there
+        elements, bits = worded.select("rid", "n", "wide", "elements"), worded.select("rid", "n", *_PARITIES)
+        own = among(worded.select("rid", "elements"), reps, "rid")  # representatives, and a copy here and there
         often = common(own)
         tokens = stored(own.mapInArrow(_tokens(often, threshold), "rid long, n int, token long, at int, index boolean"))
         shared = stored(tokens.groupBy("token").agg(F.count("*").alias("k"), F.max("index").alias("index")).filter("k > 1 and index").select("token"))
         members = stored(among(tokens, shared, "token").join(shared, "token").join(reps, "rid", "left_semi"))
         nodes = stored(members.select("rid").distinct())
         labels = tops(nodes, stored(verified(stored(hub_pairs(members, bits, threshold)), elements, often, threshold)))
-        more = verified(stored(rest_pairs(members, labels, bits, threshold)), elements, often, threshold)
-        end = lambda c: labels.select(F.col("rid").alias(c), F.col("comp").alias(f"{c}_comp"))
-        joins = stored(more.join(end("a"), "a").join(end("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct())
-        if not joins.isEmpty():
-            merged = components(joins.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), joins)
-            labels = stored(labels.join(merged.select(F.col("rid").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("rid", F.coalesce("to", "comp").alias("comp")))
+        pairs = stored(rest_pairs(members, labels, bits, threshold))
+        labels = merged(labels, stored(verified(pairs, elements, often, threshold)))
         named = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same1", "same2", F.coalesce("comp", "rep").alias("comp"))
         found = stored(worded.select("doc_id", "n_shingles", "same1", "same2").join(named, ["same1", "same2"]).select("doc_id", "n_shingles", "comp"))
         least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -234,6 +234,22 @@ def test_filters_never_lose_a_pair():
             assert jaccard_join.alike(*arrays, i, j, np.zeros(jaccard_join.CELLS, np.uint64), t)
 
 
+def test_large_unlike_sets_do_not_travel(spark, monkeypatch):
+    """Sets of 4000 n-grams fill 512 bits, so unlike ones passed; wide parities keep all similar ones and rule these out."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(0, 2**40, n, dtype=np.uint64))
+    held = {1: (x := draw(4200)), 2: np.union1d(x[200:], draw(200)), 3: draw(4000), 4: x[: len(x) * 86 // 100]}
+    for a, b in ((1, 2), (1, 4), (2, 3)):
+        assert jaccard_join.differing(*(np.frombuffer(jaccard_join.wide_parity(held[k]), "<u8") for k in (a, b))) <= len(np.setxor1d(held[a], held[b]))
+    seen, real = [], jaccard_join.among
+    monkeypatch.setattr(jaccard_join, "among", lambda rows, few, key: seen.append((rows.columns[1:], {r.rid for r in few.collect()})) or real(rows, few, key))
+    sets = spark.createDataFrame([(k, len(x), jaccard_join.wide_parity(x), jaccard_join.packed(x)) for k, x in held.items()], "rid long, n int, wide binary, elements binary")
+    pairs = spark.createDataFrame([(1, 2, 0, 0), (1, 3, 0, 0), (1, 4, 0, 0)], "a long, b long, at_a int, at_b int")
+    out = jaccard_join.verified(pairs, sets, np.zeros(jaccard_join.CELLS, np.uint64), Fraction(85, 100)).collect()
+    assert sorted((r.a, r.b) for r in out) == [(1, 2), (1, 4)]
+    assert seen[-1] == (["elements"], {1, 2, 4})
+
+
 def test_join_of_odd_rows(spark, odd, empty):
     assert jaccard_join.report(empty).count() == 0
     rows = odd.collect()
