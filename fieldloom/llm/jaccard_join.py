@@ -16,16 +16,19 @@ of y: the prefixes.  Rows join on prefix n-grams, and at the first shared one
   in its pieces' sizes by more n-grams than similar sets can
 
 each rule the pair out, and so do 512-bit parities of whole sets, which differ in no
-more bits than the sets in n-grams.  Large sets fill 512 bits: before they move, parities
+more bits than the sets in n-grams and meet for pairs only, not with the n-grams' rows.  Large sets fill 512 bits: before they move, parities
 of as many bits as they have n-grams do the same.  What is left is verified, once.
 
-Rows of equal sets are one representative from the start.  An n-gram that many hold
-never yields all its pairs: of the rows that hold it two are hubs, and each row is
-verified against the HUBS first ones of its n-grams' hubs.  It points to the first that
-is similar, and what points to one row is one component.  Then the rows of n-grams that
-still hold several components join exactly, pairs of one component left out, in blocks
-of BLOCK by BLOCK rows of one n-gram and size class.  So each pair of similar sets ends
-in one component.
+Rows of equal sets are one representative from the start.  An n-gram that more than
+CROWD rows hold never yields all its pairs: in rounds two of its rows, others each time,
+are hubs, and each component of rows is verified against the HUBS first ones of its
+n-grams' hubs.  What is similar is one component.  An n-gram takes part while a round
+saves a quarter of the pairs of different components that it has, and until it has no
+more than CROWD for each row.  Then all n-grams' rows join exactly, pairs of one component
+left out, a crowd's largest component only with what is outside it, in blocks of BLOCK by
+BLOCK rows of one n-gram and size class.  So each pair of similar sets ends in one component.
+A pair meets where it shares an n-gram and not the shared one before: at its first one,
+and seldom again.
 
 Sets stay where they are stored until a pair needs them: maps of bits, of a size that
 does not depend on the input, drop rows before a shuffle that a join would drop behind it.
@@ -43,7 +46,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +58,8 @@ from .near_dedup import components
 SHINGLE, THRESHOLD = 4, Fraction(85, 100)
 #: Bytes of a fingerprint, cells of counts, longs of a parity, rows of a side of a block, texts at once.
 WIDTH, CELLS, PARITY, BLOCK, RUN = 5, 1 << 17, 8, 1000, 500
-#: Hubs that a row is verified against.
-HUBS = 2
+#: Hubs that a component is verified against in a round, rows of an n-gram beyond which it has hubs.
+HUBS, CROWD = 3, 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -178,12 +181,18 @@ def _tokens(often: np.ndarray, t: Fraction):
     return run
 
 
+def _near(t: Fraction, x: str, y: str) -> F.Column:
+    """Length filter of two rows, with integers; x and y: prefixes of their columns' names."""
+    n = [F.col(f"{s}n") for s in (x, y)]
+    return t.denominator * F.least(*n) >= t.numerator * F.greatest(*n)
+
+
 def _fits(t: Fraction, x: str, y: str) -> F.Column:
-    """Length and position filters of two members of one n-gram, with integers throughout; x and y: prefixes of their columns' names."""
+    """Length and position filters of two members of one n-gram, the first that they share."""
     p, q = t.numerator, t.denominator
     n, at = ([F.col(f"{s}{c}") for s in (x, y)] for c in ("n", "at"))
     behind = F.least(n[0] - at[0], n[1] - at[1])
-    return (q * F.least(*n) >= p * F.greatest(*n)) & ((p + q) * behind >= p * (n[0] + n[1]))
+    return _near(t, x, y) & ((p + q) * behind >= p * (n[0] + n[1]))
 
 
 def _even(t: Fraction, x: str, y: str) -> F.Column:
@@ -195,52 +204,97 @@ def _even(t: Fraction, x: str, y: str) -> F.Column:
     return (p + q) * (both - differ) >= 2 * p * both
 
 
-def hub_pairs(members: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b, lot, at_a, at_b) of every member a and the HUBS first of its n-grams' hubs that length, place and parity allow.
+def hub_pairs(rows: DataFrame, bits: DataFrame, t: Fraction, turn: int) -> DataFrame:
+    """(a, b, at_a, at_b): of every component a row a and the HUBS first of its n-grams' hubs b of other components.
 
-    An n-gram's hubs are its two rows with the least hashes (lot), and a row's hubs those of the least lots of them, so
-    texts that share many n-grams meet the same few.  bits: rid, n and parities.
+    rows: rid, comp, n, token.  An n-gram's hubs are its two rows with the least hashes of this turn (lot), so texts that
+    share many n-grams meet the same few.  The places are -1: what is shared first is not known here.
     """
-    row = F.struct(F.xxhash64("rid").alias("lot"), "rid", "n", "at")
-    first = members.groupBy("token").agg(F.min(row).alias("h1"))
-    rest = stored(members.join(stored(first), "token").select("rid", "n", "at", "token", "h1").filter("rid <> h1.rid"))
-    second = stored(rest.groupBy("token").agg(F.min(row).alias("h2")))
-    met = rest.join(second, "token").select("rid", "n", "at", F.explode(F.array("h1", "h2")).alias("h")).filter((F.col("rid") != F.col("h.rid")) & _fits(t, "", "h."))
-    pairs = stored(met.groupBy(F.col("rid").alias("a"), F.col("h.rid").alias("b")).agg(F.min("h.lot").alias("lot"), F.min("at").alias("at_a"), F.min("h.at").alias("at_b")))
-    near = _plausible(pairs, bits, t).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("lot", "b", "at_a", "at_b"))), 1, HUBS).alias("h"))
-    return near.select("a", F.inline("h"))
+    hub = lambda i: F.min(F.struct(F.xxhash64("rid", F.lit(2 * turn + i)).alias("lot"), "rid", "comp", "n"))
+    hubs = stored(rows.groupBy("token").agg(hub(0).alias("h0"), hub(1).alias("h1")))
+    met = rows.join(hubs, "token").select("rid", "comp", "n", F.explode(F.array("h0", "h1")).alias("h")).filter((F.col("comp") != F.col("h.comp")) & _near(t, "", "h."))
+    one = F.min(F.struct(F.xxhash64("rid", F.lit(2 * turn)).alias("lot"), "rid"))["rid"]
+    pairs = met.groupBy("comp", F.col("h.rid").alias("b")).agg(F.min("h.lot").alias("lot"), one.alias("a"))
+    near = pairs.groupBy("comp").agg(F.slice(F.array_sort(F.collect_list(F.struct("lot", "a", "b"))), 1, HUBS).alias("h")).select(F.inline("h"))
+    return _plausible(stored(near.select("a", "b", F.lit(-1).alias("at_a"), F.lit(-1).alias("at_b"))), bits, t)
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """(token, k, cross, main) of the n-grams with several components: rows, pairs of two components, largest component."""
+    one = rows.groupBy("token", "comp").agg(F.count("*").alias("m"))
+    of = one.groupBy("token").agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.col("m")).alias("within"), F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    return of.select("token", "k", F.expr("(k * k - within) div 2").alias("cross"), "main").filter("cross > 0")
+
+
+def crowds(members: DataFrame, bits: DataFrame, elements: DataFrame, often: np.ndarray, t: Fraction) -> DataFrame:
+    """(rid, comp) of the rows of crowded n-grams after rounds of hubs."""
+    rows = members.filter(F.col("k") > CROWD).select("rid", "n", "token")
+    labels = stored(rows.select("rid", F.col("rid").alias("comp")).distinct())
+    turn, before = 0, None
+    while True:
+        tagged = stored(rows.join(labels, "rid"))
+        left = _open(tagged).filter(F.col("cross") > CROWD * F.col("k"))
+        if before is not None:
+            left = left.join(before, "token").filter("4 * cross <= 3 * was")
+        before = stored(left.select("token", F.col("cross").alias("was")))
+        if before.isEmpty():
+            return labels
+        rows = stored(tagged.join(before, "token", "left_semi"))
+        links = stored(verified(stored(hub_pairs(rows, bits, t, turn)), elements, often, t))
+        labels, rows, turn = merged(labels, links), rows.select("rid", "n", "token"), turn + 1
 
 
 def _plausible(pairs: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
-    side = lambda c: bits.select(F.col("rid").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("n", *_PARITIES)])
+    own = among(bits, pairs.select(F.explode(F.array("a", "b")).alias("rid")), "rid")
+    side = lambda c: own.select(F.col("rid").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("n", *_PARITIES)])
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(_even(t, "a_", "b_")).select(*pairs.columns)
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b, at_a, at_b) of members of different components, among them all whose sets are similar."""
-    tagged = stored(members.join(labels, "rid"))
-    open_ = tagged.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+def meetings(members: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b, at_a, at_b) of members of different components, among them all whose sets are similar; a pair may come repeatedly.
+
+    labels: (rid, comp) of rows whose component is not their own.  Crowded n-grams go by size class, and a crowd's rows are
+    parted: its largest component (1) meets as the larger set only what is outside it (0), which meets all.
+    """
+    tagged = members.join(sized(labels), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     grade = F.floor(F.log(F.col("n")) / float(np.log(float(1 / t))) - 1e-9).cast("int")
-    open_ = stored(open_)
-    rows = stored(among(tagged, open_, "token").join(open_, "token").withColumn("class", grade).join(bits.drop("n"), "rid"))
-    small = rows.filter("index").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
-    counts = lambda df, c: df.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
+    many = tagged.filter(F.col("k") > CROWD).withColumn("class", grade)
+    many = stored(many.join(stored(_open(many).select("token", "main")), "token").withColumn("part", (F.col("comp") == F.col("main")).cast("int")).drop("main"))
+    few = tagged.filter(F.col("k") <= CROWD).withColumns({c: F.lit(-1) for c in ("class", "part")}).select(*many.columns)
+
+    def smaller(rows: DataFrame) -> DataFrame:
+        met = F.when(F.col("part") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        return rows.filter("index").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("part", F.explode(met))
+
+    keys, group = ["token", "class", "part", "i", "j"], ["token", "class", "part"]
+    counts = lambda df, c: df.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
     # Only of groups of more than one block, which are few: other rows need no shuffle to be dealt.
-    cells = sized(stored(counts(rows, "xs").join(counts(small, "ys"), ["token", "class"]).filter("xs > 1 or ys > 1")))
-    dealt = lambda df: df.join(cells, ["token", "class"], "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("xs", "ys")})
+    cells = sized(stored(counts(many, "xs").join(counts(smaller(many), "ys"), group).filter("xs > 1 or ys > 1")))
+    dealt = lambda df: df.join(cells, group, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("xs", "ys")})
     place = lambda c: F.pmod(F.xxhash64("rid", F.lit(c)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    part = lambda s: [F.col(c).alias(f"{s}{c}") for c in ("rid", "comp", "n", "at", *_PARITIES)]
-    keys = ["token", "class", "i", "j"]
-    x = dealt(rows).withColumn("i", place("xs")).withColumn("j", every("ys")).select(*keys, *part("x_"))
-    y = dealt(small).withColumn("j", place("ys")).withColumn("i", every("xs")).select(*keys, *part("y_"))
+    part = lambda s: [F.col(c).alias(f"{s}{c}") for c in ("rid", "comp", "n", "at", "before")]
     larger = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_rid") < F.col("x_rid")))
-    met = x.alias("l").join(y.alias("r"), [*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys], larger & (F.col("x_comp") != F.col("y_comp")) & _fits(t, "x_", "y_") & _even(t, "x_", "y_")])
-    return met.groupBy(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")).agg(F.min("x_at").alias("at_a"), F.min("y_at").alias("at_b"))
+    # A pair that shares the n-gram before as well has met there.
+    first = ~F.coalesce(F.col("x_before") == F.col("y_before"), F.lit(False))
+
+    def met(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+        x, y = x.select(*keys, *part("x_")).alias("l"), y.select(*keys, *part("y_")).alias("r")
+        pairs = x.join(y, [*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys], first & larger & (F.col("x_comp") != F.col("y_comp")) & _fits(t, "x_", "y_")])
+        return pairs.select(*[F.col(f"{x}_{c}").alias(y) for c, x, y in (("rid", "x", "a"), ("rid", "y", "b"), ("at", "x", "at_a"), ("at", "y", "at_b"))])
+
+    x = dealt(many).withColumn("i", place("xs")).withColumn("j", every("ys"))
+    y = dealt(smaller(many)).withColumn("j", place("ys")).withColumn("i", every("xs"))
+    return met(few, few.filter("index"), ["token"]).unionAll(met(x, y, keys))
+
+
+def rest_pairs(members: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
+    """Each pair of meetings() once, with the places of the first n-gram that both hold."""
+    return meetings(members, labels, t).groupBy("a", "b").agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
 
 
 def alike(x: np.ndarray, y: np.ndarray, at_x: int, at_y: int, often: np.ndarray, t: Fraction) -> bool:
-    """Whether two sets are similar; at: places of the first n-gram of their prefixes that both hold, for the suffix filter."""
+    """Whether two sets are similar; at: places of the first n-gram of their prefixes that both hold (-1: not known), for the suffix filter."""
     p, q = t.numerator, t.denominator
     behind = [np.bincount((_ordered(often, v)[at + 1 :] >> np.uint64(35)).astype(np.int64), minlength=32) for v, at in ((x, at_x), (y, at_y))]
     shared = 1 + np.minimum(*behind).sum()  # at most
@@ -275,21 +329,6 @@ def verified(pairs: DataFrame, elements: DataFrame, often: np.ndarray, t: Fracti
     return sides(near, "elements").filter(test("elements_a", "elements_b", "at_a", "at_b")).select(*pairs.columns)
 
 
-def tops(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(rid, comp): where pointers lead; links: (a, b, lot), of which a row takes the one of the least lot below its own.
-
-    Pointers lead to lesser lots, so there is no circle; each step doubles their length.
-    """
-    to = links.filter(F.xxhash64("a") > F.col("lot")).groupBy("a").agg(F.min_by("b", "lot").alias("b"))
-    labels = stored(nodes.join(to, nodes["rid"] == to["a"], "left").select("rid", F.coalesce("b", "rid").alias("comp")))
-    while True:
-        up = labels.select(F.col("rid").alias("comp"), F.col("comp").alias("up"))
-        new = stored(labels.join(up, "comp").select("rid", F.col("up").alias("comp"), (F.col("up") != F.col("comp")).alias("moved")))
-        labels = new.select("rid", "comp")
-        if new.filter("moved").isEmpty():
-            return labels
-
-
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (rid, comp) whose components are one where links (a, b) of rows join them."""
     end = lambda c: labels.select(F.col("rid").alias(c), F.col("comp").alias(f"{c}_comp"))
@@ -313,12 +352,14 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int =
         own = among(worded.select("rid", "elements"), reps, "rid")  # representatives, and a copy here and there
         often = common(own)
         tokens = stored(own.mapInArrow(_tokens(often, threshold), "rid long, n int, token long, at int, index boolean"))
-        shared = stored(tokens.groupBy("token").agg(F.count("*").alias("k"), F.max("index").alias("index")).filter("k > 1 and index").select("token"))
-        members = stored(among(tokens, shared, "token").join(shared, "token").join(reps, "rid", "left_semi"))
-        nodes = stored(members.select("rid").distinct())
-        labels = tops(nodes, stored(verified(stored(hub_pairs(members, bits, threshold)), elements, often, threshold)))
-        pairs = stored(rest_pairs(members, labels, bits, threshold))
-        labels = merged(labels, stored(verified(pairs, elements, often, threshold)))
+        shared = stored(tokens.groupBy("token").agg(F.count("*").alias("k"), F.max("index").alias("index")).filter("k > 1 and index").select("token", "k"))
+        earlier = Window.partitionBy("rid").orderBy("at")
+        members = stored(among(tokens, shared, "token").join(shared, "token").join(reps, "rid", "left_semi").withColumn("before", F.lag("token").over(earlier)))
+        labels = crowds(members, bits, elements, often, threshold)
+        pairs = stored(rest_pairs(members, labels.filter("rid <> comp"), threshold))
+        links = stored(verified(stored(_plausible(pairs, bits, threshold)), elements, often, threshold))
+        nodes = labels.select("rid").unionAll(links.select(F.explode(F.array("a", "b")).alias("rid"))).distinct()
+        labels = merged(stored(nodes.join(labels, "rid", "left").select("rid", F.coalesce("comp", "rid").alias("comp"))), links)
         named = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same1", "same2", F.coalesce("comp", "rep").alias("comp"))
         found = stored(worded.select("doc_id", "n_shingles", "same1", "same2").join(named, ["same1", "same2"]).select("doc_id", "n_shingles", "comp"))
         least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

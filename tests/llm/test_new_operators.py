@@ -213,6 +213,37 @@ def test_join_around_the_threshold(spark, monkeypatch, block):
     assert result(jaccard_join.report(df)) == joined(texts, ids)
 
 
+@pytest.mark.parametrize("crowd", [2, 32])
+def test_join_of_a_crowd(spark, monkeypatch, crowd):
+    """Variants of one text, of which about every second pair is similar: all links, but not all pairs in the last join."""
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 50)
+    rng, texts = random.Random(5), []
+    for k in range(240):
+        own = [f"w{i}" for i in range(300)]
+        for i in rng.sample(range(300), 1 + k % 5):
+            own[i] = f"x{k}_{i}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"{c}{i}" if i % 9 == 0 else f"w{i}" for i in range(300)) for c in "abcd"]
+    seen, real = [], jaccard_join.rest_pairs
+    monkeypatch.setattr(jaccard_join, "rest_pairs", lambda *a: seen.append(jaccard_join.stored(real(*a))) or seen[-1])
+    met = []
+    monkeypatch.setattr(jaccard_join, "lasting", lambda df, keep=jaccard_join.lasting: met.append(seen[-1].count()) or keep(df))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert result(jaccard_join.report(df)) == joined(texts, list(range(len(texts))))
+    assert met[0] <= 2 * len(texts)
+
+
+def test_a_pair_meets_at_its_first_shared_n_gram(spark):
+    """Rows 1 and 2 share n-grams 10 to 29 and, behind one that 3 holds, 31 and 32; row 3 shares 30 with 1."""
+    held = {1: range(10, 33), 2: [*range(10, 30), 31, 32], 3: [30]}
+    rows = [(rid, 25, token, at, True, 2, before) for rid, v in held.items() for at, (token, before) in enumerate(zip(v, [None, *v]))]
+    members = spark.createDataFrame(rows, "rid long, n int, token long, at int, index boolean, k long, before long")
+    labels = spark.createDataFrame([], "rid long, comp long")
+    assert sorted((r.a, r.b, r.at_a, r.at_b) for r in jaccard_join.meetings(members, labels, Fraction(1, 100)).collect()) == [(2, 1, 0, 0), (2, 1, 20, 21), (3, 1, 0, 20)]
+    assert sorted((r.a, r.b, r.at_a, r.at_b) for r in jaccard_join.rest_pairs(members, labels, Fraction(1, 100)).collect()) == [(2, 1, 0, 0), (3, 1, 0, 20)]
+
+
 def test_filters_never_lose_a_pair():
     rng = random.Random(1)
     for p, q in ((85, 100), (4, 5), (1, 2), (1, 1)):
