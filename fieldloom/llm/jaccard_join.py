@@ -20,11 +20,11 @@ more bits than the sets in n-grams and meet for pairs only, not with the n-grams
 of as many bits as they have n-grams do the same.  What is left is verified, once.
 
 Rows of equal sets are one representative from the start.  An n-gram that more than
-CROWD rows hold never yields all its pairs: in rounds two of its rows, others each time,
+CROWD rows hold never yields all its pairs: in rounds HUBS of its rows, others each time,
 are hubs, and each component of rows is verified against the HUBS first ones of its
 n-grams' hubs.  What is similar is one component.  An n-gram takes part while a round
-saves a quarter of the pairs of different components that it has, and until it has no
-more than CROWD for each row.  Then all n-grams' rows join exactly, pairs of one component
+saves a tenth of the components that it has, and until it has no more than two pairs of
+different ones for each row.  Then all n-grams' rows join exactly, pairs of one component
 left out, a crowd's largest component only with what is outside it, in blocks of BLOCK by
 BLOCK rows of one n-gram and size class.  So each pair of similar sets ends in one component.
 A pair meets where it shares an n-gram and not the shared one before: at its first one,
@@ -59,7 +59,7 @@ SHINGLE, THRESHOLD = 4, Fraction(85, 100)
 #: Bytes of a fingerprint, cells of counts, longs of a parity, rows of a side of a block, texts at once.
 WIDTH, CELLS, PARITY, BLOCK, RUN = 5, 1 << 17, 8, 1000, 500
 #: Hubs that a component is verified against in a round, rows of an n-gram beyond which it has hubs.
-HUBS, CROWD = 3, 32
+HUBS, CROWD = 8, 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -207,23 +207,23 @@ def _even(t: Fraction, x: str, y: str) -> F.Column:
 def hub_pairs(rows: DataFrame, bits: DataFrame, t: Fraction, turn: int) -> DataFrame:
     """(a, b, at_a, at_b): of every component a row a and the HUBS first of its n-grams' hubs b of other components.
 
-    rows: rid, comp, n, token.  An n-gram's hubs are its two rows with the least hashes of this turn (lot), so texts that
+    rows: rid, comp, n, token.  An n-gram's hubs are the HUBS rows with the least of HUBS hashes of this turn (lot), so texts that
     share many n-grams meet the same few.  The places are -1: what is shared first is not known here.
     """
-    hub = lambda i: F.min(F.struct(F.xxhash64("rid", F.lit(2 * turn + i)).alias("lot"), "rid", "comp", "n"))
-    hubs = stored(rows.groupBy("token").agg(hub(0).alias("h0"), hub(1).alias("h1")))
-    met = rows.join(hubs, "token").select("rid", "comp", "n", F.explode(F.array("h0", "h1")).alias("h")).filter((F.col("comp") != F.col("h.comp")) & _near(t, "", "h."))
-    one = F.min(F.struct(F.xxhash64("rid", F.lit(2 * turn)).alias("lot"), "rid"))["rid"]
-    pairs = met.groupBy("comp", F.col("h.rid").alias("b")).agg(F.min("h.lot").alias("lot"), one.alias("a"))
-    near = pairs.groupBy("comp").agg(F.slice(F.array_sort(F.collect_list(F.struct("lot", "a", "b"))), 1, HUBS).alias("h")).select(F.inline("h"))
-    return _plausible(stored(near.select("a", "b", F.lit(-1).alias("at_a"), F.lit(-1).alias("at_b"))), bits, t)
+    hub = lambda i: F.min(F.struct(F.xxhash64("rid", F.lit(HUBS * turn + i)).alias("lot"), "rid", "comp", "n"))
+    hubs = stored(rows.groupBy("token").agg(*[hub(i).alias(f"h{i}") for i in range(HUBS)]))
+    met = rows.join(hubs, "token").select("rid", "comp", "n", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h")).filter((F.col("comp") != F.col("h.comp")) & _near(t, "", "h."))
+    one = F.min(F.struct(F.xxhash64("rid", F.lit(HUBS * turn)).alias("lot"), "rid"))["rid"]
+    pairs = stored(met.groupBy("comp", F.col("h.rid").alias("b")).agg(F.min("h.lot").alias("lot"), one.alias("a")))
+    near = _plausible(pairs, bits, t).groupBy("comp").agg(F.slice(F.array_sort(F.collect_list(F.struct("lot", "a", "b"))), 1, HUBS).alias("h")).select(F.inline("h"))
+    return near.select("a", "b", F.lit(-1).alias("at_a"), F.lit(-1).alias("at_b"))
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """(token, k, cross, main) of the n-grams with several components: rows, pairs of two components, largest component."""
+    """(token, k, cross, main, comps) of the n-grams with several components: rows, pairs of two components, the largest and the number of them."""
     one = rows.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    of = one.groupBy("token").agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.col("m")).alias("within"), F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    return of.select("token", "k", F.expr("(k * k - within) div 2").alias("cross"), "main").filter("cross > 0")
+    of = one.groupBy("token").agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.col("m")).alias("within"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps"))
+    return of.select("token", "k", F.expr("(k * k - within) div 2").alias("cross"), "main", "comps").filter("cross > 0")
 
 
 def crowds(members: DataFrame, bits: DataFrame, elements: DataFrame, often: np.ndarray, t: Fraction) -> DataFrame:
@@ -233,10 +233,10 @@ def crowds(members: DataFrame, bits: DataFrame, elements: DataFrame, often: np.n
     turn, before = 0, None
     while True:
         tagged = stored(rows.join(labels, "rid"))
-        left = _open(tagged).filter(F.col("cross") > CROWD * F.col("k"))
+        left = _open(tagged).filter(F.col("cross") > 2 * F.col("k"))
         if before is not None:
-            left = left.join(before, "token").filter("4 * cross <= 3 * was")
-        before = stored(left.select("token", F.col("cross").alias("was")))
+            left = left.join(before, "token").filter("10 * comps <= 9 * was")
+        before = stored(left.select("token", F.col("comps").alias("was")))
         if before.isEmpty():
             return labels
         rows = stored(tagged.join(before, "token", "left_semi"))
